@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc_archive
+from . import token_files, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": warc_archive.op1_warc_roundtrip,
+    "op2_token_files": token_files.op2_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_roundtrip": warc_archive.OP1_SQL,
