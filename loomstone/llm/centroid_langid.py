@@ -28,7 +28,7 @@ DIMS = 4096
 FIT_ROWS = 800
 CLUSTERS = 4
 #: A text is rejected below this share of the cosine that all but 1 in 200 fitted texts of its length reach.
-REJECT_SHARE = 0.6
+REJECT_SHARE = 0.45
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 64
 _letters: list[np.ndarray] = []
 

@@ -7,7 +7,7 @@ is its coverage, which stays high where a passage's parts come in another order.
 
 The benchmark comes in blocks of at most ``BLOCK_WORDS`` words, and only one block is broadcast at a
 time; a larger benchmark takes more passes over the documents, with the same result. Words are what
-stands between white space and ASCII punctuation, A-Z lower-cased.
+stands between white space and ASCII punctuation, lower-cased.
 
 Edge cases: null and empty texts match nothing; items of fewer than ``least`` words (null and empty
 ones too) can't be matched. Rows of a table that repeat are judged row by row. Empty tables give no
@@ -30,12 +30,12 @@ LEAST_WORDS, LEAST_COVERAGE = 5, 0.6
 #: Words of one broadcast block of the benchmark.
 BLOCK_WORDS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPLIT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i + 32 if 65 <= i <= 90 else i for i in range(256))
+_SPLIT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 MATCHES = "doc_id long, item_id long, tiles int, covered_words int, item_words int, coverage double, spans array<struct<item_at:int,doc_at:int,words:int>>"
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_SPLIT).split() if text else []
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
 
 
 def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -118,7 +118,7 @@ class BenchmarkIndex:
         order = np.argsort(flat, kind="stable")
         self.keys, self.owner = flat[order], owner[order]
 
-    def tiles(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, list]]:
+    def tiles(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, list]]:
         """(text's place, item's place, words of the item, tiles) of each pair that shares a run."""
         words = [words_of(t) for t in texts]
         sizes = np.array([len(w) + 1 for w in words])  # a 0 parts the texts
@@ -147,7 +147,7 @@ class BenchmarkIndex:
 def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     block, held = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        words = words_of(row.text.encode()) if row.text else []
+        words = words_of(row.text)
         if len(words) < least:
             continue
         if block and held + len(words) > BLOCK_WORDS:
@@ -184,7 +184,7 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST_WO
             index = _index(name, shared, least)
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
-                for d, item, size, tiles in index.tiles(batch.column(1).cast(pa.binary()).to_pylist()):
+                for d, item, size, tiles in index.tiles(batch.column(1).to_pylist()):
                     covered = sum(n for _, _, n in tiles)
                     if covered >= coverage * size:
                         spans = [{"item_at": i, "doc_at": t, "words": n} for i, t, n in sorted(tiles)]
@@ -207,7 +207,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = LEA
             index = _index(name, shared, least)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for d, _, size, tiles in index.tiles(batch.column(at).cast(pa.binary()).to_pylist()):
+                for d, _, size, tiles in index.tiles(batch.column(at).to_pylist()):
                     if sum(n for _, _, n in tiles) >= coverage * size:
                         clean[d] = False
                 yield batch.filter(pa.array(clean))
