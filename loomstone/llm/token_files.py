@@ -16,6 +16,7 @@ table gives no files and no rows. Further columns of the input are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,49 +29,57 @@ from pyspark.sql import functions as F
 from ._shared import arrow_batches, local_path, new_folder, opened, replacing, stash
 
 #: Words that a worker keeps with their ids.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
+#: Letters below U+0300 but for the one that lower-cases to two, then ASCII marks that no contraction starts with.
+_LETTERS_THEN_MARKS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([!-&(-/:-@\\[-`{-~]*)")
+_PLAIN_VOCABULARY = r"[\p{L}]+"
 WRITTEN = "part int, file string, docs long, tokens long, sequences long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-class WordEncoder:
-    """Encodes whole texts through the ids of their words.
+class WordEncoder(dict):
+    """Encodes whole texts through the ids of their words; maps a word's UTF-8 to its ids' bytes.
 
     This vocabulary's pre-tokenizer drops white space and never joins what stands on either side of
     it, and its normalizer works within such pieces. So the ids of a text are those of its pieces
-    between ASCII white space, and the library needs to see each different piece once.
+    between ASCII white space. A piece of letters below U+0300, with or without punctuation after
+    it, is in normal form but for its case and parts there, so its letters go to the library's merges
+    alone. All other pieces go through the whole tokenizer.
     """
 
     def __init__(self, path: str, dtype: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """For each UTF-8 text its ids, as little-endian integers."""
-        words = [t.split() if t else [] for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        ids = self.known
-        if new:
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            more = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(new, found, strict=True)}
-            if len(self.known) + len(more) <= KEPT_WORDS:
-                self.known.update(more)
+        super().__init__()
+        self.tokenizer, self.dtype, self.late = Tokenizer.from_file(path), dtype, {}
+        self.model, self.byte_level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain = self.tokenizer.normalizer is not None and _PLAIN_VOCABULARY in repr(self.tokenizer.pre_tokenizer)
+
+    def encode(self, text: bytes | None) -> bytes:
+        """The ids of a UTF-8 text as little-endian integers."""
+        return b"".join(map(self.__getitem__, text.split())) if text else b""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.late.get(word)
+        if found is None:
+            text = word.decode()
+            parts = _LETTERS_THEN_MARKS.fullmatch(text) if self.plain else None
+            if parts is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                found = np.array(ids, self.dtype).tobytes()
+            elif (letters := parts[1].lower()) != text:
+                found = self[letters.encode()] + (self[parts[2].encode()] if parts[2] else b"")
             else:
-                ids = self.known | more if len(more) > len(self.known) // 8 else _Either(self.known, more)
-        return [b"".join(map(ids.__getitem__, w)) for w in words]
-
-
-class _Either(dict):
-    """The kept words, and this batch's others behind them."""
-
-    def __init__(self, known: dict, more: dict):
-        super().__init__(more)
-        self.known = known
-
-    def __missing__(self, word):
-        return self.known[word]
+                piece = text if text.isascii() else self.byte_level.pre_tokenize_str(text)[0][0]
+                found = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+            if len(self) < KEPT_WORDS:
+                self[word] = found
+            else:  # the first words to come are the frequent ones; of others, some at a time
+                if len(self.late) >= KEPT_WORDS // 4:
+                    self.late.clear()
+                self.late[word] = found
+        return found
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -158,7 +167,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
             out, index = SequenceWriter(sink, length, rows, dtype), pa.ipc.new_stream(beside, INDEX)
             while batch is not None:
                 sizes = []
-                for ids in words.encode(batch.column(1).cast(pa.binary()).to_pylist()):
+                for ids in map(words.encode, batch.column(1).cast(pa.binary()).to_pylist()):
                     out.add(ids + end)
                     sizes.append(len(ids) // width + 1)
                 starts = start + np.cumsum([0] + sizes)
