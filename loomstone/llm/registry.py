@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroid_langid, chosen_path, source_mixing, string_tiling, token_files, warc_archive
+from . import centroid_langid, chosen_path, host_trust, source_mixing, string_tiling, token_files, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": warc_archive.op1_warc_roundtrip,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chosen_path": chosen_path.op6_chosen_path,
     "op7_source_mixing": source_mixing.op7_source_mixing,
     "op8_centroid_langid": centroid_langid.op8_centroid_langid,
+    "op10_host_trust": host_trust.op10_host_trust,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_roundtrip": warc_archive.OP1_SQL,
