@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroid_langid, chosen_path, host_trust, source_mixing, string_tiling, token_files, warc_archive
+from . import boosted_quality, centroid_langid, chosen_path, host_trust, line_chunks, source_mixing, string_tiling, token_files, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": warc_archive.op1_warc_roundtrip,
     "op2_token_files": token_files.op2_token_files,
+    "op3_boosted_quality": boosted_quality.op3_boosted_quality,
     "op4_string_tiling": string_tiling.op4_string_tiling,
+    "op5_line_chunks": line_chunks.op5_line_chunks,
     "op6_chosen_path": chosen_path.op6_chosen_path,
     "op7_source_mixing": source_mixing.op7_source_mixing,
     "op8_centroid_langid": centroid_langid.op8_centroid_langid,
