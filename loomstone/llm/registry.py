@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosted_quality, centroid_langid, chosen_path, host_trust, line_chunks, source_mixing, string_tiling, token_files, warc_archive
+from . import boosted_quality, centroid_langid, chosen_path, host_trust, line_chunks, source_mixing, string_tiling, token_files, warc_archive, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": warc_archive.op1_warc_roundtrip,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chosen_path": chosen_path.op6_chosen_path,
     "op7_source_mixing": source_mixing.op7_source_mixing,
     "op8_centroid_langid": centroid_langid.op8_centroid_langid,
+    "op9_weighted_sampling": weighted_sampling.op9_weighted_sampling,
     "op10_host_trust": host_trust.op10_host_trust,
 }
 ORACLE_SQL: dict[str, str] = {
