@@ -1,5 +1,49 @@
-STAGES = []
+"""From documents to token files: language ID, near-dedup, decontamination, mixing, token ids.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
+next stage's docs. All but the last return the columns of documents.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomstone.llm import centroid_langid, chosen_path, source_mixing, string_tiling, token_files
+from loomstone.llm._shared import new_folder, stash
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language like those learned; the others go."""
+    return centroid_langid.drop_rejected(docs, centroid_langid.fit(docs.where(~centroid_langid.held_out())))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    return chosen_path.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    return string_tiling.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return source_mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 read back from the token files."""
+    return token_files.read_tokens(token_files.write_tokens(docs, new_folder(spark, "tokens"), tokenizer=token_files.default_tokenizer()))
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("token_ids", token_ids)]
+#: No SQL: the language model, the near-duplicate join and the tokenizer have no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
