@@ -31,6 +31,8 @@ BUCKET_ROWS, COARSE = 64, 1024
 #: Primes near 2**31: the multipliers of permutations (fixed values).
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 _NARROW = 256
+#: Documents whose copies are broadcast, at most.
+BROADCAST_ROWS = 500_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -129,7 +131,9 @@ def mixed_documents(docs: DataFrame, *, seed: int = SEED, **options) -> DataFram
     per = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("words"))
     ratio = F.col("taken") / F.col("words") + _uniform(F.col("doc_id"), F.lit(seed), F.lit(3))
     copies = per.select(F.col("doc_id").alias("_id"), F.when(F.col("words") > 0, F.floor(ratio)).otherwise(0).cast("int").alias("_copies")).where("_copies > 0")
-    met = docs.join(copies, docs.doc_id.eqNullSafe(copies._id))
+    copies = stash(copies, "copies")
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = docs.join(F.broadcast(copies) if few else copies, docs.doc_id.eqNullSafe(copies._id))
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
