@@ -104,7 +104,7 @@ def header_fields(c: Column) -> Column:
 
 
 def header_body(c: Column) -> Column:
-    return F.trim(F.regexp_extract(c, r"(?s)\n-{3,}[^\n]*\n(.*)$", 1))
+    return F.btrim(F.regexp_extract(c, r"(?s)\n-{3,}[^\n]*\n(.*)$", 1), F.lit(" \n\r\t"))
 
 
 def prettified(c: Column) -> Column:

@@ -54,7 +54,7 @@ def truncate_variants(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncated(t, 120, "...").alias("dots"), text.truncated(t, 60, " ...[truncated]").alias("marked"), text.truncated(t, 90, "\n[TRUNCATED]", strip=False).alias("lined"))
 
 
-@query("SELECT conv_id, turn, upper(role) AS field, trim(text) AS body FROM conversations")
+@query("SELECT conv_id, turn, upper(role) AS field, trim(text, ' ' || chr(10) || chr(13) || chr(9)) AS body FROM conversations")
 def line_prefix_header(spark, sf_dir):
     whole = F.concat(F.lit("ROLE: "), F.upper("role"), F.lit("\nTURN: "), F.col("turn").cast("string"), F.lit("\n" + "-" * 80 + "\n"), "text")
     made = table(spark, sf_dir, "conversations").select("conv_id", whole.alias("whole"))

@@ -37,7 +37,7 @@ def factoids(documents: DataFrame) -> DataFrame:
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """record (VARIANT) of each record, whether a file is a list, an object with a list, or an object."""
-    whole = _named(spark.read.option("wholetext", True).text(path)).select("file_name", F.try_parse_json("value").alias("v")).where("v is not null")
+    whole = _named(spark.read.text(path, wholetext=True)).select("file_name", F.try_parse_json("value").alias("v")).where("v is not null")
     inner = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in LIST_KEYS]
     rows = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *inner, F.array(F.col("v")))
     return whole.select("file_name", F.posexplode(rows).alias("pos", "record"))
@@ -55,17 +55,17 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def header_texts(spark: SparkSession, path: str) -> DataFrame:
     """fields (map) and body of texts with KEY: value lines, a line of dashes, and a body."""
-    whole = _named(spark.read.option("wholetext", True).text(path))
+    whole = _named(spark.read.text(path, wholetext=True))
     return whole.select("file_name", text.header_fields(F.col("value")).alias("fields"), text.header_body(F.col("value")).alias("body"))
 
 
 def markdown_pages(spark: SparkSession, path: str) -> DataFrame:
-    whole = _named(spark.read.option("wholetext", True).text(path))
+    whole = _named(spark.read.text(path, wholetext=True))
     return whole.select("file_name", F.explode(text.pages(F.col("value"))).alias("p")).select("file_name", "p.page", "p.content")
 
 
 def xml_articles(spark: SparkSession, path: str) -> DataFrame:
-    whole = _named(spark.read.option("wholetext", True).text(path))
+    whole = _named(spark.read.text(path, wholetext=True))
     return whole.select("file_name", *[c.alias(k) for k, c in xml.article_fields(F.col("value")).items()])
 
 
