@@ -23,41 +23,42 @@ from pyspark.sql import functions as F
 
 from ._shared import stash
 
-LONG_WORDS, LEAST_CHARS = 50, 48
+LONG_WORDS, LEAST_CHARS = 50, 80
 #: Repeated hashes that are broadcast, at most; more of them are joined.
 BROADCAST_ROWS = 500_000
 MARKS = ("\x01", "\x02", "\x03", "\x04")
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+LINE_ENDS = ("\n", ". ", "! ", "? ")
 _LEAST_ID = -(1 << 63)
 
 
-def chunks_of(text: Column) -> Column:
-    """The chunks of a text in order; together they are the text."""
-    lines = F.split(text, LINE_END)
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
-    rolling = F.zip_with(before, hashes, lambda a, b: F.xxhash64(a, b))
-    least = F.lit(_LEAST_ID).cast("long")
-    left = F.concat(F.array(least), F.slice(rolling, 1, F.greatest(F.size(rolling) - 1, F.lit(0))))
-    right = F.concat(F.slice(rolling, 2, F.greatest(F.size(rolling) - 1, F.lit(0))), F.array(least))
-    low = F.zip_with(F.zip_with(left, rolling, lambda a, b: b < a), F.zip_with(rolling, right, lambda a, b: a < b), lambda a, b: a & b)
-    whole = F.array(text)
-    for mark in reversed(MARKS):
-        cut = F.split(F.array_join(F.zip_with(lines, low, lambda x, end: F.concat(x, F.when(end, F.lit(mark)).otherwise(F.lit("")))), ""), mark)
-        whole = F.when(~F.contains(text, F.lit(mark)), cut).otherwise(whole)
-    return whole
-
-
 def split_documents(docs: DataFrame) -> DataFrame:
-    """dk, th, doc_id, chunks of each row."""
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("dk"), F.xxhash64("text").alias("th"))
-    return rows.select("doc_id", "dk", "th", F.when(F.col("text").isNotNull(), chunks_of(F.col("text"))).alias("chunks"))
+    """dk, th, doc_id, chunks of each row; the chunks of a text, joined, are the text.
+
+    Each step uses the last one's columns several times, so that the optimizer keeps them apart and no
+    array is computed twice.
+    """
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("dk"), F.xxhash64("text").alias("th"), "text")
+    mark = F.lit(None).cast("string")
+    for m in reversed(MARKS):
+        mark = F.when(~F.contains("text", F.lit(m)), F.lit(m)).otherwise(mark)
+    rows = rows.select("*", mark.alias("mark"))
+    cut = F.col("text")
+    for end in LINE_ENDS:
+        cut = F.replace(cut, F.lit(end), F.concat(F.lit(end), "mark"))
+    rows = rows.select("*", F.split(cut, F.col("mark")).alias("lines"))
+    rows = rows.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("own"))
+    shift = lambda c, back: F.concat(F.array(F.lit(_LEAST_ID)), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))) if back else F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.array(F.lit(_LEAST_ID)))
+    rows = rows.select("*", F.zip_with(shift("own", True), "own", lambda a, b: F.xxhash64(a, b)).alias("roll")).drop("own")
+    rows = rows.select("*", F.zip_with(F.zip_with(shift("roll", True), "roll", lambda a, b: b < a), F.zip_with("roll", shift("roll", False), lambda a, b: a < b), lambda a, b: a & b).alias("low")).drop("roll")
+    marked = F.array_join(F.zip_with("lines", F.transform("low", lambda end: F.when(end, F.col("mark")).otherwise("")), lambda x, end: F.concat(x, end)), "")
+    cut = F.when(F.col("mark").isNull(), F.array("text")).otherwise(F.split(marked, F.col("mark")))
+    return rows.select("doc_id", "dk", "th", F.when(F.col("text").isNotNull(), cut).alias("chunks"))
 
 
 def repeated_places(parts: DataFrame, *, long_words: int = LONG_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """dk, th, pos of every chunk that repeats an earlier one."""
     chunk = F.col("chunk")
-    able = (F.length(chunk) >= least_chars) & ((F.size(F.split(chunk, LINE_END)) >= 2) | (F.size(F.split(chunk, r"\s+")) >= long_words))
+    able = (F.length(chunk) >= least_chars) & (chunk.rlike(r"(\n|[.!?] )(?s:.)") | (F.regexp_count(chunk, F.lit(r"\s+")) >= long_words - 1))
     each = parts.select("dk", "th", F.posexplode("chunks").alias("pos", "chunk")).where(able).withColumn("h", F.xxhash64("chunk"))
     hashes = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hashes = stash(hashes, "repeated")
