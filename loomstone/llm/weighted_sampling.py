@@ -52,14 +52,14 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """dk, th, text, edited of each different document, partitioned by its key."""
+    """dk, th, text, edited, same (characters before the edit) of each different document, partitioned by its key."""
     once = Window.partitionBy("dk", "th").orderBy("th")
     texts = _keyed(docs).withColumn("nth_copy", F.row_number().over(once)).where("nth_copy = 1").drop("nth_copy")
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     wanted = pairs.select(F.col("dk").alias("pdk"), F.col("th").alias("pth"), F.col("ndk").alias("dk"), F.col("nth").alias("th"), "n_chars")
     heads = texts.join(wanted, ["dk", "th"]).select(F.col("pdk").alias("dk"), F.col("pth").alias("th"), "n_chars", F.substring("text", F.lit(1), cut).alias("head"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), "head")
-    return texts.join(heads, ["dk", "th"]).select("dk", "th", "text", edited.alias("edited"))
+    return texts.join(heads, ["dk", "th"]).select("dk", "th", "text", edited.alias("edited"), (F.col("n_chars") - cut).cast("int").alias("same"))
 
 
 def _unit(bits: Column, width: int) -> Column:
@@ -86,7 +86,7 @@ def _sample_values(rows: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c not in ("term", "ln_n")]
     hashes, drawn, steps, out = [], [], [], []
     for i in range(GROUP):
-        hashes += [F.xxhash64("term", "block", F.lit(2 * i + k)).alias(f"{'xy'[k]}{i}") for k in (0, 1)]
+        hashes += [F.xxhash64("seed", F.lit(2 * i + k)).alias(f"{'xy'[k]}{i}") for k in (0, 1)]
         x, y = F.col(f"x{i}"), F.col(f"y{i}")
         drawn += [
             (-_ln(_unit(_low(x, 32), 32) * _unit(F.shiftrightunsigned(x, 32), 32))).alias(f"r{i}"),
@@ -97,7 +97,8 @@ def _sample_values(rows: DataFrame) -> DataFrame:
         steps.append(F.floor(F.coalesce(F.col("ln_n") / r, F.lit(0.0)) + b).alias(f"t{i}"))
         fixed = F.floor((c - r * (t - b + 1.0) + 128.0) * float(1 << 23))  # above 0: r is under 46, c above -17, ln(weight) under 44
         out.append(F.shiftleft(fixed, 32).bitwiseOR(_low(F.col("term").bitwiseXOR(F.shiftleft(t, 5) + t), 32)).alias(f"v{i}"))
-    rows = rows.select(*rows.columns, *hashes)
+    rows = rows.withColumn("seed", F.xxhash64("term", "block"))
+    rows = rows.select(*keep, "term", "ln_n", *hashes)
     rows = rows.select(*keep, "term", "ln_n", *drawn)
     rows = rows.select(*rows.columns, *steps)
     return rows.select(*keep, *out)
@@ -109,12 +110,14 @@ def fingerprints(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sha = F.sha2("edited", 256)
     cuts = range(0, 64, _DIGITS)
     digits = [F.conv(F.substring(sha, k + 1, _DIGITS), 16, 10).cast("long").alias(f"h{k}") for k in cuts]
-    # the text's words come first; the blanks between the two make one empty word at most
-    ready = texts.select("dk", "th", F.size(F.split("text", SPACE)).alias("own"), *digits, F.split(F.lower(F.concat("text", F.lit(" \n"), "edited")), SPACE).alias("words"))
-    words = ready.select("dk", "th", "own", *[f"h{k}" for k in cuts], F.posexplode("words").alias("pos", "word"))  # what stands beside a generator is computed for each of its rows
-    side = F.col("pos") < F.col("own")
+    # words up to the last white space before the edit count for both texts, and are split once
+    ready = texts.select("dk", "th", *digits, F.lower("text").alias("text"), F.lower("edited").alias("edited"), F.length(F.regexp_extract(F.left("text", "same"), r"(?s)^.*[\x20\x09-\x0D]", 0)).alias("shared"))
+    rest = lambda c: F.substring(c, F.col("shared") + 1, F.length(c))
+    pieces = ready.select("dk", "th", *[f"h{k}" for k in cuts], F.posexplode(F.array(F.left("text", "shared"), rest("text"), rest("edited"))).alias("piece", "words"))
+    pieces = pieces.select("dk", "th", "piece", *[f"h{k}" for k in cuts], F.split("words", SPACE).alias("words"))
+    words = pieces.select("dk", "th", "piece", *[f"h{k}" for k in cuts], F.posexplode("words").alias("pos", "word"))  # what stands beside a generator is computed for each of its rows
     term = F.when(F.col("word") != "", F.xxhash64("word")).alias("term")
-    counted = words.select("dk", "th", term, side.cast("long").alias("n0"), (~side).cast("long").alias("n1"), *[F.when(F.col("pos") == 0, F.col(f"h{k}")).alias(f"h{k}") for k in cuts])
+    counted = words.select("dk", "th", term, (F.col("piece") < 2).cast("long").alias("n0"), (F.col("piece") != 1).cast("long").alias("n1"), *[F.when((F.col("piece") == 0) & (F.col("pos") == 0), F.col(f"h{k}")).alias(f"h{k}") for k in cuts])
     counted = counted.groupBy("dk", "th", "term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.max(f"h{k}").alias(f"h{k}") for k in cuts])
     # a term that weighs the same on either side is sampled once; bit 1 is for the text, bit 2 for the edited text
     ints = lambda *x: F.array(*map(F.lit, x))
