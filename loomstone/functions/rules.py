@@ -65,7 +65,8 @@ def article_license(text: Column) -> Column:
     """Label of a permissions text."""
     t = F.lower(text)
     label = first_match(t, LICENSE_TEXTS, F.lit("UNKNOWN"))
-    return F.when(F.contains(t, F.lit("pmc open access subset")) & contains_any(t, TEMPORARY_TEXTS), F.lit("PMC_OPEN_ACCESS_TEMP")).otherwise(label)
+    any_sign = text.rlike("(?i)creative|cc[ -]by|cc0|open access")  # one pass over the texts that have none
+    return F.when(~F.coalesce(any_sign, F.lit(False)), F.lit("UNKNOWN")).when(F.contains(t, F.lit("pmc open access subset")) & contains_any(t, TEMPORARY_TEXTS), F.lit("PMC_OPEN_ACCESS_TEMP")).otherwise(label)
 
 
 def license_version(text: Column) -> Column:
