@@ -398,3 +398,68 @@ def curated_overview(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(dedupe.text_key(F.col("text")), 256).alias("k"), rules.article_license(F.col("text")).alias("license_label"))
     first = docs.groupBy("k").agg(F.min_by("license_label", "doc_id").alias("license_label"), F.min("doc_id").alias("doc_id"))
     return first.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("license_label", "quality").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
+def benchmark_overlap(spark, sf_dir):
+    """Documents that contain an item word for word; items have six words or more.
+
+    An item's second to fifth words stand whole in any text that contains it, so they are the key of the
+    join, and only what shares them is searched.
+    """
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    items = items.withColumn("key", F.array_join(F.slice(F.split("item", r"\s+"), 2, 4), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w")).where(F.size("w") > 4)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))
+    hits = docs.select("doc_id", F.explode(grams).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    met = hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id")
+    return met.where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN len(string_split(text, chr(10))) >= 5 THEN list_concat(string_split(text, chr(10))[1:5], ['[table truncated]']) ELSE string_split(text, chr(10)) END AS rows FROM conversations""")
+def table_row_cap(spark, sf_dir):
+    """The first rows of a table, with a mark where their number reaches the cap."""
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.size(lines) >= 5, F.concat(F.slice(lines, 1, 5), F.array(F.lit("[table truncated]")))).otherwise(lines).alias("rows"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 7")
+def per_source_limit(spark, sf_dir):
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("source", "doc_id").withColumn("n", nth).where("n <= 7").drop("n")
+
+
+@query("SELECT 'good' AS pass, doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 'toxic', doc_id FROM labels WHERE toxic = 1")
+def union_of_passes(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return labels.where("quality = 1").select(F.lit("good").alias("pass"), "doc_id").unionByName(labels.where("toxic = 1").select(F.lit("toxic").alias("pass"), "doc_id"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, length(text) AS n FROM documents) SELECT count(DISTINCT nullif(trim(source), '')) AS processed, greatest(30 - count(DISTINCT nullif(trim(source), '')), 0) AS remaining FROM d""")
+def processed_counts(spark, sf_dir):
+    return audit.processed_counts(table(spark, sf_dir, "documents"), "source", 30)
+
+
+@query(f"SELECT count(*) AS before, count(DISTINCT {_KEY}) AS after, round((1 - count(DISTINCT {_KEY}) / count(*)) * 100, 6) AS reduction FROM documents")
+def reduction_percentage(spark, sf_dir):
+    keys = table(spark, sf_dir, "documents").select(F.sha2(dedupe.text_key(F.col("text")), 256).alias("k"))
+    out = keys.agg(F.count("*").alias("before"), F.countDistinct("k").alias("after"))
+    return out.withColumn("reduction", F.round(dedupe.reduction(F.col("before"), F.col("after")), 6))
+
+
+@query("""SELECT doc_id, concat_ws('_', regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), lang, doc_id) AS factoid_id, CAST(doc_id % 7 + 1 AS INTEGER) AS level, lang FROM documents""")
+def surrogate_ids(spark, sf_dir):
+    """Ids of slugs and local ids; a nested field is set, another dropped."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.struct(F.lit(0).alias("level"), "lang", F.lit("x").alias("license_label_source")).alias("meta"))
+    meta = F.col("meta").dropFields("license_label_source").withField("level", (F.col("doc_id") % 7 + 1).cast("int"))
+    return docs.select("doc_id", F.concat_ws("_", F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "_"), "lang", F.col("doc_id").cast("string")).alias("factoid_id"), meta.alias("meta")).select("doc_id", "factoid_id", "meta.*")
+
+
+@query("""SELECT k, any_value(v) AS v FROM (SELECT user_id AS k, max(event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1) a GROUP BY 1
+UNION ALL SELECT user_id, min(event_id) FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0) GROUP BY 1""")
+def upsert_merge(spark, sf_dir):
+    """A table of first events is updated with the last even ones."""
+    from ..sources.tables import upsert
+
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"))
+    return upsert(ev.groupBy("k").agg(F.min("v").alias("v")), ev.where("v % 2 = 0").withColumn("at", F.col("v")), "k", "at")
