@@ -11,18 +11,24 @@ from ._shared import drop_stash, stash
 def components(edges: DataFrame) -> DataFrame:
     """v, root for each vertex of edges (a, b); root is the component's smallest vertex.
 
-    Each round takes the least label among neighbours, then the label of that label. Labels are
-    aggregated before they move, and adaptive execution splits the edges of a hub, so no vertex
-    gathers its neighbours in one task. Rounds grow with the logarithm of a component's diameter.
+    Each round takes the least label among a vertex's own and its neighbours', and every second round
+    the label of that label too. Labels are aggregated before they move, and adaptive execution splits
+    the edges of a hub, so no vertex gathers its neighbours in one task. Rounds grow with the
+    logarithm of a component's diameter.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = stash(both, "edges")
-    labels = stash(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least")).select("v", F.least("v", "least").alias("root")), "labels")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    both = stash(both.distinct(), "edges")
+    labels = stash(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root")).select("v", F.least("v", "root").alias("root")), "labels")
+    rounds = 0
     while True:
-        near = both.join(labels, both.a == labels.v).groupBy(F.col("b").alias("v")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        jump = labels.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        after = stash(step.join(jump, "root").select("v", F.least("root", "next").alias("root"), "old"), "labels")
+        rounds += 1
+        own = labels.select("v", "root", F.col("root").alias("old"))
+        told = both.join(labels, both.a == labels.v).select(F.col("b").alias("v"), "root", F.lit(None).cast("binary").alias("old"))
+        after = own.union(told).groupBy("v").agg(F.min("root").alias("root"), F.max("old").alias("old"))
+        if rounds % 2 == 0:
+            jump = labels.select(F.col("v").alias("root"), F.col("root").alias("next"))
+            after = after.join(jump, "root").select("v", F.least("root", "next").alias("root"), "old")
+        after = stash(after, "labels")
         changed = after.where("root <> old").limit(1).count()
         drop_stash(labels)
         labels = after.select("v", "root")

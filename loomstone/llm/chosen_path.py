@@ -3,18 +3,19 @@
 A document's set is its distinct runs of ``words`` words (A-Z lower-cased, parted by white space); a
 shorter text is one run, an empty one has no set. Sets that are equal are one class. For each class
 128 minwise tokens are kept. Independent trees branch classes by tokens at chosen positions, so that
-similar classes follow the same path with a probability above their similarity: at each node a class
-takes one position, and sometimes a second (1/threshold on average). Nodes of up to ``LEAF`` classes
-are compared exhaustively on sketches of the tokens. In larger nodes every class is compared with a
-few pivots first; the node then branches again, and children all of whose classes hang on the same
-pivots end. What is still large after ``LEVELS`` is compared exhaustively in pairs of blocks.
+similar classes follow the same path. The first DEPTH branchings are taken at once; a node that
+branches further takes one position, and sometimes a second (1/threshold on average). Nodes of up to
+``LEAF`` classes are compared exhaustively on sketches of the tokens. In larger nodes every class is
+compared with a few pivots first. If few classes hang on none, these are compared with all of the
+node; else the node branches again, and children that all hang on one pivot end. After ``LEVELS``
+what is loose is compared with all of its node in any case.
 
 Classes whose sketches agree as often as similar sets nearly always do are candidates. Components of
 candidates are compared exactly on the full sets of their whole texts: small ones each as one unit;
 large ones in blocks that share pivots, after which every class outside a component's largest part
 is compared with all of the component. A chain of exact links makes a component.
 
-With 10 trees a pair at the threshold misses all leaves with probability under 1e-8, and its
+A pair at the threshold misses all trees' leaves with probability 2e-8, and its
 sketches' filter with 3e-5.
 
 Edge cases: null, empty and blank texts have no set and are linked with nothing. Repeated rows are one
@@ -36,7 +37,7 @@ from ._graph import components
 from ._shared import arrow_batches, stash
 
 WORDS, PERCENT = 5, 85
-TOKENS, TREES, LEAF, LEVELS, PIVOTS = 128, 10, 400, 5, 8
+TOKENS, TREES, DEPTH, LEAF, LEVELS, PIVOTS = 128, 14, 2, 400, 6, 8
 #: Classes of one exact comparison, and documents whose ids are broadcast to find their texts.
 UNIT, BROADCAST_ROWS = 64, 500_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -107,39 +108,37 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n_shingles long, v binary, tokens binary")
 
 
-def chosen(node: int, level: int, percent: int) -> list[int]:
-    """The positions by which a node branches: one, and a second so often that 100/percent is the mean."""
-    h = xxhash.xxh3_64_intdigest(b"%d %d" % (node, level))
-    first = h % TOKENS
-    return [first, (first + 1 + (h >> 8) % (TOKENS - 1)) % TOKENS] if (h >> 40) % 1000 < 1000 * (100 - percent) // percent else [first]
-
-
 def _matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _children(tokens: np.ndarray, node: int, level: int, percent: int) -> list[np.ndarray]:
-    """For each position that the node chooses, the child of each row."""
-    out = []
-    for p in chosen(node, level, percent):
-        seed = np.full(len(tokens), (node + p + 1) & (2**64 - 1), np.uint64)
-        out.append(_mix(_mix(seed) * _MUL + tokens[:, p].astype(np.uint64)).view(np.int64))
-    return out
-
-
-def _roots(classes: DataFrame, percent: int) -> DataFrame:
-    """node, v: the first branching of each tree."""
+def _roots(classes: DataFrame) -> DataFrame:
+    """node, v: the first DEPTH branchings of each tree, taken at once."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = _matrix(batch.column(1))
+            tokens = _matrix(batch.column(1)).astype(np.uint64)
             for tree in range(TREES):
-                for child in _children(tokens, -1 - tree, 0, percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(0)], ["node", "v"])
+                node = np.full(len(tokens), tree + 1, np.uint64)
+                for level in range(DEPTH):
+                    at = xxhash.xxh3_64_intdigest(b"%d %d" % (tree, level)) % TOKENS
+                    node = _mix(_mix(node * _MUL + np.uint64(at)) + tokens[:, at])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0)], ["node", "v"])
 
     return classes.select("v", "tokens").mapInArrow(branch, "node long, v binary")
 
 
+def _branch(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """node, v, label of the children: a node takes one position, and a second in so many cases that
+    100/percent is the mean."""
+    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS)).cast("int")
+    twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < 1000 * (100 - percent) // percent
+    at = F.explode(F.when(twice, F.array(first, second)).otherwise(F.array(first))).alias("at")
+    met = rows.join(classes.select("v", "tokens"), "v").select("node", "v", "label", "tokens", at)
+    return met.select(F.xxhash64("node", "at", F.substring("tokens", F.col("at") * 4 + 1, F.lit(4))).alias("node"), "v", "label")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of one value of the first column after another; the rows are sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -208,66 +207,94 @@ def _edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"])
 
 
-def _star_and_branch(rows: DataFrame, classes: DataFrame, level: int, least: int, percent: int) -> DataFrame:
-    """For rows (node, v) of large nodes: the pivot each hangs on (null: none) and its children."""
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _only(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The classes that occur in rows; broadcasts their digests if there are few."""
+    names = stash(rows.select("v").distinct(), "names")
+    return classes.join(F.broadcast(names) if _few(names) else names, "v", "left_semi")
+
+
+def _stars(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """node, v, pivot, top, label of rows (node, v) of large nodes: the pivot that a class hangs on
+    (null: none), the first of the pivots that hang together, and that one's hash."""
     picks = rows.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v")).alias(f"p{k}") for k in range(PIVOTS)])
     picks = picks.select("node", F.explode(F.array_distinct(F.array(*[f"p{k}.v" for k in range(PIVOTS)]))).alias("v"))
     pivots = picks.join(classes.select("v", "sketch"), "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("v", "sketch"))).alias("pivots"))  # PIVOTS of them at most
-    joined = rows.join(classes.select("v", "tokens", "sketch"), "v").join(pivots, "node").select("node", "v", "tokens", "sketch", "pivots")
+    joined = rows.join(classes.select("v", "sketch"), "v").join(pivots, "node").select("node", "v", "sketch", "pivots")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy()
-            tokens, sketch, names = _matrix(batch.column(2)), _matrix(batch.column(3), np.uint8), batch.column(1).to_pylist()
+            sketch, hangs, tops = _matrix(batch.column(2), np.uint8), [None] * len(node), [None] * len(node)
             for own in np.unique(node):
                 at = np.flatnonzero(node == own)
-                pivots = batch.column(4)[int(at[0])].as_py()
+                pivots = batch.column(3)[int(at[0])].as_py()
                 block = np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint8).reshape(len(pivots), -1)
-                a, b = _alike(block, block, least)
-                root = _forest(len(pivots), zip(a.tolist(), b.tolist(), strict=True))
+                root = _forest(len(pivots), zip(*(x.tolist() for x in _alike(block, block, least)), strict=True))
                 agree = (sketch[at][:, None, :] == block[None]).sum(axis=2)
-                best = agree.argmax(axis=1)
-                hangs = [pivots[k]["v"] if agree[r, k] >= least else None for r, k in enumerate(best.tolist())]
-                label = [pivots[root[k]]["v"] if h is not None else None for h, k in zip(hangs, best.tolist(), strict=True)]
-                for n, child in enumerate(_children(tokens[at], int(own), level, percent)):
-                    first = n == 0
-                    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.binary()), pa.array(hangs if first else [None] * len(at), pa.binary()), pa.array([pivots[root[k]]["v"] if first and h is not None else None for h, k in zip(hangs, best.tolist(), strict=True)], pa.binary()), pa.array(label, pa.binary()), pa.array(child)], ["v", "pivot", "top", "label", "node"])
-
-    return joined.mapInArrow(work, "v binary, pivot binary, top binary, label binary, node long")
-
-
-def _members(rows: DataFrame, least: int = 2) -> DataFrame:
-    """Nodes of two classes or more that aren't all on the same pivots; equal ones once."""
-    label = F.col("label") if "label" in rows.columns else F.lit(None).cast("binary")
-    h = [F.bit_xor(F.xxhash64("v", F.lit(k))).alias(f"h{k}") for k in range(2)]
-    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), *h, F.min(F.hex(label)).alias("lo"), F.max(F.hex(label)).alias("hi"), F.count(label).alias("labelled"))
-    nodes = nodes.where(f"n >= {least} and (labelled < n or lo <> hi)")
+                for r, k, n in zip(at.tolist(), agree.argmax(axis=1).tolist(), agree.max(axis=1).tolist(), strict=True):
+                    if n >= least:
+                        hangs[r], tops[r] = pivots[k]["v"], pivots[root[k]]["v"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hangs, pa.binary()), pa.array(tops, pa.binary())], ["node", "v", "pivot", "top"])
+
+    return joined.mapInArrow(work, "node long, v binary, pivot binary, top binary").withColumn("label", F.when(F.col("top").isNotNull(), F.xxhash64("top")))
+
+
+def _chunk_edges(rows: DataFrame, loose: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """a, b: the candidates among rows (node, v) of each class of loose (node, v, n; n in its node)."""
+    chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / 128).cast("int")).alias("chunk")
+    sketches = classes.select("v", "sketch")
+    packed = loose.join(sketches, "v").select("node", chunk, F.struct("v", "sketch").alias("o")).groupBy("node", "chunk").agg(F.collect_list("o").alias("others"))  # about 128 of them
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                block = np.frombuffer(b"".join(o["sketch"] for o in row["others"]), np.uint8).reshape(len(row["others"]), -1)
+                alike = np.flatnonzero((block == np.frombuffer(row["sketch"], np.uint8)).sum(axis=1) >= least)
+                found += [(row["v"], row["others"][k]["v"]) for k in alike.tolist() if row["others"][k]["v"] != row["v"]]
+            yield _edge_batch(found)
+
+    met = rows.select("node", "v").join(sketches, "v").join(packed, "node").select("v", "sketch", "others")
+    return met.mapInArrow(compare, "a binary, b binary")
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """node, n of nodes of two classes or more that don't all hang on one pivot; equal ones once."""
+    labels = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("label").alias("labelled")] if "label" in rows.columns else []
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("v", F.lit(k))).alias(f"h{k}") for k in range(2)], *labels).where("n > 1")
+    if labels:
+        nodes = nodes.where("labelled < n or lo <> hi")
     return nodes.groupBy("n", "h0", "h1").agg(F.min("node").alias("node")).select("node", "n")
 
 
 def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: edges whose components hold every pair that the trees and sketches find."""
-    least, sketches = agreements(percent), classes.select("v", "sketch")
-    rows, edges, level = stash(_roots(classes, percent), "nodes"), [], 1
+    least, rows, edges, level = agreements(percent), stash(_roots(classes), "nodes"), [], 0
     while True:
-        nodes = stash(_members(rows), "kept-nodes")
+        level += 1
+        nodes = stash(_nodes(rows), "kept-nodes")
         small = rows.join(nodes.where(f"n <= {LEAF}").select("node"), "node").select("node", "v")
-        edges.append(stash(_leaf_edges(small, sketches, least), "candidates"))
-        large = nodes.where(f"n > {LEAF}")
-        if large.limit(1).count() == 0:
+        small = stash(small, "leaves")
+        edges.append(stash(_leaf_edges(small, _only(classes, small).select("v", "sketch"), least), "candidates"))
+        if nodes.where(f"n > {LEAF}").limit(1).count() == 0:
             break
-        within = rows.join(large, "node").select("node", "v", "n")
-        if level > LEVELS:  # pairs of blocks: exhaustive, and no group is gathered whole
-            blocks = F.ceil(F.col("n") / (LEAF // 2)).cast("int")
-            mine = F.pmod(F.xxhash64("v"), blocks).cast("int")
-            split = within.select("node", "v", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            split = split.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "v")
-            edges.append(stash(_leaf_edges(split, sketches, least), "candidates"))
+        large = stash(rows.join(nodes.where(f"n > {LEAF}"), "node").select("node", "v", "n"), "large")
+        own = _only(classes, large)
+        stars = stash(_stars(large.select("node", "v"), own, least), "stars")
+        hung = stars.where("pivot is not null")
+        edges.append(hung.select(F.col("pivot").alias("a"), F.col("v").alias("b")).union(hung.select(F.col("top").alias("a"), F.col("pivot").alias("b"))).where("a <> b").distinct())
+        counts = stash(stars.groupBy("node").agg(F.count("*").alias("all"), F.sum(F.col("pivot").isNull().cast("long")).alias("n")).where("n > 0"), "loose")
+        last = level == LEVELS
+        few = counts if last else counts.where("4 * n <= all")
+        loose = stars.where("pivot is null").join(few.select("node", "n"), "node").select("node", "v", "n")
+        edges.append(stash(_chunk_edges(stars.join(few.select("node"), "node"), loose, own, least), "candidates"))
+        if last or counts.where("4 * n > all").limit(1).count() == 0:
             break
-        branched = stash(_star_and_branch(within.select("node", "v"), classes, level, least, percent), "branched")
-        stars = branched.where("pivot is not null")
-        edges.append(stars.select(F.col("pivot").alias("a"), F.col("v").alias("b")).union(stars.select(F.col("top").alias("a"), F.col("pivot").alias("b"))).where("a <> b").distinct())
-        rows, level = branched.select("node", "v", "label"), level + 1
+        rows = stash(_branch(stars.join(counts.where("4 * n > all").select("node"), "node").select("node", "v", "label"), own, percent), "nodes")
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
@@ -278,8 +305,8 @@ def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) ->
     """a, b: per unit (unit, v, first_id) a star over each component of exact links."""
     wanted = units.groupBy("first_id", "v").agg(F.collect_list("unit").alias("units"))
     texts = docs.select(F.col("doc_id").alias("first_id"), "text")
-    few = units.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(wanted) if few else wanted, "first_id").select(F.explode("units").alias("unit"), "v", "text")
+    wanted = stash(wanted, "wanted")
+    found = texts.join(F.broadcast(wanted) if _few(wanted) else wanted, "first_id").select(F.explode("units").alias("unit"), "v", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[bytes, bytes]] = []
@@ -314,18 +341,19 @@ def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) ->
     return found.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a binary, b binary")
 
 
-def _units(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """unit, v, first_id of the exact comparisons; members (root, v, first_id) of large components."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    sized = members.join(sizes, "root")
-    small = sized.where(f"n <= {UNIT}").select(F.struct("root", F.lit(0).alias("block")).alias("unit"), "v", "first_id")
+def _units(sized: DataFrame, any_large: bool) -> DataFrame:
+    """unit, v, first_id of the exact comparisons of members (root, n, v, first_id)."""
+    small = sized.where(f"n <= {UNIT}").select(F.xxhash64("root", F.lit(0)).alias("unit"), "v", "first_id")
+    if not any_large:
+        return small
     large = sized.where(f"n > {UNIT}")
     blocks = F.ceil(F.col("n") / (UNIT // 2)).cast("int")
-    picks = large.groupBy("root").agg(F.max("n").alias("n"), *[F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "first_id")).alias(f"p{k}") for k in range(PIVOTS)])
-    pivots = picks.select("root", "n", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("root", "n", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("p.v").alias("v"), F.col("p.first_id").alias("first_id"))
-    own = large.select("root", "n", F.pmod(F.xxhash64("v"), blocks).cast("int").alias("block"), "v", "first_id")
-    blocked = own.union(pivots.select("root", "n", "block", "v", "first_id")).select(F.struct("root", "block").alias("unit"), "v", "first_id")
-    return small.union(blocked).distinct().withColumn("unit", F.xxhash64("unit.root", "unit.block")), large
+    picks = large.groupBy("root", "n").agg(*[F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "first_id")).alias(f"p{k}") for k in range(PIVOTS)])
+    pivots = picks.select("root", "n", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.v", f"p{k}.first_id") for k in range(PIVOTS)]))).alias("p"))
+    pivots = pivots.select("root", F.explode(F.sequence(F.lit(1), blocks)).alias("block"), "p.v", "p.first_id")
+    own = large.select("root", (F.pmod(F.xxhash64("v"), blocks) + 1).cast("int").alias("block"), "v", "first_id")
+    blocked = own.union(pivots).select(F.xxhash64("root", "block").alias("unit"), "v", "first_id")
+    return small.union(blocked.distinct())
 
 
 def _residual_pairs(large: DataFrame, linked: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -363,13 +391,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
     rows = stash(features(docs, words), "features")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min("tokens").alias("tokens"))
     classes = stash(_with_sketch(classes), "classes")
-    pairs = candidates(classes, percent)
-    found = components(pairs)
-    members = stash(found.join(classes.select("v", "first_id"), "v"), "members")
-    units, large = _units(members)
-    links = stash(exact_links(units, docs, percent, words), "links")
+    found = components(candidates(classes, percent))
+    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
+    members = stash(found.join(sizes, "root").join(_only(classes, found).select("v", "first_id"), "v"), "members")
+    large = members.where(f"n > {UNIT}").select("root", "v", "first_id")
+    any_large = large.limit(1).count() > 0
+    links = stash(exact_links(_units(members, any_large), docs, percent, words), "links")
     linked = components(links)
-    if large.limit(1).count():
+    if any_large:
         more = stash(_residual_pairs(large, linked, classes, agreements(percent)), "residual")
         if more.limit(1).count():
             linked = components(links.union(exact_links(more, docs, percent, words)))
