@@ -6,14 +6,14 @@ shorter text is one run, an empty one has no set. Sets that are equal are one cl
 similar classes follow the same path. The first DEPTH branchings are taken at once; a node that
 branches further takes one position, and sometimes a second (1/threshold on average). Nodes of up to
 ``LEAF`` classes are compared exhaustively on sketches of the tokens. In larger nodes every class is
-compared with a few pivots first. If few classes hang on none, these are compared with all of the
-node; else the node branches again, and children that all hang on one pivot end. After ``LEVELS``
-what is loose is compared with all of its node in any case.
+compared with a few pivots. What is then outside the node's largest component of candidates is compared
+with all of the node, in pairs of blocks, up to ``LOOSE`` classes; with more the node branches again,
+and children all in one component end. After ``LEVELS`` all that is loose is compared in any case.
 
 Classes whose sketches agree as often as similar sets nearly always do are candidates. Components of
 candidates are compared exactly on the full sets of their whole texts: small ones each as one unit;
-large ones in blocks that share pivots, after which every class outside a component's largest part
-is compared with all of the component. A chain of exact links makes a component.
+large ones in blocks that share pivots, after which every class outside a component's largest exact
+part is compared with all of the component, in pairs of blocks. A chain of exact links makes a component.
 
 A pair at the threshold misses all trees' leaves with probability 2e-8, and its
 sketches' filter with 3e-5.
@@ -38,6 +38,8 @@ from ._shared import arrow_batches, stash
 
 WORDS, PERCENT = 5, 85
 TOKENS, TREES, DEPTH, LEAF, LEVELS, PIVOTS = 128, 14, 2, 400, 6, 8
+#: Classes of a large node that are compared with all of it, at most, before it branches again.
+LOOSE = 2000
 #: Classes of one exact comparison, and documents whose ids are broadcast to find their texts.
 UNIT, BROADCAST_ROWS = 64, 500_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -218,8 +220,8 @@ def _only(classes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """node, v, pivot, top, label of rows (node, v) of large nodes: the pivot that a class hangs on
-    (null: none), the first of the pivots that hang together, and that one's hash."""
+    """a, b: in each large node, an edge of every class (node, v) that is like a pivot to the most like,
+    and of pivots like one another."""
     picks = rows.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v")).alias(f"p{k}") for k in range(PIVOTS)])
     picks = picks.select("node", F.explode(F.array_distinct(F.array(*[f"p{k}.v" for k in range(PIVOTS)]))).alias("v"))
     pivots = picks.join(classes.select("v", "sketch"), "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("v", "sketch"))).alias("pivots"))  # PIVOTS of them at most
@@ -228,7 +230,7 @@ def _stars(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy()
-            sketch, hangs, tops = _matrix(batch.column(2), np.uint8), [None] * len(node), [None] * len(node)
+            sketch, names, found = _matrix(batch.column(2), np.uint8), batch.column(1).to_pylist(), []
             for own in np.unique(node):
                 at = np.flatnonzero(node == own)
                 pivots = batch.column(3)[int(at[0])].as_py()
@@ -237,29 +239,22 @@ def _stars(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
                 agree = (sketch[at][:, None, :] == block[None]).sum(axis=2)
                 for r, k, n in zip(at.tolist(), agree.argmax(axis=1).tolist(), agree.max(axis=1).tolist(), strict=True):
                     if n >= least:
-                        hangs[r], tops[r] = pivots[k]["v"], pivots[root[k]]["v"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hangs, pa.binary()), pa.array(tops, pa.binary())], ["node", "v", "pivot", "top"])
-
-    return joined.mapInArrow(work, "node long, v binary, pivot binary, top binary").withColumn("label", F.when(F.col("top").isNotNull(), F.xxhash64("top")))
+                        found.append((pivots[k]["v"], names[r]))
+                found += [(pivots[r]["v"], pivots[k]["v"]) for k, r in enumerate(root) if k != r]
+            yield _edge_batch(found)
 
+    return joined.mapInArrow(work, "a binary, b binary").where("a <> b").distinct()
 
-def _chunk_edges(rows: DataFrame, loose: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """a, b: the candidates among rows (node, v) of each class of loose (node, v, n; n in its node)."""
-    chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / 128).cast("int")).alias("chunk")
-    sketches = classes.select("v", "sketch")
-    packed = loose.join(sketches, "v").select("node", chunk, F.struct("v", "sketch").alias("o")).groupBy("node", "chunk").agg(F.collect_list("o").alias("others"))  # about 128 of them
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                block = np.frombuffer(b"".join(o["sketch"] for o in row["others"]), np.uint8).reshape(len(row["others"]), -1)
-                alike = np.flatnonzero((block == np.frombuffer(row["sketch"], np.uint8)).sum(axis=1) >= least)
-                found += [(row["v"], row["others"][k]["v"]) for k in alike.tolist() if row["others"][k]["v"] != row["v"]]
-            yield _edge_batch(found)
+def _block_pairs(rows: DataFrame, loose: DataFrame, size: int) -> DataFrame:
+    """unit and all columns of rows (node, n, …) and loose (node, m, …): units of a block of either.
 
-    met = rows.select("node", "v").join(sketches, "v").join(packed, "node").select("v", "sketch", "others")
-    return met.mapInArrow(compare, "a binary, b binary")
+    Of a node's n rows and m loose ones, every row meets every loose one in a unit of about 2 size.
+    """
+    blocks, chunks = (F.ceil(F.col(c) / size).cast("int") for c in ("n", "m"))
+    mine = F.pmod(F.xxhash64("v"), blocks).cast("int"), F.pmod(F.xxhash64("v", F.lit(1)), chunks).cast("int")
+    of = lambda df, i, j: df.withColumn("i", i).withColumn("j", j).withColumn("unit", F.xxhash64("node", "i", "j")).drop("i", "j")
+    return of(rows, mine[0], F.explode(F.sequence(F.lit(0), chunks - 1))).union(of(loose, F.explode(F.sequence(F.lit(0), blocks - 1)), mine[1]))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -272,33 +267,53 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: edges whose components hold every pair that the trees and sketches find."""
-    least, rows, edges, level = agreements(percent), stash(_roots(classes), "nodes"), [], 0
+    """v, root: components that hold every pair that the trees and sketches find."""
+    least, rows, edges, level = agreements(percent), stash(_roots(classes), "nodes"), None, 0
     while True:
         level += 1
         nodes = stash(_nodes(rows), "kept-nodes")
-        small = rows.join(nodes.where(f"n <= {LEAF}").select("node"), "node").select("node", "v")
-        small = stash(small, "leaves")
-        edges.append(stash(_leaf_edges(small, _only(classes, small).select("v", "sketch"), least), "candidates"))
+        small = stash(rows.join(nodes.where(f"n <= {LEAF}").select("node"), "node").select("node", "v"), "leaves")
+        found = stash(_leaf_edges(small, _only(classes, small).select("v", "sketch"), least), "candidates")
+        edges = found if edges is None else edges.union(found)
         if nodes.where(f"n > {LEAF}").limit(1).count() == 0:
-            break
+            return components(edges)
         large = stash(rows.join(nodes.where(f"n > {LEAF}"), "node").select("node", "v", "n"), "large")
         own = _only(classes, large)
-        stars = stash(_stars(large.select("node", "v"), own, least), "stars")
-        hung = stars.where("pivot is not null")
-        edges.append(hung.select(F.col("pivot").alias("a"), F.col("v").alias("b")).union(hung.select(F.col("top").alias("a"), F.col("pivot").alias("b"))).where("a <> b").distinct())
-        counts = stash(stars.groupBy("node").agg(F.count("*").alias("all"), F.sum(F.col("pivot").isNull().cast("long")).alias("n")).where("n > 0"), "loose")
-        last = level == LEVELS
-        few = counts if last else counts.where("4 * n <= all")
-        loose = stars.where("pivot is null").join(few.select("node", "n"), "node").select("node", "v", "n")
-        edges.append(stash(_chunk_edges(stars.join(few.select("node"), "node"), loose, own, least), "candidates"))
-        if last or counts.where("4 * n > all").limit(1).count() == 0:
-            break
-        rows = stash(_branch(stars.join(counts.where("4 * n > all").select("node"), "node").select("node", "v", "label"), own, percent), "nodes")
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
-    return out
+        edges = edges.union(stash(_stars(large.select("node", "v"), own, least), "stars"))
+        found = components(edges)
+        placed = stash(large.join(found, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
+        parts = placed.groupBy("node", "root", "n").count().groupBy("node", "n").agg(F.max(F.struct("count", "root")).alias("most"))
+        parts = stash(parts.select("node", F.col("most.root").alias("main"), (F.col("n") - F.col("most.count")).alias("m")).where("m > 0"), "loose")
+        if parts.limit(1).count() == 0:
+            return found
+        limit = 1 << 62 if level == LEVELS else LOOSE
+        loose = placed.join(parts, "node").where(f"m <= {limit}").withColumn("is_loose", F.col("root") != F.col("main")).select("node", "v", "n", "m", "is_loose")
+        loose = stash(loose, "loose-rows")
+        if loose.limit(1).count():
+            units = _block_pairs(loose, loose.where("is_loose"), LEAF // 2).select(F.col("unit").alias("node"), "v").distinct()
+            edges = edges.union(stash(_leaf_edges(units, _only(classes, loose).select("v", "sketch"), least), "candidates"))
+        if level == LEVELS or parts.where(f"m > {LOOSE}").limit(1).count() == 0:
+            return components(edges)
+        rows = stash(_branch(placed.join(parts.where(f"m > {LOOSE}"), "node").select("node", "v", F.xxhash64("root").alias("label")), own, percent), "nodes")
+
+
+def _similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets with 100 * intersection >= percent * union, by products of incidence matrices."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    if n < 2:
+        return []
+    both = np.zeros((n, n), np.int64)
+    seen, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, len(seen), 1 << 14):
+        lo, hi = np.searchsorted(column, (low, low + (1 << 14)))
+        part = np.zeros((n, min(1 << 14, len(seen) - low)), np.float32)
+        part[row[lo:hi], column[lo:hi] - low] = 1
+        both += np.rint(part @ part.T).astype(np.int64)
+    a, b = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+    return list(zip(a.tolist(), b.tolist(), strict=True))
 
 
 def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -317,22 +332,9 @@ def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) ->
                 if xxhash.xxh3_128_digest(own.tobytes()) == name:  # not another row of the same doc_id
                     sets[name] = own
             names = sorted(sets)
-            up = {v: v for v in names}
-
-            def top(v, up=up):
-                while up[v] != v:
-                    v = up[v]
-                return v
-
-            for y, b in enumerate(names):
-                for a in names[:y]:
-                    low, high = sorted((len(sets[a]), len(sets[b])))
-                    if 100 * low < percent * high or (ra := top(a)) == (rb := top(b)):
-                        continue
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if 100 * both >= percent * (low + high - both):
-                        up[max(ra, rb)] = min(ra, rb)
-            edges += [(top(v), v) for v in names if top(v) != v]
+            for k, r in enumerate(_forest(len(names), _similar([sets[v] for v in names], percent))):
+                if k != r:
+                    edges.append((names[r], names[k]))
             if len(edges) > 10_000:
                 yield _edge_batch(edges)
                 edges = []
@@ -356,33 +358,17 @@ def _units(sized: DataFrame, any_large: bool) -> DataFrame:
     return small.union(blocked.distinct())
 
 
-def _residual_pairs(large: DataFrame, linked: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """unit, v, first_id of the pairs still to compare in large components.
+def _residual_units(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """unit, v, first_id of what is still to compare in large components (root, v, first_id).
 
-    ``linked`` has the root of exact links. Each class outside the largest part of its component is
-    compared with all of the component on sketches; both ends of a candidate pair make a unit.
+    ``linked`` has the components of exact links. Each class outside the largest part of its component
+    meets all of the component, in units of a block of either.
     """
-    labelled = large.select("root", "v", "first_id").join(linked.select("v", F.col("root").alias("part")), "v", "left").withColumn("part", F.coalesce("part", "v"))
-    labelled = stash(labelled.join(classes.select("v", "sketch"), "v"), "large")
-    parts = labelled.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("n"))
-    outside = labelled.join(parts.select("root", F.col("most.part").alias("main"), (F.col("n") - F.col("most.count")).alias("rest")), "root").where("part <> main")
-    chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("rest") / 128).cast("int")).alias("chunk")
-    packed = outside.select("root", chunk, F.struct("v", "first_id", "part", "sketch").alias("o")).groupBy("root", "chunk").agg(F.collect_list("o").alias("others"))  # about 128 of them
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                block = np.frombuffer(b"".join(o["sketch"] for o in row["others"]), np.uint8).reshape(len(row["others"]), -1)
-                for k in np.flatnonzero((block == np.frombuffer(row["sketch"], np.uint8)).sum(axis=1) >= least).tolist():
-                    o = row["others"][k]
-                    if o["part"] != row["part"]:
-                        unit = xxhash.xxh3_64_intdigest(b"".join(sorted((o["v"], row["v"])))) - 2**63
-                        rows += [(unit, row["v"], row["first_id"]), (unit, o["v"], o["first_id"])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.binary(), pa.int64()), strict=True)], ["unit", "v", "first_id"])
-
-    met = labelled.join(packed, "root").select("v", "first_id", "part", "sketch", "others")
-    return met.mapInArrow(compare, "unit long, v binary, first_id long").distinct()
+    parts = stash(large.join(linked.select("v", F.col("root").alias("part")), "v", "left").withColumn("part", F.coalesce("part", "v")), "large")
+    most = parts.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("n"))
+    most = most.select(F.col("root").alias("node"), "n", F.col("most.part").alias("main"), (F.col("n") - F.col("most.count")).alias("m")).where("m > 0")
+    rows = parts.join(most, parts.root == most.node).select("node", "v", "first_id", "n", "m", (F.col("part") != F.col("main")).alias("is_loose"))
+    return _block_pairs(rows, rows.where("is_loose"), UNIT).select("unit", "v", "first_id").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -391,7 +377,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
     rows = stash(features(docs, words), "features")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min("tokens").alias("tokens"))
     classes = stash(_with_sketch(classes), "classes")
-    found = components(candidates(classes, percent))
+    found = candidates(classes, percent)
     sizes = found.groupBy("root").agg(F.count("*").alias("n"))
     members = stash(found.join(sizes, "root").join(_only(classes, found).select("v", "first_id"), "v"), "members")
     large = members.where(f"n > {UNIT}").select("root", "v", "first_id")
@@ -399,7 +385,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
     links = stash(exact_links(_units(members, any_large), docs, percent, words), "links")
     linked = components(links)
     if any_large:
-        more = stash(_residual_pairs(large, linked, classes, agreements(percent)), "residual")
+        more = stash(_residual_units(large, linked), "residual")
         if more.limit(1).count():
             linked = components(links.union(exact_links(more, docs, percent, words)))
     firsts = classes.select("v", "first_id").join(linked, "v", "left").withColumn("root", F.coalesce("root", "v"))
