@@ -133,8 +133,9 @@ def mixed_documents(docs: DataFrame, *, seed: int = SEED, **options) -> DataFram
     copies = per.select(F.col("doc_id").alias("_id"), F.when(F.col("words") > 0, F.floor(ratio)).otherwise(0).cast("int").alias("_copies")).where("_copies > 0")
     copies = stash(copies, "copies")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = docs.join(F.broadcast(copies) if few else copies, docs.doc_id.eqNullSafe(copies._id))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names can't clash there
+    met = rows.join(F.broadcast(copies) if few else copies, F.col("row.doc_id").eqNullSafe(F.col("_id")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
