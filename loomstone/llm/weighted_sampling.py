@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import stash
 
-SAMPLES, GROUP = 48, 4
+SAMPLES, GROUP = 48, 3
 SPACE = r"[\x20\x09-\x0D]+"
 _LEAST_ID = -(1 << 63)
 #: Hex digits of the digest that one long carries through the aggregation.
@@ -77,29 +77,37 @@ def _ln(x: Column) -> Column:
 
 
 def _sample_values(rows: DataFrame) -> DataFrame:
-    """For rows (…, term, ln_n, block): v_i, the packed values of the block's samples.
-
-    A packed value orders by ln c - r (t - b + 1), in steps of 2**-24, and carries 32 bits of term and t;
-    two terms that differ are taken for one another with a chance of 2**-32. GROUP samples at a time
-    stay below the size of method that the JVM compiles.
+    """For rows (…, term, n, weight, block): v_i, the packed values of the block's samples; null where a
+    value can't be the least.
+
+    A packed value orders by ln c - r (t - b + 1), in steps of 2**-23, and carries 32 bits of term and t;
+    two terms that differ are taken for one another with a chance of 2**-32. With c = -ln p and
+    r = -ln q, exp of the value is at least (1 - p) q / n, while the least of a text of that weight
+    exceeds 40 / weight with a chance of exp(-40): terms above that need no logarithm. GROUP samples at a
+    time stay below the size of method that the JVM compiles.
     """
-    keep = [c for c in rows.columns if c not in ("term", "ln_n")]
-    hashes, drawn, steps, out = [], [], [], []
+    keep = [c for c in rows.columns if c not in ("term", "n", "ln_n", "weight")]
+    hashes, drawn, bound, logs, steps, out = [], [], [], [], [], []
     for i in range(GROUP):
         hashes += [F.xxhash64("seed", F.lit(2 * i + k)).alias(f"{'xy'[k]}{i}") for k in (0, 1)]
         x, y = F.col(f"x{i}"), F.col(f"y{i}")
         drawn += [
-            (-_ln(_unit(_low(x, 32), 32) * _unit(F.shiftrightunsigned(x, 32), 32))).alias(f"r{i}"),
-            _ln(-_ln(_unit(_low(y, 24), 24) * _unit(_low(F.shiftrightunsigned(y, 24), 24), 24))).alias(f"c{i}"),
+            (_unit(_low(x, 32), 32) * _unit(F.shiftrightunsigned(x, 32), 32)).alias(f"q{i}"),
+            (_unit(_low(y, 24), 24) * _unit(_low(F.shiftrightunsigned(y, 24), 24), 24)).alias(f"p{i}"),
             _unit(F.shiftrightunsigned(y, 48), 16).alias(f"b{i}"),
         ]
-        r, c, b, t = (F.col(f"{n}{i}") for n in "rcbt")
+        r, c, b, t, p, q, least = (F.col(f"{n}{i}") for n in "rcbtpqm")
+        bound.append(((1.0 - p) * q * F.col("weight") < 40.0 * F.col("n")).alias(f"m{i}"))
+        logs += [F.when(least, -_ln(q)).otherwise(1.0).alias(f"r{i}"), F.when(least, _ln(-_ln(p))).otherwise(0.0).alias(f"c{i}")]
         steps.append(F.floor(F.coalesce(F.col("ln_n") / r, F.lit(0.0)) + b).alias(f"t{i}"))
         fixed = F.floor((c - r * (t - b + 1.0) + 128.0) * float(1 << 23))  # above 0: r is under 46, c above -17, ln(weight) under 44
-        out.append(F.shiftleft(fixed, 32).bitwiseOR(_low(F.col("term").bitwiseXOR(F.shiftleft(t, 5) + t), 32)).alias(f"v{i}"))
+        out.append(F.when(least, F.shiftleft(fixed, 32).bitwiseOR(_low(F.col("term").bitwiseXOR(F.shiftleft(t, 5) + t), 32))).alias(f"v{i}"))
+    marks = [f"m{i}" for i in range(GROUP)]
     rows = rows.withColumn("seed", F.xxhash64("term", "block"))
-    rows = rows.select(*keep, "term", "ln_n", *hashes)
-    rows = rows.select(*keep, "term", "ln_n", *drawn)
+    rows = rows.select(*keep, "term", "n", "ln_n", "weight", *hashes)
+    rows = rows.select(*keep, "term", "n", "ln_n", "weight", *drawn)
+    rows = rows.select(*keep, "term", "ln_n", *[f"{k}{i}" for i in range(GROUP) for k in "qpb"], *bound)
+    rows = rows.select(*keep, "term", "ln_n", *[f"b{i}" for i in range(GROUP)], *marks, *logs)
     rows = rows.select(*rows.columns, *steps)
     return rows.select(*keep, *out)
 
@@ -113,17 +121,21 @@ def fingerprints(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # words up to the last white space before the edit count for both texts, and are split once
     ready = texts.select("dk", "th", *digits, F.lower("text").alias("text"), F.lower("edited").alias("edited"), F.length(F.regexp_extract(F.left("text", "same"), r"(?s)^.*[\x20\x09-\x0D]", 0)).alias("shared"))
     rest = lambda c: F.substring(c, F.col("shared") + 1, F.length(c))
-    pieces = ready.select("dk", "th", *[f"h{k}" for k in cuts], F.posexplode(F.array(F.left("text", "shared"), rest("text"), rest("edited"))).alias("piece", "words"))
-    pieces = pieces.select("dk", "th", "piece", *[f"h{k}" for k in cuts], F.split("words", SPACE).alias("words"))
-    words = pieces.select("dk", "th", "piece", *[f"h{k}" for k in cuts], F.posexplode("words").alias("pos", "word"))  # what stands beside a generator is computed for each of its rows
+    ready = ready.select("dk", "th", *[f"h{k}" for k in cuts], F.split(F.left("text", "shared"), SPACE).alias("w0"), F.split(rest("text"), SPACE).alias("w1"), F.split(rest("edited"), SPACE).alias("w2"))
+    # what both texts weigh at least; each part has an empty word at either end at most
+    weight = F.greatest(F.size("w0") + F.least(F.size("w1"), F.size("w2")) - 4, F.lit(0)).cast("long")
+    pieces = ready.select("dk", "th", *[f"h{k}" for k in cuts], weight.alias("weight"), "w0", "w1", "w2")
+    pieces = pieces.select("dk", "th", "weight", *[f"h{k}" for k in cuts], F.posexplode(F.array("w0", "w1", "w2")).alias("piece", "words"))
+    words = pieces.select("dk", "th", "weight", "piece", *[f"h{k}" for k in cuts], F.posexplode("words").alias("pos", "word"))  # what stands beside a generator is computed for each of its rows
     term = F.when(F.col("word") != "", F.xxhash64("word")).alias("term")
-    counted = words.select("dk", "th", term, (F.col("piece") < 2).cast("long").alias("n0"), (F.col("piece") != 1).cast("long").alias("n1"), *[F.when((F.col("piece") == 0) & (F.col("pos") == 0), F.col(f"h{k}")).alias(f"h{k}") for k in cuts])
-    counted = counted.groupBy("dk", "th", "term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.max(f"h{k}").alias(f"h{k}") for k in cuts])
+    counted = words.select("dk", "th", "weight", term, (F.col("piece") < 2).cast("long").alias("n0"), (F.col("piece") != 1).cast("long").alias("n1"), *[F.when((F.col("piece") == 0) & (F.col("pos") == 0), F.col(f"h{k}")).alias(f"h{k}") for k in cuts])
+    counted = counted.groupBy("dk", "th", "term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("weight").cast("double").alias("weight"), *[F.max(f"h{k}").alias(f"h{k}") for k in cuts])
     # a term that weighs the same on either side is sampled once; bit 1 is for the text, bit 2 for the edited text
     ints = lambda *x: F.array(*map(F.lit, x))
     sides = F.when(F.col("term").isNull(), ints(0)).when(F.col("n0") == F.col("n1"), ints(3)).when(F.col("n0") == 0, ints(2)).when(F.col("n1") == 0, ints(1)).otherwise(ints(1, 2))
-    weighed = counted.select("dk", "th", F.coalesce("term", F.lit(0).cast("long")).alias("term"), "n0", "n1", *[f"h{k}" for k in cuts], F.explode(sides).alias("sides"))
-    weighed = weighed.select("dk", "th", "term", _ln(F.when(F.col("sides") == 2, F.col("n1")).otherwise(F.col("n0")).cast("double")).alias("ln_n"), "sides", *[f"h{k}" for k in cuts])
+    weighed = counted.select("dk", "th", F.coalesce("term", F.lit(0).cast("long")).alias("term"), "n0", "n1", "weight", *[f"h{k}" for k in cuts], F.explode(sides).alias("sides"))
+    weighed = weighed.select("dk", "th", "term", "weight", F.when(F.col("sides") == 2, F.col("n1")).otherwise(F.col("n0")).cast("double").alias("n"), "sides", *[f"h{k}" for k in cuts])
+    weighed = weighed.select("*", _ln(F.col("n")).alias("ln_n"))
     weighed = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     of = lambda s, i: F.min(F.when(F.col("sides").bitwiseAND(F.lit(1 << s)) != 0, F.col(f"v{i}")))
     least = _sample_values(weighed).groupBy("dk", "th", "block").agg(*[of(s, i).alias(f"v{s}_{i}") for s in (0, 1) for i in range(GROUP)], *[F.max(f"h{k}").alias(f"h{k}") for k in cuts])
