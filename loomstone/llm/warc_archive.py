@@ -159,8 +159,11 @@ def plan_records(pages: DataFrame, *, min_revisit_bytes: int = 100) -> DataFrame
 def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", level: int = 3, min_revisit_bytes: int = 100) -> DataFrame:
     """Write an archive per task to ``folder``; file and records of each archive."""
     arrow_batches(pages.sparkSession)
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_SAMPLE_ROWS).select(F.substring("html", 1, 8192).alias("html"))
-    dictionary = train_dictionary([r.html.encode() for r in sample.collect()])
+    # drawn by a hash first, so that few rows reach the driver from however many partitions
+    ticks, draw = 1 << 40, F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 40))
+    share = min(1.0, 2 * DICT_SAMPLE_ROWS / max(1, pages.count()))
+    drawn = pages.where(F.col("html").isNotNull() & (draw < int(share * ticks))).select(F.substring("html", 1, 8192).alias("html"), draw.alias("draw"))
+    dictionary = train_dictionary([r.html.encode() for r in drawn.orderBy("draw", "html").limit(DICT_SAMPLE_ROWS).collect()])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (b for b in batches if b.num_rows)
