@@ -146,7 +146,11 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 def fit(measured: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> BoostedTrees:
     """Learn ``quality`` of labels (doc_id, quality) from rows (doc_id, row)."""
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("quality"))
-    found = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows).select("row", "quality").toPandas()
+    # drawn by a hash first, so that not much more than fit_rows reach the driver from all partitions
+    ticks, draw = 1 << 40, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = min(1.0, 1.2 * fit_rows / max(1, known.count()))
+    drawn = measured.join(known.where(draw < int(share * ticks)), "doc_id")
+    found = drawn.orderBy(draw, "doc_id", "quality").limit(fit_rows).select("row", "quality").toPandas()
     return grow(np.array(found["row"].tolist(), float).reshape(-1, len(NAMES)), (found["quality"].to_numpy(float) > 0).astype(float))
 
 
