@@ -41,12 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     the edges of a hub, so no vertex gathers its neighbours in one task. Rounds grow with the
     logarithm of a component's diameter.
     """
-    edges = stash(edges.select("a", "b").where("a <> b"), "edges")
+    edges = stash(edges.select("a", "b").where("a <> b"), "edges", narrow=True)
     if edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
-        return stash(edges.repartition(1).mapInArrow(_local, "v binary, root binary"), "labels")
+        return stash(edges.repartition(1).mapInArrow(_local, "v binary, root binary"), "labels", narrow=True)
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stash(both.distinct(), "edges")
-    labels = stash(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root")).select("v", F.least("v", "root").alias("root")), "labels")
+    both = stash(both.distinct(), "edges", narrow=True)
+    labels = stash(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root")).select("v", F.least("v", "root").alias("root")), "labels", narrow=True)
     rounds = 0
     while True:
         rounds += 1
@@ -56,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
         if rounds % 2 == 0:
             jump = labels.select(F.col("v").alias("root"), F.col("root").alias("next"))
             after = after.join(jump, "root").select("v", F.least("root", "next").alias("root"), "old")
-        after = stash(after, "labels")
+        after = stash(after, "labels", narrow=True)
         changed = after.where("root <> old").limit(1).count()
         drop_stash(labels)
         labels = after.select("v", "root")

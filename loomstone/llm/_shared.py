@@ -38,10 +38,16 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{work_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared store and read again: the lineage ends there, and any executor can read it."""
+def stash(df: DataFrame, tag: str, *, narrow: bool = False) -> DataFrame:
+    """Write to the shared store and read again: the lineage ends there, and any executor can read it.
+
+    ``narrow``, for tables of ids: at most four files for each core of the cluster, not one for each
+    shuffle partition.
+    """
     spark = df.sparkSession
     path = new_folder(spark, tag)
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -215,7 +215,7 @@ def _few(df: DataFrame) -> bool:
 
 def _only(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """The classes that occur in rows; broadcasts their digests if there are few."""
-    names = stash(rows.select("v").distinct(), "names")
+    names = stash(rows.select("v").distinct(), "names", narrow=True)
     return classes.join(F.broadcast(names) if _few(names) else names, "v", "left_semi")
 
 
@@ -271,27 +271,27 @@ def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     least, rows, edges, level = agreements(percent), stash(_roots(classes), "nodes"), None, 0
     while True:
         level += 1
-        nodes = stash(_nodes(rows), "kept-nodes")
-        small = stash(rows.join(nodes.where(f"n <= {LEAF}").select("node"), "node").select("node", "v"), "leaves")
-        found = stash(_leaf_edges(small, _only(classes, small).select("v", "sketch"), least), "candidates")
+        nodes = stash(_nodes(rows), "kept-nodes", narrow=True)
+        small = stash(rows.join(nodes.where(f"n <= {LEAF}").select("node"), "node").select("node", "v"), "leaves", narrow=True)
+        found = stash(_leaf_edges(small, _only(classes, small).select("v", "sketch"), least), "candidates", narrow=True)
         edges = found if edges is None else edges.union(found)
         if nodes.where(f"n > {LEAF}").limit(1).count() == 0:
             return components(edges)
-        large = stash(rows.join(nodes.where(f"n > {LEAF}"), "node").select("node", "v", "n"), "large")
+        large = stash(rows.join(nodes.where(f"n > {LEAF}"), "node").select("node", "v", "n"), "large", narrow=True)
         own = _only(classes, large)
-        edges = edges.union(stash(_stars(large.select("node", "v"), own, least), "stars"))
+        edges = edges.union(stash(_stars(large.select("node", "v"), own, least), "stars", narrow=True))
         found = components(edges)
-        placed = stash(large.join(found, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
+        placed = stash(large.join(found, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed", narrow=True)
         parts = placed.groupBy("node", "root", "n").count().groupBy("node", "n").agg(F.max(F.struct("count", "root")).alias("most"))
-        parts = stash(parts.select("node", F.col("most.root").alias("main"), (F.col("n") - F.col("most.count")).alias("m")).where("m > 0"), "loose")
+        parts = stash(parts.select("node", F.col("most.root").alias("main"), (F.col("n") - F.col("most.count")).alias("m")).where("m > 0"), "loose", narrow=True)
         if parts.limit(1).count() == 0:
             return found
         limit = 1 << 62 if level == LEVELS else LOOSE
         loose = placed.join(parts, "node").where(f"m <= {limit}").withColumn("is_loose", F.col("root") != F.col("main")).select("node", "v", "n", "m", "is_loose")
-        loose = stash(loose, "loose-rows")
+        loose = stash(loose, "loose-rows", narrow=True)
         if loose.limit(1).count():
             units = _block_pairs(loose, loose.where("is_loose"), LEAF // 2).select(F.col("unit").alias("node"), "v").distinct()
-            edges = edges.union(stash(_leaf_edges(units, _only(classes, loose).select("v", "sketch"), least), "candidates"))
+            edges = edges.union(stash(_leaf_edges(units, _only(classes, loose).select("v", "sketch"), least), "candidates", narrow=True))
         if level == LEVELS or parts.where(f"m > {LOOSE}").limit(1).count() == 0:
             return components(edges)
         rows = stash(_branch(placed.join(parts.where(f"m > {LOOSE}"), "node").select("node", "v", F.xxhash64("root").alias("label")), own, percent), "nodes")
@@ -320,7 +320,7 @@ def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) ->
     """a, b: per unit (unit, v, first_id) a star over each component of exact links."""
     wanted = units.groupBy("first_id", "v").agg(F.collect_list("unit").alias("units"))
     texts = docs.select(F.col("doc_id").alias("first_id"), "text")
-    wanted = stash(wanted, "wanted")
+    wanted = stash(wanted, "wanted", narrow=True)
     found = texts.join(F.broadcast(wanted) if _few(wanted) else wanted, "first_id").select(F.explode("units").alias("unit"), "v", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,7 @@ def _residual_units(large: DataFrame, linked: DataFrame) -> DataFrame:
     ``linked`` has the components of exact links. Each class outside the largest part of its component
     meets all of the component, in units of a block of either.
     """
-    parts = stash(large.join(linked.select("v", F.col("root").alias("part")), "v", "left").withColumn("part", F.coalesce("part", "v")), "large")
+    parts = stash(large.join(linked.select("v", F.col("root").alias("part")), "v", "left").withColumn("part", F.coalesce("part", "v")), "large", narrow=True)
     most = parts.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("n"))
     most = most.select(F.col("root").alias("node"), "n", F.col("most.part").alias("main"), (F.col("n") - F.col("most.count")).alias("m")).where("m > 0")
     rows = parts.join(most, parts.root == most.node).select("node", "v", "first_id", "n", "m", (F.col("part") != F.col("main")).alias("is_loose"))
@@ -376,16 +376,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
     arrow_batches(docs.sparkSession)
     rows = stash(features(docs, words), "features")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min("tokens").alias("tokens"))
-    classes = stash(_with_sketch(classes), "classes")
+    classes = stash(_with_sketch(classes), "classes", narrow=True)
     found = candidates(classes, percent)
     sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    members = stash(found.join(sizes, "root").join(_only(classes, found).select("v", "first_id"), "v"), "members")
+    members = stash(found.join(sizes, "root").join(_only(classes, found).select("v", "first_id"), "v"), "members", narrow=True)
     large = members.where(f"n > {UNIT}").select("root", "v", "first_id")
     any_large = large.limit(1).count() > 0
-    links = stash(exact_links(_units(members, any_large), docs, percent, words), "links")
+    links = stash(exact_links(_units(members, any_large), docs, percent, words), "links", narrow=True)
     linked = components(links)
     if any_large:
-        more = stash(_residual_units(large, linked), "residual")
+        more = stash(_residual_units(large, linked), "residual", narrow=True)
         if more.limit(1).count():
             linked = components(links.union(exact_links(more, docs, percent, words)))
     firsts = classes.select("v", "first_id").join(linked, "v", "left").withColumn("root", F.coalesce("root", "v"))
