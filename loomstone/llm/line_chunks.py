@@ -4,8 +4,9 @@ A text is cut into lines, and lines after sentence ends, so that a passage insid
 found as well. A rolling hash over two lines stands at each line; a chunk ends where the hash is less
 than both of its neighbours. So boundaries depend on nearby lines alone and come back after text has
 been inserted or taken away, and a chunk has two lines or more. Chunks of at least two lines, or of
-``LONG_WORDS`` words, and ``LEAST_CHARS`` characters that occur more than once in the corpus are
-removed everywhere but at their first place, after their texts have been compared byte by byte.
+``LONG_WORDS`` words, that occur more than once in the corpus are removed everywhere but at their first
+place, however short, after their texts have been compared byte by byte. Chunks of white space alone
+stay, as they only part lines.
 
 Hashes are counted with partial aggregation; only repeated chunks move with their text. Documents move
 once, to meet the places that they lose. All of it is DataFrame operations.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import stash
 
-LONG_WORDS, LEAST_CHARS = 50, 80
+LONG_WORDS = 50
 #: Repeated hashes that are broadcast, at most; more of them are joined.
 BROADCAST_ROWS = 500_000
 MARKS = ("\x01", "\x02", "\x03", "\x04")
@@ -55,10 +56,10 @@ def split_documents(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "dk", "th", F.when(F.col("text").isNotNull(), cut).alias("chunks"))
 
 
-def repeated_places(parts: DataFrame, *, long_words: int = LONG_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_places(parts: DataFrame, *, long_words: int = LONG_WORDS) -> DataFrame:
     """dk, th, pos of every chunk that repeats an earlier one."""
     chunk = F.col("chunk")
-    able = (F.length(chunk) >= least_chars) & (chunk.rlike(r"(\n|[.!?] )(?s:.)") | (F.regexp_count(chunk, F.lit(r"\s+")) >= long_words - 1))
+    able = chunk.rlike(r"\S") & (chunk.rlike(r"(\n|[.!?] )(?s:.)") | (F.regexp_count(chunk, F.lit(r"\s+")) >= long_words - 1))
     each = parts.select("dk", "th", F.posexplode("chunks").alias("pos", "chunk")).where(able).withColumn("h", F.xxhash64("chunk"))
     hashes = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hashes = stash(hashes, "repeated")

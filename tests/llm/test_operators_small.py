@@ -161,6 +161,13 @@ def test_line_chunks(spark):
     assert line_chunks.drop_repeated_chunks(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("notice", ["All rights reserved by the owner.\nSee the licence for terms of use.", "Page one.\nEnd."])
+def test_short_chunks_of_two_lines_go(spark, notice):
+    docs = documents(spark, [(1, notice), (2, notice), (3, "\n\n"), (4, "\n\n")])
+    got = {r.doc_id: r.text for r in line_chunks.drop_repeated_chunks(docs).collect()}
+    assert got == {1: notice, 2: "", 3: "\n\n", 4: "\n\n"}
+
+
 # --- op6
 def brute_components(texts, percent=85):
     low = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
