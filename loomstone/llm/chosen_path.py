@@ -15,8 +15,9 @@ candidates are compared exactly on the full sets of their whole texts: small one
 large ones in blocks that share pivots, after which every class outside a component's largest exact
 part is compared with all of the component, in pairs of blocks. A chain of exact links makes a component.
 
-A pair at the threshold misses all trees' leaves with probability 2e-8, and its
-sketches' filter with 3e-5.
+Where nodes are small, a pair at the threshold misses all trees' leaves with probability 2e-7 at 85
+percent and 4e-6 at 80 (drawn 6 million times with the trees' positions, three of which stand in two
+trees), and its sketches' filter with 3e-5.
 
 Edge cases: null, empty and blank texts have no set and are linked with nothing. Repeated rows are one
 class and share the result. A null doc_id never is a component's id unless all of its rows have null.
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._shared import arrow_batches, stash
 
-WORDS, PERCENT = 5, 85
+#: PERCENT is what op6 is to find; near-duplicates in general are STAGE_PERCENT alike or more.
+WORDS, PERCENT, STAGE_PERCENT = 5, 85, 80
 TOKENS, TREES, DEPTH, LEAF, LEVELS, PIVOTS = 128, 14, 2, 400, 6, 8
 #: Classes of a large node that are compared with all of it, at most, before it branches again.
 LOOSE = 2000
@@ -406,11 +408,11 @@ def _with_sketch(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(low, "v binary, first_id long, tokens binary, sketch binary")
 
 
-def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, percent: int = STAGE_PERCENT, words: int = WORDS) -> DataFrame:
     """One document of each group, that with the smallest doc_id; all columns as they were."""
     gone = near_duplicates(docs, percent=percent, words=words).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=PERCENT)

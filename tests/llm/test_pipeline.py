@@ -48,3 +48,11 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(made, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_near_dedup_links_from_four_fifths_on(spark):
+    words = [f"w{k}" for k in range(104)]  # runs of five: 100
+    change = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    texts = [change(), change(30, 60), change(20, 50, 80)]  # of the first: 90 of 110 runs, 85 of 115
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
