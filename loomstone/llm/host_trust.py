@@ -3,7 +3,10 @@
 A url that rules fit gets the verdict of the longest one. For all others the method decides: trust
 starts at hosts with allowed pages and follows links by personalised PageRank; distrust starts at
 hosts with blocked pages and follows links backwards (who links to a blocked host is suspect). A host
-whose distrust exceeds its trust by more than ``MARGIN`` is blocked.
+whose distrust exceeds its trust by more than a share of ``MARGIN`` is blocked. Rounds go on until no
+host's score has changed by more than a share of ``TOLERANCE`` since the last scores written, and no
+further host has been reached; so the L1 change of all scores is under ``TOLERANCE`` too, and hosts far
+from all seeds have scores as exact as near ones.
 
 Edges are counts of links between hosts, from href attributes with a host of their own, and one edge
 each way between a host and the domain above it (of two labels or more), which share an owner; links without a host stay on
@@ -19,6 +22,7 @@ no rows. Further columns are not read.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +32,9 @@ from ._shared import drop_stash, stash
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, ROUNDS, WRITE_EACH, MARGIN = 0.85, 8, 4, 1e-9
+DAMPING, TOLERANCE, WRITE_EACH, MARGIN = 0.85, 1e-10, 4, 1e-9
+#: Rounds after which the L1 change is under TOLERANCE on any graph; most need fewer, long chains more.
+ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
 HREF = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -75,7 +81,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, *, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust), each of which sums to 1 or 0."""
     hosts = edges.select(F.col("src").alias("host")).union(seeds.select("host")).distinct()
     edges = edges.union(hosts.select("host", "host", F.lit(1.0)))
@@ -85,16 +91,19 @@ def spread(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping:
     behind = edges.join(back, edges.dst == back.h).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("all")).alias("d"))
     steps = stash(ahead.union(behind).groupBy("src", "dst").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "steps")
     start = seeds.select("host", *[((1 - damping) * F.col(c)).alias(c) for c in ("trust", "distrust")])
-    scores, written = seeds, None
-    for k in range(rounds):
-        sent = steps.join(scores, steps.src == scores.host).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("trust")).alias("trust"), (damping * F.col("d") * F.col("distrust")).alias("distrust"))
-        scores = sent.union(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if (k + 1) % WRITE_EACH == 0:
-            scores = stash(scores, "scores")
-            if written is not None:
-                drop_stash(written)
-            written = scores
-    return scores
+    scores = stash(seeds.select("host", "trust", "distrust"), "scores")
+    while True:
+        last = scores
+        for _ in range(WRITE_EACH):
+            sent = steps.join(scores, steps.src == scores.host).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("trust")).alias("trust"), (damping * F.col("d") * F.col("distrust")).alias("distrust"))
+            scores = sent.union(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        scores = stash(scores, "scores")
+        old = last.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        moved = lambda new, was: F.abs(F.col(new) - F.coalesce(was, F.lit(0.0))) > tolerance * F.col(new)
+        going = scores.join(old, "host", "left").where(moved("trust", "t") | moved("distrust", "d")).limit(1).count()
+        drop_stash(last)
+        if not going:
+            return scores
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -106,7 +115,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     seeds = counts.select("host", (F.col("trust") / F.lit(trust or 1.0)).alias("trust"), (F.col("distrust") / F.lit(distrust or 1.0)).alias("distrust"))
     scores = spread(stash(host_edges(pages), "host-edges"), seeds)
     met = ruled.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    method = F.when(F.col("distrust") > F.col("trust") + MARGIN, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("distrust") > F.col("trust") * (1 + MARGIN), F.lit("block")).otherwise(F.lit("allow"))
     return met.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 

@@ -346,3 +346,17 @@ def test_spread_is_personalised_pagerank(spark):
         d = 0.85 * d @ (w.T / w.T.sum(1, keepdims=True)) + 0.15 * ds
     for k, n in enumerate(names):
         assert np.allclose(got[n], (t[k], d[k]))
+
+
+def test_distrust_reaches_all_of_a_long_chain(spark):
+    n = 14  # each links to the one before; the first is blocked
+    rows = [(k, f"http://h{k}.org/", f'<a href="http://h{k - 1}.org/">' if k else "") for k in range(n)] + [(n, "http://far.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in host_trust.judge(pages, (("h0.org", "/", "block"), ("far.net", "/", "allow"))).collect()}
+    assert [got[k].verdict for k in range(n + 1)] == ["block"] * n + ["allow"]
+    edges = spark.createDataFrame([(f"h{k}", f"h{k - 1}", 1.0) for k in range(1, n)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 0.0, 1.0), ("far", 1.0, 0.0)], "host string, trust double, distrust double")
+    back = np.eye(n) + np.eye(n, k=1)
+    want = np.linalg.solve(np.eye(n) - 0.85 * (back / back.sum(1, keepdims=True)).T, 0.15 * np.eye(n)[0])
+    found = {r.host: r.distrust for r in host_trust.spread(edges, seeds).collect()}
+    assert np.allclose([found[f"h{k}"] for k in range(n)], want, rtol=1e-8, atol=0)
