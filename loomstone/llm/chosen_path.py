@@ -21,6 +21,7 @@ trees), and its sketches' filter with 3e-5.
 
 Edge cases: null, empty and blank texts have no set and are linked with nothing. Repeated rows are one
 class and share the result. A null doc_id never is a component's id unless all of its rows have null.
+``drop_near_duplicates`` keeps one row of a group, also where ids repeat or are null.
 An empty table gives no rows. Further columns are kept by ``drop_near_duplicates`` alone.
 """
 
@@ -92,7 +93,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, v (128-bit digest of the set; null without one), tokens."""
+    """doc_id, th (hash of the text), n_shingles, v (128-bit digest of the set; null without one), tokens."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,14 +103,15 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([tokens[k].tobytes() if k in tokens else None for k in range(len(sets))], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "v", "tokens"],
+                ["doc_id", "th", "n_shingles", "v", "tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n_shingles long, v binary, tokens binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(build, "doc_id long, th long, n_shingles long, v binary, tokens binary")
 
 
 def _matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
@@ -319,11 +321,14 @@ def _similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """a, b: per unit (unit, v, first_id) a star over each component of exact links."""
-    wanted = units.groupBy("first_id", "v").agg(F.collect_list("unit").alias("units"))
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text")
+    """a, b: per unit (unit, v, first_id, first_th) a star over each component of exact links."""
+    wanted = units.groupBy("first_id", "first_th", "v").agg(F.collect_list("unit").alias("units"))
     wanted = stash(wanted, "wanted", narrow=True)
-    found = texts.join(F.broadcast(wanted) if _few(wanted) else wanted, "first_id").select(F.explode("units").alias("unit"), "v", "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    if wanted.where("first_id is null").limit(1).count():  # texts without an id, each once
+        texts = texts.where("doc_id is not null").union(texts.where("doc_id is null").dropDuplicates(["th"]))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    found = texts.join(F.broadcast(wanted) if _few(wanted) else wanted, same).select(F.explode("units").alias("unit"), "v", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[bytes, bytes]] = []
@@ -331,7 +336,7 @@ def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) ->
             sets = {}
             for name, text in zip(group.column("v").to_pylist(), group.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = shingles(text, words)
-                if xxhash.xxh3_128_digest(own.tobytes()) == name:  # not another row of the same doc_id
+                if xxhash.xxh3_128_digest(own.tobytes()) == name:  # not another text of the same hash
                     sets[name] = own
             names = sorted(sets)
             for k, r in enumerate(_forest(len(names), _similar([sets[v] for v in names], percent))):
@@ -346,22 +351,22 @@ def exact_links(units: DataFrame, docs: DataFrame, percent: int, words: int) ->
 
 
 def _units(sized: DataFrame, any_large: bool) -> DataFrame:
-    """unit, v, first_id of the exact comparisons of members (root, n, v, first_id)."""
-    small = sized.where(f"n <= {UNIT}").select(F.xxhash64("root", F.lit(0)).alias("unit"), "v", "first_id")
+    """unit, v, first_id, first_th of the exact comparisons of members (root, n, v, first_id, first_th)."""
+    small = sized.where(f"n <= {UNIT}").select(F.xxhash64("root", F.lit(0)).alias("unit"), "v", "first_id", "first_th")
     if not any_large:
         return small
     large = sized.where(f"n > {UNIT}")
     blocks = F.ceil(F.col("n") / (UNIT // 2)).cast("int")
-    picks = large.groupBy("root", "n").agg(*[F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "first_id")).alias(f"p{k}") for k in range(PIVOTS)])
-    pivots = picks.select("root", "n", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.v", f"p{k}.first_id") for k in range(PIVOTS)]))).alias("p"))
-    pivots = pivots.select("root", F.explode(F.sequence(F.lit(1), blocks)).alias("block"), "p.v", "p.first_id")
-    own = large.select("root", (F.pmod(F.xxhash64("v"), blocks) + 1).cast("int").alias("block"), "v", "first_id")
-    blocked = own.union(pivots).select(F.xxhash64("root", "block").alias("unit"), "v", "first_id")
+    picks = large.groupBy("root", "n").agg(*[F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "first_id", "first_th")).alias(f"p{k}") for k in range(PIVOTS)])
+    pivots = picks.select("root", "n", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.v", f"p{k}.first_id", f"p{k}.first_th") for k in range(PIVOTS)]))).alias("p"))
+    pivots = pivots.select("root", F.explode(F.sequence(F.lit(1), blocks)).alias("block"), "p.v", "p.first_id", "p.first_th")
+    own = large.select("root", (F.pmod(F.xxhash64("v"), blocks) + 1).cast("int").alias("block"), "v", "first_id", "first_th")
+    blocked = own.union(pivots).select(F.xxhash64("root", "block").alias("unit"), "v", "first_id", "first_th")
     return small.union(blocked.distinct())
 
 
 def _residual_units(large: DataFrame, linked: DataFrame) -> DataFrame:
-    """unit, v, first_id of what is still to compare in large components (root, v, first_id).
+    """unit, v, first_id, first_th of what is still to compare in large components (root, v, first_id, first_th).
 
     ``linked`` has the components of exact links. Each class outside the largest part of its component
     meets all of the component, in units of a block of either.
@@ -369,20 +374,21 @@ def _residual_units(large: DataFrame, linked: DataFrame) -> DataFrame:
     parts = stash(large.join(linked.select("v", F.col("root").alias("part")), "v", "left").withColumn("part", F.coalesce("part", "v")), "large", narrow=True)
     most = parts.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("n"))
     most = most.select(F.col("root").alias("node"), "n", F.col("most.part").alias("main"), (F.col("n") - F.col("most.count")).alias("m")).where("m > 0")
-    rows = parts.join(most, parts.root == most.node).select("node", "v", "first_id", "n", "m", (F.col("part") != F.col("main")).alias("is_loose"))
-    return _block_pairs(rows, rows.where("is_loose"), UNIT).select("unit", "v", "first_id").distinct()
+    rows = parts.join(most, parts.root == most.node).select("node", "v", "first_id", "first_th", "n", "m", (F.col("part") != F.col("main")).alias("is_loose"))
+    return _block_pairs(rows, rows.where("is_loose"), UNIT).select("unit", "v", "first_id", "first_th").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def _grouped(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """doc_id, th, n_shingles, v, root (the group's least class; null without a set), component_id of each row."""
     arrow_batches(docs.sparkSession)
     rows = stash(features(docs, words), "features")
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min("tokens").alias("tokens"))
+    classes = rows.where("v is not null").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.min("tokens").alias("tokens"))
+    classes = classes.select("v", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), "tokens")
     classes = stash(_with_sketch(classes), "classes", narrow=True)
     found = candidates(classes, percent)
     sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    members = stash(found.join(sizes, "root").join(_only(classes, found).select("v", "first_id"), "v"), "members", narrow=True)
-    large = members.where(f"n > {UNIT}").select("root", "v", "first_id")
+    members = stash(found.join(sizes, "root").join(_only(classes, found).select("v", "first_id", "first_th"), "v"), "members", narrow=True)
+    large = members.where(f"n > {UNIT}").select("root", "v", "first_id", "first_th")
     any_large = large.limit(1).count() > 0
     links = stash(exact_links(_units(members, any_large), docs, percent, words), "links", narrow=True)
     linked = components(links)
@@ -392,8 +398,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
             linked = components(links.union(exact_links(more, docs, percent, words)))
     firsts = classes.select("v", "first_id").join(linked, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = firsts.where("root is not null").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = firsts.join(least, "root").select("v", "component_id")
-    out = rows.drop("tokens").join(named, "v", "left").select("doc_id", "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = firsts.join(least, "root").select("v", "root", "component_id")
+    out = rows.drop("tokens").join(named, "v", "left")
+    return out.withColumn("component_id", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (by its id) of each row."""
+    out = _grouped(docs, percent, words).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -402,16 +414,29 @@ def _with_sketch(classes: DataFrame) -> DataFrame:
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketch = [np.frombuffer(t, np.uint32).astype(np.uint8).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketch, pa.binary())], ["v", "first_id", "tokens", "sketch"])
+            sketch = [np.frombuffer(t, np.uint32).astype(np.uint8).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketch, pa.binary())], ["v", "first_id", "first_th", "tokens", "sketch"])
 
-    return classes.mapInArrow(low, "v binary, first_id long, tokens binary, sketch binary")
+    return classes.mapInArrow(low, "v binary, first_id long, first_th long, tokens binary, sketch binary")
 
 
 def drop_near_duplicates(docs: DataFrame, *, percent: int = STAGE_PERCENT, words: int = WORDS) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; all columns as they were."""
-    gone = near_duplicates(docs, percent=percent, words=words).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group, one with the smallest doc_id (null last); all columns as they were.
+
+    Rows are told apart by doc_id and text, so that another text of the same id stays.
+    """
+    keys = _grouped(docs, percent, words).where("root is not null").groupBy("root", F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.count("*").alias("n"))
+    keys = stash(keys, "keys", narrow=True)
+    key = F.struct(F.col("gone_id").isNull().alias("none"), "gone_id", "gone_th")
+    first = keys.groupBy("root").agg(F.min(key).alias("first"))
+    met = stash(keys.join(first, "root").select("gone_id", "gone_th", "n", (key > F.col("first")).alias("gone")).where("gone or n > 1"), "marked", narrow=True)
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
+    kept = docs.join(met, same, "left_anti")
+    twice = met.where("not gone")
+    if twice.limit(1).count():  # rows of one id and text: one of them
+        once = docs.join(twice, same, "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
+        kept = kept.union(once.select(docs.columns))
+    return kept.select(docs.columns)
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,16 @@ def test_near_duplicates_odd_rows(spark):
     assert chosen_path.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_is_kept(spark):
+    rng = random.Random(5)
+    a, b, c, d = (rand_text(rng, 120) for _ in range(4))
+    near = f"{c} more"
+    docs = documents(spark, [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, near), (3, d), (3, d), (3, f"{d} more")])
+    kept = [(r.doc_id, r.text) for r in chosen_path.drop_near_duplicates(docs).collect()]
+    assert len(kept) == 4 and {(1, a), (2, b)} < set(kept)
+    assert sorted(i == 3 for i, _ in kept) == [False, False, False, True] and {t for i, t in kept if i is None} < {c, near}
+
+
 # --- op7
 def brute_targets(sizes, times=3):
     names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
