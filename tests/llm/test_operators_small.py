@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,15 +150,16 @@ def test_line_chunks(spark):
     rng = random.Random(2)
     shared = "".join(f"{rand_text(rng, 12)}. " for _ in range(12)) + "\n"
     own = ["".join(f"{rand_text(rng, 9)}. " for _ in range(8)) + "\n" for _ in range(6)]
-    texts = [(61, own[0] + shared + own[1]), (62, own[2] + shared + own[3]), (63, own[4] + own[5]), (64, "all \x01 of \x02 the \x03 marks \x04. Here. "), *ODD]
+    texts = [(61, own[0] + shared + own[1]), (62, own[2] + shared + own[3]), (63, own[4] + own[5]), (64, "all \x01 of \x02 the \x02a marks \x02b\x02. Here. "), *ODD]
     docs = documents(spark, texts)
-    parts = line_chunks.split_documents(docs).collect()
-    whole = Counter(t for _, t in texts)
-    assert Counter(None if r.chunks is None else "".join(r.chunks) for r in parts) == whole
-    got = {r.doc_id: r for r in line_chunks.drop_repeated_chunks(docs).collect()}
-    assert got[61].removed_chunks == 0 or got[61].text == texts[0][1]
-    assert got[62].removed_chunks > 0 and len(got[62].text) < len(texts[1][1]) - len(shared) // 3
-    assert got[62].text.startswith(own[2][:60]) and got[63].text == own[4] + own[5]
+    got = line_chunks.drop_repeated_chunks(docs).collect()
+    first = {r.doc_id: r for r in got}
+    assert len(got) == len(texts)
+    assert first[61].text == texts[0][1] and first[63].text == texts[2][1] and first[64].text == texts[3][1]
+    assert first[62].removed_pieces > 0 and len(first[62].text) < len(texts[1][1]) - len(shared) // 2
+    assert first[62].text.startswith(own[2][:60]) and first[62].removed_chars == len(texts[1][1]) - len(first[62].text)
+    assert {i: first[i].text for i, t in ODD if i in (1, 2, 3, 4, 10, None)} == {i: t for i, t in ODD if i in (1, 2, 3, 4, 10, None)}
+    assert ODD[6][1].startswith(first[7].text) and first[8].text == ""
     assert line_chunks.drop_repeated_chunks(docs.limit(0)).count() == 0
 
 
@@ -168,6 +170,37 @@ def test_short_chunks_of_two_lines_go(spark, notice):
     assert got == {1: notice, 2: "", 3: "\n\n", 4: "\n\n"}
 
 
+def test_passages_of_one_line_go_and_phrases_stay(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abdegimnoprst") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    rand_text = lambda rng, n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [(k, f"{rand_text(rng, 40)} {{0}} {rand_text(rng, 40)}") for k in range(12)]
+    passage, phrase = rand_text(rng, 60), rand_text(rng, 8)
+    docs = documents(spark, [(k, t.format(passage if k % 2 else phrase)) for k, t in texts] + [(20, "la " * 400), (21, "la " * 700)])
+    got = {r.doc_id: r for r in line_chunks.drop_repeated_chunks(docs).collect()}
+    assert all((got[k].removed_chars > len(passage) // 3) == (k % 2 == 1 and k > 1) for k in range(12))
+    assert all(got[k].removed_chars == 0 for k in range(0, 12, 2))
+    assert 0 < len(got[20].text) < 300 and len(got[21].text) < 300
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_line_chunks_match_sql(spark, monkeypatch, few):
+    """On odd texts, by joins and by broadcasts of repeated hashes."""
+    monkeypatch.setattr(line_chunks, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(line_chunks, "HEAVY", 20)
+    rng = random.Random(8)
+    lines = [rand_text(rng, rng.randrange(1, 14)) + rng.choice([". ", "\n", "! ", " ", "。", ".\n\n"]) for _ in range(40)]
+    texts = [None, "", " ", "\n", "a\x02\x01a b", "one " * 200, "one " * 300] + ["".join(rng.choice(lines) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    out = con.execute(line_chunks.OP5_SQL)
+    names = [d[0] for d in out.description]
+    want = sorted(out.fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in line_chunks.drop_repeated_chunks(documents(spark, rows)).collect()) == want
+
+
 # --- op6
 def brute_components(texts, percent=85):
     low = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
