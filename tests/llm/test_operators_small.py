@@ -307,10 +307,45 @@ def test_mixing(spark):
     assert len(odd) == len(ODD)
 
 
-def test_permutation_is_one(spark):
-    n = 97
-    at = spark.range(n).select(source_mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p"))
-    assert sorted(r.p for r in at.collect()) == list(range(n))
+@pytest.mark.parametrize("n", [1, 2, 3, 97, 1000, 1024, 4099])
+def test_permutation_is_one(spark, n):
+    at = source_mixing.with_permuted(spark.range(n), "p", F.col("id"), F.lit(n), F.lit(3))
+    got = [r.p for r in at.orderBy("id").collect()]
+    assert sorted(got) == list(range(n))
+    if n > 900:  # neighbours part, and another key gives another order
+        assert np.mean(np.abs(np.diff(got)) > n / 20) > 0.8
+        other = [r.p for r in source_mixing.with_permuted(spark.range(n), "p", F.col("id"), F.lit(n), F.lit(4)).orderBy("id").collect()]
+        assert np.mean(np.array(got) == np.array(other)) < 0.02
+
+
+@pytest.mark.parametrize("n", [(1 << 33) + 1, 1 << 40, (1 << 52) - 3])
+def test_permutation_of_many_places(spark, n):
+    at = source_mixing.with_permuted(spark.range(n - 20_000, n), "p", F.col("id"), F.lit(n), F.lit(3)).agg(F.min("p"), F.max("p"), F.countDistinct("p")).first()
+    assert 0 <= at[0] < n / 1000 and n - n / 1000 < at[1] < n and at[2] == 20_000
+
+
+def test_shards_are_dealt_alike(spark):
+    sources = spark.createDataFrame([(1, 50, 3000), (2, 10, 0), (3, 500, 1000)], "rank int, blocks long, quota long")
+    got = source_mixing.draws(spark, sources, shard_slots=400).collect()
+    by = {k: sorted((r.first, r.past) for r in got if r["rank"] == k) for k in (1, 3)}
+    for k, quota in ((1, 3000), (3, 1000)):  # numbered without gaps up to the quota
+        assert [a for a, _ in by[k]] == [0] + [b for _, b in by[k]][:-1] and by[k][-1][1] == quota
+    shards = Counter()
+    for r in got:
+        shards[r.shard] += r.past - r.first
+    assert set(shards.values()) == {400} and len(shards) == 10
+    assert all(60 < r.past - r.first < 140 for r in got if r["rank"] == 3)
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(None, "a b c", "en", "s", 0, "x")] * 50 + [(k % 3, "d e", "en", "t", 0, "x") for k in range(60)]
+    got = source_mixing.mix(spark.createDataFrame(rows, DOCS), block_words=4).collect()
+    assert Counter((r.doc_id, r.size, r.source_size) for r in got) == Counter((i, len(t.split()), 150 if s == "s" else 120) for i, t, _, s, *_ in rows)
+    assert all(r.taken <= 3 * r.size for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r.source_size] += r.taken
+    assert abs(taken[150] - 90) <= 4 and abs(taken[120] - 180) <= 4  # weights 1 and 2 of 270 words
 
 
 # --- op8
