@@ -65,7 +65,22 @@ def drop_stash(df: DataFrame) -> None:
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch between the JVM and Python holds, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+_held: dict[tuple, object] = {}
+
+
+def held(*key, build=None):
+    """What ``build`` makes, kept in this worker for its next tasks; only the last such object is kept.
+
+    Workers serve one operator after another; without a key all is let go.
+    """
+    if not key or key not in _held:
+        _held.clear()
+        if key:
+            _held[key] = build()
+    return _held.get(key)
 
 
 def local_path(uri: str) -> str | None:

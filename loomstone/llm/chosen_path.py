@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import arrow_batches, stash
+from ._shared import arrow_batches, held, stash
 
 #: PERCENT is what op6 is to find; near-duplicates in general are STAGE_PERCENT alike or more.
 WORDS, PERCENT, STAGE_PERCENT = 5, 85, 80
@@ -96,6 +96,7 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, v (128-bit digest of the set; null without one), tokens."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             some = [k for k, s in enumerate(sets) if len(s)]

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import arrow_batches
+from ._shared import arrow_batches, held
 
 LEAST_WORDS, LEAST_COVERAGE = 5, 0.6
 #: Words of one broadcast block of the benchmark.
@@ -159,16 +159,9 @@ def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, list[b
         yield block
 
 
-_indexes: dict[str, BenchmarkIndex] = {}
-
-
 def _index(name: str, shared, least: int) -> BenchmarkIndex:
     """The index of a broadcast block, built once in each worker."""
-    if name not in _indexes:
-        if len(_indexes) > 3:
-            _indexes.clear()
-        _indexes[name] = BenchmarkIndex(shared.value, least)
-    return _indexes[name]
+    return held("benchmark", name, build=lambda: BenchmarkIndex(shared.value, least))
 
 
 def tile_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST_WORDS, coverage: float = LEAST_COVERAGE) -> DataFrame:

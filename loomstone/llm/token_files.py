@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import arrow_batches, local_path, new_folder, opened, replacing, stash
+from ._shared import arrow_batches, held, local_path, new_folder, opened, replacing, stash
 
 #: Words that a worker keeps with their ids.
 KEPT_WORDS = 600_000
@@ -82,13 +82,8 @@ class WordEncoder(dict):
         return found
 
 
-_encoders: dict[tuple[str, str], WordEncoder] = {}
-
-
 def encoder(path: str, dtype: str) -> WordEncoder:
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = WordEncoder(path, dtype)
-    return _encoders[path, dtype]
+    return held("encoder", path, dtype, build=lambda: WordEncoder(path, dtype))
 
 
 class SequenceWriter:
