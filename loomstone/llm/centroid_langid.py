@@ -2,9 +2,15 @@
 
 A text is a TF-IDF vector of hashed 1- to 3-grams of its lower-cased letters (all else is one blank),
 with logarithmic term weights and length 1. Each language has several centroids, found by spherical
-k-means over a bounded sample of labelled documents; inverse document frequencies are counted over
-all of them. The language of the centroid with the largest cosine is the prediction. A text is
-rejected if it has no letter or lies further from every centroid than documents of its length do.
+k-means over a bounded sample of labelled documents, whose vectors (not texts) come to the driver;
+inverse document frequencies are counted over all of them. The language of the centroid with the
+largest cosine is the prediction.
+
+A text is rejected if it has no letter or lies further from every centroid than labelled texts of its
+length do. One sampled document in ``CHECK_EACH`` is kept from the centroids; its text is cut to 1, 2,
+4, … letters, and ``SLACK`` times the cosine that all but ``REJECT_RATE`` of the cuts of every language reach
+is the least one for texts from that length to the next. So fewer than ``REJECT_RATE`` of texts like the
+labelled ones are rejected at any length. Lengths with under ``LEAST_CUTS`` cuts take the next shorter one's.
 
 Edge cases: null, empty and letterless texts get ``und``, score 0, and are rejected. Equal scores go
 to the language first in code point order. Repeated rows are judged row by row. Without any labelled
@@ -24,11 +30,9 @@ from pyspark.sql import functions as F
 from ._shared import arrow_batches
 
 DIMS = 4096
-#: Labelled documents per language that the centroids are fitted on, at most.
-FIT_ROWS = 800
-CLUSTERS = 4
-#: A text is rejected below this share of the cosine that all but 1 in 200 fitted texts of its length reach.
-REJECT_SHARE = 0.45
+#: Labelled documents per language, and of all languages, that the model is fitted on, at most.
+FIT_ROWS, FIT_ALL = 800, 16_000
+CLUSTERS, CHECK_EACH, REJECT_RATE, SLACK, LEAST_CUTS, LENGTHS = 4, 4, 0.005, 0.8, 20, 24
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 64
 _letters: list[np.ndarray] = []
 
@@ -75,7 +79,7 @@ class CentroidModel:
     centroids: np.ndarray  # rows x DIMS, length 1
     owner: np.ndarray  # language of each row
     idf: np.ndarray
-    reach: np.ndarray  # by floor(log2(letters)): the least cosine that isn't rejected
+    reach: np.ndarray  # by bit_length(letters): the least cosine that isn't rejected
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts.astype(np.float32)) * self.idf
@@ -129,42 +133,85 @@ def fit(docs: DataFrame, *, fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS)
     counted = {r.term: r.n for r in labelled.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = counted.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([counted.get(k, 0) for k in range(DIMS)]))).astype(np.float32) + 1
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_ALL // 8).collect()}
+    model = CentroidModel([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), idf, np.zeros(LENGTHS))
     if not n or not sizes:
-        return CentroidModel([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), idf, np.zeros(1))
-    ticks = 1 << 30
+        return model
+    fit_rows = min(fit_rows, FIT_ALL // len(sizes))
+    ticks = 1 << 60
     share = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, int(min(1.0, 1.2 * fit_rows / size) * ticks))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(ticks)).alias("draw")
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(ticks)) < share[F.col("lang")]).select("lang", "text", drawn, "doc_id")
-    texts: dict[str, list] = {lang: [] for lang in sorted(sizes)}
-    for r in sample.orderBy("draw", "doc_id").toLocalIterator():
-        if len(texts[r.lang]) < fit_rows:
-            texts[r.lang].append(r.text)
-    model = CentroidModel([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), idf, np.zeros(1))
-    rows, owner, letters, vectors = [], [], [], []
-    for lang, own in texts.items():
-        parts = [(model.vectors(c)[m > 0], m[m > 0]) for _, c, m in _chunks(own)]
-        v = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, DIMS), np.float32)
-        if len(v):
-            centres = spherical_kmeans(v, clusters)
-            rows.append(centres)
-            owner += [len(model.languages)] * len(centres)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ticks))
+    sample = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), "text").dropDuplicates(["lang", "draw"])
+    fitted: dict[str, list] = {lang: [] for lang in sorted(sizes)}
+    checked: dict[str, list] = {lang: [] for lang in fitted}
+    for r in sample.mapInArrow(_sparse, SPARSE).orderBy("draw", "lang", "letters").toLocalIterator():
+        kept, most = (checked, fit_rows * LENGTHS) if r.draw % CHECK_EACH == 0 else (fitted, fit_rows)
+        if len(kept[r.lang]) < most:
+            kept[r.lang].append((r.letters, r.at, r.n))
+    rows, owner = [], []
+    for lang, own in fitted.items():
+        if own:
+            rows.append(spherical_kmeans(model.vectors(_dense(own)), clusters))
+            owner += [len(model.languages)] * len(rows[-1])
             model.languages.append(lang)
-            vectors.append((v @ centres.T).max(axis=1))
-            letters.append(np.concatenate([p[1] for p in parts]))
-    if model.languages:
+    if rows:
         model.centroids, model.owner = np.concatenate(rows).astype(np.float32), np.array(owner)
-        lengths = np.array([int(n).bit_length() for n in np.concatenate(letters)])
-        cosines, low = np.concatenate(vectors), 0.0
-        reach = np.zeros(24)
-        for k in range(24):  # what shorter texts reach, longer ones do
-            if (own := cosines[lengths == k]).size >= 20:
-                low = max(low, REJECT_SHARE * float(np.quantile(own, 0.005)))
-            reach[k] = low
-        model.reach = reach
+        model.reach = _reach(model, [own for own in checked.values() if own])
     return model
 
 
+SPARSE = "lang string, draw long, letters long, at binary, n binary"
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (lang, draw, text): the vector of each text, or of its cuts where it is kept for checks."""
+    for batch in batches:
+        out = []
+        for lang, draw, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, counts, letters in _chunks(_cuts(text) if draw % CHECK_EACH == 0 else [text]):
+                for row, n in zip(counts, letters.tolist(), strict=True):
+                    at = np.flatnonzero(row)
+                    if n:
+                        out.append({"lang": lang, "draw": draw, "letters": n, "at": at.astype(np.uint16).tobytes(), "n": row[at].astype(np.uint32).tobytes()})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("draw", pa.int64()), ("letters", pa.int64()), ("at", pa.binary()), ("n", pa.binary())]))
+
+
+def _cuts(text: str) -> list[str]:
+    """From the middle of a text, as much as holds 1, 2, 4, … letters."""
+    before = np.cumsum([c.isalpha() for c in text])
+    total = int(before[-1]) if len(before) else 0
+    out = []
+    for k in range(total.bit_length()):
+        skipped = (total - (1 << k)) // 2
+        lo, hi = np.searchsorted(before, (skipped + 1, skipped + (1 << k)))
+        out.append(text[lo : hi + 1])
+    return out
+
+
+def _dense(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS), np.int64)
+    for k, (_, at, n) in enumerate(rows):
+        out[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
+    return out
+
+
+def _reach(model: CentroidModel, checked: list[list[tuple[int, bytes, bytes]]]) -> np.ndarray:
+    """For each length, SLACK times the least of what all but REJECT_RATE of a language's cuts reach."""
+    least = np.full(LENGTHS, np.inf)
+    for own in checked:
+        for lo in range(0, len(own), 256):
+            part = own[lo : lo + 256]
+            own[lo : lo + 256] = [(n, float(c), None) for (n, *_), c in zip(part, (model.vectors(_dense(part)) @ model.centroids.T).max(axis=1), strict=True)]
+        lengths, cosines = np.array([int(n).bit_length() for n, *_ in own]), np.array([c for _, c, _ in own])
+        for k in range(LENGTHS):
+            if (lengths == k).sum() >= LEAST_CUTS:
+                least[k] = min(least[k], SLACK * np.quantile(cosines[lengths == k], REJECT_RATE, method="lower"))
+    for k in range(LENGTHS):
+        if not np.isfinite(least[k]):
+            least[k] = least[k - 1] if k else 0.0
+    return least
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 

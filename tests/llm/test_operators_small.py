@@ -368,6 +368,35 @@ def test_language_id(spark):
     assert {r.lang_pred for r in centroid_langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_model_matches_brute_force(spark):
+    """Cosines of dictionaries of weights, not of hashed matrices; foreign texts are rejected at any length."""
+    rng = random.Random(7)
+    letters = {"en": "etaoinshrdlu", "it": "aeiolnrtscdu", "pl": "aioeznrwstcy"}
+    word = lambda own: "".join(rng.choice(own) for _ in range(rng.randrange(2, 9)))
+    rows = [(k, " ".join(word(letters[lang]) for _ in range(rng.randrange(1, 200))), lang) for k, lang in enumerate(("en", "it", "pl") * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = centroid_langid.fit(docs)
+    texts = [t for _, t, _ in rows[:60]] + ["", None, "123"]
+    found, scores, rejected = model.predict(texts)
+    for text, lang, score in zip(texts, found, scores, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        counts = centroid_langid._counts([text])[0][0]
+        own = {int(d): float(np.log1p(np.float32(counts[d])) * model.idf[d]) for d in np.flatnonzero(counts)}
+        size = sum(v * v for v in own.values()) ** 0.5
+        best = {}
+        for c, k in zip(model.centroids, model.owner, strict=True):
+            best[model.languages[k]] = max(best.get(model.languages[k], -1.0), sum(v * float(c[d]) for d, v in own.items()) / size)
+        top = max(best.values())
+        assert abs(top - score) < 1e-4 and abs(best[lang] - top) < 1e-4
+    assert rejected[:60].mean() < 0.05 and rejected[60:].all()
+    foreign = [lambda n: "".join(chr(rng.randrange(0x3041, 0x3090)) for _ in range(n)), lambda n: "".join(rng.choice("бвгджзклмнпр") for _ in range(n)), lambda n: "".join(rng.choice("bfgjkmpqvx") for _ in range(n))]
+    for make in foreign:
+        for n in (20, 100, 1000):
+            assert model.predict([make(n) for _ in range(20)])[2].mean() >= 0.95
+
+
 # --- op9
 def test_fingerprints(spark):
     rng = random.Random(8)
