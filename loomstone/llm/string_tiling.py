@@ -1,30 +1,33 @@
 """Benchmark decontamination by greedy string tiling.
 
 A document that shares a run of ``least`` words with a benchmark item is compared with that item: the
-longest common runs that don't overlap are marked as tiles, longest first, found by running
-Karp-Rabin matching, until none of ``least`` words is left. The share of an item's words under tiles
-is its coverage, which stays high where a passage's parts come in another order.
+longest common runs that don't overlap are marked as tiles, longest first (the one first in the item,
+then in the text, where some are equally long), found by running Karp-Rabin matching, until none of
+``least`` words is left. The share of an item's words under tiles is its coverage, which stays high
+where a passage's parts come in another order. An item of fewer than ``least`` words is a tile as a whole
+or not at all.
 
 The benchmark comes in blocks of at most ``BLOCK_WORDS`` words, and only one block is broadcast at a
-time; a larger benchmark takes more passes over the documents, with the same result. Words are what
-stands between white space and ASCII punctuation, lower-cased.
+time: a larger benchmark takes more passes over the documents, each written before the next begins,
+with the same result. Words are what stands between white space and ASCII punctuation, lower-cased.
 
-Edge cases: null and empty texts match nothing; items of fewer than ``least`` words (null and empty
-ones too) can't be matched. Rows of a table that repeat are judged row by row. Empty tables give no
-matches. Further columns are kept by ``drop_contaminated`` and not read by ``tile_matches``.
+Edge cases: null and empty texts match nothing; items without words (null and empty ones too) can't be
+matched. Rows of a table that repeat are judged row by row. Empty tables give no matches. Further
+columns are kept by ``drop_contaminated`` and not read by ``tile_matches``.
 """
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import arrow_batches, held
+from ._shared import arrow_batches, held, stash
 
 LEAST_WORDS, LEAST_COVERAGE = 5, 0.6
 #: Words of one broadcast block of the benchmark.
@@ -39,41 +42,47 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(item_at, text_at, words) of the tiles. Negative entries match nothing."""
+    """(item_at, text_at, words) of the tiles. Negative entries match nothing.
+
+    Whatever runs of free words are left at any time lie within the common runs found at first. So these
+    wait in order of length; one that earlier tiles have cut comes back as its free parts.
+    """
     free_i, free_t = [x >= 0 for x in item], [x >= 0 for x in text]
-    tiles, size = [], max(least, min(len(item), len(text), 4 * least))
-    while True:
-        found = _scan(item, text, free_i, free_t, size)
-        longest = max((f[0] for f in found), default=0)
-        if longest > 2 * size:  # look for such long ones first
-            size = longest
-            continue
-        for n, i, t in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-            if all(free_i[i : i + n]) and all(free_t[t : t + n]):
-                free_i[i : i + n] = free_t[t : t + n] = [False] * n
-                tiles.append((i, t, n))
-        if _scan(item, text, free_i, free_t, size):  # what earlier tiles have cut to a shorter run
+    tiles, waiting = [], [(-n, i, t) for n, i, t in _common_runs(item, text, free_i, free_t, least)]
+    heapq.heapify(waiting)
+    while waiting:
+        size, i, t = heapq.heappop(waiting)
+        free = [a and b for a, b in zip(free_i[i : i - size], free_t[t : t - size], strict=True)]
+        if all(free):
+            free_i[i : i - size] = free_t[t : t - size] = [False] * -size
+            tiles.append((i, t, -size))
             continue
-        if size <= least:
-            return tiles
-        size = max(least, size // 2)
-
-
-def _scan(item, text, free_i, free_t, size) -> list[tuple[int, int, int]]:
-    """Maximal common runs of free words, of ``size`` or more: (words, item_at, text_at)."""
-    table: dict[int, list[int]] = {}
-    for at, key in _rolling(text, free_t, size):
-        table.setdefault(key, []).append(at)
+        at = 0
+        for whole, part in groupby(free):
+            n = sum(1 for _ in part)
+            if whole and n >= least:
+                heapq.heappush(waiting, (-n, i + at, t + at))
+            at += n
+    return tiles
+
+
+def _common_runs(item, text, free_i, free_t, least) -> list[tuple[int, int, int]]:
+    """Maximal common runs of free words, of ``least`` or more: (words, item_at, text_at)."""
+    table: dict[int, dict[int, list[int]]] = {}  # by hash, then by the word before
+    for at, key in _rolling(text, free_t, least):
+        table.setdefault(key, {}).setdefault(text[at - 1] if at else -1, []).append(at)
     found = []
-    for i, key in _rolling(item, free_i, size):
-        for t in table.get(key, ()):
-            if i and t and free_i[i - 1] and free_t[t - 1] and item[i - 1] == text[t - 1]:
-                continue  # part of a run that starts earlier
-            n = 0
-            while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
-                n += 1
-            if n >= size:
-                found.append((n, i, t))
+    for i, key in _rolling(item, free_i, least):
+        before = item[i - 1] if i else -2
+        for word, places in table.get(key, {}).items():
+            if word == before and word >= 0:
+                continue  # parts of runs that start earlier
+            for t in places:
+                n = 0
+                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
+                    n += 1
+                if n >= least:
+                    found.append((n, i, t))
     return found
 
 
@@ -112,11 +121,14 @@ class BenchmarkIndex:
     def __init__(self, items: list[tuple[int, list[bytes]]], least: int):
         self.least, self.number = least, {}
         self.items = [(i, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)) for i, words in items]
-        keys = [_grams(words, least) for _, words in self.items]
-        flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.owner = flat[order], owner[order]
+        self.sizes = sorted({min(least, len(words)) for _, words in self.items})
+        self.tables = {}  # items of fewer than ``least`` words are found by runs of all their words
+        for n in self.sizes:
+            places = [k for k, (_, words) in enumerate(self.items) if min(least, len(words)) == n]
+            keys = [_grams(self.items[k][1], n) for k in places]
+            flat, owner = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.repeat(places, [len(k) for k in keys])
+            order = np.argsort(flat, kind="stable")
+            self.tables[n] = flat[order], owner[order]
 
     def tiles(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, list]]:
         """(text's place, item's place, words of the item, tiles) of each pair that shares a run."""
@@ -127,28 +139,29 @@ class BenchmarkIndex:
         get = self.number.get
         for s, w in zip(starts.tolist(), words, strict=True):
             ids[s : s + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-        keys = _grams(ids, self.least)
-        at = np.flatnonzero(keys)
-        lo, hi = (np.searchsorted(self.keys, keys[at], side) for side in ("left", "right"))
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        pairs: dict[tuple[int, int], list[int]] = {}
-        for a, d, x, y in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for item in set(self.owner[x:y].tolist()):
-                pairs.setdefault((d, item), []).append(a)
-        for (d, item), seeds in pairs.items():
-            pattern = self.items[item][1]
-            covered = np.unique(np.add.outer(seeds, np.arange(self.least)))  # nothing else can be under a tile
-            gaps = np.flatnonzero(np.diff(covered) > 1) + 1
-            text = np.insert(ids[covered], gaps, -1).tolist()
-            place = np.insert(covered - starts[d], gaps, -1).tolist()
-            yield d, item, len(pattern), [(i, place[t], n) for i, t, n in greedy_tiles(pattern.tolist(), text, self.least)]
-
-
-def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+        for n, (known, owner) in self.tables.items():
+            keys = _grams(ids, n)
+            at = np.flatnonzero(keys)
+            lo, hi = (np.searchsorted(known, keys[at], side) for side in ("left", "right"))
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            pairs: dict[tuple[int, int], list[int]] = {}
+            for a, d, x, y in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for item in set(owner[x:y].tolist()):
+                    pairs.setdefault((d, item), []).append(a)
+            for (d, item), seeds in pairs.items():
+                pattern = self.items[item][1]
+                covered = np.unique(np.add.outer(seeds, np.arange(n)))  # nothing else can be under a tile
+                gaps = np.flatnonzero(np.diff(covered) > 1) + 1
+                text = np.insert(ids[covered], gaps, -1).tolist()
+                place = np.insert(covered - starts[d], gaps, -1).tolist()
+                yield d, item, len(pattern), [(i, place[t], k) for i, t, k in greedy_tiles(pattern.tolist(), text, n)]
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
     block, held = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = words_of(row.text)
-        if len(words) < least:
+        if not words:
             continue
         if block and held + len(words) > BLOCK_WORDS:
             yield block
@@ -168,10 +181,14 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST_WO
     """A row per document and item whose coverage reaches ``coverage``, with its tiles."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    out = spark.createDataFrame([], MATCHES)
+    out = last = None
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("tiles", pa.int32()), ("covered_words", pa.int32()), ("item_words", pa.int32()), ("coverage", pa.float64()), ("spans", pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("words", pa.int32())])))])
-    for block in _blocks(benchmark, least):
-        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    for block in _blocks(benchmark):
+        if last is not None:  # the pass before is written, and its block let go
+            out = stash(out, "matches")
+            last.destroy()
+        last = shared = spark.sparkContext.broadcast(block)
+        name = uuid.uuid4().hex
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             index = _index(name, shared, least)
@@ -184,17 +201,22 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST_WO
                         rows.append({"doc_id": ids[d], "item_id": index.items[item][0], "tiles": len(tiles), "covered_words": covered, "item_words": size, "coverage": covered / size, "spans": spans})
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(match, MATCHES))
-    return out
+        found = docs.select("doc_id", "text").mapInArrow(match, MATCHES)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], MATCHES) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST_WORDS, coverage: float = LEAST_COVERAGE) -> DataFrame:
     """The documents no item of which is covered to ``coverage``; no row is moved between tasks."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark, least):
-        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    at, last = docs.columns.index("text"), None
+    for block in _blocks(benchmark):
+        if last is not None:
+            docs = stash(docs, "clean")
+            last.destroy()
+        last = shared = spark.sparkContext.broadcast(block)
+        name = uuid.uuid4().hex
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             index = _index(name, shared, least)

@@ -100,38 +100,41 @@ def test_trees_learn_and_score(spark):
 
 
 # --- op4
-def brute_coverage(item, text, least):
-    """Greedy tiling by trying all runs, longest first."""
-    mi, mt, covered = [False] * len(item), [False] * len(text), 0
+def brute_tiles(item, text, least):
+    """The longest common run of free words again and again; the first in the item, then in the text, of equal ones."""
+    free_i, free_t, out = [x >= 0 for x in item], [x >= 0 for x in text], []
     while True:
-        best = None
+        best = (0, 0, 0)
         for i in range(len(item)):
             for t in range(len(text)):
                 n = 0
-                while i + n < len(item) and t + n < len(text) and not mi[i + n] and not mt[t + n] and item[i + n] == text[t + n]:
+                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
                     n += 1
-                if n >= least and (best is None or n > best[0]):
-                    best = (n, i, t)
-        if best is None:
-            return covered
-        n, i, t = best
-        mi[i : i + n] = mt[t : t + n] = [True] * n
-        covered += n
+                if n > best[2]:
+                    best = (i, t, n)
+        if best[2] < least:
+            return out
+        i, t, n = best
+        free_i[i : i + n] = free_t[t : t + n] = [False] * n
+        out.append(best)
 
 
 def test_tiles_match_brute_force_and_reordering(spark):
     rng = random.Random(5)
-    for _ in range(40):
-        item, text = ([rng.randrange(4) for _ in range(rng.randrange(5, 25))] for _ in range(2))
-        tiles = string_tiling.greedy_tiles(item, text, 3)
-        assert all(item[i : i + n] == text[t : t + n] for i, t, n in tiles)
-        assert abs(sum(n for *_, n in tiles) - brute_coverage(item, text, 3)) <= 3  # ties may be broken otherwise
+    for k in range(200):
+        item, text = ([rng.randrange(2 + k % 4) for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        if k % 5 == 0:
+            text[len(text) // 2] = -1
+        assert string_tiling.greedy_tiles(item, text, 3) == brute_tiles(item, text, 3)
+    assert string_tiling.greedy_tiles([1] * 50, [1] * 20_000, 5) == [(0, 0, 50)]
     passage = rand_text(rng, 30).split()
     moved = " ".join(passage[15:] + ["filler"] * 9 + passage[:15])
     docs = documents(spark, [*ODD, (50, "A " + " ".join(passage).upper() + "!"), (51, moved), (52, " ".join(passage[:9]))])
     bench = spark.createDataFrame([(9, " ".join(passage)), (10, None), (11, "a b")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in string_tiling.tile_matches(docs, bench).collect()}
     assert set(got) == {(50, 9), (51, 9)} and got[51, 9].tiles == 2
+    short = spark.createDataFrame([(12, "Same text, here"), (13, "words in it"), (14, "text same")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in string_tiling.tile_matches(docs, short).collect()) == [(0, 13), (7, 12), (8, 12)]
     kept = string_tiling.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted([i or 0 for i, _ in ODD] + [52])
     assert string_tiling.tile_matches(docs, bench.limit(0)).count() == 0
