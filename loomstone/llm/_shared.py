@@ -18,20 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole URI of a path, by the file system that Spark would take for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(at).toString()
+
+
+_roots: dict[str, str] = {}
+
+
 def work_root(spark: SparkSession) -> str:
-    """This session's folder in the shared store.
+    """This session's folder in the shared store; it is removed when Python ends.
 
     The cluster names the store in ``spark.checkpoint.dir``. Where that is unset, as in tests, the
     warehouse (shared as well) holds it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomstone_work"
-        spark.sparkContext.setCheckpointDir(base)
-        local = local_path(base)
-        if local:
-            atexit.register(shutil.rmtree, os.path.join(local, f"loomstone-{_RUN}"), ignore_errors=True)
-    return f"{base.rstrip('/')}/loomstone-{_RUN}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomstone_work"
+    if base not in _roots:
+        _roots[base] = f"{qualified(spark, base).rstrip('/')}/loomstone-{_RUN}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_roots[base])
+        atexit.register(_clean, _roots[base], path, spark.sparkContext._jsc.hadoopConfiguration())
+    return _roots[base]
+
+
+def _clean(uri: str, path, conf) -> None:
+    local = local_path(uri)
+    if local:
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    try:
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 the session's JVM has ended before, and with it the way to the store
+        return
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import arrow_batches, held, local_path, new_folder, opened, replacing, stash
+from ._shared import arrow_batches, held, local_path, new_folder, opened, qualified, replacing, stash
 
 #: Words that a worker keeps with their ids.
 KEPT_WORDS = 600_000
@@ -34,17 +34,22 @@ KEPT_WORDS = 600_000
 _LETTERS_THEN_MARKS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([!-&(-/:-@\\[-`{-~]*)")
 _PLAIN_VOCABULARY = r"[\p{L}]+"
 WRITTEN = "part int, file string, docs long, tokens long, sequences long"
+#: Texts by which a tokenizer shows whether it drops white space.
+PROBES = ("A b", " a", "a ", "a  b\n\nc\td", "It's 12 3.4, (x) !? Ünï \u0130 \u65e5\u672c \u8a9e\u3002 e\u0301 ...", "\n", "don 't  ##a \u00b5\u00aa")
+#: Bytes of text that one file takes, about.
+FILE_BYTES = 1 << 30
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class WordEncoder(dict):
     """Encodes whole texts through the ids of their words; maps a word's UTF-8 to its ids' bytes.
 
-    This vocabulary's pre-tokenizer drops white space and never joins what stands on either side of
+    The word vocabulary's pre-tokenizer drops white space and never joins what stands on either side of
     it, and its normalizer works within such pieces. So the ids of a text are those of its pieces
     between ASCII white space. A piece of letters below U+0300, with or without punctuation after
     it, is in normal form but for its case and parts there, so its letters go to the library's merges
-    alone. All other pieces go through the whole tokenizer.
+    alone. All other pieces go through the whole tokenizer. A tokenizer that doesn't give the same ids for
+    PROBES and for their pieces keeps white space; with it, texts are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -55,9 +60,15 @@ class WordEncoder(dict):
         self.tokenizer, self.dtype, self.late = Tokenizer.from_file(path), dtype, {}
         self.model, self.byte_level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain = self.tokenizer.normalizer is not None and _PLAIN_VOCABULARY in repr(self.tokenizer.pre_tokenizer)
+        self.by_words = all(b"".join(map(self.__getitem__, t.encode().split())) == self._whole(t) for t in PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of a UTF-8 text as little-endian integers."""
+        if not self.by_words:
+            return self._whole(text.decode()) if text else b""
         return b"".join(map(self.__getitem__, text.split())) if text else b""
 
     def __missing__(self, word: bytes) -> bytes:
@@ -66,8 +77,7 @@ class WordEncoder(dict):
             text = word.decode()
             parts = _LETTERS_THEN_MARKS.fullmatch(text) if self.plain else None
             if parts is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                found = np.array(ids, self.dtype).tobytes()
+                found = self._whole(text)
             elif (letters := parts[1].lower()) != text:
                 found = self[letters.encode()] + (self[parts[2].encode()] if parts[2] else b"")
             else:
@@ -120,11 +130,13 @@ class SequenceWriter:
 
 
 class SequenceFile:
-    """Random access to a mapped file: sequence k and its mask as views of the file's pages."""
+    """Random access to a file: sequence k and its mask as views of the mapped file's pages (or, of a file in a
+    store that can't be mapped, of its batches in memory)."""
 
     def __init__(self, uri: str):
-        self.map = pa.memory_map(local_path(uri))
-        self.batches = list(pa.ipc.open_stream(self.map))
+        path = local_path(uri)
+        self.source = opened(uri) if path is None else pa.memory_map(path)
+        self.batches = list(pa.ipc.open_stream(self.source))
         self.first = np.cumsum([0] + [b.num_rows for b in self.batches])
 
     def __len__(self) -> int:
@@ -148,7 +160,9 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
     """Encode doc_id, text and write the files; part, file, docs, tokens and sequences of each."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = qualified(spark, folder)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     end = np.array([end_id], dtype).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +187,8 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
             index.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [uri], "docs": [n_docs], "tokens": [start], "sequences": [out.sequences]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text")]  # rows that share an id are dealt out by their texts
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return stash(ordered.mapInArrow(write, WRITTEN), "token-files")
 
 

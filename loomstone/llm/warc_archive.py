@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import arrow_batches, new_folder, opened, replacing, stash
+from ._shared import arrow_batches, new_folder, opened, qualified, replacing, stash
 
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -36,7 +36,7 @@ DICT_SAMPLE_ROWS, DICT_BYTES = 400, 64 << 10
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "file string, records long"
-READ = "file string, record_offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+READ = "file string, record_offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 class WarcError(ValueError):
@@ -101,20 +101,24 @@ def parse_record(data: bytes) -> dict:
     if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {headers['content-length']}, the frame has {len(rest) - 4} bytes of block")
     block = rest[:-4]
-    if headers.get("warc-block-digest", "") != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    if "warc-block-digest" in headers and headers["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
         raise WarcError("the block differs from WARC-Block-Digest")
+    kind, url = headers["warc-type"], headers.get("warc-target-uri")
+    if kind not in ("response", "revisit") or not headers.get("content-type", "application/http").startswith("application/http"):
+        # other records (warcinfo, request, metadata, resource, …): the block is the payload
+        return {"page_id": None, "url": url, "record_type": kind, "refers_to": None, "payload_bytes": len(block), "payload_digest": hashlib.sha256(block).hexdigest(), "payload": block}
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
     digest = headers.get("warc-payload-digest", "").removeprefix("sha256:")
-    kind = headers["warc-type"]
-    if size is None or kind not in ("response", "revisit"):
-        raise WarcError(f"a {kind} record without an HTTP length")
+    if size is None:
+        size = len(payload)
+    if kind == "response" and not digest:
+        digest = hashlib.sha256(payload).hexdigest()
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise WarcError("the payload differs from its length or WARC-Payload-Digest")
     if kind == "revisit" and (payload or "warc-refers-to" not in headers):
         raise WarcError("a revisit with a payload or without WARC-Refers-To")
     number = lambda k: int(headers[k]) if k in headers else None
-    url = headers.get("warc-target-uri")
     return {
         "page_id": number("x-page-id"), "url": None if url is None or url.startswith("urn:page:") else url, "record_type": kind,
         "refers_to": number("x-refers-to-page"), "payload_bytes": size, "payload_digest": digest, "payload": payload,
@@ -150,15 +154,19 @@ def plan_records(pages: DataFrame, *, min_revisit_bytes: int = 100) -> DataFrame
     Groups are found by a partially aggregated pass over digests; only digests that occur twice
     come to the join, in which adaptive execution splits a hot digest.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.when(F.octet_length("payload") >= min_revisit_bytes, F.sha2("payload", 256)))
-    first = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    large, small = (rows.where(c) for c in (F.octet_length("payload") >= min_revisit_bytes, F.octet_length("payload") < min_revisit_bytes))
+    large = large.withColumn("digest", F.sha2("payload", 256))
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(later, F.col("first_id")).alias("refers_to"), later.alias("is_revisit"))
+    met = large.join(first, "digest", "left").select("page_id", "url", "payload", F.when(later, F.col("first_id")).alias("refers_to"), later.alias("is_revisit"))
+    return met.union(small.select("page_id", "url", "payload", F.lit(None).cast("long"), F.lit(False)))
 
 
 def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", level: int = 3, min_revisit_bytes: int = 100) -> DataFrame:
     """Write an archive per task to ``folder``; file and records of each archive."""
     arrow_batches(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder)
     # drawn by a hash first, so that few rows reach the driver from however many partitions
     ticks, draw = 1 << 40, F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 40))
     share = min(1.0, 2 * DICT_SAMPLE_ROWS / max(1, pages.count()))
@@ -185,22 +193,27 @@ def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:
     return stash(plan_records(pages, min_revisit_bytes=min_revisit_bytes).mapInArrow(write, WRITTEN), "warc-files")
 
 
-def read_archives(files: DataFrame) -> DataFrame:
-    """A row per record of the archives named in ``file``. Raises WarcError on a broken archive."""
+def read_archives(files: DataFrame, *, payloads: bool = True) -> DataFrame:
+    """A row per record of the archives named in ``file``; ``payloads`` false leaves the payload out (null).
+
+    Records other than responses and revisits have their block as payload. Raises WarcError on a broken archive.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = READ.replace(" string", "").replace(" long", "").split(", ")
-        kinds = pa.schema([(n, pa.string() if f"{n} string" in READ else pa.int64()) for n in names])
+        arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        kinds = pa.schema([(n, arrow[kind]) for n, kind in (c.split(" ") for c in READ.split(", "))])
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                rows = []
+                rows, held = [], 0
                 with opened(uri) as source:
                     for at, data in read_frames(source):
                         rows.append({"file": uri, "record_offset": at} | parse_record(data))
-                        rows[-1].pop("payload")
-                        if len(rows) == 1000:
+                        if not payloads:
+                            rows[-1]["payload"] = None
+                        held += len(rows[-1]["payload"] or b"")
+                        if len(rows) == 1000 or held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, kinds)
-                            rows = []
+                            rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
     spread = files.select("file").repartition(max(1, files.count()))
@@ -210,7 +223,7 @@ def read_archives(files: DataFrame) -> DataFrame:
 def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     files = write_archives(pages, new_folder(spark, "warc"))
-    return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """

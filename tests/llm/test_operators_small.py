@@ -44,6 +44,7 @@ def test_warc_round_trip(spark):
     want = [(0, "revisit", 1), (1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None)]
     assert [g[:3] for g in got] == want
     assert {g[4] for g in got} == {sha(long), sha("short"), sha(None)}
+    assert Counter(bytes(r.payload) for r in warc_archive.read_archives(files).collect() if r.record_type == "response") == Counter([long.encode()] * 2 + [b"short"] * 2 + [b""])
     assert warc_archive.read_archives(warc_archive.write_archives(pages.limit(0), new_folder(spark, "warc"))).count() == 0
 
 
@@ -55,6 +56,15 @@ def test_warc_reader_rejects_broken_frames():
             warc_archive.parse_record(bad)
 
 
+def test_other_records_pass_through():
+    block = b"software: x\r\n"
+    record = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % len(block)
+    got = warc_archive.parse_record(record + block + b"\r\n\r\n")
+    assert (got["record_type"], got["payload"], got["payload_bytes"]) == ("warcinfo", block, len(block))
+    with pytest.raises(warc_archive.WarcError):
+        warc_archive.parse_record(record + block + b"more\r\n\r\n")
+
+
 # --- op2
 def test_tokens_equal_the_library_on_whole_texts(spark):
     from tokenizers import Tokenizer
@@ -75,6 +85,19 @@ def test_tokens_equal_the_library_on_whole_texts(spark):
     assert first.mask(0).true_count == 64 or len(first) == 1
 
 
+def test_tokenizers_that_keep_white_space_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    made = Tokenizer(models.BPE({c: k for k, c in enumerate(alphabet)}, []))
+    made.pre_tokenizer, made.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+    made.save(str(tmp_path / "kept.json"))
+    kept = token_files.WordEncoder(str(tmp_path / "kept.json"), "uint16")
+    assert not kept.by_words and token_files.WordEncoder(token_files.default_tokenizer(), "uint16").by_words
+    text = "two  words\nof é text "
+    assert np.frombuffer(kept.encode(text.encode()), "uint16").tolist() == made.encode(text).ids
+
+
 # --- op3
 def test_trees_learn_and_score(spark):
     rng = np.random.default_rng(1)
