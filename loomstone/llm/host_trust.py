@@ -8,9 +8,10 @@ host's score has changed by more than a share of ``TOLERANCE`` since the last sc
 further host has been reached; so the L1 change of all scores is under ``TOLERANCE`` too, and hosts far
 from all seeds have scores as exact as near ones.
 
-Edges are counts of links between hosts, from href attributes with a host of their own, and one edge
-each way between a host and the domain above it (of two labels or more), which share an owner; links without a host stay on
-theirs. Each host keeps one unit of weight for itself, so there are no dead ends. All of it is
+Edges are counts of links between hosts, from href attributes with a host of their own; links without
+a host stay on theirs. A host and the domain above it (of two labels or more) share an owner: an edge of
+weight ``OWNER_WEIGHT`` each way, less than a link, joins them, so that hosts without links of their own
+take after their domain. Each host keeps one unit of weight for itself, so there are no dead ends. All of it is
 DataFrame operations; hosts, not pages, take part in the rounds, and each few rounds are written to the
 shared store.
 
@@ -32,7 +33,7 @@ from ._shared import drop_stash, stash
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, TOLERANCE, WRITE_EACH, MARGIN = 0.85, 1e-10, 4, 1e-9
+DAMPING, TOLERANCE, WRITE_EACH, MARGIN, OWNER_WEIGHT = 0.85, 1e-10, 4, 1e-9, 0.1
 #: Rounds after which the L1 change is under TOLERANCE on any graph; most need fewer, long chains more.
 ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
 HREF = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -67,7 +68,7 @@ def match_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return parts.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(pages: DataFrame, *, owner_weight: float = OWNER_WEIGHT) -> DataFrame:
     """src, dst, weight between different hosts."""
     own = F.coalesce(host_of(F.col("url")), F.lit(""))
     links = pages.select(own.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
@@ -77,7 +78,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     hosts = pages.select(own.alias("host")).where("host <> ''").distinct().union(links.select(F.col("dst").alias("host"))).distinct()
     chain = hosts.select(labels.alias("l")).select("l", F.explode(F.sequence(F.lit(1), F.size("l"))).alias("k")).where("k < size(l) - 1")
     above = chain.select(F.array_join(F.slice("l", F.col("k"), F.size("l")), ".").alias("src"), F.array_join(F.slice("l", F.col("k") + 1, F.size("l")), ".").alias("dst")).distinct()
-    both = above.union(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
+    both = above.union(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(owner_weight))
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
