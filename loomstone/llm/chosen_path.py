@@ -442,3 +442,16 @@ def drop_near_duplicates(docs: DataFrame, *, percent: int = STAGE_PERCENT, words
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=PERCENT)
+
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * pairs.n >= {PERCENT} * (x.n + y.n - pairs.n)),
+ ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ reached(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT ways.b, root FROM reached JOIN ways ON ways.a = reached.doc_id),
+ least AS (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY 1)
+SELECT least.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, least.doc_id = component_id AS kept FROM least LEFT JOIN n ON n.doc_id = least.doc_id
+"""

@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_roundtrip": warc_archive.OP1_SQL,
     "op5_line_chunks": line_chunks.OP5_SQL,
+    "op6_chosen_path": chosen_path.OP6_SQL,
 }
