@@ -52,8 +52,38 @@ VERSION_PATTERNS = (
     r"creative commons attribution-no derivatives\s+(\d\.\d)", r"creative commons attribution-noderivs\s+(\d\.\d)",
     r"creative commons attribution-sharealike\s+(\d\.\d)", r"creative commons attribution\s+(\d\.\d)",
 )
-#: Evidence levels (fixed values).
-LEVELS = {1: "Guidelines", 2: "Regulatory", 3: "Systematic reviews", 4: "Randomised trials", 5: "Observational studies", 6: "Trial registry", 7: "Other"}
+# Evidence levels, and those that a model may choose.
+LEVELS = {
+    1: "Guidelines",
+    2: "Regulatory documents",
+    3: "Systematic reviews and meta-analyses",
+    4: "Randomized clinical trials",
+    5: "Observational and registry studies",
+    6: "Trial registry entries",
+    7: "Narrative reviews, commentaries, case reports",
+}
+MODEL_LEVELS = (3, 4, 5, 7)
+# Marks of pages without clinical content.
+JUNK_MARKS = (
+    "references",
+    "acknowledgements",
+    "acknowledgments",
+    "disclosures",
+    "disclosure",
+    "funding",
+    "author contributions",
+    "conflicts of interest",
+    "manuscript editing support",
+)
+# Patterns of sentences of low value.
+LOW_VALUE = (
+    r"ask a health professional before use",
+    r"children younger than",
+    r"does not list any boxed warning",
+    r"does not list any contraindications",
+    r"does not list any adverse reactions",
+    r"does not list any drug interactions",
+)
 
 
 def first_match(c: Column, rules, otherwise) -> Column:
@@ -122,10 +152,10 @@ def level_struct(level: Column) -> Column:
     return F.when(level.isNotNull(), F.struct(level.alias("level"), F.try_element_at(names, level).alias("label")))
 
 
-def is_reference_page(content: Column, marks: tuple[str, ...], least_numbered: int = 8) -> Column:
+def is_reference_page(content: Column, marks: tuple[str, ...] = JUNK_MARKS, least_numbered: int = 8) -> Column:
     """Whether a page has any of the marks, or many numbered reference lines."""
     return contains_any(F.lower(content), marks) | (F.size(F.regexp_extract_all(content, F.lit(r"(?m)^\s*\d+\.\s"), F.lit(0))) >= least_numbered)
 
 
-def is_low_value(sentence: Column, patterns: tuple[str, ...]) -> Column:
+def is_low_value(sentence: Column, patterns: tuple[str, ...] = LOW_VALUE) -> Column:
     return sentence.rlike("(?i)(" + "|".join(patterns) + ")")

@@ -21,9 +21,13 @@ def dedupe_by_key(df: DataFrame, key: Column, order: str, within: list[str] | No
 
 
 def duplicate_report(df: DataFrame, key: Column, id_col: str) -> DataFrame:
-    """canonical_id, members, duplicates (ids after the first, in order) of groups of two or more."""
-    groups = df.groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list(id_col)).alias("_ids"))
-    return groups.where(F.size("_ids") > 1).select(F.element_at("_ids", 1).alias("canonical_id"), F.size("_ids").alias("members"), F.expr("slice(_ids, 2, size(_ids) - 1)").alias("duplicates"))
+    """canonical_id, duplicate_id, members: a row for each id after the first of its group.
+
+    Groups are counted with partial aggregation and met by a join, so no row or task holds a group.
+    """
+    keyed = df.select(F.col(id_col).alias("duplicate_id"), key.alias("_key"))
+    groups = keyed.groupBy("_key").agg(F.min("duplicate_id").alias("canonical_id"), F.count("*").alias("members")).where("members > 1")
+    return keyed.join(groups, "_key").where("duplicate_id > canonical_id").select("canonical_id", "duplicate_id", "members")
 
 
 def reduction(before: Column, after: Column) -> Column:

@@ -57,23 +57,22 @@ def cascade(probe_keys: DataFrame, build_keys: DataFrame, valid: Column, rank: l
     return met.where("_n = 1").select("probe_id", "rule", "candidates", F.when(F.col("_valid"), F.col("build_id")).alias("build_id"))
 
 
+#: Tokens of queries that are broadcast at once, at most.
+QUERY_TOKENS = 10_000
+
+
 def substring_candidates(queries: DataFrame, names: DataFrame, most: int = 20) -> DataFrame:
     """query_id, name_id, score: the ``most`` names that hold most of a query's tokens as substrings.
 
-    Queries (query_id, token) come in a checked-size list, names (name_id, name) are scanned once: tokens
-    are matched against name pieces of their own length, so the join has a key and no pairs are made.
+    The distinct tokens of the queries (query_id, token), up to QUERY_TOKENS, are searched in
+    each name (name_id, name) in one scan; only the tokens found meet their queries.
     """
-    tokens = queries.select("query_id", "token").distinct().withColumn("n", F.length("token"))
-    sizes = sorted(r.n for r in tokens.select("n").distinct().collect() if r.n)  # a few lengths
-    starts = lambda n: F.sequence(F.lit(1), F.length("name") - n + 1)
-    cut = lambda n: lambda i: F.substring("name", i, F.lit(n))
-    pieces = [names.where(F.length("name") >= n).select("name_id", F.explode(F.array_distinct(F.transform(starts(n), cut(n)))).alias("token")) for n in sizes]
-    if not pieces:
-        return names.join(queries, F.lit(False)).select("query_id", "name_id", F.lit(0).cast("long").alias("score"))
-    every = pieces[0]
-    for more in pieces[1:]:
-        every = every.union(more)
-    scored = every.join(tokens.select("query_id", "token"), "token").groupBy("query_id", "name_id").agg(F.count("*").alias("score"))
+    tokens = queries.select("query_id", "token").where("token <> ''").distinct()
+    wanted = [r.token for r in tokens.select("token").distinct().orderBy("token").limit(QUERY_TOKENS + 1).collect()]
+    if len(wanted) > QUERY_TOKENS:
+        raise ValueError(f"more than {QUERY_TOKENS} different tokens: split the queries")
+    hits = F.array_compact(F.array(*[F.when(F.contains("name", F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
+    scored = names.select("name_id", F.explode(hits).alias("token")).join(F.broadcast(tokens), "token").groupBy("query_id", "name_id").agg(F.count("*").alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name_id")
     return scored.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= most).drop("_n")
 

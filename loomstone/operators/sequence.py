@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,17 @@ def global_id(df: DataFrame, order: list[str], name: str = "global_id") -> DataF
     return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
+def number_in_group(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """0..n-1 in each group, in order, however large it is: a group spreads over range partitions."""
+    parts = df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id())
+    sizes = parts.groupBy("_part", group).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n"))  # a row per partition
+    before = before.select("_part", F.col(group).alias("_group"), "_before")
+    within = F.row_number().over(Window.partitionBy("_part", group).orderBy(order)) - 1
+    met = parts.withColumn("_at", within).join(before.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_group")))
+    return met.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_p", "_group", "_before", "_at")
+
+
 def carry_last(df: DataFrame, value: Column, within: list[str], order: str, name: str) -> DataFrame:
     """The last non-null value before each row."""
     before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -42,18 +54,26 @@ def char_chunks(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
 
 
 def pack(parts: list[str], most: int, overlap: int, joint: str = "\n\n") -> list[str]:
-    """Paragraphs packed up to ``most`` characters; a new pack starts with the last paragraphs of the one
-    before that fit in ``overlap``, and isn't measured again with them."""
-    packs, own = [], []
+    """Paragraphs packed up to ``most`` characters.
+
+    A new pack begins with as few of the last pack's paragraphs as reach ``overlap`` characters (each
+    counted with a joint), and isn't measured again with them. A paragraph above ``most`` closes the pack
+    and is cut into windows that share ``overlap``; nothing overlaps with it.
+    """
+    packs: list[str] = []
+    own: list[str] = []
+    step = most - overlap if most > overlap else most
     for part in parts:
+        if len(part) > most:
+            packs += [joint.join(own)] if own else []
+            own = []
+            packs += [part[at : at + most] for at in range(0, max(1, len(part) - (most - step)), step)]
+            continue
         if own and len(joint.join([*own, part])) > most:
             packs.append(joint.join(own))
-            kept: list[str] = []
-            for earlier in reversed(own):
-                if len(joint.join([earlier, *kept])) > overlap and kept:
-                    break
-                kept.insert(0, earlier)
-            own = kept
+            reach = list(accumulate(len(x) + len(joint) for x in reversed(own)))
+            enough = 1 + sum(n < overlap for n in reach)
+            own = own[-enough:] if overlap > 0 else []
         own.append(part)
     return [*packs, joint.join(own)] if own else packs
 

@@ -14,9 +14,6 @@ from ..session import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Marks of pages without clinical content, and patterns of sentences of low value, for the driver's texts.
-JUNK_MARKS = ("all rights reserved", "licensed under", "references", "acknowledg", "copyright", "conflict of interest", "table of contents", "supplementary", "correspondence to")
-LOW_VALUE = (r"^\s*(see|refer to)\b", r"\ball rights reserved\b", r"\bnot available\b", r"^.{0,20}$", r"\bn/a\b", r"\blicense[d]?\b")
 _LICENSE_SQL = "CASE WHEN contains(t, 'pmc open access subset') AND (" + " OR ".join(f"contains(t, '{x}')" for x in rules.TEMPORARY_TEXTS) + ") THEN 'PMC_OPEN_ACCESS_TEMP' " + " ".join("WHEN " + " OR ".join(f"contains(t, '{x}')" for x in texts) + f" THEN '{label}'" for label, texts in rules.LICENSE_TEXTS) + " ELSE 'UNKNOWN' END"
 _SQUEEZE = r"trim(regexp_replace(text, '[\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}\x{000b}]+', ' ', 'g'))"
 _KEY = f"replace(lower({_SQUEEZE}), 'ß', 'ss')"
@@ -108,10 +105,9 @@ def license_rule_b(spark, sf_dir):
     return made.select("id", rules.publisher_license(*map(F.col, ("raw", "own", "kept", "is_open", "archive"))).alias("label"))
 
 
-_LEVELS_SQL = ", ".join(f"({k}, '{v}')" for k, v in rules.LEVELS.items())
-
-
-@query(f"WITH d(level, label) AS (VALUES {_LEVELS_SQL}) SELECT doc_id, CAST(k AS INTEGER) AS level, label FROM (SELECT doc_id, CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER) % 7 + 1 AS k FROM documents) JOIN d ON d.level = k")
+@query("""WITH d(level, label) AS (VALUES (1, 'Guidelines'), (2, 'Regulatory documents'), (3, 'Systematic reviews and meta-analyses'), (4, 'Randomized clinical trials'),
+(5, 'Observational and registry studies'), (6, 'Trial registry entries'), (7, 'Narrative reviews, commentaries, case reports'))
+SELECT doc_id, CAST(k AS INTEGER) AS level, label FROM (SELECT doc_id, CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER) % 7 + 1 AS k FROM documents) JOIN d ON d.level = k""")
 def level_direct(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.regexp_extract("source", "[0-9]+", 0).try_cast("int") % 7 + 1).alias("level"))
     return docs.select("doc_id", rules.level_struct(F.col("level")).alias("h")).select("doc_id", "h.level", "h.label")
@@ -122,9 +118,10 @@ def level_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.level_digit(F.col("url")).alias("level"))
 
 
-@query("SELECT doc_id, (" + " OR ".join(f"contains(lower(text), '{m}')" for m in JUNK_MARKS) + ") OR len(regexp_extract_all(text, '(?m)^\\s*\\d+\\.\\s')) >= 8 AS junk FROM documents")
+@query("""SELECT doc_id, regexp_matches(lower(text), 'references|acknowledge?ments|disclosures?|funding|author contributions|conflicts of interest|manuscript editing support')
+OR len(regexp_extract_all(text, '(?m)^\\s*\\d+\\.\\s')) >= 8 AS junk FROM documents""")
 def junk_page_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", rules.is_reference_page(F.col("text"), JUNK_MARKS).alias("junk"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.is_reference_page(F.col("text")).alias("junk"))
 
 
 @query("""SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(len(lines) AS BIGINT) AS lines, CAST(len(list_filter(lines, lambda x: length(x) < 40)) AS BIGINT) AS short_lines,
@@ -136,9 +133,10 @@ def text_quality_gate(spark, sf_dir):
     return d.withColumn("usable", (F.col("chars") >= 200) & (F.col("short_lines") * 2 < F.col("lines")))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(text, '(?i)(" + "|".join(LOW_VALUE).replace("'", "''") + ")')")
+@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) WHERE NOT contains(t, 'ask a health professional before use') AND NOT contains(t, 'children younger than')
+AND NOT regexp_matches(t, 'does not list any (boxed warning|contraindications|adverse reactions|drug interactions)')""")
 def low_value_filter(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(~rules.is_low_value(F.col("text"), LOW_VALUE)).select("conv_id", "turn")
+    return table(spark, sf_dir, "conversations").where(~rules.is_low_value(F.col("text"))).select("conv_id", "turn")
 
 
 @query("""SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, list(DISTINCT l_returnflag || l_linestatus) AS kinds FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
@@ -177,7 +175,22 @@ def char_chunks(spark, sf_dir):
     return sequence.char_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 2000, 500).drop("text")
 
 
-@query(None)
+_PACK = """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS ps FROM documents),
+r(doc_id, ps, i, own, packs) AS (SELECT doc_id, ps, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM p
+UNION ALL SELECT doc_id, ps, i + 1,
+ CASE WHEN length(ps[i + 1]) > 1200 THEN CAST([] AS VARCHAR[])
+  WHEN len(own) > 0 AND length(array_to_string(own, '  ')) + 2 + length(ps[i + 1]) > 1200
+   THEN list_append(own[greatest(1, len(own) - len(list_filter(range(1, len(own) + 1), lambda k: length(array_to_string(own[len(own) - k + 1:len(own)], '  ')) + 2 < 200))):len(own)], ps[i + 1])
+  ELSE list_append(own, ps[i + 1]) END,
+ CASE WHEN length(ps[i + 1]) > 1200 THEN list_concat(packs, CASE WHEN len(own) > 0 THEN [array_to_string(own, chr(10) || chr(10))] ELSE [] END, list_transform(range(0, length(ps[i + 1]) - 200, 1000), lambda k: substr(ps[i + 1], k + 1, 1200)))
+  WHEN len(own) > 0 AND length(array_to_string(own, '  ')) + 2 + length(ps[i + 1]) > 1200 THEN list_append(packs, array_to_string(own, chr(10) || chr(10)))
+  ELSE packs END
+FROM r WHERE i < len(ps)),
+w AS (SELECT doc_id, CASE WHEN len(own) > 0 THEN list_append(packs, array_to_string(own, chr(10) || chr(10))) ELSE packs END AS packs FROM r WHERE i = len(ps))
+SELECT doc_id, CAST(generate_subscripts(packs, 1) - 1 AS INTEGER) AS pack_no, unnest(packs) AS pack FROM w"""
+
+
+@query(_PACK)
 def paragraph_pack(spark, sf_dir):
     return sequence.paragraph_packs(table(spark, sf_dir, "documents"), "doc_id", "text", 1200, 200, split="\n")
 
@@ -211,22 +224,32 @@ def exact_dedupe_keep_first(spark, sf_dir):
     return docs.groupBy(F.sha2(dedupe.text_key(F.col("text")), 256).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query(f"SELECT ids[1] AS canonical_id, CAST(len(ids) AS INTEGER) AS members, ids[2:] AS duplicates FROM (SELECT list_sort(list(doc_id)) AS ids FROM documents GROUP BY {_KEY}) WHERE len(ids) > 1")
+@query(f"SELECT m AS canonical_id, doc_id AS duplicate_id, n AS members FROM (SELECT doc_id, min(doc_id) OVER w AS m, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY {_KEY})) WHERE doc_id > m")
 def dedupe_report(spark, sf_dir):
     return dedupe.duplicate_report(table(spark, sf_dir, "documents"), F.sha2(dedupe.text_key(F.col("text")), 256), "doc_id")
 
 
-@query("""WITH d AS (SELECT doc_id, source, md5(text) AS h, regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '', 'g') AS k FROM documents),
-a AS (SELECT * FROM d WHERE doc_id % 2 = 1), b AS (SELECT * FROM d WHERE doc_id % 2 = 0), h AS (SELECT h, min(doc_id) AS m FROM b GROUP BY 1), t AS (SELECT k, min(doc_id) AS m FROM b WHERE k <> '' GROUP BY 1)
+@query("""WITH d AS (SELECT doc_id, md5(text) AS h, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS k, doc_id IN (SELECT doc_id FROM labels) AS known FROM documents),
+a AS (SELECT * FROM d WHERE NOT known), b AS (SELECT * FROM d WHERE known), h AS (SELECT h, min(doc_id) AS m FROM b GROUP BY 1), t AS (SELECT k, min(doc_id) AS m FROM b WHERE k <> '' GROUP BY 1)
 SELECT doc_id, coalesce(h.m, t.m) AS other_id, CASE WHEN h.m IS NOT NULL THEN 'doi' WHEN t.m IS NOT NULL THEN 'title' ELSE 'none' END AS match_type FROM a LEFT JOIN h USING (h) LEFT JOIN t USING (k)""")
 def cross_source_match(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), text.title_key(F.left("text", F.lit(60))).alias("k"))
-    even = d.where("doc_id % 2 = 0")
-    side = lambda key: even.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("doc_id").alias("other_id"))
-    out = match.first_of_keys(d.where("doc_id % 2 = 1"), [("doi", side("h"), "h", "h"), ("title", side("k"), "k", "k")], "other_id")
+    """Documents without labels that say what a labelled one says: the same text, or the same letters and digits."""
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    key = text.title_key(F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), F.when(key != "", F.sha2(key, 256)).alias("k")).join(known, "doc_id", "left")
+    side = lambda key: d.where(F.col("known") & F.col(key).isNotNull()).groupBy(key).agg(F.min("doc_id").alias("other_id"))
+    out = match.first_of_keys(d.where("known is null"), [("doi", side("h"), "h", "h"), ("title", side("k"), "k", "k")], "other_id")
     return out.select("doc_id", "other_id", "match_type")
 
 
+@query("""WITH d AS (SELECT doc_id, md5(text) AS h, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS k, doc_id IN (SELECT doc_id FROM labels) AS known FROM documents),
+h AS (SELECT h, min(doc_id) AS m FROM d WHERE known GROUP BY 1), t AS (SELECT k, min(doc_id) AS m FROM d WHERE known AND k <> '' GROUP BY 1)
+SELECT CASE WHEN h.m IS NOT NULL THEN 'doi' WHEN t.m IS NOT NULL THEN 'title' ELSE 'none' END AS match_type, count(*) AS n FROM d LEFT JOIN h USING (h) LEFT JOIN t USING (k) WHERE NOT known GROUP BY 1""")
+def match_breakdown(spark, sf_dir):
+    """How often each way of matching found another record."""
+    return cross_source_match(spark, sf_dir).groupBy("match_type").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT d.doc_id, l.quality, l.doc_id IS NOT NULL AS matched FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, toxic * 10 + quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id""")
 def enrich_keep_last(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").withColumn("at", F.col("toxic") * 10 + F.col("quality"))
@@ -256,30 +279,31 @@ def keyed_upsert(spark, sf_dir):
     return last.select("user_id", "e.event_id", F.round("e.value", 4).alias("value"))
 
 
-_CASCADE = """WITH k AS (SELECT o_orderkey AS probe_id, 1 AS rule, o_custkey AS key FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 2, o_custkey % 50 FROM orders),
-b AS (SELECT c_custkey AS key, c_custkey AS build_id, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0),
+_CASCADE = """WITH k AS (SELECT o_orderkey AS probe_id, 1 AS rule, o_custkey AS key FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey + 1 FROM orders),
+b AS (SELECT c_custkey AS key, c_custkey AS build_id, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey + 1, c_custkey, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'),
 w AS (SELECT probe_id, rule, key FROM (SELECT k.*, row_number() OVER (PARTITION BY probe_id ORDER BY rule, key) AS n FROM k WHERE key IN (SELECT key FROM b)) WHERE n = 1)
 SELECT probe_id, CAST(rule AS INTEGER) AS rule, count(*) AS candidates, arg_max(CASE WHEN c_acctbal > 0 THEN build_id END, (c_acctbal > 0, c_acctbal, -build_id)) AS build_id FROM w JOIN b USING (key) GROUP BY 1, 2"""
 
 
 @query(_CASCADE)
 def match_cascade(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    probe = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("probe_id"), F.lit(1).alias("rule"), F.lit(0).alias("pos"), F.col("o_custkey").alias("key"))
-    probe = probe.union(o.select("o_orderkey", F.lit(2), F.lit(0), F.col("o_custkey") % 50))
-    build = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("build_id"), "c_acctbal")
-    return match.cascade(probe, build, F.col("c_acctbal") > 0, [F.col("c_acctbal").desc(), F.col("build_id")])
+    """Orders against customers with a known segment, by their key, else by the key after it; a customer has both."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
+    probe = o.select(F.col("o_orderkey").alias("probe_id"), F.lit(1).alias("rule"), F.lit(0).alias("pos"), F.col("o_custkey").alias("key"))
+    probe = probe.union(o.select("o_orderkey", F.lit(2), F.lit(0), F.col("o_custkey") + 1))
+    build = c.select("c_custkey", F.explode(F.array(F.col("c_custkey"), F.col("c_custkey") + 1)).alias("key"), "c_acctbal")
+    return match.cascade(probe, build.select("key", F.col("c_custkey").alias("build_id"), "c_acctbal"), F.col("c_acctbal") > 0, [F.col("c_acctbal").desc(), F.col("build_id")])
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_partkey % 2 = 0), q AS (SELECT p_partkey AS id, p_brand, p_type, p_size FROM part WHERE p_partkey % 2 = 1),
-a AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS m FROM p GROUP BY 1, 2, 3), b AS (SELECT p_brand, p_type, min(p_partkey) AS m FROM p GROUP BY 1, 2), c AS (SELECT p_brand, min(p_partkey) AS m FROM p GROUP BY 1)
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_size > 25), q AS (SELECT p_partkey AS id, p_brand, p_type, p_size FROM part WHERE p_size <= 25),
+a AS (SELECT p_brand, p_type, p_size % 25 AS s, min(p_partkey) AS m FROM p GROUP BY 1, 2, 3), b AS (SELECT p_brand, p_type, min(p_partkey) AS m FROM p GROUP BY 1, 2), c AS (SELECT p_brand, min(p_partkey) AS m FROM p GROUP BY 1)
 SELECT id, coalesce(a.m, b.m, c.m) AS part_id, CASE WHEN a.m IS NOT NULL THEN 'full' WHEN b.m IS NOT NULL THEN 'pair' WHEN c.m IS NOT NULL THEN 'brand' ELSE 'none' END AS match_type
-FROM q LEFT JOIN a USING (p_brand, p_type, p_size) LEFT JOIN b USING (p_brand, p_type) LEFT JOIN c USING (p_brand)""")
+FROM q LEFT JOIN a ON a.p_brand = q.p_brand AND a.p_type = q.p_type AND a.s = q.p_size % 25 LEFT JOIN b ON b.p_brand = q.p_brand AND b.p_type = q.p_type LEFT JOIN c ON c.p_brand = q.p_brand""")
 def composite_lookup(spark, sf_dir):
-    keys = {"full": ("p_brand", "p_type", "p_size"), "pair": ("p_brand", "p_type"), "brand": ("p_brand",)}
-    p = table(spark, sf_dir, "part").select("p_partkey", *[F.to_json(F.struct(*cols)).alias(name) for name, cols in keys.items()])
-    build = p.where("p_partkey % 2 = 0")
-    probe = p.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "id")
+    keys = {"full": ("p_brand", "p_type", "size"), "pair": ("p_brand", "p_type"), "brand": ("p_brand",)}
+    p = table(spark, sf_dir, "part").withColumn("size", F.col("p_size") % 25).select("p_partkey", "p_size", *[F.to_json(F.struct(*cols)).alias(name) for name, cols in keys.items()])
+    build = p.where("p_size > 25")
+    probe = p.where("p_size <= 25").withColumnRenamed("p_partkey", "id")
     return match.first_of_keys(probe, [(k, build.groupBy(k).agg(F.min("p_partkey").alias("part_id")), k, k) for k in keys], "part_id").select("id", "part_id", "match_type")
 
 
@@ -327,10 +351,10 @@ def flatten_metadata(spark, sf_dir):
     return ev.select("event_id", *flatten(ev, "m", arrays="joined", prefix="meta"))
 
 
-@query("SELECT doc_id, concat_ws(' | ', nullif(trim(source), ''), nullif(trim(lang), ''), CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || quality END, left(text, 80)) AS embedding_text FROM documents LEFT JOIN labels l USING (doc_id)")
+@query("SELECT doc_id, concat_ws(' | ', nullif(trim(source), ''), nullif(trim(lang), ''), CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || quality END, text) AS embedding_text FROM documents LEFT JOIN labels l USING (doc_id)")
 def embedding_text(spark, sf_dir):
     met = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    made = F.concat_ws(" | ", text.blank_to_null(F.col("source")), text.blank_to_null(F.col("lang")), F.concat(F.lit("quality "), F.col("quality").cast("string")), F.left("text", F.lit(80)))
+    made = F.concat_ws(" | ", text.blank_to_null(F.col("source")), text.blank_to_null(F.col("lang")), F.concat(F.lit("quality "), F.col("quality").cast("string")), F.col("text"))
     return met.select("doc_id", made.alias("embedding_text"))
 
 
@@ -354,16 +378,16 @@ def knn_greedy_dedupe(spark, sf_dir):
     return dedupe.greedy_canonical(e.select("id"), near.select(F.col("query_id").alias("src"), F.col("id").alias("dst")), write_and_read)
 
 
-@query(_NEAR.format(where="a.vec_id % 100 = 0") + """ SELECT query_id, string_agg('[Factoid ' || rank || ' | ' || source || '; ' || lang || ']' || chr(10) || left(text, 200), chr(10) || chr(10) ORDER BY rank) AS context
+@query(_NEAR.format(where="a.vec_id % 100 = 0") + """ SELECT query_id, string_agg('[Factoid ' || rank || ' | ' || source || '; ' || lang || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM r JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY 1""")
 def rag_context(spark, sf_dir):
-    hits = knn_topk(spark, sf_dir).join(table(spark, sf_dir, "documents"), F.col("id") == F.col("doc_id")).withColumn("document", F.left("text", F.lit(200)))
+    hits = knn_topk(spark, sf_dir).join(table(spark, sf_dir, "documents"), F.col("id") == F.col("doc_id")).withColumnRenamed("text", "document")
     return vector.context_block(hits, "query_id", "rank", "source", "lang")
 
 
-@query("SELECT conv_id, string_agg(turn || '. ' || role || ': ' || left(text, 100), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
+@query("SELECT conv_id, string_agg(turn || '. ' || role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
 def prompt_assembly(spark, sf_dir):
-    line = F.concat(F.col("turn").cast("string"), F.lit(". "), "role", F.lit(": "), F.left("text", F.lit(100)))
+    line = F.concat(F.col("turn").cast("string"), F.lit(". "), "role", F.lit(": "), "text")
     own = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", line.alias("t")).alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # the turns of one talk
     return own.select("conv_id", F.array_join(F.transform("ps", lambda p: p["t"]), "\n").alias("prompt"))
 
@@ -382,8 +406,9 @@ def license_audit(spark, sf_dir):
 @query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'unclear' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS route, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS suffix FROM documents LEFT JOIN labels l USING (doc_id)")
 def routing_split(spark, sf_dir):
     met = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    nth = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
-    return met.select("doc_id", F.when(F.col("quality").isNull(), "unclear").when(F.col("quality") == 1, "yes").otherwise("no").alias("route"), nth.alias("suffix"))
+    route = F.when(F.col("quality").isNull(), "unclear").when(F.col("quality") == 1, "yes").otherwise("no")
+    numbered = sequence.number_in_group(met, "source", "doc_id", "suffix")
+    return numbered.select("doc_id", route.alias("route"), F.col("suffix"))
 
 
 @query("SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'TOTAL', count(*) FROM documents")
@@ -395,9 +420,10 @@ def source_totals(spark, sf_dir):
 SELECT license_label, quality, count(*) AS n FROM f LEFT JOIN labels USING (doc_id) GROUP BY 1, 2""")
 def curated_overview(spark, sf_dir):
     """Normalised text, first of each, license label, labels joined, counts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(dedupe.text_key(F.col("text")), 256).alias("k"), rules.article_license(F.col("text")).alias("license_label"))
-    first = docs.groupBy("k").agg(F.min_by("license_label", "doc_id").alias("license_label"), F.min("doc_id").alias("doc_id"))
-    return first.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("license_label", "quality").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    first = docs.groupBy(F.sha2(dedupe.text_key(F.col("text")), 256).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = docs.join(first, "doc_id", "left_semi").select("doc_id", rules.article_license(F.col("text")).alias("license_label"))
+    return kept.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("license_label", "quality").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
@@ -408,9 +434,9 @@ def benchmark_overlap(spark, sf_dir):
     join, and only what shares them is searched.
     """
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    items = items.withColumn("key", F.array_join(F.slice(F.split("item", r"\s+"), 2, 4), " "))
+    items = items.withColumn("key", F.xxhash64(F.array_join(F.slice(F.split("item", r"\s+"), 2, 4), " ")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w")).where(F.size("w") > 4)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " "))))
     hits = docs.select("doc_id", F.explode(grams).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
     met = hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id")
     return met.where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
@@ -455,11 +481,12 @@ def surrogate_ids(spark, sf_dir):
     return docs.select("doc_id", F.concat_ws("_", F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "_"), "lang", F.col("doc_id").cast("string")).alias("factoid_id"), meta.alias("meta")).select("doc_id", "factoid_id", "meta.*")
 
 
-@query("""SELECT k, any_value(v) AS v FROM (SELECT user_id AS k, max(event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1) a GROUP BY 1
-UNION ALL SELECT user_id, min(event_id) FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0) GROUP BY 1""")
+@query("""SELECT k, any_value(v) AS v FROM (SELECT user_id AS k, max(event_id) AS v FROM events WHERE event_type = 'error' GROUP BY 1) a GROUP BY 1
+UNION ALL SELECT user_id, min(event_id) FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1""")
 def upsert_merge(spark, sf_dir):
-    """A table of first events is updated with the last even ones."""
+    """A table of first events is updated with the last errors."""
     from ..sources.tables import upsert
 
-    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"))
-    return upsert(ev.groupBy("k").agg(F.min("v").alias("v")), ev.where("v % 2 = 0").withColumn("at", F.col("v")), "k", "at")
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), "event_type")
+    errors = ev.where("event_type = 'error'").select("k", "v", F.col("v").alias("at"))
+    return upsert(ev.groupBy("k").agg(F.min("v").alias("v")), errors, "k", "at")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.nested import first_non_empty, first_string, latest
 
-#: The rules in order: name, and the label's keys.
-RULES = ("spl_set_id", "set_id", "spl_id", "id", "name")
+#: The methods of the rules in order: nested set id, the label's own, nested label id, the label's own, names.
+RULES = ("matched_by_spl_set_id", "matched_by_spl_set_id", "matched_by_spl_id", "matched_by_spl_id", "matched_by_name_fallback")
 # Sections of a label that are kept.
 SECTIONS = (
     "effective_time", "indications_and_usage", "dosage_and_administration", "warnings", "warnings_and_cautions", "boxed_warning", "contraindications", "drug_interactions", "adverse_reactions", "pregnancy", "pregnancy_or_breast_feeding", "teratogenic_effects", "nursing_mothers", "breastfeeding", "pediatric_use", "geriatric_use",
@@ -26,6 +26,15 @@ def _names(openfda: str) -> Column:
     return F.filter(F.array_distinct(F.transform(F.concat(*parts), text.name_key)), lambda x: x != "")
 
 
+def _all_names(openfda: str, products: str) -> Column:
+    """Names of an application: openfda's, its products' brands, and their active ingredients."""
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    brands = texts(F.transform(products, lambda p: p["brand_name"]))
+    parts = texts(F.flatten(F.transform(products, lambda p: texts(F.transform(p["active_ingredients"], lambda i: i["name"])))))
+    more = F.transform(F.array_compact(F.concat(brands, parts)), text.name_key)
+    return F.filter(F.array_distinct(F.concat(_names(openfda), more)), lambda x: x != "")
+
+
 def _listed(c: str) -> Column:
     return F.filter(F.coalesce(F.col(c), F.array()), lambda x: F.trim(x) != "")
 
@@ -54,28 +63,35 @@ def _label_keys(labels: DataFrame, with_names: bool) -> DataFrame:
 def link(labels: DataFrame, apps: DataFrame, *, with_names: bool = False) -> DataFrame:
     """label_id, method, candidates, app_id of each label.
 
-    A label's first key that the applications have decides, even if none of its candidates passes
+    A label's first id that the applications have decides, even if none of its candidates passes
     validation (they share the ids that the rule is about); that method then ends in
-    ``_validation_failed``. Of valid candidates: prescription products first, then any products, then
-    the latest submission, then the application number, then the first.
+    ``_validation_failed``. Labels without such an id match by all of their names together; more than one
+    candidate ends in ``_ambiguous``. Of valid candidates: prescription products first, then any products,
+    then the latest submission, then the application number, then the first. ``candidates`` counts the
+    valid ones, or all where none is valid.
     """
+    has = apps.schema["products"].dataType.elementType.fieldNames()
+    names = _all_names("openfda", "products") if {"brand_name", "active_ingredients"} <= set(has) else _names("openfda")
     rank = apps.select(
-        "app_id", "application_number", _listed("openfda.spl_set_id").alias("set_ids"), _listed("openfda.spl_id").alias("label_ids"), _names("openfda").alias("names"), F.coalesce(F.exists("products", lambda p: p["marketing_status"] == "Prescription"), F.lit(False)).alias("rx"),
+        "app_id", "application_number", _listed("openfda.spl_set_id").alias("set_ids"), _listed("openfda.spl_id").alias("label_ids"), names.alias("names"), F.coalesce(F.exists("products", lambda p: p["marketing_status"] == "Prescription"), F.lit(False)).alias("rx"),
         (F.coalesce(F.size("products"), F.lit(0)) > 0).alias("has_products"), latest(F.transform("submissions", lambda s: s["submission_status_date"])).alias("last_date"),
     )
     index = rank.select("app_id", F.lit("set").alias("space"), F.explode("set_ids").alias("key"))
     index = index.union(rank.select("app_id", F.lit("label"), F.explode("label_ids"))).union(rank.select("app_id", F.lit("name"), F.explode("names")))
     keys = _label_keys(labels, with_names)
-    by = Window.partitionBy("label_id").orderBy("rule", "pos")
-    winner = keys.join(index.select("space", "key").distinct(), ["space", "key"], "left_semi").withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    known = keys.join(index.select("space", "key").distinct(), ["space", "key"], "left_semi")
+    first = F.first(F.struct("rule", "pos")).over(Window.partitionBy("label_id").orderBy("rule", "pos"))
+    winner = known.withColumn("_first", first).where((F.col("rule") == F.col("_first.rule")) & ((F.col("space") == "name") | (F.col("pos") == F.col("_first.pos")))).drop("_first", "pos")
     nested = lambda c, top: F.when(F.size(_listed(c)) > 0, _listed(c)).otherwise(F.array(F.trim(F.coalesce(top, F.lit("")))))
     ids = labels.select("label_id", nested("openfda.spl_set_id", "set_id").alias("own_sets"), nested("openfda.spl_id", "id").alias("own_labels"))
-    met = winner.join(index, ["space", "key"]).join(rank, "app_id").join(ids, "label_id")
+    met = winner.join(index, ["space", "key"]).drop("key").distinct().join(rank, "app_id").join(ids, "label_id")
     valid = F.when(F.col("space") == "set", F.arrays_overlap("own_sets", "set_ids")).when(F.col("space") == "label", F.arrays_overlap("own_labels", "label_ids")).otherwise(F.lit(True))
     best = Window.partitionBy("label_id").orderBy(F.col("ok").desc(), F.col("rx").desc(), F.col("has_products").desc(), F.col("last_date").desc(), F.col("application_number").desc(), "app_id")
-    met = met.withColumn("ok", F.coalesce(valid, F.lit(False))).withColumn("_n", F.row_number().over(best)).withColumn("candidates", F.count("*").over(Window.partitionBy("label_id"))).where("_n = 1")
-    name = F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)
-    method = F.when(F.col("ok"), F.concat(F.lit("matched_by_"), name)).otherwise(F.concat(F.lit("matched_by_"), name, F.lit("_validation_failed")))
+    own, count = Window.partitionBy("label_id"), F.count("*")
+    met = met.withColumn("ok", F.coalesce(valid, F.lit(False))).withColumn("_n", F.row_number().over(best))
+    met = met.withColumn("_ok", F.count_if("ok").over(own)).withColumn("candidates", F.when(F.col("_ok") > 0, F.col("_ok")).otherwise(count.over(own))).where("_n = 1")
+    ending = F.when(~F.col("ok"), "_validation_failed").when((F.col("space") == "name") & (F.col("candidates") > 1), "_ambiguous").otherwise("")
+    method = F.concat(F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1), ending)
     found = met.select("label_id", method.alias("method"), "candidates", F.when(F.col("ok"), F.col("app_id")).alias("app_id"))
     out = labels.select("label_id").join(found, "label_id", "left")
     return out.select("label_id", F.coalesce("method", F.lit("unmatched")).alias("method"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "app_id")

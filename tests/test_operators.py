@@ -33,6 +33,9 @@ def test_greedy_canonical_is_the_sequential_pass(spark):
 def test_pack_carries_overlap():
     assert sequence.pack(["aaaa", "bbbb", "cccc"], 10, 3) == ["aaaa\n\nbbbb", "bbbb\n\ncccc"]
     assert sequence.pack([], 10, 3) == []
+    assert sequence.pack(["aaaa", "bbbb", "cccc"], 10, 7) == ["aaaa\n\nbbbb", "aaaa\n\nbbbb\n\ncccc"]  # one paragraph doesn't reach 7
+    assert sequence.pack(["aa", "x" * 25, "b"], 10, 4) == ["aa", "x" * 10, "x" * 10, "x" * 10, "x" * 7, "b"]
+    assert sequence.pack(["aaaa", "bbbb"], 4, 0) == ["aaaa", "bbbb"]
 
 
 def test_char_chunks(spark):
@@ -108,4 +111,4 @@ def test_global_id_and_report(spark):
     assert [g for *_, g in got] == list(range(1, 21))
     rows = spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, "c")], "id long, t string")
     rep = dedupe.duplicate_report(rows, dedupe.text_key(F.col("t")), "id").collect()
-    assert [tuple(r) for r in rep] == [(1, 2, [2])]
+    assert [tuple(r) for r in rep] == [(1, 2, 2)]

@@ -34,9 +34,9 @@ def test_label_cascade(spark):
     )
     unique = drug_labels.unique_applications(apps, "at")
     got = {r.label_id: (r.method, r.candidates, r.app_id) for r in drug_labels.link(labels, unique).collect()}
-    assert got == {1: ("matched_by_spl_set_id", 2, 2), 2: ("matched_by_set_id_validation_failed", 2, None), 3: ("matched_by_id", 1, 4), 4: ("unmatched", 0, None), 5: ("unmatched", 0, None)}
+    assert got == {1: ("matched_by_spl_set_id", 2, 2), 2: ("matched_by_spl_set_id_validation_failed", 2, None), 3: ("matched_by_spl_id", 1, 4), 4: ("unmatched", 0, None), 5: ("unmatched", 0, None)}
     links = drug_labels.link(labels, unique, with_names=True)
-    assert {r.label_id: r.method for r in links.collect()}[4] == "matched_by_name"
+    assert {r.label_id: r.method for r in links.collect()}[4] == "matched_by_name_fallback"
     rows = {r.label_id: r for r in drug_labels.merged(labels, unique, links).collect()}
     assert rows[1].metadata.application_number == "A2" and rows[2].metadata is None and rows[2].status == "unmatched"
 
@@ -69,13 +69,33 @@ def test_harmonise(spark):
 
 
 def test_markdown(spark):
-    md = "```markdown\n**Footer text**: x\nbody ﬁ\n\n\n\nPage 3\n\\begin{tabular}z\\end{tabular} [blank]\n```"
-    assert markdown.clean_markdown(md) == "> Page margin/header/footer text: x\nbody fi\n\n[unclear table formatting removed] [unclear]\n\n> Page margin/header/footer text:\n> Page 3"
+    one = lambda text, f: spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
+    md = "```markdown\n**Footer text**: x\nbody ﬁ\n\n\n\nVolume 3 of it\n\\begin{tabular}z\\end{tabular} [blank]\n```"
+    assert one(md, markdown.clean_markdown) == "> Page margin/header/footer text: x\nbody fi\n\n[unclear table formatting removed] [unclear]\n\n> Page margin/header/footer text:\n> Volume 3 of it"
     lines = ["a long enough line of plain prose that goes on", "and continues with these other words", "hyphen-", "ated", "", "- item one that is long enough to be a line"]
-    assert markdown.joined_lines(lines) == ["a long enough line of plain prose that goes on and continues with these other words", "hyphenated", "", "- item one that is long enough to be a line"]
-    assert markdown.page_markdown("RESULTS OF IT\n\n\nx") == "### RESULTS OF IT\n\nx" and markdown.page_markdown(" ", 4).endswith("page 4]")
-    df = spark.createDataFrame([("x", None), ("y", "ﬁ")], "k string, t string")
-    assert [r.out for r in markdown.mapped(df, "t", markdown.normal_form, "out").orderBy("k").collect()] == [None, "fi"]
+    want = ["a long enough line of plain prose that goes on and continues with these other words", "hyphenated", "", "- item one that is long enough to be a line"]
+    assert one("\n".join(lines), lambda c: markdown.joined_lines(F.split(c, "\n"))) == want
+    page = lambda c: markdown.page_markdown(c, F.lit(4))
+    assert one("RESULTS OF IT\n\n\nx", page) == "### RESULTS OF IT\n\nx" and one(" ", page) == "[No extractable native text on page 4]"
+    assert one("OUR FOLLOW-UP IN 3D\nAbstract of it\nplain", page) == "### Our Follow-Up In 3D\n### Abstract of it\nplain"
+    assert one("text\n© 2020 them\nDOI: 10.1/x", page) == "text\n\n> Page margin/header/footer text:\n> © 2020 them\n> DOI: 10.1/x"
+    assert one(None, page) is None and one(None, markdown.clean_markdown) is None
+
+
+def test_labels_match_by_all_names_together(spark):
+    products = "array<struct<brand_name:string,marketing_status:string,active_ingredients:array<struct<name:string>>>>"
+    kind = APPS.replace("array<struct<brand_name:string,marketing_status:string>>", products)
+    apps = spark.createDataFrame(
+        [
+            (1, "A1", "s", None, [("Alpha", "Discontinued", [("Oxid",)])], fda()),
+            (2, "A2", "s", None, [("Beta", "Prescription", None)], fda()),
+            (3, "A3", "s", None, None, fda(generic=["Gamma"])),
+        ],
+        kind,
+    )
+    labels = spark.createDataFrame([(1, None, None, ["Active ingredient: Oxid 5 mg"], fda(generic=["beta"])), (2, None, None, None, fda(generic=["GAMMA"])), (3, None, None, None, fda(generic=["delta"]))], LABELS)
+    got = {r.label_id: (r.method, r.candidates, r.app_id) for r in drug_labels.link(labels, drug_labels.unique_applications(apps, "at"), with_names=True).collect()}
+    assert got == {1: ("matched_by_name_fallback_ambiguous", 2, 2), 2: ("matched_by_name_fallback", 1, 3), 3: ("unmatched", 0, None)}
 
 
 def test_stages(spark, tmp_path):
