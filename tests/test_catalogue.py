@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from loomstone.plans import catalogue
+from loomstone.plans import everything
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,12 +28,12 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(everything.SQL))
 def test_query_matches_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, DATA)
+    df = everything.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     found = Counter(repr([plain(r[c]) for c in cols]) for r in df.collect())
-    out = duck.execute(catalogue.SQL[name])
+    out = duck.execute(everything.SQL[name])
     names = [d[0] for d in out.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
