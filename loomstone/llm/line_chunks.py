@@ -6,16 +6,13 @@ than both of its neighbours. So boundaries depend on nearby lines alone and come
 been inserted or taken away, and a chunk has two lines or more. Chunks of two lines or more that occur
 more than once in the corpus are removed everywhere but at their first place, however short.
 
-A passage of few long lines may hold no whole chunk. So lines are cut further, after words that end in
-``CUT_ENDING`` (about one word in ten) or after ``LONG_CHARS`` characters: again by what stands there
-alone. Two such pieces that follow each other are a short chunk; short chunks that occur more than
-once are removed likewise where they run on for ``RUN_WORDS`` words or more.
+Longer chunks without a second line go likewise, from ``LONG_WORDS`` words on.
 
 Chunks are told apart by their bytes: hashes only choose the candidates. Chunks of white space alone
 stay, as they only part lines. Hashes are counted with partial aggregation; hashes with more than one
 in ``HEAVY`` of all occurrences (so fewer than ``HEAVY`` of them) are broadcast, and the others are
 joined. Whether a chunk is at its first place is asked by place, so no task gathers the places of one
-chunk. Documents move once, to meet the pieces that they lose. All of it is DataFrame operations.
+chunk. Documents move once, to meet the chunks that they lose. All of it is DataFrame operations.
 
 Edge cases: null and empty texts are kept as they are. The order of places is doc_id (null first), the
 text's hash, place in the text; rows that repeat all of it share what happens to them. Texts may hold
@@ -25,23 +22,18 @@ no rows. Further columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import stash
 
-RUN_WORDS, LONG_CHARS, HEAVY = 20, 96, 1000
+LONG_WORDS, HEAVY = 50, 1000
 #: Repeated hashes that are broadcast, at most; more of them are joined.
-BROADCAST_ROWS = 200_000
-#: Letter pairs in which about one word in ten ends.
-CUT_ENDING = "[a-e][gmpsvy]"
-#: The first parts cuts while they are computed, the second ends a chunk and escapes both in texts.
+BROADCAST_ROWS = 500_000
+#: The first parts units while they are computed and is escaped in texts, with the second.
 MARKS = ("\x01", "\x02")
 LINE_END = "(\n|[.!?] |[。！？])"
-#: Where a line is cut further; the mark of a chunk's end stays with what it ends.
-FINE_CUT = f"((?:\n|[.!?] |[。！？])(?:\x02\x02)?|{CUT_ENDING} )"
-LONG_CUT = f"([^\x01]{{{LONG_CHARS},}}? )"
-_TWO_LINES = r"(\n|[.!?] |[。！？])(?s:.)"
+_TWO_LINES = LINE_END + "(?s:.)"
 _WORD = r"[^\x20\x09-\x0D]+"
 _LEAST_ID = -(1 << 63)
 
@@ -66,76 +58,50 @@ def _plain(c: Column | str) -> Column:
 
 
 def split_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, dk, th, pieces (escaped; joined they are the text), ends (place of each chunk's last piece)."""
+    """doc_id, dk, th, chunks of each row (escaped; joined they are the text)."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("dk"), F.xxhash64("text").alias("th"), F.replace(F.replace("text", F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a")).alias("text"))
-    rows = rows.select("doc_id", "dk", "th", F.split(F.regexp_replace("text", LINE_END, "$1\x01"), "\x01").alias("units"))
-    rows = _lows(rows, "units")
-    # a chunk's end is marked by two escapes, which no escaped text has
-    marked = F.array_join(F.zip_with("units", "low", lambda x, end: F.when(end, F.concat(x, F.lit("\x02\x02"))).otherwise(x)), "")
-    rows = rows.select("doc_id", "dk", "th", F.regexp_replace(marked, FINE_CUT, "$1\x01").alias("fine"))
-    rows = rows.select("*", F.split("fine", "\x01").alias("short"))
-    cut = F.split(F.replace(F.regexp_replace("fine", LONG_CUT, "$1\x01"), F.lit("\x01\x01"), F.lit("\x01")), "\x01")
-    rows = rows.select("doc_id", "dk", "th", F.when(F.exists("short", lambda x: F.length(x) > LONG_CHARS), cut).otherwise(F.col("short")).alias("marked"))
-    last = F.size("marked") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.endswith(F.get("marked", i), F.lit("\x02\x02")))
-    return rows.select("doc_id", "dk", "th", F.transform("marked", lambda x: F.replace(x, F.lit("\x02\x02"), F.lit(""))).alias("pieces"), ends.alias("ends"))
-
-
-def _candidates(parts: DataFrame) -> tuple[Column, Column]:
-    """Arrays of a row's candidates (short, at, n, one, two), and of their hashes: the n pieces from ``at`` on of each
-    chunk, and of each two pieces in a row."""
-    start = lambda k: F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1)
-    taken = lambda k: F.get("ends", k) - start(k) + 1
-    text = lambda k: F.array_join(F.slice("pieces", start(k) + 1, taken(k)), "")
-    ahead = F.concat(F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 1, F.lit(0))), F.array(F.lit("")))
-    whole = F.transform("ends", lambda _, k: F.struct(F.lit(False).alias("short"), start(k).alias("at"), taken(k).alias("n"), text(k).alias("one"), F.lit("").alias("two")))
-    pairs = F.transform(F.arrays_zip("pieces", ahead.alias("ahead")), lambda x, i: F.struct(F.lit(True).alias("short"), i.alias("at"), F.lit(2).alias("n"), x["pieces"].alias("one"), x["ahead"].alias("two")))
-    hashes = F.concat(F.transform("ends", lambda _, k: F.xxhash64(text(k))), F.zip_with("pieces", ahead, lambda a, b: F.xxhash64(a, b)))
-    return F.concat(whole, pairs), hashes
-
-
-def _able() -> Column:
-    """Short chunks have words in either piece, others a word and two lines."""
-    return F.rlike("one", F.lit(_WORD)) & F.when(F.col("short"), F.rlike("two", F.lit(_WORD))).otherwise(F.rlike("one", F.lit(_TWO_LINES)))
-
-
-def _repeated(parts: DataFrame) -> DataFrame:
-    """dk, th, short, at, n, one, two of the candidates whose hash occurs more than once."""
-    chunks, marks = _candidates(parts)
-    hashes = parts.select(F.explode(marks).alias("h")).groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    hashes = stash(hashes, "repeated")
-    each = parts.select("dk", "th", F.explode(chunks).alias("c")).select("dk", "th", "c.*").withColumn("h", F.when(F.col("short"), F.xxhash64("one", "two")).otherwise(F.xxhash64("one")))
+    rows = _lows(rows.select("doc_id", "dk", "th", F.split(F.regexp_replace("text", LINE_END, "$1\x01"), "\x01").alias("units")), "units")
+    marked = F.array_join(F.zip_with("units", "low", lambda x, end: F.when(end, F.concat(x, F.lit("\x01"))).otherwise(x)), "")
+    return rows.select("doc_id", "dk", "th", F.split(marked, "\x01").alias("chunks"))
+
+
+def _able(chunk: Column, long_words: int) -> Column:
+    """A word and two lines, or many words."""
+    return F.rlike(chunk, F.lit(_WORD)) & (F.rlike(chunk, F.lit(_TWO_LINES)) | (F.regexp_count(chunk, F.lit(_WORD)) >= long_words))
+
+
+def _repeated(parts: DataFrame, long_words: int) -> DataFrame:
+    """dk, th, pos, chunk of the chunks whose hash occurs more than once."""
+    each = parts.select("dk", "th", F.posexplode("chunks").alias("pos", "chunk")).where(_able(F.col("chunk"), long_words)).withColumn("h", F.xxhash64("chunk"))
+    hashes = stash(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
     if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return each.join(F.broadcast(hashes.select("h")), "h", "left_semi").where(_able()).drop("h")
+        return each.join(F.broadcast(hashes.select("h")), "h", "left_semi").drop("h")
+    # hashes move with their places alone; then documents, each once, to where their repeated chunks are known
     all_times = hashes.agg(F.sum("times")).first()[0]
-    heavy = hashes.where(F.col("times") * HEAVY > all_times).select("h")
-    rest = each.join(F.broadcast(heavy), "h", "left_anti").join(hashes.where(F.col("times") * HEAVY <= all_times).select("h"), "h", "left_semi")
-    return each.join(F.broadcast(heavy), "h", "left_semi").unionByName(rest).where(_able()).drop("h")
+    places = each.select("h", "dk", "th", "pos")
+    heavy, light = (hashes.where(c).select("h") for c in (F.col("times") * HEAVY > all_times, F.col("times") * HEAVY <= all_times))
+    met = places.join(F.broadcast(heavy), "h", "left_semi").unionByName(places.join(F.broadcast(heavy), "h", "left_anti").join(light, "h", "left_semi"))
+    wanted = met.groupBy("dk", "th").agg(F.collect_set("pos").alias("ks"))  # of one document
+    found = parts.join(wanted, ["dk", "th"]).select("dk", "th", F.explode("ks").alias("pos"), "chunks")
+    return found.select("dk", "th", "pos", F.get("chunks", F.col("pos")).alias("chunk"))
 
 
-def repeated_pieces(parts: DataFrame, *, run_words: int = RUN_WORDS) -> DataFrame:
-    """dk, th, piece (its place) of every piece that goes, once."""
-    again = stash(_repeated(parts), "again")
-    first = again.groupBy("short", "one", "two").agg(F.min(F.struct("dk", "th", "at")).alias("first")).select("short", "first.*")
-    later = stash(again.join(first, ["dk", "th", "short", "at"], "left_anti"), "later")
-    chunks = later.where("not short").select("dk", "th", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("piece")).distinct()
-    both = F.array(F.struct(F.col("at").alias("piece"), F.col("one").alias("t")), F.struct((F.col("at") + 1).alias("piece"), F.col("two").alias("t")))
-    pairs = later.where("short").select("dk", "th", F.explode(both).alias("p")).select("dk", "th", "p.piece", F.regexp_count("p.t", F.lit(_WORD)).alias("words"))
-    pairs = pairs.groupBy("dk", "th", "piece").agg(F.max("words").alias("words"))
-    island = F.col("piece") - F.row_number().over(Window.partitionBy("dk", "th").orderBy("piece"))  # of one document
-    runs = pairs.withColumn("island", island).withColumn("run", F.sum("words").over(Window.partitionBy("dk", "th", "island")))
-    return chunks.union(runs.where(F.col("run") >= run_words).select("dk", "th", "piece")).distinct()
+def repeated_places(parts: DataFrame, *, long_words: int = LONG_WORDS) -> DataFrame:
+    """dk, th, pos of every chunk that repeats an earlier one."""
+    again = stash(_repeated(parts, long_words), "again")
+    first = again.groupBy("chunk").agg(F.min(F.struct("dk", "th", "pos")).alias("first")).select("first.*")
+    return again.select("dk", "th", "pos").join(first, ["dk", "th", "pos"], "left_anti").distinct()
 
 
 def drop_repeated_chunks(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text without repeated chunks, chunks, pieces, removed_pieces, removed_chars of each row."""
-    parts = stash(split_documents(docs), "pieces")
-    gone = repeated_pieces(parts, **options).groupBy("dk", "th").agg(F.collect_list("piece").alias("gone"))  # of one document
+    """doc_id, text without repeated chunks, chunks, removed_chunks, removed_chars of each row."""
+    parts = stash(split_documents(docs), "chunks")
+    gone = repeated_places(parts, **options).groupBy("dk", "th").agg(F.collect_list("pos").alias("gone"))  # of one document
     met = parts.join(gone, ["dk", "th"], "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.array_join("pieces", "")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("pieces", i)), ""))
-    met = met.select("doc_id", _plain(text).alias("text"), F.length(_plain(F.array_join("pieces", ""))).alias("chars"), *[F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in (("ends", "chunks"), ("pieces", "pieces"), ("gone", "removed_pieces"))])
-    return met.select("doc_id", "text", "chunks", "pieces", "removed_pieces", F.coalesce(F.col("chars") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.array_join("chunks", "")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("chunks", i)), ""))
+    met = met.select("doc_id", _plain(text).alias("text"), F.length(_plain(F.array_join("chunks", ""))).alias("chars"), *[F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in (("chunks", "chunks"), ("gone", "removed_chunks"))])
+    return met.select("doc_id", "text", "chunks", "removed_chunks", F.coalesce(F.col("chars") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars"))
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,20 +113,12 @@ WITH d AS (SELECT doc_id, string_split(regexp_replace(replace(replace(text, chr(
  d_each AS (SELECT doc_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM d),
  d_roll AS (SELECT *, md5(lag(x, 1, '') OVER w || x) AS roll FROM d_each WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
  d_low AS (SELECT *, roll < lag(roll, 1, '') OVER w AND roll < lead(roll, 1, '') OVER w AS low FROM d_roll WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
- m AS (SELECT doc_id, string_agg(CASE WHEN low THEN x || chr(2) || chr(2) ELSE x END, '' ORDER BY i) AS t FROM d_low GROUP BY 1),
- f AS (SELECT doc_id, string_split(replace(regexp_replace(regexp_replace(t, '{FINE_CUT}', '\\1' || chr(1), 'g'), '{LONG_CUT}', '\\1' || chr(1), 'g'), chr(1) || chr(1), chr(1)), chr(1)) AS u FROM m),
- p AS (SELECT doc_id, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS g FROM f),
- q AS (SELECT doc_id, g, replace(x, chr(2) || chr(2), '') AS x, coalesce(sum(CAST(ends_with(x, chr(2) || chr(2)) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM p),
- whole AS (SELECT doc_id, c, string_agg(x, '' ORDER BY g) AS t FROM q GROUP BY 1, 2),
- whole_gone AS (SELECT doc_id, c FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, c) AS k FROM whole WHERE regexp_matches(t, '{_WORD}') AND regexp_matches(t, '{LINE_END}(?s:.)')) WHERE k > 1),
- pairs AS (SELECT doc_id, g, x AS one, lead(x, 1, '') OVER (PARTITION BY doc_id ORDER BY g) AS two FROM q),
- pair_gone AS (SELECT doc_id, g FROM (SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, g) AS k FROM pairs WHERE regexp_matches(one, '{_WORD}') AND regexp_matches(two, '{_WORD}')) WHERE k > 1),
- marked AS (SELECT DISTINCT doc_id, g FROM (SELECT * FROM pair_gone UNION ALL SELECT doc_id, g + 1 FROM pair_gone)),
- islands AS (SELECT q.doc_id, q.g, len(regexp_extract_all(x, '{_WORD}')) AS words, q.g - row_number() OVER (PARTITION BY q.doc_id ORDER BY q.g) AS island FROM marked JOIN q ON q.doc_id = marked.doc_id AND q.g = marked.g),
- runs AS (SELECT doc_id, g FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, island) AS run FROM islands) WHERE run >= {RUN_WORDS}),
- gone AS (SELECT doc_id, g FROM runs UNION SELECT q.doc_id, q.g FROM q JOIN whole_gone ON q.doc_id = whole_gone.doc_id AND q.c = whole_gone.c),
- made AS (SELECT q.doc_id, coalesce(string_agg(CASE WHEN gone.g IS NULL THEN x END, '' ORDER BY q.g), '') AS t, string_agg(x, '' ORDER BY q.g) AS old, max(c) + 1 AS chunks, count(*) AS pieces, count(gone.g) AS removed FROM q LEFT JOIN gone ON q.doc_id = gone.doc_id AND q.g = gone.g GROUP BY 1),
- plain AS (SELECT doc_id, replace(replace(t, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS t, replace(replace(old, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS old, chunks, pieces, removed FROM made)
-SELECT documents.doc_id, t AS text, CAST(coalesce(chunks, 0) AS INTEGER) AS chunks, CAST(coalesce(pieces, 0) AS INTEGER) AS pieces, CAST(coalesce(removed, 0) AS INTEGER) AS removed_pieces, CAST(coalesce(length(old) - length(t), 0) AS BIGINT) AS removed_chars
+ q AS (SELECT doc_id, x, i, coalesce(sum(CAST(low AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM d_low),
+ whole AS (SELECT doc_id, c, string_agg(x, '' ORDER BY i) AS t FROM q GROUP BY 1, 2),
+ able AS (SELECT * FROM whole WHERE regexp_matches(t, '{_WORD}') AND (regexp_matches(t, '{LINE_END}(?s:.)') OR len(regexp_extract_all(t, '{_WORD}')) >= {LONG_WORDS})),
+ gone AS (SELECT doc_id, c FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, c) AS k FROM able) WHERE k > 1),
+ made AS (SELECT whole.doc_id, coalesce(string_agg(CASE WHEN gone.c IS NULL THEN t END, '' ORDER BY whole.c), '') AS t, string_agg(t, '' ORDER BY whole.c) AS old, count(*) AS chunks, count(gone.c) AS removed FROM whole LEFT JOIN gone ON gone.doc_id = whole.doc_id AND gone.c = whole.c GROUP BY 1),
+ plain AS (SELECT doc_id, replace(replace(t, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS t, replace(replace(old, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS old, chunks, removed FROM made)
+SELECT documents.doc_id, t AS text, CAST(coalesce(chunks, 0) AS INTEGER) AS chunks, CAST(coalesce(removed, 0) AS INTEGER) AS removed_chunks, CAST(coalesce(length(old) - length(t), 0) AS BIGINT) AS removed_chars
 FROM documents LEFT JOIN plain ON plain.doc_id = documents.doc_id
 """
