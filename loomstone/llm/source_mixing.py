@@ -146,7 +146,7 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
     blocks = F.ceil(F.col("source_size") / block_words)
     quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), most_times * blocks)).otherwise(F.lit(0))
     taken = draws(docs.sparkSession, sources.select("rank", blocks.alias("blocks"), quota.cast("long").alias("quota")), shard_slots=shard_slots, seed=seed)
-    taken = taken.repartition("rank", "shard").select("rank", "blocks", F.explode(F.sequence("first", F.col("past") - 1)).alias("draw"))
+    taken = taken.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard").select("rank", "blocks", F.explode(F.sequence("first", F.col("past") - 1)).alias("draw"))
     taken = with_permuted(taken, "block", F.pmod("draw", "blocks"), F.col("blocks"), F.lit(seed), F.col("rank"), F.floor(F.col("draw") / F.col("blocks")))
     times = taken.groupBy("rank", "block").agg(F.count("*").alias("times"))
     placed = _placed(rows, sources, rows.count())
