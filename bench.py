@@ -18,12 +18,12 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
     "curated_overview", "ws_normalize", "license_rule_a", "char_chunks", "exact_dedupe_keep_first", "dedupe_report", "cross_source_match", "enrich_keep_last", "match_cascade",
-    "composite_lookup", "theta_candidates_top20", "best_of_group", "array_overlap_filter", "keyed_upsert", "running_counters", "global_id", "knn_topk", "html_title_links", "prompt_assembly",
+    "composite_lookup", "theta_candidates_top20", "best_of_group", "array_overlap_filter", "keyed_upsert", "running_counters", "global_id", "knn_topk", "html_title_links", "prompt_assembly", "benchmark_overlap", "paragraph_pack", "routing_split", "factoid_counts",
 )
 
 
 def main() -> None:
-    from loomstone.plans import catalogue
+    from loomstone.plans import everything
     from loomstone.session import session
 
     spark = session("bench", f"local[{CPUS}]", **{"spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
@@ -33,7 +33,7 @@ def main() -> None:
         took = []
         for _ in range(RUNS + 1):  # the first warms up
             began = time.perf_counter()
-            catalogue.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+            everything.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - began)
         times[name] = round(median(took[1:] or took), 4)
     spark.stop()
