@@ -99,18 +99,18 @@ def trial_metadata(study: Column, stem: Column) -> Column:
     return F.struct(F.coalesce(get("identificationModule", "officialTitle"), get("identificationModule", "nctId"), stem).alias("title"), F.coalesce(*years).alias("year"))
 
 
-def seed_summary(record: Column, most: int = 4000) -> Column:
-    """A seed record's JSON as one flat struct: names, metadata, curated fields, and long texts cut to ``most``."""
+def seed_summary(record: Column, most: int = 4000, curated: str = "curated_fields") -> Column:
+    """A seed record's JSON as one flat struct: names, metadata, curated fields (under the key ``curated``), and long texts cut to ``most``."""
     # a list gives its first non-blank text
     def first(path: str) -> Column:
         raw = F.get_json_object(record, path)
         listed = F.element_at(F.filter(F.from_json(F.when(F.startswith(F.ltrim(raw), F.lit("[")), raw), "array<string>"), lambda x: F.trim(x) != ""), 1)
         return F.trim(F.coalesce(F.when(~F.startswith(F.ltrim(raw), F.lit("[")), raw), listed, F.lit("")))
 
-    own = [first(f"$.belladonna_fields.{n}").alias(n) for n in SEED_FIELDS]
-    texts = [truncated(squeeze(first(f"$.belladonna_fields.{n}")), most, " ...[truncated]").alias(n) for n in SEED_TEXTS]
+    own = [first(f"$.{curated}.{n}").alias(n) for n in SEED_FIELDS]
+    texts = [truncated(squeeze(first(f"$.{curated}.{n}")), most, " ...[truncated]").alias(n) for n in SEED_TEXTS]
     meta = [first(f"$.metadata.{n}").alias(n) for n in SEED_METADATA]
-    names = [first("$.belladonna_fields.generic_name").alias("generic_name"), first("$.belladonna_fields.brand_names").alias("brand_name")]
+    names = [first(f"$.{curated}.generic_name").alias("generic_name"), first(f"$.{curated}.brand_names").alias("brand_name")]
     return F.struct(*names, *meta, *own, *texts, F.coalesce(F.get_json_object(record, "$.metadata.metadata_match_candidates").try_cast("int"), F.lit(0)).alias("metadata_match_candidates"))
 
 

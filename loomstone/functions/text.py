@@ -83,6 +83,13 @@ def tagged_blocks(c: Column, open_tag: str = "<<<FACTOID>>>", close_tag: str = "
     return F.transform(F.regexp_extract_all(c, F.lit(f"(?s){open_tag}(.*?){close_tag}"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
 
 
+def split_blocks(c: Column) -> Column:
+    """The non-empty texts between tags, or the whole text where there are none; an empty array for null or blank."""
+    found = F.filter(F.transform(tagged_blocks(c), squeeze), lambda x: x != "")
+    whole = F.filter(F.array(squeeze(c)), lambda x: x != "")
+    return F.coalesce(F.when(F.size(found) > 0, found), whole)
+
+
 def as_sentence(c: Column) -> Column:
     """A block without bullets, with a full stop where it ends without a mark; null if empty."""
     out = F.regexp_replace(squeeze(c), r"^[\s\-*•]+", "")

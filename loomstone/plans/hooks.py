@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.nested import first_non_empty
-from ..functions.text import yes_no
+from ..functions.text import squeeze, tagged_blocks, yes_no
+from ..operators.sequence import char_chunks
 
 DIMS = 64
 
@@ -59,3 +60,55 @@ def relevance(df: DataFrame, title: str, abstract: str, hook: Callable[[list[str
     said = yes_no(F.col("_answer"))
     some = some.withColumn("status", F.when(said, "relevant").when(~said, "not_relevant").otherwise("unclear")).select(*df.columns, "status")
     return some.union(asked.where("_ask is null").select(*df.columns, F.lit("no_abstract").alias("status")))
+
+
+def safely(hook: Callable[[list[str]], list]) -> Callable[[list[str]], list]:
+    """The hook with null for texts that it fails on; a failed batch is asked again one by one."""
+
+    def call(texts: list[str]) -> list:
+        try:
+            return hook(texts)
+        except Exception:
+            return [None] if len(texts) == 1 else [answer for t in texts for answer in call([t])]
+
+    return call
+
+
+def _first_of_alike(blocks: Column) -> Column:
+    """Blocks without white-space runs, empty ones and those that differ from an earlier one in case alone."""
+    own = F.filter(F.transform(blocks, squeeze), lambda x: x != "")
+    low = F.transform(own, F.lower)
+    return F.filter(own, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def extract(df: DataFrame, key: str, text: str, hook: Callable[[list[str]], list[str]], *, most: int = 110_000, size: int = 80_000, overlap: int = 5_000) -> DataFrame:
+    """key, factoids, way of each row: the tagged blocks of the model's answer, in order, each once.
+
+    Texts of up to ``most`` characters are asked whole. Longer ones, and those for which the hook gives null
+    (no room for them, or an error under ``safely``), are asked in windows of ``size`` that share
+    ``overlap``; a window without an answer adds nothing. ``way`` is single, chunked, or none for null and
+    blank texts, which aren't asked. ``key`` must be unique. A document's windows meet in one row.
+    """
+    rows = df.select(key, F.col(text).alias("_text"))
+    some = F.coalesce(F.trim("_text") != "", F.lit(False))
+    whole = apply(rows.where(some & (F.length("_text") <= most)), "_text", hook, "_answer", "string")
+    single = whole.where("_answer is not null").select(key, _first_of_alike(tagged_blocks(F.col("_answer"))).alias("factoids"), F.lit("single").alias("way"))
+    again = whole.where("_answer is null").select(key, "_text").unionByName(rows.where(some & (F.length("_text") > most)))
+    asked = apply(char_chunks(again, "_text", size, overlap).select(key, "chunk_no", "chunk"), "chunk", hook, "_answer", "string")
+    found = F.struct("chunk_no", F.coalesce(tagged_blocks(F.col("_answer")), F.array().cast("array<string>")).alias("blocks"))
+    in_order = asked.groupBy(key).agg(F.array_sort(F.collect_list(found)).alias("parts"))
+    chunked = in_order.select(key, _first_of_alike(F.flatten(F.transform("parts", lambda p: p["blocks"]))).alias("factoids"), F.lit("chunked").alias("way"))
+    return single.unionByName(chunked).unionByName(rows.where(~some).select(key, F.array().cast("array<string>").alias("factoids"), F.lit("none").alias("way")))
+
+
+def resolve_match(df: DataFrame, target: str, candidates: str, hook: Callable[[list[str]], list[str]], most: int = 20) -> DataFrame:
+    """Adds matched_file_name: which of the first ``most`` candidates (ranked structs) is the target, by the model.
+
+    The hook sees JSON with target and candidates and answers JSON with matched_file_name; null without
+    candidates, for null, and where the answer isn't such JSON.
+    """
+    listed = F.slice(candidates, 1, most)
+    prompt = F.when(F.size(candidates) > 0, F.to_json(F.struct(F.col(target).alias("target"), listed.alias("candidates"))))
+    asked = apply(df.withColumn("_prompt", prompt), "_prompt", hook, "_answer", "string")
+    name = F.nullif(F.trim(F.get_json_object("_answer", "$.matched_file_name")), F.lit(""))
+    return asked.withColumn("matched_file_name", name).drop("_prompt", "_answer")

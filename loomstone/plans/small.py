@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import elements as xml
-from ..functions import metadata, text
+from ..functions import harmonise, metadata, text
 from ..operators import audit, dedupe
 from ..session import table
 from .catalogue import query
@@ -116,7 +116,7 @@ def trial_metadata(spark, sf_dir):
 
 @query("""SELECT id, generic_name, brand_name, drug_class, application_number, warnings, metadata_match_candidates::INTEGER AS candidates, fields::INTEGER AS fields FROM (VALUES (1::BIGINT, 'gen', 'Brand B', 'class', 'A1', 'aaaaaaaa ...[truncated]', 3, 31), (2, '', '', '', '', '', 0, 31)) v(id, generic_name, brand_name, drug_class, application_number, warnings, metadata_match_candidates, fields)""")
 def seed_summaries(spark, sf_dir):
-    rows = [(1, '{"metadata":{"application_number":" A1 ","metadata_match_candidates":3},"belladonna_fields":{"generic_name":["","gen"],"brand_names":["Brand B","C"],"drug_class":"class","warnings":"aaaaaaaa   bbbb"}}'), (2, '{"metadata":null}')]
+    rows = [(1, '{"metadata":{"application_number":" A1 ","metadata_match_candidates":3},"curated_fields":{"generic_name":["","gen"],"brand_names":["Brand B","C"],"drug_class":"class","warnings":"aaaaaaaa   bbbb"}}'), (2, '{"metadata":null}')]
     made = spark.createDataFrame(rows, "id long, record string").select("id", metadata.seed_summary(F.col("record"), 9).alias("s"))
     fields = len(made.schema["s"].dataType.fieldNames())
     return made.select("id", *[f"s.{n}" for n in ("generic_name", "brand_name", "drug_class", "application_number", "warnings")], F.col("s.metadata_match_candidates").alias("candidates"), F.lit(fields).alias("fields"))
@@ -284,3 +284,45 @@ def lower_dedupe(spark, sf_dir):
     """The first of names that are the same in lower case."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return dedupe.dedupe_by_key(rows, F.lower(F.trim("p_name")), "p_partkey").select(F.lower(F.trim("p_name")).alias("name"), "p_partkey")
+
+
+_RECORDS = (
+    ("dhpcs", '{"name_of_medicine":" A  b ","active_substances":["x","y"],"dhpc_type":"t","category":"","atc_code_human":"L01","referral_name":"","other_related_medicines_nationally_authorised":"o"}', '{"entity_name":"S &amp; T","referral_name":"ref"}'),
+    ("post_authorisation", '{"name_of_medicine":"P","post_authorisation_opinion_status":"pos","orphan_medicine":"Yes","biosimilar":"No","ema_product_number":7}', "{}"),
+    ("psusas", '{"active_substance":"s","regulatory_outcome":"kept","category":"Human","related_medicines":"r"}', '{"category":"from summary"}'),
+    ("referrals", '{"referral_name":null,"associated_names_centrally_authorised_medicines":"C","class":"k","safety_referral":"Yes","reference_number":"EMEA/1"}', "null"),
+    ("shortages", '{"name":"N","medicine_affected":"M","supply_shortage_status":"Ongoing","strengths_affected":["5 mg","9 mg"],"availability_of_alternatives":"Yes","reason":"why"}', '{"classification":"c"}'),
+    ("medicines", '{"name":"","name_of_medicine":"Med","medicine_status":"Authorised","opinion_status":"Positive","last_updated_date":"2020-01-01"}', '{"name":"Sum"}'),
+)
+
+
+def _records(spark, dataset):
+    rows = [r for r in _RECORDS if r[0] == dataset]
+    return spark.createDataFrame(rows, "dataset string, r string, s string").select(*[F.parse_json(c).alias(c) for c in ("r", "s")])
+
+
+@query("""SELECT * FROM (VALUES ('dhpcs', 'A b', 'x y', '', '', 't', '', '', '', '', 'L01', '', 'o'), ('post_authorisation', 'P', '', '', '', 'pos', '', '7', '', '', '', '', 'Yes No'), ('psusas', 'r', 's', '', '', 'kept', '', '', '', '', 'Human', '', ''),
+('referrals', 'C', '', '', '', '', '', '', 'EMEA/1', '', 'k', '', 'Yes C'), ('shortages', 'N', '', '', '', '', '', '', '', '', '', '', 'why'), ('medicines', 'Med', '', '', '', 'Authorised', '', '', '', '', '', '', ''))
+v(dataset_key, entity_name, active_substance, therapeutic_indication, therapeutic_area, status, holder, ema_number, procedure_number, regulatory_outcome, classification, url, extra_context)""")
+def harmonised_records(spark, sf_dir):
+    return harmonise.union_of([harmonise.common_record(_records(spark, d), "r", d).drop("r", "s") for d, *_ in _RECORDS])
+
+
+@query("""SELECT * FROM (VALUES ('dhpcs', 'S & T', 'x y', 'L01', 't', '', '', '', '', '', 'ref'), ('post_authorisation', 'P', '', '', '', 'pos', '7', '', '', '', ''), ('psusas', 's', 's', 'from summary', 'kept', '', '', '', 'kept', '', 'r'),
+('referrals', '', '', '', '', '', '', 'EMEA/1', '', '', 'C'), ('shortages', 'M', '', 'c', 'Ongoing', '', '', '', '', '', '5 mg 9 mg Alternatives available: Yes'), ('medicines', 'Sum', '', '', 'Authorised', 'Positive', '', '', '', '2020-01-01', ''))
+v(dataset_key, entity_name, active_substance, classification, status, opinion_status, ema_number, procedure_number, regulatory_outcome, last_updated_date, extra_context)""")
+def context_records(spark, sf_dir):
+    """Ten of the columns; the others are filled alike."""
+    shown = ("entity_name", "active_substance", "classification", "status", "opinion_status", "ema_number", "procedure_number", "regulatory_outcome", "last_updated_date", "extra_context")
+    return harmonise.union_of([harmonise.context_record(_records(spark, d), "s", "r", d).select(F.lit(d).alias("dataset_key"), *shown) for d, *_ in _RECORDS])
+
+
+@query("""SELECT p_partkey, 'file_' || p_partkey || CASE WHEN p_size % 2 = 0 THEN i ELSE '' END AS row_id, CASE WHEN p_size % 2 = 0 AND i = '2' THEN p_brand ELSE p_name END AS txt
+FROM part, (VALUES ('1'), ('2')) v(i) WHERE p_size % 2 = 0 OR i = '1'""")
+def split_blocks(spark, sf_dir):
+    """Texts that hold several tagged blocks by mistake become rows, whose ids get the number of the block."""
+    tagged = lambda c: F.concat(F.lit("<<<FACTOID>>> "), c, F.lit(" <<<END_FACTOID>>>"))
+    whole = F.when(F.col("p_size") % 2 == 0, F.concat(tagged(F.col("p_name")), F.lit("\n"), tagged(F.col("p_brand")))).otherwise(F.col("p_name"))
+    own = table(spark, sf_dir, "part").select("p_partkey", text.split_blocks(whole).alias("parts"))
+    number = F.when(F.size("parts") > 1, (F.col("pos") + 1).cast("string")).otherwise("")
+    return own.select("p_partkey", "parts", F.posexplode("parts").alias("pos", "txt")).select("p_partkey", F.concat(F.lit("file_"), F.col("p_partkey").cast("string"), number).alias("row_id"), "txt")

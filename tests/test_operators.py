@@ -112,3 +112,29 @@ def test_global_id_and_report(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, "c")], "id long, t string")
     rep = dedupe.duplicate_report(rows, dedupe.text_key(F.col("t")), "id").collect()
     assert [tuple(r) for r in rep] == [(1, 2, 2)]
+
+
+def test_extract_whole_or_in_windows(spark):
+    def tagging(texts):
+        """One block a word; texts of more than 30 characters have no room, and those with "bad" fail."""
+        if any("bad" in t for t in texts):
+            raise ValueError("bad")
+        return [None if len(t) > 30 else "".join(f"<<<FACTOID>>> {w} <<<END_FACTOID>>>" for w in t.split()) for t in texts]
+
+    long = " ".join(f"w{k:02d}" for k in range(20))  # 79 characters
+    rows = [(1, "a B b  a"), (2, "bad"), (3, long), (4, None), (5, " "), (6, long[:39])]
+    got = {r.id: (r.factoids, r.way) for r in hooks.extract(spark.createDataFrame(rows, "id long, text string"), "id", "text", hooks.safely(tagging), most=60, size=24, overlap=8).collect()}
+    windows = lambda t: [t[at : at + 24] for at in range(0, max(1, len(t) - 8), 16)]
+    brute = lambda t: list(dict.fromkeys(w for part in windows(t) for w in part.split()))
+    assert got == {1: (["a", "B"], "single"), 2: ([], "chunked"), 3: (brute(long), "chunked"), 4: ([], "none"), 5: ([], "none"), 6: (brute(long[:39]), "chunked")}
+
+
+def test_resolve_match(spark):
+    def pick(prompts):
+        asked = [json.loads(p) for p in prompts]
+        return ["no json" if p["target"] == "odd" else json.dumps({"matched_file_name": next((c["file"] for c in p["candidates"] if c["name"] == p["target"]), None)}) for p in asked]
+
+    rows = [(1, "x", [("f1", "y"), ("f2", "x")]), (2, "x", [("f1", "y")]), (3, "x", []), (4, "odd", [("f1", "odd")]), (5, "x", None), (6, "x", [("f1", "y"), ("f3", "z"), ("f2", "x")])]
+    df = spark.createDataFrame(rows, "id long, target string, found array<struct<file:string,name:string>>")
+    got = {r.id: r.matched_file_name for r in hooks.resolve_match(df, "target", "found", pick, most=2).collect()}
+    assert got == {1: "f2", 2: None, 3: None, 4: None, 5: None, 6: None}
