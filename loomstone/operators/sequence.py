@@ -9,24 +9,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import write_and_read
+
+
+def _ranged(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows sorted over range partitions, written, with _part and _at (the place in it, from 0).
+
+    Bounds of range partitions are sampled anew whenever a plan runs, so the partitions are written once
+    and all that counts or numbers them reads the same rows.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return write_and_read(parts.withColumn("_part", F.spark_partition_id()).withColumn("_at", at), "ranged")
+
 
 def global_id(df: DataFrame, order: list[str], name: str = "global_id") -> DataFrame:
-    """1..N in order, with no task that holds all rows: counts of range partitions give their first ids."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = parts.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
+    """1..N in order, with no task that holds all rows: counts of range partitions give their first ids.
+
+    Ties in the order are numbered in any order; nulls come first. All columns stay.
+    """
+    parts = _ranged(df, order)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
-    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
-
-
-def number_in_group(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """0..n-1 in each group, in order, however large it is: a group spreads over range partitions."""
-    parts = df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part", group).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n"))  # a row per partition
-    before = before.select("_part", F.col(group).alias("_group"), "_before")
-    within = F.row_number().over(Window.partitionBy("_part", group).orderBy(order)) - 1
-    met = parts.withColumn("_at", within).join(before.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_group")))
-    return met.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_p", "_group", "_before", "_at")
+    return parts.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))
+
+
+def number_in_group(df: DataFrame, group: str | list[str], order: str | list[str], name: str) -> DataFrame:
+    """0..n-1 in each group, in order, however large it is: a group spreads over range partitions.
+
+    Nulls form a group of their own. Ties in the order are numbered in any order. All columns stay.
+    """
+    group, order = ([x] if isinstance(x, str) else list(x) for x in (group, order))
+    parts = _ranged(df, group + order)
+    runs = parts.groupBy("_part", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # a group is one run of a partition
+    earlier = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")  # a row for each partition that a group meets
+    named = {g: f"_group{k}" for k, g in enumerate(group)}
+    bases = runs.select(F.col("_part").alias("_p"), (earlier - F.col("_first")).alias("_base"), *[F.col(g).alias(n) for g, n in named.items()])
+    same = F.col("_part") == F.col("_p")
+    for g, n in named.items():
+        same &= F.col(g).eqNullSafe(F.col(n))
+    return parts.join(bases, same).select(*df.columns, (F.col("_at") + F.col("_base")).cast("long").alias(name))
 
 
 def carry_last(df: DataFrame, value: Column, within: list[str], order: str, name: str) -> DataFrame:

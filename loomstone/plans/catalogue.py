@@ -206,9 +206,9 @@ def prev_context_carry(spark, sf_dir):
     return sequence.carry_previous(convs, F.when(F.contains("text", F.lit(",")), F.left("text", F.lit(3000))), ["conv_id"], "turn", "context").drop("text")
 
 
-@query("SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) AS global_id FROM documents")
+@query("SELECT doc_id, source, lang, n_chars, row_number() OVER (ORDER BY source, doc_id) AS global_id FROM documents")
 def global_id(spark, sf_dir):
-    return sequence.global_id(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"])
+    return sequence.global_id(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), ["source", "doc_id"])
 
 
 @query("""SELECT event_id, user_id, count(*) OVER w AS seen, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")

@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_RUN = uuid.uuid4().hex
+_roots: set[str] = set()
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The store that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset.
+
+    A warehouse in a folder of one machine serves a local master alone; on a cluster it is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if base.startswith(("file:", "/")) and not master.startswith(("local[", "local-cluster[")) and master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return base
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomstone_tables"
-    return f"{base.rstrip('/')}/loomstone-tables/{uuid.uuid4().hex}"
+    """A new folder in the shared store; all such folders of a session are removed when Python ends."""
+    root = f"{shared_base(spark)}/loomstone-tables-{_RUN}"
+    if root not in _roots:
+        _roots.add(root)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        atexit.register(_remove, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def _remove(path, store) -> None:
+    try:
+        store.delete(path, True)
+    except Exception:  # noqa: BLE001 the session's JVM has ended before, and with it the way to the store
+        return
 
 
 def write_and_read(df: DataFrame, tag: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}-{tag}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

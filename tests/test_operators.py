@@ -138,3 +138,27 @@ def test_resolve_match(spark):
     df = spark.createDataFrame(rows, "id long, target string, found array<struct<file:string,name:string>>")
     got = {r.id: r.matched_file_name for r in hooks.resolve_match(df, "target", "found", pick, most=2).collect()}
     assert got == {1: "f2", 2: None, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_numbers_keep_every_row_and_column(spark):
+    rows = spark.range(0, 400_000, 1, 4).select(F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("k"), "id", F.concat(F.lit("payload-"), F.col("id")).alias("payload"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 5).cast("string")).alias("g"))
+    numbered = sequence.global_id(rows, ["k", "id"])
+    assert numbered.columns == ["k", "id", "payload", "g", "global_id"]
+    assert numbered.agg(F.count("*"), F.countDistinct("id"), F.countDistinct("global_id"), F.min("global_id"), F.max("global_id")).first()[:] == (400_000, 400_000, 400_000, 1, 400_000)
+    assert numbered.where("payload <> concat('payload-', id)").count() == 0
+    own = numbered.selectExpr("global_id", "row_number() OVER (ORDER BY k, id) AS want")
+    assert own.where("global_id <> want").count() == 0
+    groups = sequence.number_in_group(rows, "g", "id", "nth")
+    per = groups.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("nth").alias("u"), F.min("nth").alias("lo"), F.max("nth").alias("hi"))
+    assert sorted(r.n for r in per.collect()) == sorted([133_334, *[r.n for r in rows.where("g <> 'hot'").groupBy("g").agg(F.count("*").alias("n")).collect()]])
+    assert per.where("n <> u OR lo <> 0 OR hi <> n - 1").count() == 0
+    wrong = groups.selectExpr("nth", "row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS want").where("nth <> want")
+    assert wrong.count() == 0
+
+
+def test_numbers_of_nulls_ties_and_nothing(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 1), ("a", None), ("a", 2), ("a", 2)], "g string, id long")
+    got = sequence.number_in_group(rows, ["g"], ["id"], "nth").collect()
+    assert sorted((r.g or "", r.nth) for r in got) == [("", 0), ("", 1), ("a", 0), ("a", 1), ("a", 2)]
+    assert sorted(r.global_id for r in sequence.global_id(rows, ["g", "id"]).collect()) == [1, 2, 3, 4, 5]
+    assert sequence.number_in_group(rows.limit(0), "g", "id", "nth").count() == sequence.global_id(rows.limit(0), ["g"]).count() == 0
