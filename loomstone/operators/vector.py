@@ -1,4 +1,13 @@
-"""Vector retrieval: distances, k nearest rows, similar pairs, context blocks."""
+"""Vector retrieval: distances, k nearest rows, neighbours above a threshold, context blocks.
+
+All searches are one join: queries and corpus rows meet in cells. A cell that holds many rows is cut into
+chunks of its corpus rows and blocks of its queries, and each pair of a chunk and a block is a unit that
+one task compares by matrix products, keeping the k best rows for each of its queries. So no task, and
+never the driver, holds all queries, all rows or a whole cell.
+
+Rows whose vector is null, empty or holds null or non-finite components are neither found nor answered;
+a zero vector has the similarity 0 to all. Vectors of one search have the same length. Ids are longs.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors of one broadcast block.
-BLOCK_QUERIES = 4096
+from ..sources.tables import write_and_read
+
+#: Queries of a block and corpus rows of a chunk, on average.
+BLOCK_QUERIES, CHUNK_ROWS = 4096, 65_536
+#: Pivots of an exact search above a threshold, at most, and rows that share one.
+MOST_PIVOTS, PIVOT_ROWS = 256, 2048
+#: Room for rounding when the triangle inequality leaves a cell out.
+ROUNDING = 1e-6
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -28,49 +43,161 @@ def distance(a: Column | str, b: Column | str, metric: str = "cosine") -> Column
     return 1 - dot(a, b) / (norm(a) * norm(b))
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector can be compared."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of length 1 (or 0) from an Arrow column of vectors of the same length."""
+    if not len(column):
+        return np.zeros((0, 0))
+    rows = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    rows = rows / np.maximum(np.abs(rows).max(axis=1, keepdims=True), 1e-300)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+class _Best:
+    """The k best rows of each query of a unit, updated a batch of rows at a time."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, least: float, digits: int):
+        self.ids, self.units, self.k, self.least, self.digits = ids, units, k, least, digits
+        self.near = np.full((len(ids), k), -np.inf)
+        self.keys = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
+
+    def add(self, keys: np.ndarray, units: np.ndarray) -> None:
+        step = max(1, (1 << 22) // max(1, len(keys)))
+        for lo in range(0, len(self.ids), step):
+            near = np.round(self.units[lo : lo + step] @ units.T, self.digits)
+            kth = np.partition(near, -self.k, axis=1)[:, -self.k] if len(keys) > self.k else np.full(len(near), -np.inf)
+            row, at = np.nonzero((near >= np.maximum(np.maximum(kth, self.near[lo : lo + step, -1]), self.least)[:, None]) & (near > -np.inf))
+            hit = np.unique(row)
+            old = np.repeat(hit, self.k)
+            rows = np.concatenate([old, row])
+            values = np.concatenate([self.near[lo + hit].ravel(), near[row, at]])
+            names = np.concatenate([self.keys[lo + hit].ravel(), keys[at]])
+            order = np.lexsort((names, -values, rows))
+            first = np.searchsorted(rows[order], hit)
+            taken = order[first[:, None] + np.arange(self.k)]
+            self.near[lo + hit], self.keys[lo + hit] = values[taken], names[taken]
+
+    def found(self) -> pa.RecordBatch:
+        q, at = np.nonzero(self.near > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.keys[q, at]), pa.array(self.near[q, at])], ["query_id", "id", "similarity"])
+
+
+def _compared(k: int, least: float, digits: int):
+    """Over units sorted with their queries first (unit, is_row, id, vector): query_id, id, similarity."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, best = None, None
+        ids: list[np.ndarray] = []
+        units: list[np.ndarray] = []
+        for batch in batches:
+            names, rows, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            cuts = np.flatnonzero((names[1:] != names[:-1]) | (rows[1:] != rows[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if names[lo] != unit:
+                    if best is not None:
+                        yield best.found()
+                    unit, best, ids, units = names[lo], None, [], []
+                own = matrix(batch.column(3).slice(lo, hi - lo))
+                if not rows[lo]:
+                    ids.append(keys[lo:hi])
+                    units.append(own)
+                elif ids:
+                    best = best or _Best(np.concatenate(ids), np.concatenate(units), k, least, digits)
+                    best.add(keys[lo:hi], own)
+        if best is not None:
+            yield best.found()
+
+    return work
+
+
+def cell_search(queries: DataFrame, corpus: DataFrame, k: int, *, least: float = -2.0, digits: int = 5) -> DataFrame:
+    """query_id, id, similarity (cosine, rounded), rank: the k nearest rows in the cells of each query.
+
+    queries: query_id, cell, embedding, a row for each cell to search; corpus: id, cell, embedding, each
+    row in one cell. Rows under ``least`` aren't neighbours. Equal similarities go by id.
+    """
+    sized = lambda df, n, most: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(n))
+    cells = write_and_read(sized(queries, "blocks", BLOCK_QUERIES).join(sized(corpus, "chunks", CHUNK_ROWS), "cell"), "cells")  # a row for each cell
+    part = lambda c, n: F.pmod(F.xxhash64(c, F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(F.broadcast(cells), "cell").select("cell", part("query_id", "blocks").alias("block"), every("chunks").alias("chunk"), F.lit(0).alias("is_row"), F.col("query_id").alias("id"), "embedding")
+    c = corpus.join(F.broadcast(cells), "cell").select("cell", every("blocks").alias("block"), part("id", "chunks").alias("chunk"), F.lit(1).alias("is_row"), "id", "embedding")
+    units = q.union(c).select(F.xxhash64("cell", "block", "chunk").alias("unit"), "is_row", F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    met = units.repartition("unit").sortWithinPartitions("unit", "is_row").mapInArrow(_compared(k, least, digits), "query_id long, id long, similarity double")
+    rank = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")  # the plan keeps k rows of a query before they move
+    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 5) -> DataFrame:
     """query_id, id, similarity (cosine, rounded), rank of the k nearest rows of corpus (id, embedding).
 
-    Queries (query_id, embedding) come in blocks of a fixed size; each task keeps the k best of its rows
-    for each query, and only those are ranked. Equal similarities go by id.
+    Queries (query_id, embedding) are compared with all rows; see ``neighbours`` and the collection's
+    index for searches that leave most of them out.
     """
-    spark = corpus.sparkSession
-    out = None
-    block: list = []
-
-    def search(rows) -> DataFrame:
-        ids = [r.query_id for r in rows]
-        matrix = np.array([r.embedding for r in rows], float)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, unit = shared.value
-            top: list[list[tuple[float, int]]] = [[] for _ in names]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = np.array(batch.column(1).to_pylist(), float)
-                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-                near = np.round(unit @ own.T, digits)
-                keys = batch.column(0).to_numpy()
-                for q in range(len(names)):
-                    order = np.lexsort((keys, -near[q]))[:k]
-                    top[q] = sorted([*top[q], *zip((-near[q][order]).tolist(), keys[order].tolist(), strict=True)])[:k]
-            rows = [(names[q], key, -s) for q, found in enumerate(top) for s, key in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "id", "similarity"])
-
-        return corpus.select(F.col("id").cast("long"), "embedding").mapInArrow(best, "query_id long, id long, similarity double")
-
-    for row in queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK_QUERIES:
-            found = search(block)
-            out, block = found if out is None else out.union(found), []
-    if block or out is None:
-        found = search(block) if block else corpus.limit(0).selectExpr("0L as query_id", "0L as id", "0D as similarity")
-        out = found if out is None else out.union(found)
-    rank = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    q = queries.where(usable(F.col("embedding"))).select("query_id", F.lit(0).alias("cell"), "embedding")
+    return cell_search(q, corpus.where(usable(F.col("embedding"))).select("id", F.lit(0).alias("cell"), "embedding"), k, digits=digits)
+
+
+def _cells_within(pivots: np.ndarray, radius: float, home_only: bool):
+    """For rows (id, embedding): each with the cells that may hold a vector within ``radius`` of it.
+
+    A row's home is its nearest pivot. The plane halfway between home and another pivot p lies
+    (d(x, p)^2 - d(x, home)^2) / 2 d(home, p) away; whoever has p as home lies beyond it.
+    """
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            squares = 2 - 2 * matrix(batch.column(1)) @ pivots.T
+            home = squares.argmin(axis=1)
+            if home_only:
+                row, cell = np.arange(batch.num_rows), home
+            else:
+                beyond = squares - squares[np.arange(len(home)), home][:, None]
+                row, cell = np.nonzero(beyond <= 2 * radius * apart[home] + ROUNDING)
+            taken = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(cell.astype(np.int32)), taken.column(1)], ["id", "cell", "embedding"])
+
+    return work
+
+
+def neighbours(rows: DataFrame, k: int, least: float, *, digits: int = 5, pivots: int | None = None) -> DataFrame:
+    """query_id, id, similarity, rank: the k nearest of rows (id, embedding) to each of them, itself
+    included, that reach the similarity ``least``; exact.
+
+    Equal vectors are one class and carry their k smallest ids, as more of them never are among the k
+    nearest. Each class goes home to the nearest of some pivots, and visits the cells that the triangle
+    inequality doesn't rule out for ``least``; where vectors lie all about as far from one another (many
+    dimensions, a low threshold), that is every cell, and the search compares all classes. Pivots are drawn by
+    hash, at most ``MOST_PIVOTS``, one for ``PIVOT_ROWS`` classes.
+    """
+    rows = rows.where(usable(F.col("embedding"))).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    keyed = write_and_read(rows.select("id", "embedding", F.xxhash64("embedding").alias("h")), "keyed")
+    nth = F.row_number().over(Window.partitionBy("h", "embedding").orderBy("id"))
+    firsts = keyed.withColumn("nth", nth).where(F.col("nth") <= k)
+    classes = write_and_read(firsts.groupBy("h", "embedding").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1)), "classes")  # k ids at most
+    wanted = 1 if least <= 0 else pivots or min(MOST_PIVOTS, -(-classes.count() // PIVOT_ROWS)) or 1  # a zero vector has the similarity 0 wherever it lies
+    drawn = classes.select("embedding").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(wanted).collect()  # pivots alone
+    at = matrix(pa.array([r.embedding for r in drawn], pa.list_(pa.float64()))) if drawn else np.zeros((1, 1))
+    radius = float(np.sqrt(max(0.0, 2 - 2 * (least - 0.5 * 10.0**-digits))))
+    schema = "id long, cell int, embedding array<double>"
+    vectors = classes.select("id", "embedding")
+    visits = vectors.mapInArrow(_cells_within(at, radius, False), schema).withColumnRenamed("id", "query_id")
+    near = cell_search(visits, vectors.mapInArrow(_cells_within(at, radius, True), schema), k, least=least, digits=digits)
+    found = near.join(classes.select("id", "ids"), "id").select("query_id", F.explode("ids").alias("id"), "similarity")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "id"))), 1, k)
+    lists = write_and_read(found.groupBy("query_id").agg(best.alias("best")).join(classes.select(F.col("id").alias("query_id"), "h", F.col("embedding").alias("vector")), "query_id"), "lists")  # k * k at most
+    met = keyed.join(lists, (keyed.h == lists.h) & (keyed.embedding == lists.vector)).select(keyed.id.alias("query_id"), F.posexplode("best").alias("pos", "hit"))
+    return met.select("query_id", F.col("hit.id").alias("id"), (-F.col("hit.far")).alias("similarity"), (F.col("pos") + 1).cast("int").alias("rank"))
 
 
 def context_block(hits: DataFrame, group: str, rank: str, *fields: str) -> DataFrame:

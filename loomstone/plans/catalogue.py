@@ -369,15 +369,78 @@ def knn_topk(spark, sf_dir):
     return vector.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), 5)
 
 
-@query(None)
+@query(_NEAR.format(where="TRUE").replace("WITH e", "WITH RECURSIVE e") + """, l AS (SELECT id AS dst, list(query_id) AS ins FROM r WHERE rank <= 6 AND similarity >= 0.35 AND query_id < id GROUP BY 1),
+ o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS pos, coalesce(ins, []) AS ins FROM embeddings LEFT JOIN l ON dst = vec_id),
+ g(pos, heads) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.pos, CASE WHEN list_has_any(heads, ins) THEN heads ELSE list_append(heads, vec_id) END FROM g JOIN o ON o.pos = g.pos + 1),
+ h AS (SELECT heads FROM g ORDER BY pos DESC LIMIT 1)
+SELECT vec_id AS id, CASE WHEN list_contains(heads, vec_id) THEN vec_id ELSE list_min(list_intersect(heads, ins)) END AS root FROM o, h""")
 def knn_greedy_dedupe(spark, sf_dir):
+    """Greedy clusters over lists of the six nearest (itself included) from a similarity of 0.35 on."""
     from ..sources.tables import write_and_read
 
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    near = vector.nearest(e.select(F.col("id").alias("query_id"), "embedding"), e, 6).where("similarity >= 0.35 and query_id < id")
+    near = vector.neighbours(e, 6, 0.35).where("query_id < id")
     return dedupe.greedy_canonical(e.select("id"), near.select(F.col("query_id").alias("src"), F.col("id").alias("dst")), write_and_read)
 
 
+@query(_NEAR.format(where="TRUE") + " SELECT query_id, id, similarity, rank FROM r WHERE rank <= 4 AND similarity >= 0.4")
+def similar_neighbours(spark, sf_dir):
+    """The three rows nearest to each vector, and itself, as far as they reach a similarity."""
+    return vector.neighbours(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 4, 0.4)
+
+
+_TURNED = "SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding, CASE WHEN vec_id % 7 = 3 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT -1 - vec_id, list_reverse(embedding), 99 FROM embeddings WHERE vec_id % 11 = 5"
+
+
+def _turned(spark, sf_dir):
+    """A collection of the embeddings in which some vectors have been turned round, and to which others were added."""
+    from ..sources.collection import Collection
+    from ..sources.tables import shared_folder
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    made = Collection(spark, shared_folder(spark)).build(e)
+    turned = e.where("id % 7 = 3").select("id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(-1).alias("label"))
+    made.upsert(turned.union(e.where("id % 11 = 5").select(-1 - F.col("id"), F.reverse("embedding"), F.lit(99))))
+    return Collection(spark, made.path)
+
+
+@query(_TURNED)
+def collection_upsert(spark, sf_dir):
+    """What a stored collection holds after an upsert, opened again."""
+    return _turned(spark, sf_dir).rows().select(F.col("id").alias("vec_id"), "embedding", "label")
+
+
+@query(_NEAR.replace("FROM embeddings)", "FROM (" + _TURNED + "))").format(where="a.vec_id % 100 = 0") + " SELECT query_id, id, similarity, rank FROM r WHERE rank <= 5")
+def collection_search(spark, sf_dir):
+    """An exact search (through all lists) of the stored collection after an upsert."""
+    made = _turned(spark, sf_dir)
+    queries = made.rows().where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return made.search(queries, 5, probes=1 << 20)
+
+
+@query("SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def collection_recall(spark, sf_dir):
+    """Whether the index, looked through as far as it was measured to need, finds 0.9 of the five nearest rows."""
+    from ..sources.collection import Collection
+    from ..sources.tables import shared_folder
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = e.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = Collection(spark, shared_folder(spark)).build(e).search(queries, 5).select("query_id", "id", F.lit(1).alias("hit"))
+    met = vector.nearest(queries, e, 5).join(found, ["query_id", "id"], "left")
+    return met.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label % 2 = 0")
+def rebuilt_collection(spark, sf_dir):
+    """A collection built anew from some of its rows, which then are all it holds; the old files go."""
+    made = _turned(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    made.rebuild(e.where("label % 2 = 0"))
+    made.vacuum()
+    return made.rows().select(F.col("id").alias("vec_id"), "label")
+
+
 @query(_NEAR.format(where="a.vec_id % 100 = 0") + """ SELECT query_id, string_agg('[Factoid ' || rank || ' | ' || source || '; ' || lang || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM r JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY 1""")
 def rag_context(spark, sf_dir):

@@ -247,15 +247,6 @@ def suffixed_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", n.alias("n")).select("o_custkey", F.when(F.col("n") > 1, F.concat(key, F.lit("_"), F.col("n").cast("string"))).otherwise(key).alias("row_id"), "o_orderkey")
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE label >= 0")
-def rebuilt_collection(spark, sf_dir):
-    """A collection written anew over what was there."""
-    from ..sources.tables import write_and_read
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return write_and_read(e.where("label >= 0"), "collection")
-
-
 @query("SELECT doc_id, lang, count(*) AS rows FROM (SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'en') GROUP BY 1, 2")
 def manifest_append(spark, sf_dir):
     """A manifest to which a second pass has appended: what it saw again stands twice."""
