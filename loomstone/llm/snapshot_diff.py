@@ -94,22 +94,23 @@ def snapshot_diff(earlier: DataFrame, later: DataFrame, *, key: str = KEY, conte
     b = _bucketed(_keyed(later, key, content, columns), "later", *_ID)
     sides = [df.select(*_ID, "key", "digest").alias(s) for df, s in ((a, "a"), (b, "b"))]
     met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _ID]
-    alone = sides[0].join(sides[1], met, "left_anti").withColumn("side", F.lit(0)).union(sides[1].join(sides[0], met, "left_anti").withColumn("side", F.lit(1)))
+    only = lambda x, y: x.join(y.hint("merge"), met, "left_anti")
+    alone = only(*sides).withColumn("side", F.lit(0)).union(only(*sides[::-1]).withColumn("side", F.lit(1)))
     order = [F.col("key").isNull().alias("no_key")]
     ranked = number_in_group(alone.select("side", "digest", *order, "k", "nth", "key"), ["side", "digest"], ["no_key", "k", "nth"], "place")
     ranked = stash(ranked.select("side", "k", "nth", "place"), "places")
 
     def unpaired(table: DataFrame, side: int, tag: str) -> DataFrame:
         places = _bucketed(ranked.where(F.col("side") == side).select("k", "nth", "place"), f"{tag}_places", *_ID)
-        return _bucketed(table.join(places, list(_ID)), tag, "digest", "place")
+        return _bucketed(table.join(places.hint("merge"), list(_ID)), tag, "digest", "place")
 
     c, d = unpaired(a, 0, "gone"), unpaired(b, 1, "come")
-    pairs = a.alias("a").join(b.alias("b"), met).select(
+    pairs = a.alias("a").join(b.alias("b").hint("merge"), met).select(
         F.col("b.key").alias("key"), F.col("a.key").alias("old_key"), F.when(_changed(columns) == "", "same").otherwise("update").alias("op"), _changed(columns).alias("changed"),
         _struct("a", columns).alias("old"), _struct("b", columns).alias("new"),
     )
     at = list(columns).index(content)
-    both = c.alias("a").join(d.alias("b"), [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("digest", "place")], "full_outer")
+    both = c.alias("a").join(d.alias("b").hint("merge"), [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("digest", "place")], "full_outer")
     equal = F.col(f"a.c{at}").eqNullSafe(F.col(f"b.c{at}")) & F.col("a.k").isNotNull() & F.col("b.k").isNotNull()  # the contents themselves
     old, new, nothing = _struct("a", columns), _struct("b", columns), F.lit(None)
     kind = earlier.schema[key].dataType
