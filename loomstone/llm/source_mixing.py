@@ -15,7 +15,7 @@ are counted before they move, and follow one another. All of it is DataFrame ope
 
 Edge cases: a null text has size 0; a null source is a source, the last in order. A source or table
 without words has target 0 and takes nothing. Repeated rows are separate documents. An empty table
-gives no rows. Further columns are kept by ``mixed_documents`` alone.
+gives no rows. Further columns are kept by ``mixed_documents`` alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sequence import number_in_group
 from ._shared import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -139,8 +140,13 @@ def with_permuted(df: DataFrame, name: str, place: Column, places: Column, *key:
     return df.select(*kept, F.when(at < all_places, at).otherwise(walk).alias(name))
 
 
-def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most_times: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row."""
+    return _taken(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most_times: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
+    """doc_id, source, th, copy (number among equal rows), size, source_size, target, taken of each row."""
     rows = stash(sizes(docs), "sizes")
     sources = stash(source_targets(rows, most_times=most_times), "sources")
     blocks = F.ceil(F.col("source_size") / block_words)
@@ -151,25 +157,32 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
     times = taken.groupBy("rank", "block").agg(F.count("*").alias("times"))
     placed = _placed(rows, sources, rows.count())
     covers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)))
-    parts = placed.select("rank", "bucket", "nth", "copy", "doc_id", "size", "source_size", "target", "at", F.explode_outer(covers).alias("block"))
+    parts = placed.select("rank", "bucket", "nth", "copy", "doc_id", "source", "th", "size", "source_size", "target", "at", F.explode_outer(covers).alias("block"))
     within = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("at"), F.col("block") * block_words)
     met = parts.join(times, ["rank", "block"], "left").withColumn("words", F.coalesce(within * F.col("times"), F.lit(0)))
-    return met.groupBy("rank", "bucket", "nth", "copy", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return met.groupBy("rank", "bucket", "nth", "copy", "doc_id", "source", "th", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: taken/size times, rounded by a hash.
 
-    Rows that share a doc_id share the mean of what they take.
+    Rows are told apart by doc_id, source and text. Those equal in all three are numbered, and share the
+    times that all of them are taken as evenly as whole numbers can.
     """
-    per = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("words"))
-    ratio = F.col("taken") / F.col("words") + _uniform(F.col("doc_id"), F.lit(seed), F.lit(3))
-    copies = per.select(F.col("doc_id").alias("_id"), F.when(F.col("words") > 0, F.floor(ratio)).otherwise(0).cast("int").alias("_copies")).where("_copies > 0")
-    copies = stash(copies, "copies")
-    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ratio = F.col("taken") / F.col("size") + _uniform(F.col("doc_id"), F.col("th"), F.col("copy"), F.lit(seed), F.lit(3))
+    per = _taken(docs, seed=seed, **options).select("doc_id", "source", "th", F.when(F.col("size") > 0, F.floor(ratio)).otherwise(0).alias("times"))
+    per = per.groupBy("doc_id", "source", "th").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    per = stash(per.select(F.struct("doc_id", "source", "th").alias("key"), "times", "rows"), "copies")
+    few = per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names can't clash there
-    met = rows.join(F.broadcast(copies) if few else copies, F.col("row.doc_id").eqNullSafe(F.col("_id")))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+    same = F.col("row.doc_id").eqNullSafe(F.col("key.doc_id")) & F.col("row.source").eqNullSafe(F.col("key.source")) & (F.xxhash64("row.text") == F.col("key.th"))
+    met = rows.join(F.broadcast(per) if few else per, same)
+    once = met.where("rows = 1").select("row", "times")
+    if per.where("rows > 1").limit(1).count():
+        equal = number_in_group(met.where("rows > 1"), ["key"], ["row"], "nth")
+        share = F.floor(F.col("times") / F.col("rows")) + (F.col("nth") < F.col("times") % F.col("rows")).cast("long")
+        once = once.union(equal.select("row", share.alias("times")).where("times > 0"))
+    return once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
