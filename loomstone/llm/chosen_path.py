@@ -431,13 +431,14 @@ def drop_near_duplicates(docs: DataFrame, *, percent: int = STAGE_PERCENT, words
     key = F.struct(F.col("gone_id").isNull().alias("none"), "gone_id", "gone_th")
     first = keys.groupBy("root").agg(F.min(key).alias("first"))
     met = stash(keys.join(first, "root").select("gone_id", "gone_th", "n", (key > F.col("first")).alias("gone")).where("gone or n > 1"), "marked", narrow=True)
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
-    kept = docs.join(met, same, "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names can't clash there
+    same = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_th"))
+    kept = rows.join(met, same, "left_anti")
     twice = met.where("not gone")
     if twice.limit(1).count():  # rows of one id and text: one of them
-        once = docs.join(twice, same, "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
-        kept = kept.union(once.select(docs.columns))
-    return kept.select(docs.columns)
+        again = rows.join(twice, same, "left_semi").select(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"), "row")
+        kept = kept.union(again.dropDuplicates(["id", "th"]).select("row"))
+    return kept.select("row.*")
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
