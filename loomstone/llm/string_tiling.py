@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,10 @@ from ._shared import arrow_batches, held, stash
 LEAST_WORDS, LEAST_COVERAGE = 5, 0.6
 #: Words of one broadcast block of the benchmark.
 BLOCK_WORDS = 1_000_000
+#: Common runs that are looked at before those are left out that can't be tiles any more.
+_STEP = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 _SPLIT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 MATCHES = "doc_id long, item_id long, tiles int, covered_words int, item_words int, coverage double, spans array<struct<item_at:int,doc_at:int,words:int>>"
 
@@ -45,60 +48,93 @@ def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int
     """(item_at, text_at, words) of the tiles. Negative entries match nothing.
 
     Whatever runs of free words are left at any time lie within the common runs found at first. So these
-    wait in order of length; one that earlier tiles have cut comes back as its free parts.
+    wait in order of length; one that earlier tiles have cut comes back as its free parts. It ends when
+    the item has fewer than ``least`` free words.
     """
-    free_i, free_t = [x >= 0 for x in item], [x >= 0 for x in text]
-    tiles, waiting = [], [(-n, i, t) for n, i, t in _common_runs(item, text, free_i, free_t, least)]
-    heapq.heapify(waiting)
-    while waiting:
-        size, i, t = heapq.heappop(waiting)
-        free = [a and b for a, b in zip(free_i[i : i - size], free_t[t : t - size], strict=True)]
-        if all(free):
-            free_i[i : i - size] = free_t[t : t - size] = [False] * -size
+    item, text = np.asarray(item, np.int64), np.asarray(text, np.int64)
+    item, text = np.where(item < 0, -1, item), np.where(text < 0, -2, text)
+    free_i, free_t = item >= 0, text >= 0
+    runs = _common_runs(item, text, least)
+    tiles, parts, at, left = [], [], 0, int(free_i.sum())
+    ahead = runs[:_STEP].tolist()
+    while left >= least and (at < len(ahead) or len(runs) > _STEP or parts):
+        if at == len(ahead) and len(runs) > _STEP:  # those without so many free words of the item can't be tiles any more
+            whole = np.concatenate([[0], np.cumsum(free_i)])
+            runs = runs[_STEP:]
+            runs = runs[whole[runs[:, 1] - runs[:, 0]] - whole[runs[:, 1]] >= least]
+            ahead, at = runs[:_STEP].tolist(), 0
+            continue
+        if not parts or at < len(ahead) and ahead[at] <= parts[0]:
+            size, i, t = ahead[at]
+            at += 1
+        else:
+            size, i, t = heapq.heappop(parts)
+        free = free_i[i : i - size] & free_t[t : t - size]
+        if free.all():
+            if not np.array_equal(item[i : i - size], text[t : t - size]):
+                continue  # equal hashes of other words
+            free_i[i : i - size] = free_t[t : t - size] = False
+            left += size
             tiles.append((i, t, -size))
             continue
-        at = 0
-        for whole, part in groupby(free):
-            n = sum(1 for _ in part)
-            if whole and n >= least:
-                heapq.heappush(waiting, (-n, i + at, t + at))
-            at += n
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if hi - lo >= least:
+                heapq.heappush(parts, [lo - hi, i + lo, t + lo])
     return tiles
 
 
-def _common_runs(item, text, free_i, free_t, least) -> list[tuple[int, int, int]]:
-    """Maximal common runs of free words, of ``least`` or more: (words, item_at, text_at)."""
-    table: dict[int, dict[int, list[int]]] = {}  # by hash, then by the word before
-    for at, key in _rolling(text, free_t, least):
-        table.setdefault(key, {}).setdefault(text[at - 1] if at else -1, []).append(at)
-    found = []
-    for i, key in _rolling(item, free_i, least):
-        before = item[i - 1] if i else -2
-        for word, places in table.get(key, {}).items():
-            if word == before and word >= 0:
-                continue  # parts of runs that start earlier
-            for t in places:
-                n = 0
-                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
-                    n += 1
-                if n >= least:
-                    found.append((n, i, t))
-    return found
-
-
-def _rolling(words: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """Start and Karp-Rabin hash of each window of ``size`` free words."""
-    mod, base = (1 << 61) - 1, 1_000_003
-    lead, key, run = pow(base, size - 1, mod), 0, 0
-    for at, word in enumerate(words):
-        if not free[at]:
-            key = run = 0
-            continue
-        if run == size:
-            key, run = (key - words[at - size] * lead) % mod, run - 1
-        key, run = (key * base + word) % mod, run + 1
-        if run == size:
-            yield at - size + 1, key
+def _common_runs(item: np.ndarray, text: np.ndarray, least: int) -> np.ndarray:
+    """Maximal common runs of ``least`` words or more: (-words, item_at, text_at), in order.
+
+    They begin where a window of ``least`` words has the same hash in both and the words before differ;
+    their ends are found by hashes of windows whose lengths double.
+    """
+    windows = [_window_hashes(x, least, min(len(item), len(text))) for x in (item, text)]
+    own, other = (w[0][1] for w in windows)
+    if not len(own) or not len(other):
+        return np.zeros((0, 3), np.int64)
+    before = np.concatenate([[-3], text[:-1]])[: len(other)]
+    order = np.lexsort((before, other))
+    keys, words = other[order], before[order]
+    lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+    starts_i, starts_t = [], []
+    for i in np.flatnonzero(hi > lo).tolist():
+        a, b, word = int(lo[i]), int(hi[i]), int(item[i - 1]) if i else -4
+        x, y = a + np.searchsorted(words[a:b], (word, word + 1)) if word >= 0 else (a, a)  # parts of runs that start earlier
+        for places in (order[a:x], order[y:b]):
+            starts_i.append(np.full(len(places), i))
+            starts_t.append(places)
+    i, t = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (starts_i, starts_t))
+    n = np.zeros(len(i), np.int64)
+    for (size, own), (_, other) in zip(*(w[::-1] for w in windows), strict=True):
+        for _ in range(2 if size == windows[0][-1][0] else 1):
+            can = np.flatnonzero((i + n < len(own)) & (t + n < len(other)))
+            can = can[own[i[can] + n[can]] == other[t[can] + n[can]]]
+            n[can] += size
+    while len(go := np.flatnonzero((i + n < len(item)) & (t + n < len(text)))):
+        go = go[item[i[go] + n[go]] == text[t[go] + n[go]]]
+        if not len(go):
+            break
+        n[go] += 1
+    keep = n >= least
+    i, t, n = i[keep], t[keep], n[keep]
+    first = np.lexsort((t, i, -n))
+    return np.stack([-n[first], i[first], t[first]], axis=1)
+
+
+def _window_hashes(words: np.ndarray, least: int, most: int) -> list[tuple[int, np.ndarray]]:
+    """(size, a hash of each window of so many words) for ``least``, twice that and so on up to ``most``."""
+    mix = lambda x: (x ^ (x >> np.uint64(29))) * _BASE + np.uint64(1)
+    size, key = least, np.zeros(max(0, len(words) - least + 1), np.uint64)
+    for k in range(least):
+        key = mix(key + words[k : k + len(key)].astype(np.uint64))
+    out = [(size, key)]
+    while 2 * size <= most:
+        key = mix(key[: len(key) - size] * _SECOND + mix(key[size:] ^ _BASE))
+        size *= 2
+        out.append((size, key))
+    return out
 
 
 def _grams(ids: np.ndarray, n: int) -> np.ndarray:
