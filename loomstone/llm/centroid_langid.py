@@ -32,6 +32,8 @@ from ._shared import arrow_batches
 DIMS = 4096
 #: Labelled documents per language, and of all languages, that the model is fitted on, at most.
 FIT_ROWS, FIT_ALL = 800, 16_000
+#: Values of lang, at most; with more the fit fails, as none is left out.
+MOST_LANGUAGES = FIT_ALL // 8
 CLUSTERS, CHECK_EACH, REJECT_RATE, SLACK, LEAST_CUTS, LENGTHS = 4, 4, 0.005, 0.8, 20, 24
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 64
 _letters: list[np.ndarray] = []
@@ -133,7 +135,9 @@ def fit(docs: DataFrame, *, fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS)
     counted = {r.term: r.n for r in labelled.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = counted.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([counted.get(k, 0) for k in range(DIMS)]))).astype(np.float32) + 1
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_ALL // 8).collect()}
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: each is learned, so a column of other values isn't one of languages")
     model = CentroidModel([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), idf, np.zeros(LENGTHS))
     if not n or not sizes:
         return model
