@@ -107,8 +107,12 @@ def spread(edges: DataFrame, seeds: DataFrame, *, tolerance: float = TOLERANCE,
             return scores
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust of each row."""
+def judge(pages: DataFrame, rules=RULES, *, margin: float = MARGIN) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust, reached of each row.
+
+    A host is blocked where its distrust exceeds its trust by more than a share of ``margin``. ``reached``
+    says what a verdict rests on: rule, links (the scores of hosts that seeds reach) or nothing.
+    """
     ruled = match_rules(pages, rules)
     counts = ruled.where("ruled is not null").groupBy("host").agg(F.sum((F.col("ruled") == "allow").cast("double")).alias("trust"), F.sum((F.col("ruled") == "block").cast("double")).alias("distrust"))
     counts = stash(counts, "seeds")
@@ -116,8 +120,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     seeds = counts.select("host", (F.col("trust") / F.lit(trust or 1.0)).alias("trust"), (F.col("distrust") / F.lit(distrust or 1.0)).alias("distrust"))
     scores = spread(stash(host_edges(pages), "host-edges"), seeds)
     met = ruled.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    method = F.when(F.col("distrust") > F.col("trust") * (1 + MARGIN), F.lit("block")).otherwise(F.lit("allow"))
-    return met.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    method = F.when(F.col("distrust") > F.col("trust") * (1 + margin), F.lit("block")).otherwise(F.lit("allow"))
+    reached = F.when(F.col("ruled").isNotNull(), "rule").when((F.col("trust") > 0) | (F.col("distrust") > 0), "links").otherwise("nothing")
+    return met.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), reached.alias("reached"))
 
 
 def op10_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:

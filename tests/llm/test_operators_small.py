@@ -149,7 +149,8 @@ def test_tiles_match_brute_force_and_reordering(spark):
         if k % 5 == 0:
             text[len(text) // 2] = -1
         assert string_tiling.greedy_tiles(item, text, 3) == brute_tiles(item, text, 3)
-    assert string_tiling.greedy_tiles([1] * 50, [1] * 20_000, 5) == [(0, 0, 50)]
+    assert string_tiling.greedy_tiles([1] * 1000, [1] * 1_000_000, 5) == [(0, 0, 1000)]
+    assert string_tiling.greedy_tiles([1, 2] * 40 + [3], [1, 2] * 60_000, 5) == [(0, 0, 80)]
     passage = rand_text(rng, 30).split()
     moved = " ".join(passage[15:] + ["filler"] * 9 + passage[:15])
     docs = documents(spark, [*ODD, (50, "A " + " ".join(passage).upper() + "!"), (51, moved), (52, " ".join(passage[:9]))])
@@ -489,3 +490,51 @@ def test_distrust_reaches_all_of_a_long_chain(spark):
     want = np.linalg.solve(np.eye(n) - 0.85 * (back / back.sum(1, keepdims=True)).T, 0.15 * np.eye(n)[0])
     found = {r.host: r.distrust for r in host_trust.spread(edges, seeds).collect()}
     assert np.allclose([found[f"h{k}"] for k in range(n)], want, rtol=1e-8, atol=0)
+
+
+@pytest.mark.parametrize("ids", ["unique", "shared", "null"])
+def test_mixed_rows_reach_their_targets_whatever_their_ids(spark, ids):
+    rng = random.Random(21)
+    name = {"unique": lambda i: i, "shared": lambda i: 7, "null": lambda i: None}[ids]
+    sizes, rows = Counter(), []
+    for i in range(240):
+        source = "big" if i % 8 else "small"
+        text = "the same words in every row " * 8 if i % 3 == 0 else rand_text(rng, 48)
+        rows.append((name(i), text, "en", source, i, "x", 1, None))
+        sizes[source] += len(text.split())
+    docs = spark.createDataFrame(rows, DOCS + ", key int, row string")
+    got = source_mixing.mixed_documents(docs, block_words=8).collect()
+    assert [c for c in docs.columns] == got[0].__fields__
+    want, taken, times = brute_targets(dict(sizes)), Counter(), Counter(r.n_chars for r in got)
+    for r in got:
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - want[s]) <= 0.12 * want[s] for s in sizes) and max(times.values()) <= 3
+    assert Counter(map(str, got)) == Counter(map(str, source_mixing.mixed_documents(docs.repartition(3), block_words=8).collect()))
+
+
+def test_near_duplicates_go_whatever_columns_are_called(spark):
+    words = " ".join(WORDS[:60])
+    rows = [(1, words, 5, "a", 9), (2, words + " more", 6, "b", 8), (3, "quite another text of seven words", 7, "c", 7), (3, "quite another text of seven words", 7, "c", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int, gone_th string, _th long")
+    got = sorted(map(tuple, chosen_path.drop_near_duplicates(docs).collect()))
+    assert got == [rows[0], rows[2]] and chosen_path.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_every_language_is_learned_or_the_fit_fails(spark, monkeypatch):
+    docs = documents(spark, [(i, f"{'abcdefg'[i % 7] * 3} word") for i in range(28)], langs={i: f"l{i % 7}" for i in range(28)})
+    assert len(centroid_langid.fit(docs).languages) == 7
+    monkeypatch.setattr(centroid_langid, "MOST_LANGUAGES", 6)
+    with pytest.raises(ValueError, match="more than 6"):
+        centroid_langid.fit(docs)
+
+
+def test_verdicts_say_what_they_rest_on(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    rows = [(1, "http://good.com/", link("friend.org")), (2, "http://friend.org/x", link("next.io")), (3, "http://next.io/", None), (4, "http://bad.net/es/", None), (5, "http://shady.org/", link("bad.net", "bad.net")), (6, "http://island.xyz/", None), (7, None, None), (8, "http://both.dev/", link("bad.net"))]
+    pages = spark.createDataFrame(rows + [(9, "http://good.com/b", link("both.dev"))], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.reached) for r in host_trust.judge(pages).collect()}
+    assert got == {1: ("allow", "rule"), 2: ("allow", "links"), 3: ("allow", "links"), 4: ("block", "rule"), 5: ("block", "links"), 6: ("allow", "nothing"), 7: ("allow", "nothing"), 8: (got[8][0], "links"), 9: ("allow", "rule")}
+    scores = {r.page_id: (r.trust, r.distrust) for r in host_trust.judge(pages).collect()}
+    assert got[8][0] == ("block" if scores[8][1] > scores[8][0] else "allow")
+    lenient = {r.page_id: r.verdict for r in host_trust.judge(pages, margin=1e9).collect()}
+    assert lenient[8] == "allow" and lenient[4] == "block"
