@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, small
+from . import catalogue, ingest, small
 
-assert small.query is catalogue.query  # its queries are in the same tables
+assert small.query is catalogue.query is ingest.query  # their queries are in the same tables
 QUERIES, SQL = catalogue.QUERIES, catalogue.SQL

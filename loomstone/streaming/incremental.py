@@ -1,32 +1,33 @@
-"""Resumable ingestion: files that are new since the last run are merged into a keyed table."""
+"""Resumable ingestion: what is new since the last run is merged into a keyed table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import upsert
+from ..sources.keyed import BUCKETS, KeyedTable
 
 
-def merge_new_files(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, order: str, fmt: str = "json") -> None:
-    """Read new files under ``source`` and upsert them by key into versions of the ``target`` folder.
+def merge_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, *, name: str = "stream", deleted: Column | None = None) -> None:
+    """Merge all that a streaming DataFrame has now into a keyed table, a batch at a time.
 
-    Each batch writes ``target/v=<batch>``, from the version before; a batch that is run again writes the
-    same version. The checkpoint remembers which files have been read.
+    The checkpoint remembers what has been read, the table which batches it holds: a batch that is run
+    again after a loss, or after the checkpoint's last entry went, is merged once.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = f"{target}/v={number - 1}"
-        base = spark.read.parquet(before) if number else spark.createDataFrame([], batch.schema)
-        upsert(base, batch, key, order).write.mode("overwrite").parquet(f"{target}/v={number}")
+        table.merge(batch, deleted=deleted, stream=name, batch=number)
 
-    stream = spark.readStream.schema(schema).format(fmt).load(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def merge_new_files(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, order: str, fmt: str = "json", *, buckets: int = BUCKETS) -> None:
+    """Read new files under ``source`` and merge them by key into the keyed table ``target``."""
+    merge_stream(spark.readStream.schema(schema).format(fmt).load(source), KeyedTable(spark, target, key, order, buckets=buckets), checkpoint, name=source)
+
+
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    newest = spark.read.parquet(target).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{target}/v={newest}")
+    return KeyedTable(spark, target, "", "").rows()
 
 
 def retry_failed(failures: DataFrame, done: DataFrame, key: str) -> DataFrame:

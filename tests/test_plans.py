@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import harmonise, markdown
 from loomstone.plans import drug_labels, licensing, stages
-from loomstone.sources import paged
 
 APPS = "at long, application_number string, sponsor_name string, submissions array<struct<submission_status_date:string>>, products array<struct<brand_name:string,marketing_status:string>>, openfda struct<spl_set_id:array<string>,spl_id:array<string>,generic_name:array<string>,brand_name:array<string>,substance_name:array<string>>"
 LABELS = "label_id long, set_id string, id string, active_ingredient array<string>, openfda struct<spl_set_id:array<string>,spl_id:array<string>,generic_name:array<string>,brand_name:array<string>,substance_name:array<string>>"
@@ -109,22 +108,3 @@ def test_stages(spark, tmp_path):
     got = stages.run(spark, plan, str(tmp_path))
     assert [(r.name, r.status, r.rows) for r in got] == [("first", "run", 3), ("second", "run", 2), ("third", "failed", 2)]
     assert [r.status for r in stages.run(spark, plan[:2], str(tmp_path))] == ["skipped", "skipped"] and made == ["first"]
-
-
-def test_paging():
-    pages = {"*": ([{"i": 1}], "b"), "b": ([{"i": 2}], "b")}
-    assert [r["i"] for r in paged.all_pages(lambda c: pages[c])] == [1, 2]
-    left = [2]
-
-    def shaky(cursor):
-        if left[0]:
-            left[0] -= 1
-            raise OSError("timeout")
-        return [], None
-
-    assert paged.with_retry(shaky, lambda e: "timeout" in str(e), sleep=lambda s: None)("*") == ([], None)
-
-
-def test_paged_source(spark):
-    spark.dataSource.register(paged.paged_source("two_pages", lambda c: {"*": ([{"i": 1}], "b"), "b": ([{"i": 2}], None)}[c]))
-    assert sorted(r.record for r in spark.read.format("two_pages").load().collect()) == ['{"i": 1}', '{"i": 2}']
