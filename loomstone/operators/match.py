@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import name_key, name_variants
+from .patterns import found_in
+
 
 def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order; ties need a last term that is unique."""
@@ -57,24 +60,30 @@ def cascade(probe_keys: DataFrame, build_keys: DataFrame, valid: Column, rank: l
     return met.where("_n = 1").select("probe_id", "rule", "candidates", F.when(F.col("_valid"), F.col("build_id")).alias("build_id"))
 
 
-#: Tokens of queries that are broadcast at once, at most.
-QUERY_TOKENS = 10_000
-
-
 def substring_candidates(queries: DataFrame, names: DataFrame, most: int = 20) -> DataFrame:
     """query_id, name_id, score: the ``most`` names that hold most of a query's tokens as substrings.
 
-    The distinct tokens of the queries (query_id, token), up to QUERY_TOKENS, are searched in
-    each name (name_id, name) in one scan; only the tokens found meet their queries.
+    All tokens of the queries (query_id, token) are searched in each name (name_id, name) at once; a
+    record may have several names, the best of which counts. Only tokens found meet their queries.
     """
     tokens = queries.select("query_id", "token").where("token <> ''").distinct()
-    wanted = [r.token for r in tokens.select("token").distinct().orderBy("token").limit(QUERY_TOKENS + 1).collect()]
-    if len(wanted) > QUERY_TOKENS:
-        raise ValueError(f"more than {QUERY_TOKENS} different tokens: split the queries")
-    hits = F.array_compact(F.array(*[F.when(F.contains("name", F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
-    scored = names.select("name_id", F.explode(hits).alias("token")).join(F.broadcast(tokens), "token").groupBy("query_id", "name_id").agg(F.count("*").alias("score"))
-    top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name_id")
-    return scored.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= most).drop("_n")
+    keyed = names.select(F.struct("name_id", "name").alias("id"), F.col("name").alias("text")).distinct()
+    hits = found_in(keyed, tokens.select(F.col("token").alias("pattern"))).withColumnRenamed("pattern", "token")
+    scored = hits.join(tokens, "token").groupBy("query_id", "id").agg(F.count("*").alias("score"))
+    best = scored.groupBy("query_id", F.col("id.name_id").alias("name_id")).agg(F.max("score").alias("score"))
+    top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name_id")  # the plan keeps so many of a query before they move
+    return best.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= most).drop("_n")
+
+
+def name_tokens(df: DataFrame, id_col: str, name: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """query_id, token: the words of a name's variants and of the synonyms that its key has."""
+    known = {k: v for k, v in (synonyms or {}).items() if v}
+    variants = name_variants(F.col(name))
+    if known:
+        more = F.create_map(*[x for k, v in known.items() for x in (name_key(F.lit(k)), F.transform(F.array(*[F.lit(s) for s in v]), name_key))])
+        variants = F.concat(variants, F.coalesce(F.try_element_at(more, name_key(F.col(name))), F.array().cast("array<string>")))
+    words = F.flatten(F.transform(variants, lambda v: F.split(v, " ")))
+    return df.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(words)).alias("token")).where("token <> ''").distinct()
 
 
 def best_of(df: DataFrame, group: list[str], rank: list[Column]) -> DataFrame:

@@ -325,6 +325,16 @@ def theta_candidates_top20(spark, sf_dir):
     return match.substring_candidates(spark.createDataFrame(list(_TOKENS), "query_id long, token string"), names)
 
 
+@query("""WITH q AS (SELECT p_type AS query_id, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS k FROM part GROUP BY 1), w AS (SELECT DISTINCT query_id, unnest(string_split(k || CASE WHEN k LIKE '%brass%' AND k = 'small plated brass' THEN ' gold alloy' ELSE '' END, ' ')) AS token FROM q),
+s AS (SELECT query_id, p_partkey AS name_id, count(*) AS score FROM w JOIN part ON contains(lower(p_name || ' ' || p_brand), token) WHERE token <> '' GROUP BY 1, 2)
+SELECT query_id, name_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_id) AS n FROM s) WHERE n <= 20""")
+def type_candidates(spark, sf_dir):
+    """The parts whose name and brand hold most of the words of a type, one of which has a synonym."""
+    p = table(spark, sf_dir, "part")
+    tokens = match.name_tokens(p.select("p_type").distinct(), "p_type", "p_type", {"SMALL PLATED BRASS": ["gold alloy"]})
+    return match.substring_candidates(tokens, p.select(F.col("p_partkey").alias("name_id"), F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("name")))
+
+
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderpriority = '1-URGENT', o_totalprice, -o_orderkey)) AS best FROM orders GROUP BY 1")
 def best_of_group(spark, sf_dir):
     rank = F.struct(F.col("o_orderpriority") == "1-URGENT", "o_totalprice", -F.col("o_orderkey"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import asyncio
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions.nested import first_non_empty
 from ..functions.text import squeeze, tagged_blocks, yes_no
 from ..operators.sequence import char_chunks
+from ..sources.tables import write_and_read
 
 DIMS = 64
 
@@ -53,6 +55,55 @@ def apply(df: DataFrame, text: str, hook: Callable[[list[str]], list], name: str
     return df.join(answers, text, "left")
 
 
+#: Errors that another try may not meet.
+PASSING = (ConnectionError, TimeoutError, asyncio.TimeoutError)
+ASKED = "prompt string, answer string, error string, tries int, retryable boolean"
+
+
+async def _answers(prompts: list[str], call: Callable[[str], Awaitable[str]], at_once: int, tries: int, seconds: float, pause: float) -> list[tuple]:
+    """(answer, error, tries, retryable) of each prompt; so many are under way at once."""
+    gate = asyncio.Semaphore(at_once)
+
+    async def one(prompt: str) -> tuple:
+        async with gate:
+            for k in range(1, tries + 1):
+                try:
+                    return await asyncio.wait_for(call(prompt), seconds), None, k, None
+                except Exception as e:  # noqa: BLE001 whatever a call raises is its row's error
+                    passing = isinstance(e, PASSING)
+                    if not passing or k == tries:
+                        return None, f"{type(e).__name__}: {e}", k, passing
+                await asyncio.sleep(pause * 2 ** (k - 1))
+        raise AssertionError
+
+    return await asyncio.gather(*[one(p) for p in prompts])
+
+
+def ask(df: DataFrame, prompt: str, call: Callable[[str], Awaitable[str]], *, at_once: int = 16, tries: int = 4, seconds: float = 120.0, pause: float = 1.0, memo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``answer``, and what was asked: prompt, answer, error, tries, retryable.
+
+    ``call`` is a coroutine; a task has ``at_once`` of them under way, tries again what failed in passing,
+    and gives the rest up with its error, so no prompt costs a batch. Each different prompt is asked once,
+    and none that ``memo`` (prompt, answer) knows; what was asked is written before it is used, so nothing
+    is asked again by a later plan. Append its answers to the memo for the next run. Null prompts aren't asked.
+    """
+    new = df.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("prompt")).distinct()
+    if memo is not None:
+        new = new.join(memo.select("prompt"), "prompt", "left_anti")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prompts = batch.column(0).to_pylist()
+            rows = asyncio.run(_answers(prompts, call, at_once, tries, seconds, pause))
+            cells = [pa.array(prompts, pa.string()), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.bool_()))]]
+            yield pa.RecordBatch.from_arrays(cells, ["prompt", "answer", "error", "tries", "retryable"])
+
+    asked = write_and_read(new.mapInArrow(work, ASKED), "asked")
+    known = asked.where("error is null").select("prompt", "answer")
+    known = known if memo is None else known.union(memo.select("prompt", "answer"))
+    return df.join(known.withColumnRenamed("prompt", "_prompt"), F.col(prompt) == F.col("_prompt"), "left").drop("_prompt"), asked
+
+
 def relevance(df: DataFrame, title: str, abstract: str, hook: Callable[[list[str]], list[str]]) -> DataFrame:
     """status of each row: relevant, not_relevant, unclear, or no_abstract for rows with neither text."""
     asked = df.withColumn("_ask", first_non_empty(F.concat_ws(". ", title, abstract), F.col(title)))

@@ -6,11 +6,14 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..functions import variants
+from ..functions.text import truncated
 from ..session import table
-from ..sources import keyed, paged
+from ..sources import keyed, paged, records
 from ..sources.tables import shared_folder
 from ..streaming.incremental import merge_stream
 from .catalogue import query
+from .hooks import ask
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 4) AS value FROM events GROUP BY 1")
@@ -70,3 +73,83 @@ def paged_events(spark, sf_dir):
     merge_stream(spark.readStream.format("loomstone_events").load(), made, shared_folder(spark), name="events")
     made.merge(spark.read.format("loomstone_events").load().where("event_id % 5 = 0"))
     return made.rows()
+
+
+@query("""SELECT click_id, replace(trim(fullkey, '$.'), '.', '_') AS path, CASE WHEN type = 'ARRAY' THEN CASE WHEN key = 'items' THEN replace('[' || array_to_string(list_transform(CAST(t.value AS JSON[]), lambda x: '{"qty":' || (x->>'$.qty') || ',"sku":' || (x->>'$.sku') || '}'), ',') || ']', chr(10), '') ELSE CAST(t.value AS VARCHAR) END ELSE t.value->>'$' END AS text
+FROM (SELECT DISTINCT * FROM clicks) c, json_tree(CASE WHEN json_valid(props) THEN props END) t WHERE type NOT IN ('OBJECT', 'NULL') AND NOT contains(fullkey, '[') AND starts_with(props, '{')""")
+def nested_leaves(spark, sf_dir):
+    """Every leaf of the clicks' JSON, by the names above it; lists as JSON with sorted names."""
+    clicks = table(spark, sf_dir, "clicks").distinct().withColumn("v", F.try_parse_json("props"))
+    keyed_rows = clicks.select(F.struct("click_id", F.xxhash64(*clicks.columns[:-1]).alias("h")).alias("k"), "v")
+    return variants.leaves(keyed_rows, "k", "v").select("k.click_id", "path", "text")
+
+
+@query("""SELECT o_orderkey, '{"id":{"key":' || o_orderkey || ',"customer":' || o_custkey || '},"comment":"' || CASE WHEN length(o_orderpriority) > 6 THEN rtrim(left(o_orderpriority, 6)) || ' ...' ELSE o_orderpriority END || '","missing":null,"lines":' || coalesce(lines, '[]') || '}' AS pruned
+FROM orders LEFT JOIN (SELECT l_orderkey, '[' || string_agg('{"number":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def pruned_records(spark, sf_dir):
+    """Orders with their lines as JSON, cut down to a tree of fields, one of which is clamped."""
+    line = F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # of one order
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    whole = F.to_json(F.struct(
+        F.struct(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status")).alias("id"), F.struct(F.col("o_orderpriority").alias("text"), F.lit("x").alias("other")).alias("notes"),
+        F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"), F.lit("gone").alias("references"),
+    ))
+    v = F.parse_json(whole)
+    tree = {"id": {"key": variants.KEEP, "customer": variants.KEEP}, "notes": {"text": lambda c: truncated(c, 6, " ...")}, "missing": variants.KEEP, "lines": variants.KEEP}
+    made = o.select("o_orderkey", variants.pruned(v, tree).alias("p"))
+    shown = F.struct(F.col("p.id").alias("id"), F.col("p.notes.text").alias("comment"), F.col("p.missing").alias("missing"), F.col("p.lines").alias("lines"))
+    return made.select("o_orderkey", F.to_json(shown, {"ignoreNullFields": "false"}).alias("pruned"))
+
+
+_LINES = """SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'no object' WHEN 3 THEN 'no user' WHEN 4 THEN 'bad value' ELSE '' END AS reason, user_id, value FROM events"""
+
+
+def _parted(spark, sf_dir):
+    """Events written as JSON lines, four of ten broken in one way each, and read again."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    whole = lambda user, value: F.to_json(F.struct(F.col("event_id").alias("id"), user.alias("user"), value.alias("value")))
+    good = whole(F.col("user_id"), F.col("value"))
+    kind = F.col("event_id") % 10
+    line = F.when(kind == 1, F.left(good, F.length(good) - 3)).when(kind == 2, F.col("event_id").cast("string")).when(kind == 3, whole(F.lit(None).cast("long"), F.col("value"))).when(kind == 4, whole(F.col("user_id"), F.lit("much"))).when(kind == 5, F.concat(F.lit(" "), good)).otherwise(good)
+    path = shared_folder(spark)
+    e.select(line.alias("value")).write.text(path)
+    return records.parted_lines(spark, path, "id long, user long, value double", ["id", "user"])
+
+
+@query(f"SELECT event_id AS id, user_id AS user, value FROM ({_LINES}) WHERE reason = ''")
+def good_lines(spark, sf_dir):
+    return _parted(spark, sf_dir)[0].drop("file_name")
+
+
+@query(f"SELECT reason, count(*) AS n, count(*) AS lines FROM ({_LINES}) WHERE reason <> '' GROUP BY 1")
+def bad_lines(spark, sf_dir):
+    """Broken lines by what is wrong with them; each has a file and a line of its own."""
+    bad = _parted(spark, sf_dir)[1]
+    return bad.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("file_name", "line").alias("lines"))
+
+
+@query("""SELECT regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g') || CASE WHEN n > 1 THEN '__' || (n - 1) ELSE '' END || '.txt' AS file_name, octet_length(encode(text)) AS bytes, md5(text) AS digest
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL)""")
+def record_files(spark, sf_dir):
+    """A file for each document, named after its source, read back."""
+    path = shared_folder(spark)
+    records.write_records(table(spark, sf_dir, "documents"), path, F.col("source"), F.col("text"), order="doc_id", ending=".txt")
+    return records.read_records(spark, path).select("file_name", F.length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
+async def word_count(text: str) -> str:
+    """A stand-in for a model: counts words, refuses some texts for good and fails on others."""
+    if len(text) % 11 == 0:
+        raise TimeoutError("busy")
+    if "#" in text:
+        raise ValueError("refused")
+    return str(len(text.split(" ")))
+
+
+@query("""SELECT doc_id, CASE WHEN failed THEN NULL ELSE CAST(len(string_split(text, ' ')) AS VARCHAR) END AS answer, CASE WHEN length(text) % 11 = 0 THEN 'TimeoutError: busy' WHEN failed THEN 'ValueError: refused' END AS error,
+CASE WHEN text IS NULL THEN NULL WHEN length(text) % 11 = 0 THEN 2 ELSE 1 END::INT AS tries FROM (SELECT *, length(text) % 11 = 0 OR contains(text, '#') AS failed FROM documents)""")
+def asked_documents(spark, sf_dir):
+    """Each different text asked once, a bounded number at a time; failures with their errors."""
+    answered, asked = ask(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", word_count, tries=2, pause=0.0)
+    return answered.join(asked.select(F.col("prompt").alias("text"), "error", "tries"), "text", "left").select("doc_id", "answer", "error", "tries")

@@ -162,3 +162,26 @@ def test_numbers_of_nulls_ties_and_nothing(spark):
     assert sorted((r.g or "", r.nth) for r in got) == [("", 0), ("", 1), ("a", 0), ("a", 1), ("a", 2)]
     assert sorted(r.global_id for r in sequence.global_id(rows, ["g", "id"]).collect()) == [1, 2, 3, 4, 5]
     assert sequence.number_in_group(rows.limit(0), "g", "id", "nth").count() == sequence.global_id(rows.limit(0), ["g"]).count() == 0
+
+
+def test_patterns_in_blocks(spark, monkeypatch):
+    from loomstone.operators import patterns
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    texts = [(k, "".join(rng.choice("abé ") for _ in range(rng.randrange(0, 40)))) for k in range(80)] + [(900, None), (901, ""), (5, "ab")]
+    df, wanted = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w,) for w in [*words, "", None]], "pattern string")
+    want = sorted((i, w) for i, t in texts if t for w in {w for w in words if w in t})
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(patterns, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, patterns.found_in(df, wanted).collect())) == want
+    assert patterns.found_in(df, wanted.limit(0)).count() == 0
+
+
+def test_candidates_of_records_with_several_names(spark):
+    names = spark.createDataFrame([(1, "tamoxifen citrate"), (1, "citrate"), (2, "tamox"), (3, "nolvadex"), (4, None)], "name_id long, name string")
+    asked = spark.createDataFrame([("Tamoxifen (citrate)",), ("X",)], "n string")
+    tokens = match.name_tokens(asked, "n", "n", {"tamoxifen (citrate)": ["Nolvadex"]})
+    assert sorted(map(tuple, tokens.collect())) == [("Tamoxifen (citrate)", "citrate"), ("Tamoxifen (citrate)", "nolvadex"), ("Tamoxifen (citrate)", "tamoxifen"), ("X", "x")]
+    got = sorted(map(tuple, match.substring_candidates(tokens, names, most=2).collect()))
+    assert got == [("Tamoxifen (citrate)", 1, 2), ("Tamoxifen (citrate)", 3, 1), ("X", 1, 1), ("X", 2, 1)]

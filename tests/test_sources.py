@@ -150,3 +150,90 @@ def test_articles_are_typed():
     decode = paged.decoder(_parse_datatype_string(paged.ARTICLE), paged.ARTICLE_PATHS)
     assert decode({"id": 5, "source": "MED", "title": "T", "citedByCount": "7", "isOpenAccess": "N"}) == ("5", "MED", "T", None, None, None, None, None, 7, False)
     assert decode({"id": "x", "authorString": "A B", "pubYear": "2020", "citedByCount": None, "isOpenAccess": "Y", "doi": "d"})[3:] == ("A B", None, "2020", None, "d", None, True)
+
+
+def test_leaves_of_any_depth(spark):
+    from loomstone.functions import variants
+
+    deep = {"x": 1}
+    for k in range(30):
+        deep = {f"k{k}": deep, "n": None}
+    objects = [{"b": {"c": [2, {"z": 1, "a": None}], "d": True}, "a": "t", "e": None, "f": {}, "g": 1.5}, deep, [1], "s", {}, {"a_b": 1, "a": {"b": "other"}}]
+    df = spark.createDataFrame([(k, json.dumps(o)) for k, o in enumerate(objects)] + [(99, None), (98, "{broken")], "id long, j string").withColumn("v", F.try_parse_json("j"))
+
+    def flat(o, above=""):
+        for k, x in o.items():
+            if isinstance(x, dict):
+                yield from flat(x, f"{above}{k}_")
+            elif x is not None:
+                yield (above + k, json.dumps(x, separators=(",", ":"), sort_keys=True) if isinstance(x, (list, bool)) else str(x))
+
+    got = sorted((r.id, r.path, r.text) for r in variants.leaves(df, "id", "v").collect())
+    assert got == sorted((k, *leaf) for k, o in enumerate(objects) if isinstance(o, dict) for leaf in flat(o))
+    names = variants.flat_json(df.where("id = 0"), "id", "v").select(F.map_keys("flat").alias("k")).first().k
+    assert names == ["a", "b_c", "b_d", "g"]
+    tree = {"b": {"c": variants.KEEP, "q": variants.KEEP}, "a": lambda c: F.upper(c)}
+    made = {r.id: r.p for r in df.where("id IN (0, 2, 99)").select("id", variants.pruned_json(F.col("v"), tree).alias("p")).collect()}
+    assert json.loads(made[0]) == {"b": {"c": [2, {"a": None, "z": 1}], "q": None}, "a": "T"} and json.loads(made[2]) == json.loads(made[99]) == {"b": {"c": None, "q": None}, "a": None}
+
+
+def test_bad_lines_are_numbered(spark, tmp_path):
+    from loomstone.sources import records
+
+    lines = ['{"a": 1, "b": "x"}', "", '{"a": "no", "b": "y"}', '{"b": "z"}', "[1]", "{", '{"a": 2}', '{"a": null, "b": 3}'] * 400
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in" / "g.jsonl").write_text("nope\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # parts of a file are read apart
+    try:
+        good, bad = records.parted_lines(spark, str(tmp_path / "in"), "a int, b string", ["a"])
+        assert sorted((r.a, r.b or "") for r in good.collect()) == sorted([(1, "x"), (2, "")] * 400)
+        found = {(r.file_name, r.line): (r.reason, r.value) for r in bad.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    why = {2: "bad a", 3: "no a", 4: "no object", 5: "not JSON", 7: "no a"}
+    assert found == {("f.jsonl", k + 1): (why[k % 8], line) for k, line in enumerate(lines) if k % 8 in why} | {("g.jsonl", 1): ("not JSON", "nope")}
+    assert {(r.file_name, r.reason): r.n for r in records.bad_counts(bad).collect()}["f.jsonl", "no a"] == 800
+
+
+def test_files_of_records_are_all_there_or_none(spark, tmp_path):
+    from loomstone.sources import records
+
+    path = tmp_path / "out"
+    rows = [(k, f"Name {k % 3}!", f"text {k} é") for k in range(20)] + [(50, None, "unnamed"), (51, "null", None), (52, "  ", "")]
+    df = spark.createDataFrame(rows, "id long, n string, t string").repartition(3)
+    names = {r.id: r.file_name for r in records.write_records(df, str(path), F.col("n"), F.col("t"), order="id", ending=".md").collect()}
+    assert names[0] == "name_0.md" and names[3] == "name_0__1.md" and names[50] == "unnamed.md" and names[52] == "unnamed__1.md" and 51 not in names
+    got = {r.file_name: bytes(r.content).decode() for r in records.read_records(spark, str(path)).collect()}
+    assert got == {names[i]: t for i, _, t in rows if t} and [p.stat().st_size for p in path.glob("*/unnamed__1.md")] == [0]
+    broken = spark.range(0, 40, 1, 4).select(F.concat(F.lit("r"), "id").alias("name"), F.when(F.col("id") < 39, F.col("id").cast("string").cast("binary")).otherwise(F.raise_error(F.lit("midway"))).alias("content"))
+    with pytest.raises(Exception, match="midway"):
+        broken.write.format("loomstone_record_files").mode("append").option("path", str(path)).save()
+    assert {r.file_name for r in records.read_records(spark, str(path)).collect()} == set(got)
+    assert all(p.name.startswith(("job-", "_job-")) for p in path.iterdir())  # what late attempts leave, readers don't see
+
+
+def test_asking_once_a_few_at_a_time(spark, tmp_path):
+    from loomstone.plans import hooks
+
+    log = str(tmp_path / "log")
+
+    async def call(prompt):
+        import asyncio
+
+        with open(log, "a") as f:
+            f.write(prompt + "\n")
+        await asyncio.sleep(0.001)
+        if prompt == "busy":
+            raise ConnectionError("busy")
+        if prompt == "odd":
+            raise ValueError("odd")
+        return prompt.upper()
+
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "b", "a", "busy", "odd", None, "known", "b"])], "id long, p string")
+    memo = spark.createDataFrame([("known", "K")], "prompt string, answer string")
+    answered, asked = hooks.ask(df, "p", call, at_once=2, tries=3, pause=0.0, memo=memo)
+    assert {r.id: r.answer for r in answered.collect()} == {0: "A", 1: "B", 2: "A", 3: None, 4: None, 5: None, 6: "K", 7: "B"}
+    assert {r.prompt: (r.error, r.tries, r.retryable) for r in asked.collect() if r.error} == {"busy": ("ConnectionError: busy", 3, True), "odd": ("ValueError: odd", 1, False)}
+    assert sorted(open(log).read().split()) == ["a", "b", "busy", "busy", "busy", "odd"]
