@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import truncated
+
 ELEMENT = "at int, parent int, name string, path string, above array<int>, attributes map<string,string>, text string, tight string"
 
 
@@ -60,7 +62,7 @@ def elements(df: DataFrame, key: str, xml: str) -> DataFrame:
     return df.select(key, xml).mapInArrow(parse, f"{key} {kind}, {ELEMENT}")
 
 
-def _in_order(value: Column, at: Column, joint: str) -> Column:
+def in_order(value: Column, at: Column, joint: str) -> Column:
     """The values of a group, in order, as one text."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), value.alias("v")))), lambda x: x["v"]), joint)
 
@@ -136,7 +138,7 @@ def title_and_abstract(rows: DataFrame, key: str) -> DataFrame:
     name = F.col("name")
     found = first_text(rows, key, {"t0": core & (name == "title"), "t1": name == "title", "a0": core & (name == "description"), "a1": name == "description", "a3": name == "abstract"})
     first = rows.where("name = 'abstract'").groupBy(key).agg(F.min("at").alias("_abstract"))
-    paras = _some(rows.where(name.isin("simple-para", "para", "p"))).join(first, key).where(F.array_contains("above", F.col("_abstract"))).groupBy(key).agg(_in_order(F.col("text"), F.col("at"), " ").alias("a2"))
+    paras = _some(rows.where(name.isin("simple-para", "para", "p"))).join(first, key).where(F.array_contains("above", F.col("_abstract"))).groupBy(key).agg(in_order(F.col("text"), F.col("at"), " ").alias("a2"))
     met = rows.select(key).distinct().join(found, key, "left").join(paras, key, "left")
     return met.select(key, F.coalesce("t0", "t1", F.lit("")).alias("title"), F.coalesce("a0", "a1", "a2", "a3", F.lit("")).alias("abstract"))
 
@@ -151,18 +153,21 @@ def body_text(rows: DataFrame, key: str) -> DataFrame:
     inside = F.rlike("path", F.lit(r"/article/body/(?:sections/)?section(?:/section)*/(?:para|section-title)$"))
     own = _some(rows.where(inside))
     titles = own.where("name = 'section-title'").groupBy(key, F.col("parent").alias("at")).agg(F.min_by("text", "at").alias("text"))
-    return own.where("name = 'para'").select(key, "at", "text").union(titles.select(key, "at", "text")).groupBy(key).agg(_in_order(F.col("text"), F.col("at"), "\n\n").alias("body"))
+    return own.where("name = 'para'").select(key, "at", "text").union(titles.select(key, "at", "text")).groupBy(key).agg(in_order(F.col("text"), F.col("at"), "\n\n").alias("body"))
 
 
 def abstract_text(rows: DataFrame, key: str) -> DataFrame:
-    """key, abstract: blocks of an article head's abstracts, a section's title and paragraphs as lines of one block."""
+    """key, abstract: blocks of an article head's abstracts, a section's title and paragraphs as lines of one block;
+    without any, the description in the core data."""
     at_top = F.rlike("path", F.lit(r"/article/head/abstract/(?:simple-para|para)$"))
     in_section = F.rlike("path", F.lit(r"/article/head/abstract/abstract-sec/(?:simple-para|para|section-title)$"))
     own = _some(rows.where(at_top | in_section)).withColumn("block", F.when(in_section, F.col("parent")).otherwise(F.col("at")))
     title = (F.col("name") == "section-title").cast("int")
     own = own.withColumn("nth", F.row_number().over(Window.partitionBy(key, "block", "name").orderBy("at"))).where("name <> 'section-title' or nth = 1")
-    blocks = own.groupBy(key, "block").agg(_in_order(F.col("text"), F.struct((-title).alias("t"), "at"), "\n").alias("text"))
-    return blocks.groupBy(key).agg(_in_order(F.col("text"), F.col("block"), "\n\n").alias("abstract"))
+    blocks = own.groupBy(key, "block").agg(in_order(F.col("text"), F.struct((-title).alias("t"), "at"), "\n").alias("text"))
+    made = blocks.groupBy(key).agg(in_order(F.col("text"), F.col("block"), "\n\n").alias("made"))
+    core = first_text(rows, key, {"core": F.rlike("path", F.lit(r"^/[^/]+/coredata/description$"))})
+    return made.join(core, key, "full_outer").select(key, F.coalesce("made", "core").alias("abstract")).where("abstract is not null")
 
 
 def table_texts(rows: DataFrame, key: str, *, most_rows: int = 250) -> DataFrame:
@@ -170,12 +175,12 @@ def table_texts(rows: DataFrame, key: str, *, most_rows: int = 250) -> DataFrame
     tables = rows.where("name = 'table'").select(key, F.col("at").alias("table"))
     child = lambda name, to: _first_child(rows, key, name, to).withColumnRenamed("parent", "table")
     cells = rows.where("name = 'entry'").select(key, F.col("parent").alias("row"), "at", F.when(F.col("text") == "", " ").otherwise(F.col("text")).alias("cell"), (F.col("text") != "").alias("full"))
-    lines = cells.groupBy(key, "row").agg(_in_order(F.col("cell"), F.col("at"), " | ").alias("line"), F.max("full").alias("full")).where("full")
+    lines = cells.groupBy(key, "row").agg(in_order(F.col("cell"), F.col("at"), " | ").alias("line"), F.max("full").alias("full")).where("full")
     of_table = rows.where("name = 'row'").select(key, F.col("at").alias("row"), F.explode("above").alias("table")).join(tables, [key, "table"]).join(lines, [key, "row"])
     of_table = of_table.withColumn("nth", F.row_number().over(Window.partitionBy(key, "table").orderBy("row"))).where(F.col("nth") <= most_rows)
-    grid = of_table.groupBy(key, "table").agg(_in_order(F.col("line"), F.col("row"), "\n").alias("grid"), F.max("nth").alias("lines"))
+    grid = of_table.groupBy(key, "table").agg(in_order(F.col("line"), F.col("row"), "\n").alias("grid"), F.max("nth").alias("lines"))
     grid = grid.withColumn("grid", F.when(F.col("lines") >= most_rows, F.concat("grid", F.lit("\n[table truncated]"))).otherwise(F.col("grid")))
-    notes = _some(rows.where("name = 'table-footnote'")).groupBy(key, F.col("parent").alias("table")).agg(_in_order(F.col("text"), F.col("at"), "\n").alias("notes"))
+    notes = _some(rows.where("name = 'table-footnote'")).groupBy(key, F.col("parent").alias("table")).agg(in_order(F.col("text"), F.col("at"), "\n").alias("notes"))
     met = tables
     for part in (child("label", "label"), child("caption", "caption"), child("legend", "legend"), grid, notes):
         met = met.join(part, [key, "table"], "left")
@@ -184,12 +189,25 @@ def table_texts(rows: DataFrame, key: str, *, most_rows: int = 250) -> DataFrame
     return met.select(key, "table", text.alias("text")).where("text <> ''")
 
 
+def panel_texts(rows: DataFrame, key: str) -> DataFrame:
+    """key, panel (its place), text of each text box: label and caption, and the lines of its paragraphs."""
+    panels = rows.where("name = 'textbox'").select(key, F.col("at").alias("panel"))
+    child = lambda name: _first_child(rows, key, name, name).withColumnRenamed("parent", "panel")
+    inside = _some(rows.where("name = 'para'")).select(key, "at", "text", F.explode("above").alias("panel")).join(panels, [key, "panel"])
+    paras = inside.groupBy(key, "panel").agg(in_order(F.col("text"), F.col("at"), "\n").alias("paras"))
+    met = panels
+    for part in (child("label"), child("caption"), paras):
+        met = met.join(part, [key, "panel"], "left")
+    text = F.concat_ws("\n\n", F.nullif(F.concat_ws(": ", "label", "caption"), F.lit("")), "paras")
+    return met.select(key, "panel", text.alias("text")).where("text <> ''")
+
+
 def fallback_text(rows: DataFrame, key: str, names: tuple[str, ...] = ("title", "abstract", "section-title", "para", "simple-para")) -> DataFrame:
     """key, text: texts of elements of these names, name by name, the first of equal ones (by case-folded text)."""
     rank = F.array_position(F.array(*map(F.lit, names)), F.col("name"))
     own = _some(rows.where(F.col("name").isin(*names))).select(key, F.struct(rank.alias("rank"), "at").alias("place"), "text", F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")).alias("folded"))
     first = own.groupBy(key, "folded").agg(F.min("place").alias("place"), F.min_by("text", "place").alias("text"))
-    return first.groupBy(key).agg(_in_order(F.col("text"), F.col("place"), "\n\n").alias("text"))
+    return first.groupBy(key).agg(in_order(F.col("text"), F.col("place"), "\n\n").alias("text"))
 
 
 def full_text(title: Column, journal: Column, doi: Column, abstract: Column, body: Column, tables: Column, panels: Column) -> Column:
@@ -213,10 +231,10 @@ def journal_text(rows: DataFrame, key: str) -> DataFrame:
     inside = body.where("name in ('p', 'title')").select(key, "at", "name", "text", F.explode("above").alias("sec")).join(sections, [key, "sec"])
     inside = inside.withColumn("nth", F.row_number().over(Window.partitionBy(key, "sec", "name").orderBy("at"))).where("name = 'p' or nth = 1")
     order = F.struct("sec", (F.col("name") == "p").alias("p"), "at")
-    with_sections = inside.groupBy(key).agg(_in_order(F.col("text"), order, "\n\n").alias("sectioned"))
-    plain = body.where("name = 'p'").groupBy(key).agg(_in_order(F.col("text"), F.col("at"), "\n\n").alias("plain"))
+    with_sections = inside.groupBy(key).agg(in_order(F.col("text"), order, "\n\n").alias("sectioned"))
+    plain = body.where("name = 'p'").groupBy(key).agg(in_order(F.col("text"), F.col("at"), "\n\n").alias("plain"))
     title = first_text(rows, key, {"title": F.col("name") == "article-title"})
-    abstract = _some(rows.where("name = 'abstract'")).groupBy(key).agg(_in_order(F.col("text"), F.col("at"), "\n\n").alias("abstract"))
+    abstract = _some(rows.where("name = 'abstract'")).groupBy(key).agg(in_order(F.col("text"), F.col("at"), "\n\n").alias("abstract"))
     met = rows.select(key).distinct()
     for part in (title, abstract, with_sections, plain):
         met = met.join(part, key, "left")
@@ -244,10 +262,10 @@ def classifier_signals(rows: DataFrame, key: str, *, keywords: int = 12, abstrac
     listed = lambda fits, to: _some(rows.where(fits)).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias(to))
     abstracts = rows.where("name = 'abstract'").where(~F.try_element_at("attributes", F.lit("abstract-type")).eqNullSafe("graphical")).select(key, F.col("at").alias("block"))
     parts = _some(rows.where("name in ('title', 'p')")).select(key, "at", F.when(F.col("name") == "title", F.upper("text")).otherwise(F.col("text")).alias("text"), F.explode("above").alias("block")).join(abstracts, [key, "block"])
-    blocks = parts.groupBy(key, "block").agg(_in_order(F.col("text"), F.col("at"), " ").alias("text")).groupBy(key).agg(F.left(_in_order(F.col("text"), F.col("block"), " | "), F.lit(abstract_chars)).alias("abstract"))
+    blocks = parts.groupBy(key, "block").agg(in_order(F.col("text"), F.col("at"), " ").alias("text")).groupBy(key).agg(truncated(in_order(F.col("text"), F.col("block"), " | "), abstract_chars, "...").alias("abstract"))
     heads = rows.where("name = 'title'").groupBy(key, F.col("parent").alias("at")).agg(F.min_by("text", "at").alias("head"))
     is_method = F.contains(F.lower(F.coalesce(F.try_element_at("attributes", F.lit("sec-type")), F.lit(""))), F.lit("method")) | F.contains(F.lower(F.coalesce("head", F.lit(""))), F.lit("method"))
-    methods = rows.where("name = 'sec'").join(heads, [key, "at"], "left").where(is_method).groupBy(key).agg(F.left(F.min_by("text", "at"), F.lit(methods_chars)).alias("methods"))
+    methods = rows.where("name = 'sec'").join(heads, [key, "at"], "left").where(is_method).groupBy(key).agg(truncated(F.min_by("text", "at"), methods_chars, "...").alias("methods"))
     met = rows.select(key).distinct()
     for part in (one, kind, listed(F.rlike("path", F.lit("/subj-group/(?:.*/)?subject$")), "categories"), listed(F.col("name") == "kwd", "keywords"), blocks, methods):
         met = met.join(part, key, "left")

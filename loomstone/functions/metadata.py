@@ -99,19 +99,26 @@ def trial_metadata(study: Column, stem: Column) -> Column:
     return F.struct(F.coalesce(get("identificationModule", "officialTitle"), get("identificationModule", "nctId"), stem).alias("title"), F.coalesce(*years).alias("year"))
 
 
-def seed_summary(record: Column, most: int = 4000, curated: str = "curated_fields") -> Column:
-    """A seed record's JSON as one flat struct: names, metadata, curated fields (under the key ``curated``), and long texts cut to ``most``."""
-    # a list gives its first non-blank text
-    def first(path: str) -> Column:
-        raw = F.get_json_object(record, path)
-        listed = F.element_at(F.filter(F.from_json(F.when(F.startswith(F.ltrim(raw), F.lit("[")), raw), "array<string>"), lambda x: F.trim(x) != ""), 1)
+def seed_summary(record: Column, number: Column, most: int = 4000, curated: str = "curated_fields") -> Column:
+    """A seed record's JSON as one flat struct of 35 fields: its number, names, metadata, curated fields (under the key
+    ``curated``), and long texts cut to ``most``; without a file name it is named after its number."""
+
+    def at(path: str) -> Column:
+        return F.get_json_object(record, path)
+
+    def first(path: str) -> Column:  # a list gives its first non-blank text
+        raw = at(path)
+        listed = F.try_element_at(F.filter(F.from_json(F.when(F.startswith(F.ltrim(raw), F.lit("[")), raw), "array<string>"), lambda x: F.trim(x) != ""), F.lit(1))
         return F.trim(F.coalesce(F.when(~F.startswith(F.ltrim(raw), F.lit("[")), raw), listed, F.lit("")))
 
     own = [first(f"$.{curated}.{n}").alias(n) for n in SEED_FIELDS]
     texts = [truncated(squeeze(first(f"$.{curated}.{n}")), most, " ...[truncated]").alias(n) for n in SEED_TEXTS]
     meta = [first(f"$.metadata.{n}").alias(n) for n in SEED_METADATA]
-    names = [first(f"$.{curated}.generic_name").alias("generic_name"), first(f"$.{curated}.brand_names").alias("brand_name")]
-    return F.struct(*names, *meta, *own, *texts, F.coalesce(F.get_json_object(record, "$.metadata.metadata_match_candidates").try_cast("int"), F.lit(0)).alias("metadata_match_candidates"))
+    file_name = F.coalesce(F.nullif(first("$.metadata.file_name"), F.lit("")), F.concat(F.lit("record_"), number.cast("string"), F.lit(".json")))
+    brands = F.coalesce(F.from_json(at(f"$.{curated}.brand_names"), "array<string>"), F.array().cast("array<string>"))
+    names = [file_name.alias("file_name"), first(f"$.{curated}.generic_name").alias("generic_name"), first(f"$.{curated}.brand_names").alias("brand_name"), brands.alias("brand_names")]
+    count = F.coalesce(at("$.metadata.metadata_match_candidates").try_cast("int"), F.lit(0)).alias("metadata_match_candidates")
+    return F.struct(number.alias("record_index"), *names, *meta, *own, *texts, at("$.metadata.reviewed").try_cast("boolean").alias("reviewed"), count)
 
 
 def display_text(fields: dict[str, Column], factoid: Column) -> Column:

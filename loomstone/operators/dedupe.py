@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from ..sources.tables import write_and_read
 from .match import keep_first
 
 
@@ -23,9 +24,10 @@ def dedupe_by_key(df: DataFrame, key: Column, order: str, within: list[str] | No
 def duplicate_report(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """canonical_id, duplicate_id, members: a row for each id after the first of its group.
 
-    Groups are counted with partial aggregation and met by a join, so no row or task holds a group.
+    Keys are computed and written once; groups are counted with partial aggregation and met by a join, so
+    no row or task holds a group.
     """
-    keyed = df.select(F.col(id_col).alias("duplicate_id"), key.alias("_key"))
+    keyed = write_and_read(df.select(F.col(id_col).alias("duplicate_id"), key.alias("_key")), "keyed")
     groups = keyed.groupBy("_key").agg(F.min("duplicate_id").alias("canonical_id"), F.count("*").alias("members")).where("members > 1")
     return keyed.join(groups, "_key").where("duplicate_id > canonical_id").select("canonical_id", "duplicate_id", "members")
 

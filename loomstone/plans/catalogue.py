@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import audit, dedupe, match, sequence, vector
+from ..operators import audit, dedupe, match, patterns, sequence, vector
 from ..session import table
+from .expected import LICENSE_SQL as _LICENSE_SQL
+from .expected import VERSION_SQL as _VERSION_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-_LICENSE_SQL = "CASE WHEN contains(t, 'pmc open access subset') AND (" + " OR ".join(f"contains(t, '{x}')" for x in rules.TEMPORARY_TEXTS) + ") THEN 'PMC_OPEN_ACCESS_TEMP' " + " ".join("WHEN " + " OR ".join(f"contains(t, '{x}')" for x in texts) + f" THEN '{label}'" for label, texts in rules.LICENSE_TEXTS) + " ELSE 'UNKNOWN' END"
 _SQUEEZE = r"trim(regexp_replace(text, '[\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}\x{000b}]+', ' ', 'g'))"
 _KEY = f"replace(lower({_SQUEEZE}), 'ß', 'ss')"
 _NAME_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
@@ -77,9 +78,6 @@ def license_histogram(spark, sf_dir):
     return audit.histogram(table(spark, sf_dir, "documents"), rules.article_license(F.col("text")))
 
 
-_VERSION_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_extract(t, '{p}', 1) IN ('1.0','2.0','2.5','3.0','4.0') THEN regexp_extract(t, '{p}', 1) END" for p in rules.VERSION_PATTERNS) + ")"
-
-
 @query(f"SELECT doc_id, 'CC_BY_NC_' || coalesce(replace({_VERSION_SQL}, '.', '_'), 'UNSPECIFIED') AS label FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def license_refine_version(spark, sf_dir):
     t = F.col("text")
@@ -99,10 +97,15 @@ _RECORDS = (
 )
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, label FROM (VALUES " + ", ".join(f"({r[0]}, '{r[6]}')" for r in _RECORDS) + ") v(id, label)")
+@query("SELECT p_partkey AS id, CASE p_size % 9 " + " ".join(f"WHEN {r[0] - 1} THEN '{r[6]}'" for r in _RECORDS) + " END AS label FROM part")
 def license_rule_b(spark, sf_dir):
-    made = spark.createDataFrame([(r[0], r[1], list(r[2]), list(r[3]), list(r[4]), list(r[5])) for r in _RECORDS], "id long, raw string, own array<string>, kept array<string>, is_open array<string>, archive array<string>")
-    return made.select("id", rules.publisher_license(*map(F.col, ("raw", "own", "kept", "is_open", "archive"))).alias("label"))
+    """A publisher's license fields of one of nine kinds, by the part's size, with the part's name in the text."""
+    listed = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    kind = F.col("p_size") % len(_RECORDS)
+    chosen = lambda make: F.coalesce(*[F.when(kind == r[0] - 1, make(r)) for r in _RECORDS])
+    raw = chosen(lambda r: F.concat(F.lit(r[1]), F.lit(" "), "p_name"))
+    fields = [chosen(lambda r, k=k: listed(r[k])) for k in (2, 3, 4, 5)]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), rules.publisher_license(raw, *fields).alias("label"))
 
 
 @query("""WITH d(level, label) AS (VALUES (1, 'Guidelines'), (2, 'Regulatory documents'), (3, 'Systematic reviews and meta-analyses'), (4, 'Randomized clinical trials'),
@@ -233,10 +236,16 @@ def dedupe_report(spark, sf_dir):
 a AS (SELECT * FROM d WHERE NOT known), b AS (SELECT * FROM d WHERE known), h AS (SELECT h, min(doc_id) AS m FROM b GROUP BY 1), t AS (SELECT k, min(doc_id) AS m FROM b WHERE k <> '' GROUP BY 1)
 SELECT doc_id, coalesce(h.m, t.m) AS other_id, CASE WHEN h.m IS NOT NULL THEN 'doi' WHEN t.m IS NOT NULL THEN 'title' ELSE 'none' END AS match_type FROM a LEFT JOIN h USING (h) LEFT JOIN t USING (k)""")
 def cross_source_match(spark, sf_dir):
-    """Documents without labels that say what a labelled one says: the same text, or the same letters and digits."""
+    """Documents without labels that say what a labelled one says: the same text, or the same letters and digits.
+
+    Both keys of a text are computed in one read and written; only they are joined.
+    """
+    from ..sources.tables import write_and_read
+
     known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
     key = text.title_key(F.col("text"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), F.when(key != "", F.sha2(key, 256)).alias("k")).join(known, "doc_id", "left")
+    keys = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5("text")).alias("h"), F.when(key != "", F.unhex(F.md5(key))).alias("k"))
+    d = write_and_read(keys.join(known, "doc_id", "left"), "keys")
     side = lambda key: d.where(F.col("known") & F.col(key).isNotNull()).groupBy(key).agg(F.min("doc_id").alias("other_id"))
     out = match.first_of_keys(d.where("known is null"), [("doi", side("h"), "h", "h"), ("title", side("k"), "k", "k")], "other_id")
     return out.select("doc_id", "other_id", "match_type")
@@ -501,18 +510,10 @@ def curated_overview(spark, sf_dir):
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def benchmark_overlap(spark, sf_dir):
-    """Documents that contain an item word for word; items have six words or more.
-
-    An item's second to fifth words stand whole in any text that contains it, so they are the key of the
-    join, and only what shares them is searched.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    items = items.withColumn("key", F.xxhash64(F.array_join(F.slice(F.split("item", r"\s+"), 2, 4), " ")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w")).where(F.size("w") > 4)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " "))))
-    hits = docs.select("doc_id", F.explode(grams).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    met = hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id")
-    return met.where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    """Documents that contain an item word for word: all items are searched in one read of the texts, which stay where they are."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("pattern"))
+    hits = patterns.found_in(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), items)
+    return hits.join(items, "pattern").select(F.col("id").alias("doc_id"), "item_id")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN len(string_split(text, chr(10))) >= 5 THEN list_concat(string_split(text, chr(10))[1:5], ['[table truncated]']) ELSE string_split(text, chr(10)) END AS rows FROM conversations""")

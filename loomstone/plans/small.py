@@ -1,10 +1,11 @@
 """More of the query catalogue: articles in XML, metadata of records, counts, limits and lookups, each with its SQL.
 
-Queries on XML and JSON have a few literal documents and their results written out, as DuckDB reads neither.
+Queries on XML and JSON make a document of each part from a template; SQL makes the answer from the columns.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import elements as xml
@@ -13,66 +14,150 @@ from ..operators import audit, dedupe
 from ..session import table
 from .catalogue import query
 
+#: What stands for a part's columns in the templates of documents and of their answers.
+PLACES = {"@K": "CAST(p_partkey AS VARCHAR)", "@N": "p_name", "@B": "p_brand", "@T": "p_type", "@U": "upper(p_name)", "@Y": "CAST(2000 + p_size AS VARCHAR)"}
+
+
+def _filled(template: str) -> Column:
+    """A template with the columns of a part."""
+    out = F.lit(template)
+    for place, column in PLACES.items():
+        out = F.replace(out, F.lit(place), F.expr(column.replace("VARCHAR", "STRING")))
+    return out
+
+
+def _sql(template: str) -> str:
+    """The same in SQL."""
+    out = "'" + template.replace("'", "''") + "'"
+    for place, column in PLACES.items():
+        out = f"replace({out}, '{place}', {column})"
+    return out
+
+
 PUBLISHED = """<full-text-retrieval-response xmlns="http://p/svapi" xmlns:dc="http://dc" xmlns:ce="http://ce" xmlns:xlink="http://x" openaccessArticle="true">
-<coredata><dc:title> A  <i>tit</i>le </dc:title><dc:description>Core text</dc:description><openaccess>1</openaccess><openaccessUserLicense>http://creativecommons.org/licenses/by/4.0/</openaccessUserLicense></coredata>
-<originalText><doc><ce:doi>10.1/AB</ce:doi><title>A title</title><article><head><ce:abstract><ce:abstract-sec><ce:section-title>Aims</ce:section-title><ce:simple-para>One.</ce:simple-para><ce:simple-para>Two.</ce:simple-para></ce:abstract-sec></ce:abstract></head>
-<body><ce:sections><ce:section><ce:section-title>First</ce:section-title><ce:para>Alpha <b>beta</b>.</ce:para><ce:section><ce:section-title>Inner</ce:section-title><ce:para>Gamma.</ce:para></ce:section><ce:para>Delta.</ce:para></ce:section></ce:sections></body>
-<ce:table><ce:label>Table 1</ce:label><ce:caption>Doses</ce:caption><row><entry>a</entry><entry></entry></row><row><entry></entry><entry></entry></row><row><entry>b</entry><entry>c</entry></row><ce:legend>mg</ce:legend><ce:table-footnote>none</ce:table-footnote></ce:table>
-<ce:copyright>Them</ce:copyright><license xlink:href="https://creativecommons.org/licenses/by/4.0/">CC BY</license></article></doc></originalText></full-text-retrieval-response>"""
-BARE = """<r doi="10.2/x"><abstract><para>P one</para><para>p ONE</para></abstract><copyright>Me</copyright></r>"""
-JOURNAL = """<article article-type="review-article" xmlns:x="u"><front><journal-title>J</journal-title><article-title>T <i>x</i></article-title><subj-group><subject>Cat</subject></subj-group><kwd-group><kwd>k1</kwd><kwd>k2</kwd></kwd-group>
-<abstract><title>Aim</title><p>Find it.</p></abstract><abstract abstract-type="graphical"><p>No</p></abstract></front><body><p>Lead.</p><sec sec-type="intro"><title>Intro</title><p>One.</p><sec><title>Deep</title><p>Two.</p><fig><p>Gone.</p></fig></sec><p>Three.</p></sec><sec><title>Methods used</title><p>Four.</p></sec></body></article>"""
-BROKEN = "<a><b></a>"
+<coredata><dc:title> @N  <i>tit</i>le </dc:title><dc:description>Core @T</dc:description><openaccess>1</openaccess><openaccessUserLicense>http://creativecommons.org/licenses/by/4.0/</openaccessUserLicense></coredata>
+<originalText><doc><ce:doi>10.1/@K</ce:doi><title>@N title</title><article><head><ce:abstract><ce:abstract-sec><ce:section-title>Aims</ce:section-title><ce:simple-para>One @B.</ce:simple-para><ce:simple-para>Two.</ce:simple-para></ce:abstract-sec></ce:abstract></head>
+<body><ce:sections><ce:section><ce:section-title>First</ce:section-title><ce:para>Alpha <b>@T</b>.</ce:para><ce:section><ce:section-title>Inner @N</ce:section-title><ce:para>Gamma.</ce:para></ce:section><ce:para>Delta.</ce:para></ce:section></ce:sections></body>
+<ce:table><ce:label>Table 1</ce:label><ce:caption>Doses of @B</ce:caption><row><entry>@K</entry><entry></entry></row><row><entry></entry><entry></entry></row><row><entry>b</entry><entry>c</entry></row><ce:legend>mg</ce:legend><ce:table-footnote>none</ce:table-footnote></ce:table>
+<ce:textbox><ce:label>Box</ce:label><ce:caption>Key @T</ce:caption><ce:para>Boxed.</ce:para></ce:textbox>
+<ce:copyright>@B</ce:copyright><license xlink:href="https://creativecommons.org/licenses/by/4.0/">CC BY</license></article></doc></originalText></full-text-retrieval-response>"""
+BARE = """<r doi="10.2/@K"><abstract><para>P @N</para><para>p @U</para></abstract><copyright>@T</copyright></r>"""
+BROKEN = "<a><b>@K</a>"
+JOURNAL = """<article article-type="review-article" xmlns:x="u"><front><journal-title>J @B</journal-title><article-title>@N <i>x</i></article-title><subj-group><subject>@T</subject></subj-group><kwd-group><kwd>k@K</kwd><kwd>k2</kwd></kwd-group>
+<abstract><title>Aim</title><p>Find @N.</p></abstract><abstract abstract-type="graphical"><p>No</p></abstract></front><body><p>Lead.</p><sec sec-type="intro"><title>Intro</title><p>One @B.</p><sec><title>Deep</title><p>Two.</p><fig><p>Gone.</p></fig></sec><p>Three.</p></sec><sec><title>Methods used</title><p>Four @K.</p></sec></body></article>"""
+NOTE = """<article article-type="@T"><front><article-title>@N</article-title></front><body><p>Lead @B.</p><p>More.</p></body></article>"""
+
+
+def _articles(spark, sf_dir, even: str, odd: str):
+    """An article of each part: a template for even sizes, another for odd ones, a broken text for every tenth size."""
+    body = F.when(F.col("p_size") % 10 == 9, _filled(BROKEN)).when(F.col("p_size") % 2 == 0, _filled(even)).otherwise(_filled(odd))
+    return xml.elements(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("body")), "id", "body")
 
 
-def _articles(spark, *texts):
-    return xml.elements(spark.createDataFrame(list(enumerate(texts, 1)), "id long, body string"), "id", "body")
+_EVEN, _ODD = "FROM part WHERE p_size % 2 = 0", "FROM part WHERE p_size % 2 = 1 AND p_size % 10 <> 9"
 
 
-@query("""SELECT CAST(id AS BIGINT) AS id, field, vals AS "values" FROM (VALUES (1, 'openaccessArticle', ['true']), (1, 'openaccess', ['1']), (1, 'openaccessUserLicense', ['http://creativecommons.org/licenses/by/4.0/']),
-(1, 'copyright', ['Them']), (1, 'license_text', ['CC BY', 'https://creativecommons.org/licenses/by/4.0/']), (2, 'copyright', ['Me'])) v(id, field, vals)""")
+@query(f"""SELECT p_partkey AS id, f AS field, CASE f WHEN 'copyright' THEN [p_brand] WHEN 'openaccess' THEN ['1'] WHEN 'openaccessArticle' THEN ['true'] WHEN 'openaccessUserLicense' THEN ['http://creativecommons.org/licenses/by/4.0/'] ELSE ['CC BY', 'https://creativecommons.org/licenses/by/4.0/'] END AS "values"
+FROM part, (SELECT unnest(['openaccessArticle', 'openaccess', 'openaccessUserLicense', 'copyright', 'license_text']) AS f) WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'copyright', [p_type] {_ODD}""")
 def publisher_license_fields(spark, sf_dir):
-    return xml.license_fields(_articles(spark, PUBLISHED, BARE, BROKEN), "id")
+    return xml.license_fields(_articles(spark, sf_dir, PUBLISHED, BARE), "id")
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, doi, title FROM (VALUES (1, '10.1/AB', 'A tit le'), (2, '10.2/x', '')) v(id, doi, title)")
+@query(f"SELECT p_partkey AS id, '10.1/' || p_partkey AS doi, p_name || ' tit le' AS title {_EVEN} UNION ALL SELECT p_partkey, '10.2/' || p_partkey, '' {_ODD}")
 def publisher_ids(spark, sf_dir):
-    return xml.article_ids(_articles(spark, PUBLISHED, BARE, BROKEN), "id")
+    return xml.article_ids(_articles(spark, sf_dir, PUBLISHED, BARE), "id")
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, title, abstract FROM (VALUES (1, 'A title', 'Core text'), (2, '', 'P one p ONE')) v(id, title, abstract)")
+@query(f"SELECT p_partkey AS id, p_name || ' title' AS title, 'Core ' || p_type AS abstract {_EVEN} UNION ALL SELECT p_partkey, '', 'P ' || p_name || ' p ' || upper(p_name) {_ODD}")
 def publisher_title_abstract(spark, sf_dir):
-    return xml.title_and_abstract(_articles(spark, PUBLISHED, BARE, BROKEN), "id")
+    return xml.title_and_abstract(_articles(spark, sf_dir, PUBLISHED, BARE), "id")
+
+
+@query("SELECT p_partkey AS id, " + _sql("""Title: @N tit le
+DOI: 10.1/@K
+
+ABSTRACT
+Aims
+One @B.
+Two.
+
+BODY
+First
+
+Alpha @T .
+
+Inner @N
+
+Gamma.
+
+Delta.
 
+TABLES
+Table 1: Doses of @B
 
-@query("""SELECT 1::BIGINT AS id, concat_ws(chr(10) || chr(10), 'Title: A tit le' || chr(10) || 'DOI: 10.1/AB', 'ABSTRACT' || chr(10) || 'Aims' || chr(10) || 'One.' || chr(10) || 'Two.', 'BODY' || chr(10) || 'First', 'Alpha beta .', 'Inner', 'Gamma.', 'Delta.',
-'TABLES' || chr(10) || 'Table 1: Doses', 'a |  ' || chr(10) || 'b | c', 'Legend: mg', 'Footnotes:' || chr(10) || 'none') AS full_text""")
+@K |  
+b | c
+
+Legend: mg
+
+Footnotes:
+none
+
+PANELS
+Box: Key @T
+
+Boxed.""") + f""" AS full_text {_EVEN} UNION ALL SELECT p_partkey, 'Title: ' || chr(10) || 'DOI: 10.2/' || p_partkey {_ODD}""")
 def publisher_full_text(spark, sf_dir):
-    rows = _articles(spark, PUBLISHED).persist()
-    tables = xml.table_texts(rows, "id").groupBy("id").agg(xml._in_order(F.col("text"), F.col("table"), "\n\n").alias("tables"))
-    met = xml.article_ids(rows, "id").join(xml.abstract_text(rows, "id"), "id", "left").join(xml.body_text(rows, "id"), "id", "left").join(tables, "id", "left")
-    return met.select("id", xml.full_text(F.col("title"), F.lit(None).cast("string"), F.col("doi"), F.col("abstract"), F.col("body"), F.col("tables"), F.lit(None).cast("string")).alias("full_text"))
+    rows = _articles(spark, sf_dir, PUBLISHED, BARE)
+    joined = lambda own, at: own.groupBy("id").agg(xml.in_order(F.col("text"), F.col(at), "\n\n").alias(f"{at}s"))
+    met = xml.article_ids(rows, "id").join(xml.abstract_text(rows, "id"), "id", "left").join(xml.body_text(rows, "id"), "id", "left")
+    met = met.join(joined(xml.table_texts(rows, "id"), "table"), "id", "left").join(joined(xml.panel_texts(rows, "id"), "panel"), "id", "left")
+    return met.select("id", xml.full_text(F.col("title"), F.lit(None).cast("string"), F.col("doi"), F.col("abstract"), F.col("body"), F.col("tables"), F.col("panels")).alias("full_text"))
 
 
-@query("SELECT 1::BIGINT AS id, 'P one p ONE' || chr(10) || chr(10) || 'P one' AS text")
+@query(f"SELECT p_partkey AS id, 'P ' || p_name || ' p ' || upper(p_name) || chr(10) || chr(10) || 'P ' || p_name AS text {_ODD}")
 def fallback_paragraphs(spark, sf_dir):
     """Elements' texts by name, without those that say the same in another case."""
-    return xml.fallback_text(_articles(spark, BARE), "id")
+    return xml.fallback_text(_articles(spark, sf_dir, BROKEN, BARE), "id")
+
+
+@query("SELECT p_partkey AS id, " + _sql("""@N x
+
+ABSTRACT
+Aim Find @N.
+
+No
 
+MAIN TEXT
+Intro
 
-@query("""SELECT 1::BIGINT AS id, concat_ws(chr(10) || chr(10), 'T x', 'ABSTRACT' || chr(10) || 'Aim Find it.', 'No', 'MAIN TEXT' || chr(10) || 'Intro', 'One.', 'Two.', 'Three.', 'Deep', 'Two.', 'Methods used', 'Four.') AS text""")
+One @B.
+
+Two.
+
+Three.
+
+Deep
+
+Two.
+
+Methods used
+
+Four @K.""") + f" AS text {_EVEN} UNION ALL SELECT p_partkey, " + _sql("@N\n\nMAIN TEXT\nLead @B.\n\nMore.") + f" {_ODD}")
 def journal_full_text(spark, sf_dir):
-    return xml.journal_text(_articles(spark, JOURNAL), "id")
+    return xml.journal_text(_articles(spark, sf_dir, JOURNAL, NOTE), "id")
 
 
-@query("""SELECT 1::BIGINT AS id, text FROM (VALUES ('Find it.'), ('No'), ('Lead.'), ('Intro One.'), ('Deep Two.'), ('Gone.'), ('Intro Three.'), ('Methods used Four.')) v(text)""")
+@query(f"""SELECT p_partkey AS id, replace(replace(replace(t, '@N', p_name), '@B', p_brand), '@K', CAST(p_partkey AS VARCHAR)) AS text
+FROM part, (SELECT unnest(['Find @N.', 'No', 'Lead.', 'Intro One @B.', 'Deep Two.', 'Gone.', 'Intro Three.', 'Methods used Four @K.']) AS t) WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'Lead ' || p_brand || '.' {_ODD} UNION ALL SELECT p_partkey, 'More.' {_ODD}""")
 def journal_section_paragraphs(spark, sf_dir):
-    return xml.section_paragraphs(_articles(spark, JOURNAL), "id").select("id", "text")
+    return xml.section_paragraphs(_articles(spark, sf_dir, JOURNAL, NOTE), "id").select("id", "text")
 
 
-@query("""SELECT 1::BIGINT AS id, 'review-article' AS article_type, 'T x' AS title, 'J' AS journal, ['Cat'] AS categories, ['k1', 'k2'] AS keywords, 'AIM Find it.' AS abstract, 'Methods used Four.' AS methods""")
+@query(f"""SELECT p_partkey AS id, 'review-article' AS article_type, p_name || ' x' AS title, 'J ' || p_brand AS journal, [p_type] AS categories, ['k' || p_partkey, 'k2'] AS keywords, 'AIM Find ' || p_name || '.' AS abstract,
+CASE WHEN length('Methods used Four ' || p_partkey || '.') > 20 THEN rtrim(left('Methods used Four ' || p_partkey || '.', 20)) || '...' ELSE 'Methods used Four ' || p_partkey || '.' END AS methods {_EVEN} UNION ALL SELECT p_partkey, p_type, p_name, '', [], [], '', '' {_ODD}""")
 def journal_signals(spark, sf_dir):
-    return xml.classifier_signals(_articles(spark, JOURNAL), "id")
+    return xml.classifier_signals(_articles(spark, sf_dir, JOURNAL, NOTE), "id", methods_chars=20)
 
 
 @query("""SELECT page_id, 'A & <b> ' || page_id || ' end' AS shown, '8' || page_id AS scopus, 'https://x/p?after=' || page_id AS following, 'http://s?cursor=' || page_id || '&query=breast+cancer&count=25' AS link, 'file' || page_id AS dataset FROM pages""")
@@ -96,30 +181,38 @@ def guideline_names(spark, sf_dir):
     return made.select("p_partkey", "m.title", "m.year", "type")
 
 
-@query("""SELECT id, title, type, CAST(year AS INTEGER) AS year, source, family FROM (VALUES (1::BIGINT, 'The Living Guideline', 'Living Guideline Update', 2024, 'eso_2021.pdf', 'ESMO eUp'), (2, 'my file 2019', 'ESMO Breast Cancer Document', 2019, NULL, 'ESMO'), (3, 'a guideline 2018', 'Guideline', 2018, 'a-guideline_2018.pdf', 'ESMO')) v(id, title, type, year, source, family)""")
+@query("""SELECT p_partkey AS id, 'The Living ' || p_name AS title, 'Living Guideline Update' AS type, 2024 AS year, 'eso_' || (2000 + p_size) || '.pdf' AS source, 'ESMO eUp' AS family FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, p_name || ' file ' || (2000 + p_size), 'ESMO Breast Cancer Document', 2000 + p_size, NULL, 'ESMO' FROM part WHERE p_size % 3 = 1
+UNION ALL SELECT p_partkey, 'a guideline ' || (2000 + p_size), 'Guideline', 2000 + p_size, 'a-guideline_' || (2000 + p_size) || '.pdf', 'ESMO' FROM part WHERE p_size % 3 = 2""")
 def markdown_headers(spark, sf_dir):
-    rows = [(1, "x2024", "Source PDF: `eso_2021.pdf`\nDocument family: `ESMO eUp`\n\n#  The  Living Guideline \n# other"), (2, "my_file-2019", "no header"), (3, "z", "Source PDF: `a-guideline_2018.pdf`\ntext")]
-    made = spark.createDataFrame(rows, "id long, stem string, md string")
-    return made.select("id", metadata.header_metadata(F.col("md"), F.col("stem")).alias("m")).select("id", "m.*")
+    """Titles, types and years of Markdown documents with headers, without any, and with a file named alone."""
+    kind = F.col("p_size") % 3
+    stem = F.when(kind == 0, F.lit("x2024")).when(kind == 1, _filled("@N_file-@Y")).otherwise(F.lit("z"))
+    md = F.when(kind == 0, _filled("Source PDF: `eso_@Y.pdf`\nDocument family: `ESMO eUp`\n\n#  The  Living @N \n# other")).when(kind == 1, F.lit("no header")).otherwise(_filled("Source PDF: `a-guideline_@Y.pdf`\ntext"))
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), metadata.header_metadata(md, stem).alias("m"))
+    return made.select("id", "m.*")
 
 
-@query("SELECT id, title, CAST(year AS INTEGER) AS year FROM (VALUES (1::BIGINT, 'Official', 2019), (2, 'NCT2', 2021), (3, 'file3', NULL)) v(id, title, year)")
+@query("""SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'Official ' || p_name WHEN 1 THEN 'NCT' || p_partkey ELSE 'file' || p_partkey END AS title, CASE p_size % 3 WHEN 0 THEN 2000 + p_size WHEN 1 THEN 2001 END AS year FROM part""")
 def trial_metadata(spark, sf_dir):
-    rows = [
-        (1, '{"protocolSection":{"identificationModule":{"officialTitle":"Official","nctId":"NCT1"},"statusModule":{"studyFirstPostDateStruct":{"date":"May 2018"},"lastUpdatePostDateStruct":{"date":"2019-02-01"}}}}'),
-        (2, '{"protocolSection":{"identificationModule":{"officialTitle":"","nctId":"NCT2"},"statusModule":{"completionDateStruct":{"date":" 2021"}}}}'),
-        (3, "{}"),
-    ]
-    made = spark.createDataFrame(rows, "id long, study string")
-    return made.select("id", metadata.trial_metadata(F.col("study"), F.concat(F.lit("file"), F.col("id").cast("string"))).alias("m")).select("id", "m.*")
+    kind = F.col("p_size") % 3
+    full = '{"protocolSection":{"identificationModule":{"officialTitle":"Official @N","nctId":"NCT@K"},"statusModule":{"studyFirstPostDateStruct":{"date":"May 2018"},"lastUpdatePostDateStruct":{"date":"@Y-02-01"}}}}'
+    bare = '{"protocolSection":{"identificationModule":{"officialTitle":"","nctId":"NCT@K"},"statusModule":{"completionDateStruct":{"date":" 2001 @Y"}}}}'
+    study = F.when(kind == 0, _filled(full)).when(kind == 1, _filled(bare)).otherwise("{}")
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), metadata.trial_metadata(study, _filled("file@K")).alias("m"))
+    return made.select("id", "m.*")
 
 
-@query("""SELECT id, generic_name, brand_name, drug_class, application_number, warnings, metadata_match_candidates::INTEGER AS candidates, fields::INTEGER AS fields FROM (VALUES (1::BIGINT, 'gen', 'Brand B', 'class', 'A1', 'aaaaaaaa ...[truncated]', 3, 31), (2, '', '', '', '', '', 0, 31)) v(id, generic_name, brand_name, drug_class, application_number, warnings, metadata_match_candidates, fields)""")
+@query("""SELECT p_partkey AS record_index, CASE WHEN complete THEN p_partkey || '.json' ELSE 'record_' || p_partkey || '.json' END AS file_name, CASE WHEN complete THEN p_name ELSE '' END AS generic_name, CASE WHEN complete THEN p_brand ELSE '' END AS brand_name,
+CASE WHEN complete THEN [p_brand, p_type] ELSE [] END AS brand_names, CASE WHEN complete THEN p_type ELSE '' END AS drug_class, CASE WHEN complete THEN 'A' || p_partkey ELSE '' END AS application_number, CASE WHEN complete THEN CASE WHEN length(w) > 14 THEN rtrim(left(w, 14)) || ' ...[truncated]' ELSE w END ELSE '' END AS warnings,
+CASE WHEN complete THEN TRUE END AS reviewed, (CASE WHEN complete THEN p_size ELSE 0 END)::INTEGER AS candidates, 35 AS fields FROM (SELECT *, p_size % 2 = 0 AS complete, 'aaaa ' || p_name || ' bb' AS w FROM part)""")
 def seed_summaries(spark, sf_dir):
-    rows = [(1, '{"metadata":{"application_number":" A1 ","metadata_match_candidates":3},"curated_fields":{"generic_name":["","gen"],"brand_names":["Brand B","C"],"drug_class":"class","warnings":"aaaaaaaa   bbbb"}}'), (2, '{"metadata":null}')]
-    made = spark.createDataFrame(rows, "id long, record string").select("id", metadata.seed_summary(F.col("record"), 9).alias("s"))
+    full = F.replace(_filled('{"metadata":{"file_name":"@K.json","application_number":" A@K ","metadata_match_candidates":@S,"reviewed":true},"curated_fields":{"generic_name":["","@N"],"brand_names":["@B","@T"],"drug_class":"@T","warnings":"aaaa   @N bb"}}'), F.lit("@S"), F.col("p_size").cast("string"))
+    record = F.when(F.col("p_size") % 2 == 0, full).otherwise('{"metadata":null}')
+    made = table(spark, sf_dir, "part").select(metadata.seed_summary(record, F.col("p_partkey"), 14).alias("s"))
     fields = len(made.schema["s"].dataType.fieldNames())
-    return made.select("id", *[f"s.{n}" for n in ("generic_name", "brand_name", "drug_class", "application_number", "warnings")], F.col("s.metadata_match_candidates").alias("candidates"), F.lit(fields).alias("fields"))
+    shown = ("record_index", "file_name", "generic_name", "brand_name", "brand_names", "drug_class", "application_number", "warnings", "reviewed")
+    return made.select(*[f"s.{n}" for n in shown], F.col("s.metadata_match_candidates").alias("candidates"), F.lit(fields).alias("fields"))
 
 
 @query("""SELECT p_partkey, 'Generic name: ' || p_name || chr(10) || 'Brand name: ' || p_brand || chr(10) || 'Drug class: ' || p_type || chr(10) || 'FDA BC indication: ' || chr(10) || 'EMA BC indication: ' || chr(10) || 'FDA EMA status: ' || chr(10) || 'Use type: ' || chr(10) || 'BC notes: ' || chr(10)
@@ -237,14 +330,15 @@ def output_validation(spark, sf_dir):
     return wanted.join(got, "doc_id", "left").select("doc_id", problem.alias("problem")).where("problem is not null")
 
 
-@query("""SELECT o_custkey, CAST(o_custkey AS VARCHAR) || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS row_id, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)""")
+@query("""SELECT o_custkey, CAST(o_custkey AS VARCHAR) || CASE WHEN n > 1 THEN '_' || pos ELSE '' END AS row_id, o_orderkey
+FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS pos FROM orders)""")
 def suffixed_ids(spark, sf_dir):
-    """An id that comes again gets its number as suffix."""
-    from pyspark.sql import Window
+    """An id that comes again gets its row's place in its file (of a hundred) as suffix."""
+    from ..operators.sequence import number_in_group
+    from ..sources.tables import suffixed_ids
 
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    key = F.col("o_custkey").cast("string")
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", n.alias("n")).select("o_custkey", F.when(F.col("n") > 1, F.concat(key, F.lit("_"), F.col("n").cast("string"))).otherwise(key).alias("row_id"), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_custkey") % 100).alias("file"), F.col("o_custkey").cast("string").alias("row_id"))
+    return suffixed_ids(number_in_group(rows, "file", "o_orderkey", "pos"), "row_id", "pos").select("o_custkey", "row_id", "o_orderkey")
 
 
 @query("SELECT doc_id, lang, count(*) AS rows FROM (SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'en') GROUP BY 1, 2")
@@ -277,35 +371,49 @@ def lower_dedupe(spark, sf_dir):
     return dedupe.dedupe_by_key(rows, F.lower(F.trim("p_name")), "p_partkey").select(F.lower(F.trim("p_name")).alias("name"), "p_partkey")
 
 
+#: A record of each data set (with its summary), and what its columns are: of records, then of contexts.
 _RECORDS = (
-    ("dhpcs", '{"name_of_medicine":" A  b ","active_substances":["x","y"],"dhpc_type":"t","category":"","atc_code_human":"L01","referral_name":"","other_related_medicines_nationally_authorised":"o"}', '{"entity_name":"S &amp; T","referral_name":"ref"}'),
-    ("post_authorisation", '{"name_of_medicine":"P","post_authorisation_opinion_status":"pos","orphan_medicine":"Yes","biosimilar":"No","ema_product_number":7}', "{}"),
-    ("psusas", '{"active_substance":"s","regulatory_outcome":"kept","category":"Human","related_medicines":"r"}', '{"category":"from summary"}'),
-    ("referrals", '{"referral_name":null,"associated_names_centrally_authorised_medicines":"C","class":"k","safety_referral":"Yes","reference_number":"EMEA/1"}', "null"),
-    ("shortages", '{"name":"N","medicine_affected":"M","supply_shortage_status":"Ongoing","strengths_affected":["5 mg","9 mg"],"availability_of_alternatives":"Yes","reason":"why"}', '{"classification":"c"}'),
-    ("medicines", '{"name":"","name_of_medicine":"Med","medicine_status":"Authorised","opinion_status":"Positive","last_updated_date":"2020-01-01"}', '{"name":"Sum"}'),
+    ("dhpcs", '{"name_of_medicine":" @N  b ","active_substances":["@T","y"],"dhpc_type":"t@K","category":"","atc_code_human":"L01","referral_name":"","other_related_medicines_nationally_authorised":"o"}', '{"entity_name":"@B &amp; T","referral_name":"ref"}'),
+    ("post_authorisation", '{"name_of_medicine":"@N","post_authorisation_opinion_status":"pos","orphan_medicine":"Yes","biosimilar":"No","ema_product_number":@K}', "{}"),
+    ("psusas", '{"active_substance":"@T","regulatory_outcome":"kept","category":"Human","related_medicines":"@N"}', '{"category":"from @B"}'),
+    ("referrals", '{"referral_name":null,"associated_names_centrally_authorised_medicines":"@N","class":"k","safety_referral":"Yes","reference_number":"EMEA/@K"}', "null"),
+    ("shortages", '{"name":"@N","medicine_affected":"@B","supply_shortage_status":"Ongoing","strengths_affected":["5 mg","@K mg"],"availability_of_alternatives":"Yes","reason":"why @T"}', '{"classification":"c"}'),
+    ("medicines", '{"name":"","name_of_medicine":"@N","medicine_status":"Authorised","opinion_status":"Positive","last_updated_date":"@Y-01-01"}', '{"name":"Sum @B"}'),
 )
+_COMMON = ("entity_name", "active_substance", "therapeutic_indication", "therapeutic_area", "status", "holder", "ema_number", "procedure_number", "regulatory_outcome", "classification", "url", "extra_context")
+_COMMON_SAID = (
+    ("@N b", "@T y", "", "", "t@K", "", "", "", "", "L01", "", "o"), ("@N", "", "", "", "pos", "", "@K", "", "", "", "", "Yes No"), ("@N", "@T", "", "", "kept", "", "", "", "", "Human", "", ""),
+    ("@N", "", "", "", "", "", "", "EMEA/@K", "", "k", "", "Yes @N"), ("@N", "", "", "", "", "", "", "", "", "", "", "why @T"), ("@N", "", "", "", "Authorised", "", "", "", "", "", "", ""),
+)
+_CONTEXT = ("entity_name", "active_substance", "classification", "status", "opinion_status", "ema_number", "procedure_number", "regulatory_outcome", "last_updated_date", "extra_context")
+_CONTEXT_SAID = (
+    ("@B & T", "@T y", "L01", "t@K", "", "", "", "", "", "ref"), ("@N", "", "", "", "pos", "@K", "", "", "", ""), ("@T", "@T", "from @B", "kept", "", "", "", "kept", "", "@N"),
+    ("", "", "", "", "", "", "EMEA/@K", "", "", "@N"), ("@B", "", "c", "Ongoing", "", "", "", "", "", "5 mg @K mg Alternatives available: Yes"), ("Sum @B", "", "", "Authorised", "Positive", "", "", "", "@Y-01-01", ""),
+)
+
+
+def _said(columns: tuple[str, ...], rows: tuple[tuple[str, ...], ...]) -> str:
+    """SQL of each part's record, of the data set that its size chooses."""
+    own = [f"SELECT p_partkey AS id, '{r[0]}' AS dataset_key, " + ", ".join(f"{_sql(v)} AS {c}" for c, v in zip(columns, row, strict=True)) + f" FROM part WHERE p_size % 6 = {k}" for k, (r, row) in enumerate(zip(_RECORDS, rows, strict=True))]
+    return " UNION ALL ".join(own)
 
 
-def _records(spark, dataset):
-    rows = [r for r in _RECORDS if r[0] == dataset]
-    return spark.createDataFrame(rows, "dataset string, r string, s string").select(*[F.parse_json(c).alias(c) for c in ("r", "s")])
+def _records(spark, sf_dir, dataset):
+    """A record of one data set for each part whose size chooses it."""
+    place, (_, record, summary) = next((k, r) for k, r in enumerate(_RECORDS) if r[0] == dataset)
+    own = table(spark, sf_dir, "part").where(F.col("p_size") % 6 == place)
+    return own.select(F.col("p_partkey").alias("id"), F.parse_json(_filled(record)).alias("r"), F.parse_json(_filled(summary)).alias("s"))
 
 
-@query("""SELECT * FROM (VALUES ('dhpcs', 'A b', 'x y', '', '', 't', '', '', '', '', 'L01', '', 'o'), ('post_authorisation', 'P', '', '', '', 'pos', '', '7', '', '', '', '', 'Yes No'), ('psusas', 'r', 's', '', '', 'kept', '', '', '', '', 'Human', '', ''),
-('referrals', 'C', '', '', '', '', '', '', 'EMEA/1', '', 'k', '', 'Yes C'), ('shortages', 'N', '', '', '', '', '', '', '', '', '', '', 'why'), ('medicines', 'Med', '', '', '', 'Authorised', '', '', '', '', '', '', ''))
-v(dataset_key, entity_name, active_substance, therapeutic_indication, therapeutic_area, status, holder, ema_number, procedure_number, regulatory_outcome, classification, url, extra_context)""")
+@query(_said(_COMMON, _COMMON_SAID))
 def harmonised_records(spark, sf_dir):
-    return harmonise.union_of([harmonise.common_record(_records(spark, d), "r", d).drop("r", "s") for d, *_ in _RECORDS])
+    return harmonise.union_of([harmonise.common_record(_records(spark, sf_dir, d), "r", d).drop("r", "s") for d, *_ in _RECORDS])
 
 
-@query("""SELECT * FROM (VALUES ('dhpcs', 'S & T', 'x y', 'L01', 't', '', '', '', '', '', 'ref'), ('post_authorisation', 'P', '', '', '', 'pos', '7', '', '', '', ''), ('psusas', 's', 's', 'from summary', 'kept', '', '', '', 'kept', '', 'r'),
-('referrals', '', '', '', '', '', '', 'EMEA/1', '', '', 'C'), ('shortages', 'M', '', 'c', 'Ongoing', '', '', '', '', '', '5 mg 9 mg Alternatives available: Yes'), ('medicines', 'Sum', '', '', 'Authorised', 'Positive', '', '', '', '2020-01-01', ''))
-v(dataset_key, entity_name, active_substance, classification, status, opinion_status, ema_number, procedure_number, regulatory_outcome, last_updated_date, extra_context)""")
+@query(_said(_CONTEXT, _CONTEXT_SAID))
 def context_records(spark, sf_dir):
     """Ten of the columns; the others are filled alike."""
-    shown = ("entity_name", "active_substance", "classification", "status", "opinion_status", "ema_number", "procedure_number", "regulatory_outcome", "last_updated_date", "extra_context")
-    return harmonise.union_of([harmonise.context_record(_records(spark, d), "s", "r", d).select(F.lit(d).alias("dataset_key"), *shown) for d, *_ in _RECORDS])
+    return harmonise.union_of([harmonise.context_record(_records(spark, sf_dir, d), "s", "r", d).select("id", F.lit(d).alias("dataset_key"), *_CONTEXT) for d, *_ in _RECORDS])
 
 
 @query("""SELECT p_partkey, 'file_' || p_partkey || CASE WHEN p_size % 2 = 0 THEN i ELSE '' END AS row_id, CASE WHEN p_size % 2 = 0 AND i = '2' THEN p_brand ELSE p_name END AS txt

@@ -66,12 +66,15 @@ def update_existing(target: DataFrame, changes: DataFrame, key: str, columns: li
     return done, changes.join(target.select(key), key, "left_anti")
 
 
-def suffixed_ids(df: DataFrame, id_col: str, order: str) -> DataFrame:
-    """Repeated ids get _1, _2, … in order; the first keeps its own."""
-    from pyspark.sql import Window
+def suffixed_ids(df: DataFrame, id_col: str, place: str) -> DataFrame:
+    """Rows whose id an earlier row (by place) has get their place as suffix; the first keeps its own.
 
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(order)) - 1
-    return df.withColumn("_nth", nth).withColumn(id_col, F.when(F.col("_nth") > 0, F.concat_ws("_", id_col, F.col("_nth").cast("string"))).otherwise(F.col(id_col))).drop("_nth")
+    The first place of an id is an aggregate, so rows of a common id stay where they are.
+    """
+    first = df.groupBy(F.col(id_col).alias("_id")).agg(F.min(place).alias("_first"))
+    met = df.join(first, F.col(id_col) == F.col("_id"))
+    own = F.when(F.col(place) > F.col("_first"), F.concat_ws("_", id_col, F.col(place).cast("string"))).otherwise(F.col(id_col))
+    return met.withColumn(id_col, own).select(df.columns)
 
 
 def split_write(df: DataFrame, path: str, route: Column, name: str = "route") -> DataFrame:

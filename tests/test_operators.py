@@ -59,7 +59,7 @@ def test_upsert_and_update(spark):
     assert sorted(map(tuple, done.collect())) == [(1, "a"), (2, "x")]
     assert [r.id for r in unknown.collect()] == [3]
     ids = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "id string, at long")
-    assert sorted(r.id for r in tables.suffixed_ids(ids, "id", "at").collect()) == ["a", "a_1", "b"]
+    assert sorted(r.id for r in tables.suffixed_ids(ids, "id", "at").collect()) == ["a", "a_2", "b"]
 
 
 def test_readers_and_sinks(spark, tmp_path):
