@@ -272,3 +272,68 @@ def classifier_signals(rows: DataFrame, key: str, *, keywords: int = 12, abstrac
     text = lambda c: F.coalesce(c, F.lit(""))
     several = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     return met.select(key, text("article_type").alias("article_type"), text("title").alias("title"), text(F.coalesce("journal", "short")).alias("journal"), several("categories").alias("categories"), F.slice(several("keywords"), 1, keywords).alias("keywords"), text("abstract").alias("abstract"), text("methods").alias("methods"))
+
+
+# Fields of a publisher's article and the children of its core data that fill them; those of any element.
+CORE_FIELDS = {
+    "doi": "doi", "pii": "pii", "eid": "eid", "journal": "publicationname", "issn": "issn", "volume": "volume", "starting_page": "startingpage", "ending_page": "endingpage", "page_range": "pagerange",
+    "cover_date": "coverdate", "cover_display_date": "coverdisplaydate", "publisher": "publisher", "copyright": "copyright", "openaccess": "openaccess", "openaccess_article": "openaccessarticle", "abstract_from_coredata": "description",
+}
+TREE_FIELDS = {"scopus_id": "scopus-id", "pubmed_id": "pubmed-id"}
+
+
+def _core(name: str) -> Column:
+    return F.rlike("path", F.lit(f"/coredata/{name}$"))
+
+
+def _head(name: str) -> Column:
+    return F.rlike("path", F.lit(f"/article/head/{name}$"))
+
+
+def article_year(c: Column) -> Column:
+    """The first word of four digits that is a year of the last century or this one."""
+    return F.regexp_extract(c, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
+
+
+def article_authors(rows: DataFrame, key: str) -> DataFrame:
+    """key, authors: the creators of the core data, else given and surname of the head's author group, in order."""
+    own = _some(rows.where(_core("creator"))).select(key, F.lit(0).alias("way"), "at", F.col("text").alias("name"))
+    part = lambda name: _first_child(rows, key, name, name.replace("-", "_"))
+    people = rows.where(F.rlike("path", F.lit("/article/head/author-group/author$"))).select(key, F.col("at").alias("parent"))
+    named = people.join(part("given-name"), [key, "parent"], "left").join(part("surname"), [key, "parent"], "left").select(key, F.lit(1).alias("way"), F.col("parent").alias("at"), F.concat_ws(" ", "given_name", "surname").alias("name")).where("name <> ''")
+    listed = own.union(named).groupBy(key, "way").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))  # one article's
+    return listed.groupBy(key).agg(F.min_by("names", "way").alias("authors"))
+
+
+def publisher_metadata(rows: DataFrame, key: str, file_name: Column) -> DataFrame:
+    """key and the 27 fields of a publisher's article; what it doesn't say is null, and its title then is the file's stem."""
+    fields = {to: _core(name) for to, name in CORE_FIELDS.items()} | {to: F.col("name") == name for to, name in TREE_FIELDS.items()}
+    fields |= {"_t0": _core("title"), "_t1": _head("title"), "_i0": _core("issueidentifier"), "_i1": _core("number"), "_start": F.col("name") == "cover-date-start"}
+    fields |= {"_d0": F.col("name") == "document-type", "_d1": _core("aggregationtype"), "_s0": F.col("name") == "document-subtype", "_s1": _core("pubtype")}
+    met = rows.select(key).distinct().join(first_text(rows, key, fields), key, "left").join(article_authors(rows, key), key, "left")
+    stem = F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", "")
+    made = {
+        "source_family": F.lit("Elsevier"), "source_format": F.lit("XML"), "file_name": file_name, "document_title": F.coalesce("_t0", "_t1", stem), "document_type": F.coalesce("_d0", "_d1", F.lit("article")), "document_subtype": F.coalesce("_s0", "_s1"),
+        "document_year": F.coalesce(*[article_year(F.col(c)) for c in ("cover_date", "cover_display_date", "_start")]), "issue": F.coalesce("_i0", "_i1"), "authors": F.coalesce("authors", F.array().cast("array<string>")),
+    }
+    return met.select(key, *[c.alias(n) for n, c in made.items()], *[F.col(n) for n in [*CORE_FIELDS, *TREE_FIELDS]])
+
+
+def publisher_signals(rows: DataFrame, key: str, *, abstract_chars: int = 4000, methods_chars: int = 1500) -> DataFrame:
+    """key, title, journal, article_type, document_subtype, abstract, methods of a publisher's article."""
+    fields = {"_t0": _core("title"), "_t1": _head("title"), "journal": _core("publicationname"), "_k0": _core("pubtype"), "_k1": _core("aggregationtype"), "_k2": F.col("name") == "document-type", "_s": F.col("name") == "document-subtype", "_core": _core("description")}
+    blocks = rows.where(_head("abstract")).select(key, F.col("at").alias("block"))
+    inside = _some(rows.where(F.col("name").isin("section-title", "simple-para", "para"))).select(key, "at", "text", F.explode("above").alias("block")).join(blocks, [key, "block"])
+    heads = inside.groupBy(key, "block").agg(in_order(F.col("text"), F.col("at"), " ").alias("text")).groupBy(key).agg(in_order(F.col("text"), F.col("block"), " | ").alias("_head"))
+    titles = _first_child(rows, key, "section-title", "head").withColumnRenamed("parent", "at")
+    told = F.contains(F.lower("head"), F.lit("method")) | F.contains(F.lower("head"), F.lit("material"))
+    methods = rows.where(F.rlike("path", F.lit(r"/article/body/(?:.*/)?section$"))).join(titles, [key, "at"]).where(told).groupBy(key).agg(F.min_by("text", "at").alias("methods"))
+    met = rows.select(key).distinct()
+    for part in (first_text(rows, key, fields), heads, methods):
+        met = met.join(part, key, "left")
+    text = lambda *c: F.coalesce(*c, F.lit(""))
+    abstract = F.concat_ws(" | ", "_core", "_head")
+    return met.select(
+        key, text("_t0", "_t1").alias("title"), text("journal").alias("journal"), text("_k0", "_k1", "_k2").alias("article_type"), text("_s").alias("document_subtype"),
+        truncated(abstract, abstract_chars, "...").alias("abstract"), truncated(text("methods"), methods_chars, "...").alias("methods"),
+    )

@@ -113,3 +113,45 @@ def merged(labels: DataFrame, apps: DataFrame, links: DataFrame) -> DataFrame:
 def output_name(generic: Column, brand: Column, record_id: Column) -> Column:
     """A file name of name and id; equal names overwrite, so keep the last of each."""
     return F.concat_ws("_", text.slug(first_non_empty(generic, brand, F.lit("unknown")), 120), record_id)
+
+
+# Sections that make up two curated fields, in order.
+PREGNANCY = ("pregnancy", "pregnancy_or_breast_feeding", "breastfeeding", "nursing_mothers", "teratogenic_effects")
+POPULATIONS = ("renal_impairment", "hepatic_impairment", "pediatric_use", "geriatric_use", "use_in_specific_populations", "special_populations")
+
+
+def seed_records(rows: DataFrame, today: Column) -> DataFrame:
+    """metadata, curated_fields of rows (csv: a map of a list's row; record: a merged record as VARIANT; file_name).
+
+    Names come from the list first, then from the metadata, then from the label; brand names once each, as first written;
+    sections of several parts with a blank line between them.
+    """
+    get = lambda path: F.try_variant_get("record", path, "string")
+
+    def parts(path: str) -> Column:
+        """A text, or the texts of a list, without blank ones."""
+        listed = F.coalesce(F.try_variant_get("record", path, "array<string>"), F.array(get(path)))
+        return F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+
+    first = lambda *paths: F.coalesce(*[F.try_element_at(parts(p), F.lit(1)) for p in paths], F.lit(""))
+    section = lambda name: F.array_join(parts(f"$.label.{name}"), "\n\n")
+    several = lambda names: F.array_join(F.filter(F.array(*[section(n) for n in names]), lambda x: x != ""), "\n\n")
+    listed = lambda name: F.coalesce(F.try_element_at("csv", F.lit(name)), F.lit(""))
+    brands = F.concat(parts("$.metadata.brand_name"), parts("$.label.openfda.brand_name"))
+    keys = F.transform(brands, text.name_key)
+    once = F.filter(brands, lambda x, i: F.array_position(keys, text.name_key(x)) == i + 1)
+    generic = F.coalesce(F.nullif(F.trim(listed("generic_name")), F.lit("")), F.nullif(first("$.metadata.generic_name", "$.label.openfda.generic_name", "$.metadata.brand_name", "$.label.openfda.brand_name"), F.lit("")), F.lit(""))
+    metadata = {
+        "source_family": F.lit("FDA"), "source_format": F.lit("JSON"), "file_name": F.col("file_name"), "data_source": F.lit("FDA_label"), "last_updated": today.cast("string"), "reviewed": F.lit(False),
+        "source_label_set_id": first("$.metadata.source_label_set_id", "$.label.set_id"), "source_label_id": first("$.metadata.source_label_id", "$.label.id"), "spl_id": first("$.metadata.spl_id", "$.label.openfda.spl_id"), "spl_set_id": first("$.metadata.spl_set_id", "$.label.openfda.spl_set_id"),
+        "application_number": first("$.metadata.application_number", "$.label.openfda.application_number"), "manufacturer_name": first("$.metadata.manufacturer_name", "$.label.openfda.manufacturer_name"),
+        "metadata_link_status": get("$.metadata_link_status"), "metadata_link_method": get("$.metadata_link_method"), "metadata_match_candidates": F.try_variant_get("record", "$.metadata_match_candidates", "int"),
+    }
+    curated = {
+        "generic_name": generic, "brand_names": once, "drug_class": listed("drug_class"), "indications_and_usage": section("indications_and_usage"), "dosage_and_administration": section("dosage_and_administration"),
+        "warnings": F.coalesce(F.nullif(section("warnings"), F.lit("")), section("warnings_and_cautions")), "black_box_warning": section("boxed_warning"), "pregnancy_or_breastfeeding": several(PREGNANCY), "adverse_reactions": section("adverse_reactions"),
+        "special_populations": several(POPULATIONS), "contraindications": section("contraindications"), "drug_interactions": section("drug_interactions"), "label_date": first("$.metadata.effective_time", "$.label.effective_time"),
+        "fda_bc_indication": listed("fda_bc_indication"), "ema_bc_indication": listed("ema_bc_indication"), "fda_ema_status": listed("fda_ema_status"), "use_type": listed("use_type"), "bc_notes": listed("notes"),
+    }
+    pack = lambda cells: F.struct(*[c.alias(n) for n, c in cells.items()])
+    return rows.select(pack(metadata).alias("metadata"), pack(curated).alias("curated_fields"))

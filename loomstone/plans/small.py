@@ -12,6 +12,7 @@ from ..functions import elements as xml
 from ..functions import harmonise, metadata, text
 from ..operators import audit, dedupe
 from ..session import table
+from . import drug_labels, embedding_rows
 from .catalogue import query
 
 #: What stands for a part's columns in the templates of documents and of their answers.
@@ -148,6 +149,67 @@ def journal_full_text(spark, sf_dir):
     return xml.journal_text(_articles(spark, sf_dir, JOURNAL, NOTE), "id")
 
 
+CORE = """<r xmlns:d="u"><coredata><d:title>@N</d:title><d:doi>10.1/@K</d:doi><d:publicationName>J @B</d:publicationName><d:aggregationType>Journal</d:aggregationType><d:pubType> fla </d:pubType><number>@K</number><coverDate>@Y-05-06</coverDate><d:creator>@B, A</d:creator><d:creator>@T, C</d:creator><d:description>Core @T.</d:description></coredata>
+<scopus-id>s@K</scopus-id><doc><article><head><title>Not this</title><abstract><section-title>Aim</section-title><para>Is @N.</para></abstract><abstract><simple-para>Short.</simple-para></abstract></head><body><section><section-title>Intro</section-title><para>x</para></section><section><section-title>Materials</section-title><para>Used @N and @B.</para></section></body></article></doc></r>"""
+HEAD = """<r><document-type>ar</document-type><cover-date-start>1999 or @Y</cover-date-start><doc><article><head><title>Head @N</title><author-group><author><given-name>A</given-name><surname>@T</surname></author><author><surname>B</surname></author></author-group></head></article></doc></r>"""
+
+
+@query(f"""SELECT p_partkey AS id, 'Elsevier' AS source_family, 'XML' AS source_format, p_partkey || '.xml' AS file_name, p_name AS document_title, 'Journal' AS document_type, 'fla' AS document_subtype, 2000 + p_size AS document_year, CAST(p_partkey AS VARCHAR) AS issue, [p_brand || ', A', p_type || ', C'] AS authors,
+'10.1/' || p_partkey AS doi, 'J ' || p_brand AS journal, (2000 + p_size) || '-05-06' AS cover_date, 'Core ' || p_type || '.' AS abstract_from_coredata, 's' || p_partkey AS scopus_id, 27 AS fields {_EVEN}
+UNION ALL SELECT p_partkey, 'Elsevier', 'XML', p_partkey || '.xml', 'Head ' || p_name, 'ar', NULL, 1999, NULL, ['A ' || p_type, 'B'], NULL, NULL, NULL, NULL, NULL, 27 {_ODD}""")
+def publisher_metadata(spark, sf_dir):
+    """Fifteen of the 27 fields; the others are read alike."""
+    made = xml.publisher_metadata(_articles(spark, sf_dir, CORE, HEAD), "id", F.concat(F.col("id").cast("string"), F.lit(".xml")))
+    shown = ("source_family", "source_format", "file_name", "document_title", "document_type", "document_subtype", "document_year", "issue", "authors", "doi", "journal", "cover_date", "abstract_from_coredata", "scopus_id")
+    return made.select("id", *shown, F.lit(len(made.columns) - 1).alias("fields"))
+
+
+@query(f"""SELECT p_partkey AS id, p_name AS title, 'J ' || p_brand AS journal, 'fla' AS article_type, '' AS document_subtype, 'Core ' || p_type || '. | Aim Is ' || p_name || '. | Short.' AS abstract,
+CASE WHEN length(m) > 30 THEN rtrim(left(m, 30)) || '...' ELSE m END AS methods FROM (SELECT *, 'Materials Used ' || p_name || ' and ' || p_brand || '.' AS m {_EVEN}) UNION ALL SELECT p_partkey, 'Head ' || p_name, '', 'ar', '', '', '' {_ODD}""")
+def publisher_signals(spark, sf_dir):
+    return xml.publisher_signals(_articles(spark, sf_dir, CORE, HEAD), "id", methods_chars=30)
+
+
+_DOC = '{"metadata":{"source_family":"@T","TITLE":" Title of @N ","document_year":@Y,"doi":null,"file_name":"dir/f@K.xml","tags":["b","@B"],"deep":{"y":1,"x":{"z":"@N","n":null}},"journal":"None"},"factoids":[{"id":1,"factoid_text":" first @N ","section":"S"},{"id":0,"factoid_text":"zero"},{"factoid_text":"no id"},{"id":"b","factoid_text":"  "},"odd",{"id":"c","factoid_text":"last @B","topic":{"b":2,"a":1}}]}'
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("j"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("file_name"), F.parse_json(_filled(_DOC)).alias("doc"))
+
+
+@query("""WITH f(fid, txt, tail, own) AS (VALUES ('1', 'first @N', ' | S', 1), ('0', 'zero', '', 0), ('3', 'no id', '', 0), ('c', 'last @B', ' | {"a":1,"b":2}', 1))
+SELECT 'f' || p_partkey || '_' || fid AS id, t AS document, p_type || ' | ' || (2000 + p_size) || tail || ' | ' || t AS embedding_text, 'Title of ' || p_name AS title, '["b","' || p_brand || '"]' AS tags, '{"x":{"n":null,"z":"' || p_name || '"},"y":1}' AS deep, 13 + own AS fields
+FROM (SELECT *, replace(replace(txt, '@N', p_name), '@B', p_brand) AS t FROM part, f)""")
+def literature_rows(spark, sf_dir):
+    made = embedding_rows.literature_rows(_documents(spark, sf_dir))
+    get = lambda name: F.try_element_at("metadata", F.lit(name))
+    return made.select("id", "document", "embedding_text", get("document_title").alias("title"), get("doc_tags").alias("tags"), get("doc_deep").alias("deep"), F.size("metadata").alias("fields"))
+
+
+@query("""WITH f(fid, txt) AS (VALUES ('1', 'first @N'), ('c', 'last @B'))
+SELECT 'f' || p_partkey || '_' || fid AS id, t AS document, p_type || ' | ' || (2000 + p_size) || ' | ' || t AS embedding_text, '["b","' || p_brand || '"]' AS tags, p_name AS deep_x_z, fid AS local_id, 10 AS fields
+FROM (SELECT *, replace(replace(txt, '@N', p_name), '@B', p_brand) AS t FROM part, f)""")
+def guideline_rows(spark, sf_dir):
+    made = embedding_rows.guideline_rows(_documents(spark, sf_dir))
+    get = lambda name: F.try_element_at("metadata", F.lit(name)).alias(name)
+    return made.select("id", "document", "embedding_text", get("tags"), get("deep_x_z"), get("local_id"), F.size("metadata").alias("fields"))
+
+
+@query("""SELECT p_partkey || '.json' AS file_name, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS generic_name, CASE WHEN p_size % 2 = 0 THEN [p_brand, p_type] ELSE [p_brand] END AS brand_names, 'one ' || p_name || chr(10) || chr(10) || 'two' AS warnings, 'kid' || chr(10) || chr(10) || 'old ' || p_type AS special_populations,
+'S' || p_partkey AS source_label_set_id, p_type AS application_number, (2000 + p_size) || '0102' AS label_date, p_size AS candidates, CASE WHEN p_size % 2 = 0 THEN 'note ' || p_brand ELSE '' END AS bc_notes, 15 AS metadata_fields, 18 AS curated FROM part""")
+def seed_records(spark, sf_dir):
+    """Ten of the fields of records made from a list's row, an application's metadata and a label."""
+    even = F.col("p_size") % 2 == 0
+    brand = F.when(even, _filled('["@B"," @B!","@T"]')).otherwise(_filled('"@B"'))
+    record = F.concat(_filled('{"metadata":{"application_number":"","effective_time":null,"brand_name":'), brand, _filled('},"label":{"set_id":"S@K","effective_time":"@Y0102","warnings_and_cautions":["one @N"," ","two"],"pediatric_use":" kid ","geriatric_use":["old @T"],"openfda":{"brand_name":["@B"],"application_number":["@T"]}},"metadata_match_candidates":'), F.col("p_size").cast("string"), F.lit("}"))
+    csv = F.when(even, F.create_map(F.lit("generic_name"), F.col("p_name"), F.lit("notes"), _filled("note @B"))).otherwise(F.create_map(F.lit("generic_name"), F.lit(" ")))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("file_name"), F.parse_json(record).alias("record"), csv.alias("csv"))
+    made = drug_labels.seed_records(rows, F.current_date())
+    m, c = ([f"{k}.{n}" for n in names] for k, names in (("metadata", ("file_name", "source_label_set_id", "application_number")), ("curated_fields", ("generic_name", "brand_names", "warnings", "special_populations", "label_date", "bc_notes"))))
+    sizes = [F.lit(len(made.schema[k].dataType.fieldNames())).alias(n) for k, n in (("metadata", "metadata_fields"), ("curated_fields", "curated"))]
+    return made.select(*m, *c, F.col("metadata.metadata_match_candidates").alias("candidates"), *sizes)
+
+
 @query(f"""SELECT p_partkey AS id, replace(replace(replace(t, '@N', p_name), '@B', p_brand), '@K', CAST(p_partkey AS VARCHAR)) AS text
 FROM part, (SELECT unnest(['Find @N.', 'No', 'Lead.', 'Intro One @B.', 'Deep Two.', 'Gone.', 'Intro Three.', 'Methods used Four @K.']) AS t) WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'Lead ' || p_brand || '.' {_ODD} UNION ALL SELECT p_partkey, 'More.' {_ODD}""")
 def journal_section_paragraphs(spark, sf_dir):
