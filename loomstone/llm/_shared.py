@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import uuid
@@ -57,13 +58,28 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{work_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Stashed tables after which the driver lets go of what it no longer needs.
+LET_GO_EACH = 8
+_stashed = [0]
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark removes the shuffle files and broadcasts of plans that are done
+    when the driver has forgotten them, which an idle driver does every half hour only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, tag: str, *, narrow: bool = False) -> DataFrame:
     """Write to the shared store and read again: the lineage ends there, and any executor can read it.
 
     ``narrow``, for tables of ids: at most four files for each core of the cluster, not one for each
-    shuffle partition.
+    shuffle partition. Every few tables what was shuffled for earlier ones is let go.
     """
     spark = df.sparkSession
+    _stashed[0] += 1
+    if _stashed[0] % LET_GO_EACH == 0:
+        let_go(spark)
     path = new_folder(spark, tag)
     if narrow:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)

@@ -90,7 +90,7 @@ def spread(edges: DataFrame, seeds: DataFrame, *, tolerance: float = TOLERANCE,
     back = edges.groupBy(F.col("dst").alias("h")).agg(F.sum("weight").alias("all"))
     ahead = edges.join(out, edges.src == out.h).select("src", "dst", (F.col("weight") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
     behind = edges.join(back, edges.dst == back.h).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("all")).alias("d"))
-    steps = stash(ahead.union(behind).groupBy("src", "dst").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "steps")
+    steps = stash(ahead.union(behind).groupBy("src", "dst").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "steps", narrow=True)
     start = seeds.select("host", *[((1 - damping) * F.col(c)).alias(c) for c in ("trust", "distrust")])
     scores = stash(seeds.select("host", "trust", "distrust"), "scores")
     while True:
@@ -98,7 +98,7 @@ def spread(edges: DataFrame, seeds: DataFrame, *, tolerance: float = TOLERANCE,
         for _ in range(WRITE_EACH):
             sent = steps.join(scores, steps.src == scores.host).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("trust")).alias("trust"), (damping * F.col("d") * F.col("distrust")).alias("distrust"))
             scores = sent.union(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        scores = stash(scores, "scores")
+        scores = stash(scores, "scores", narrow=True)
         old = last.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
         moved = lambda new, was: F.abs(F.col(new) - F.coalesce(was, F.lit(0.0))) > tolerance * F.col(new)
         going = scores.join(old, "host", "left").where(moved("trust", "t") | moved("distrust", "d")).limit(1).count()

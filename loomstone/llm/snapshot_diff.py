@@ -16,7 +16,6 @@ their names can't clash. Keys are numbers or strings.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Sequence
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import number_in_group
-from ._shared import new_folder, stash
+from ._shared import let_go, new_folder, stash
 
 KEY, CONTENT, COLUMNS = "doc_id", "text", ("text", "lang", "source")
 _ID = ("k", "nth")
@@ -45,13 +44,10 @@ def _bucketed(df: DataFrame, tag: str, *by: str) -> DataFrame:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"loomstone_{tag}_{uuid.uuid4().hex}"
-    dealt = df.repartition(n, *by)
-    dealt.write.bucketBy(n, *by).sortBy(*by).option("path", new_folder(spark, tag)).option("compression", "zstd").format("parquet").saveAsTable(name)
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", new_folder(spark, tag)).option("compression", "zstd").format("parquet").saveAsTable(name)
     table = spark.read.table(name)
     spark.sql(f"DROP TABLE {name}")  # external: the files stay
-    del dealt
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    let_go(spark)
     return table
 
 
