@@ -101,7 +101,7 @@ def ask(df: DataFrame, prompt: str, call: Callable[[str], Awaitable[str]], *, at
     asked = write_and_read(new.mapInArrow(work, ASKED), "asked")
     known = asked.where("error is null").select("prompt", "answer")
     known = known if memo is None else known.union(memo.select("prompt", "answer"))
-    return df.join(known.withColumnRenamed("prompt", "_prompt"), F.col(prompt) == F.col("_prompt"), "left").drop("_prompt"), asked
+    return df.join(known.withColumnRenamed("prompt", "_asked"), F.col(prompt) == F.col("_asked"), "left").drop("_asked"), asked
 
 
 def relevance(df: DataFrame, title: str, abstract: str, hook: Callable[[list[str]], list[str]]) -> DataFrame:

@@ -12,7 +12,8 @@ from ..session import table
 from ..sources import keyed, paged, records
 from ..sources.tables import shared_folder
 from ..streaming.incremental import merge_stream
-from .catalogue import query
+from . import answers, passes
+from .catalogue import knn_topk, query
 from .hooks import ask
 
 
@@ -153,3 +154,87 @@ def asked_documents(spark, sf_dir):
     """Each different text asked once, a bounded number at a time; failures with their errors."""
     answered, asked = ask(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", word_count, tries=2, pause=0.0)
     return answered.join(asked.select(F.col("prompt").alias("text"), "error", "tries"), "text", "left").select("doc_id", "answer", "error", "tries")
+
+
+def full_texts(request: paged.Request) -> paged.Answer:
+    """A stand-in for a service of full texts: some records aren't there, some can't be had now."""
+    name = request.url.split("/")[-2]
+    number = int(name[3:])
+    status = 404 if number % 7 == 0 else 503 if number % 11 == 0 else 200
+    return paged.Answer(status, f"<article><front><article-title>Text {number}</article-title></front><body><p>Of {name}.</p></body></article>".encode())
+
+
+def _passed(spark, sf_dir):
+    """Two passes over the documents as articles, the second of which asks for what the first has again."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string")
+    null = F.lit(None).cast("string")
+    articles = docs.select(key.alias("id"), F.when(F.col("doc_id") % 4 == 0, "PPR").otherwise("MED").alias("source"), F.concat(F.lit("T "), key).alias("title"), null.alias("doi"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("PMC"), key)).alias("pmcid"))
+    fetch = paged.with_retry(full_texts, tries=2, sleep=lambda s: None)
+    root = shared_folder(spark)
+    none = spark.createDataFrame([], "record_id string")
+    wanted = F.when(F.col("source") == "MED", F.col("pmcid"))
+    first = passes.run_pass(articles.where("id % 2 = 1"), "article", wanted, passes.request_of("s"), fetch, root, none)
+    second = passes.run_pass(articles, "article", wanted, passes.request_of("s"), fetch, root, first.fetched, texts=False)
+    return root, first, second
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 <> 0 AND doc_id % 3 > 0 AS can, doc_id % 2 = 1 AS odd, doc_id % 7 = 0 OR doc_id % 11 = 0 AS fails FROM documents)
+SELECT label, n FROM (SELECT unnest(['streamed', 'not_downloadable', 'already', 'downloaded', 'failed']) AS label, unnest([count(*), count(*) FILTER (WHERE NOT can), count(*) FILTER (WHERE can AND odd AND NOT fails), count(*) FILTER (WHERE can AND NOT odd AND NOT fails), count(*) FILTER (WHERE can AND fails)]) AS n FROM d)""")
+def fetch_pass(spark, sf_dir):
+    """The counts of a second pass: what the first has is there already, what it failed on is tried again."""
+    return _passed(spark, sf_dir)[2].counts
+
+
+@query("""SELECT 'pmc' || doc_id || '.txt' AS file_name, 'DOC_TYPE: article' || chr(10) || 'TITLE: T ' || doc_id || chr(10) || 'PMCID: PMC' || doc_id || chr(10) || 'DOI: ' || chr(10) || 'ID: MED:' || doc_id || chr(10) || repeat('-', 80) || chr(10) || 'Text ' || doc_id || chr(10) || chr(10) || 'MAIN TEXT' || chr(10) || 'Of PMC' || doc_id || '.' AS text
+FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 > 0 AND doc_id % 7 > 0 AND doc_id % 11 > 0""")
+def pass_texts(spark, sf_dir):
+    """The texts that a pass has written, under their headers."""
+    root = _passed(spark, sf_dir)[0]
+    return records.read_records(spark, f"{root}/texts").select("file_name", F.col("content").cast("string").alias("text"))
+
+
+async def length_of(prompt: str) -> str:
+    """A stand-in for a model: how long the prompt is."""
+    return str(len(prompt))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 5) AS similarity FROM e a, e b WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM n),
+c AS (SELECT query_id, string_agg('[Factoid ' || rank || ' | ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY 1)
+SELECT query_id, 'What of ' || query_id || '?' AS question, CAST(length('Answer the question by these factoids alone and cite them; say so where they don''t tell.' || chr(10) || chr(10) || 'Question:' || chr(10) || 'What of ' || query_id || '?' || chr(10) || chr(10) || 'Factoids:' || chr(10) || context) AS VARCHAR) AS answer FROM c""")
+def rag_answers(spark, sf_dir):
+    """Answers to questions from the texts of the nearest vectors."""
+    hits = knn_topk(spark, sf_dir).join(table(spark, sf_dir, "documents"), F.col("id") == F.col("doc_id")).withColumnRenamed("text", "document")
+    questions = hits.select("query_id").distinct().withColumn("question", F.concat(F.lit("What of "), F.col("query_id").cast("string"), F.lit("?")))
+    return answers.rag_answers(questions, hits, length_of, "source")[0]
+
+
+@query("""SELECT p_partkey, 'Title: ' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'N/A' END || chr(10) || 'Journal: ' || p_brand || chr(10) || 'Article-type hint: N/A' || chr(10) || 'Document subtype: N/A' || chr(10) || 'Categories: ' || p_type || ', x' || chr(10) || 'Keywords: N/A' || chr(10)
+|| CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Abstract:' || chr(10) || 'On ' || p_name ELSE chr(10) || 'No abstract. Factoids of the document, a weak signal:' || chr(10) || '- one' || chr(10) || '- ' || p_brand END || chr(10) || chr(10) || 'Reply with one digit: 3, 4, 5 or 7.' AS prompt FROM part""")
+def level_prompts(spark, sf_dir):
+    even = F.col("p_size") % 2 == 0
+    made = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(even, F.col("p_name")).otherwise(" ").alias("title"), F.col("p_brand").alias("journal"), F.array("p_type", F.lit("x")).alias("categories"), F.array().cast("array<string>").alias("keywords"),
+        F.when(even, F.concat(F.lit("On "), "p_name")).alias("abstract"), F.array(F.lit("one"), F.col("p_brand")).alias("factoid_sample"), F.lit(None).cast("string").alias("article_type"),
+    )
+    return made.select("p_partkey", answers.level_prompt(made.columns).alias("prompt"))
+
+
+async def factoids_of(prompt: str) -> str:
+    """A stand-in for a model that answers by a schema, but not always."""
+    size = len(prompt)
+    if size % 5 == 0:
+        return "Sure! Here it is."
+    summary = {"study_type": "x"} if size % 7 == 0 else {"study_type": "x", "certainty": str(size)}
+    return json.dumps({"factoids": [{"index": 1, "text": prompt.split(" ")[0]}], "evidence_summary": summary})
+
+
+@query("""SELECT doc_id, CASE WHEN n % 5 > 0 AND n % 7 > 0 THEN string_split(text, ' ')[1] END AS first, CASE WHEN n % 5 > 0 AND n % 7 > 0 THEN CAST(n AS VARCHAR) END AS certainty, CASE WHEN n % 5 = 0 THEN 'no JSON' WHEN n % 7 = 0 THEN 'no evidence_summary.certainty' END AS error FROM (SELECT doc_id, text, length(text) AS n FROM documents)""")
+def structured_answers(spark, sf_dir):
+    """Answers by a schema; what doesn't keep to it is a failure with its reason."""
+    schema = "factoids array<struct<index:int,text:string>>, evidence_summary struct<study_type:string,certainty:string>"
+    made, failed = answers.structured(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", factoids_of, schema, ["factoids", "evidence_summary.certainty"])
+    met = made.join(failed.select(F.col("prompt").alias("text"), "error"), "text", "left")
+    return met.select("doc_id", F.col("record.factoids")[0]["text"].alias("first"), F.col("record.evidence_summary.certainty").alias("certainty"), "error")
