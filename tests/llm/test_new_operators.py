@@ -180,3 +180,70 @@ def test_near_vectors_are_found_at_the_threshold(spark, monkeypatch):
 def test_passes_grow_with_the_input():
     counts = [projection_passes.pass_count(n) for n in (10, 1024, 10_000, 1_000_000, 10**9)]
     assert counts[:2] == [1, 1] and counts == sorted(counts) and counts[-1] > 50
+
+
+# --- op3: growth and statistics against slow definitions
+def grown_by_hand(rows, labels, trees, depth):
+    """Scores of the rows, by trying every cut of every column in every node."""
+    from loomstone.llm.boosted_quality import BINS, LEAST_ROWS, RATE, RIDGE
+
+    edges = [sorted(set(np.quantile(rows[:, k], np.linspace(0, 1, BINS)[1:-1], method="lower"))) for k in range(rows.shape[1])]
+    raw = [float(np.log(labels.mean() / (1 - labels.mean())))] * len(rows)
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-x)) for x in raw]
+        grad, hess = [y - q for y, q in zip(labels, p)], [q * (1 - q) for q in p]
+        nodes = [list(range(len(rows)))]
+        for _ in range(depth):
+            after = []
+            for own in nodes:
+                gain = lambda part: sum(grad[i] for i in part) ** 2 / (sum(hess[i] for i in part) + RIDGE)
+                best = (1e-9, None)
+                for k, cuts in enumerate(edges):
+                    for cut in cuts:
+                        left, right = [i for i in own if rows[i, k] <= cut], [i for i in own if rows[i, k] > cut]
+                        if len(left) >= LEAST_ROWS and len(right) >= LEAST_ROWS and gain(left) + gain(right) - gain(own) > best[0] + 1e-12:
+                            best = (gain(left) + gain(right) - gain(own), (left, right))
+                after += best[1] or (own, [])
+            nodes = after
+        for own in nodes:
+            value = RATE * sum(grad[i] for i in own) / (sum(hess[i] for i in own) + RIDGE)
+            for i in own:
+                raw[i] += value
+    return 1 / (1 + np.exp(-np.array(raw)))
+
+
+def test_trees_grow_as_by_hand():
+    from loomstone.llm.boosted_quality import grow
+
+    rng = np.random.default_rng(7)
+    rows = np.column_stack([rng.standard_normal(130), rng.integers(0, 4, 130), np.zeros(130)]).round(3)
+    labels = ((rows[:, 0] + 0.5 * rows[:, 1] + 0.3 * rng.standard_normal(130)) > 0.6).astype(float)
+    got = grow(rows, labels, trees=4, depth=2).score(rows)
+    assert np.allclose(got, grown_by_hand(rows, labels, 4, 2), atol=1e-9)
+
+
+def test_statistics_are_what_they_are_called():
+    from loomstone.llm.boosted_quality import NAMES, statistics
+
+    text = "The cat sat. The cat sat!\nTWO # {x} words-here, and 42 more\nThe cat sat. The cat sat!\n\n" + "é" * 20
+    own = dict(zip(NAMES, statistics([text.encode()])[0]))
+    raw, words, lines = text.encode(), text.encode().split(), text.encode().split(b"\n")
+    share = lambda chars: sum(raw.count(c.encode()) for c in chars) / len(raw)
+    pairs = list(zip(words, words[1:]))
+    want = {
+        "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit": share("0123456789"), "line": share("\n"), "stop": share("."), "loud": share("!?"), "symbol": share("#$%&*^~`"), "tag": share("<>{}[]\\"), "joint": share("-_/:;=+@"), "wide": 40 / len(raw),
+        "chars": np.log1p(len(raw)), "words": np.log1p(len(words)), "word_chars": np.mean([len(w) for w in words]), "word_long": np.mean([len(w) > 15 for w in words]), "word_short": np.mean([len(w) < 3 for w in words]), "word_distinct": len(set(words)) / len(words),
+        "word_top": max(Counter(words).values()) / len(words), "pair_distinct": len(set(pairs)) / len(pairs), "word_repeat": sum(a == b for a, b in pairs) / len(words), "upper_words": sum(w.isupper() for w in words) / len(words), "lines": np.log1p(len(lines)),
+        "line_chars": np.log1p(len(raw) / len(lines)), "line_distinct": len(set(lines)) / len(lines), "line_top": max(Counter(lines).values()) / len(lines), "line_ended": sum(x.endswith((b".", b"!", b"?")) for x in lines) / len(lines),
+    }
+    assert {k: round(own[k], 9) for k in want} == {k: round(float(v), 9) for k, v in want.items()}
+    assert not statistics([None, b"", b" \n"])[0].any() and statistics([]).shape == (0, len(NAMES))
+
+
+def test_quality_of_documents_without_labels(spark, tmp_path):
+    from loomstone.llm.boosted_quality import op3_boosted_quality
+
+    spark.createDataFrame([(1, "a text"), (2, None), (None, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op3_boosted_quality(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and {r.score for r in got} == {0.5} and {r.predicted for r in got} == {1}
