@@ -8,7 +8,7 @@ reader looks at, and the commit moves the folders of the attempts that count to
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,3 +127,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """file_name, content of the files that were written; those of jobs under way and empty files aren't seen."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{path.rstrip('/')}/job-*")
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "content")
+
+
+def copy_matching(spark: SparkSession, path: str, to: str, match: Callable[[Column], Column]) -> DataFrame:
+    """Copy the files whose text fits a condition, unchanged and under their names; file_name of each.
+
+    ``path`` is a folder or pattern of files with names of their own.
+    """
+    found = spark.read.format("binaryFile").load(path).where(match(F.col("content").cast("string")))
+    named = write_and_read(found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content"), "matching")
+    spark.dataSource.register(RecordFiles)
+    named.write.format("loomstone_record_files").mode("append").option("path", to).save()
+    return named.select(F.col("name").alias("file_name"))
