@@ -131,18 +131,36 @@ def cell_search(queries: DataFrame, corpus: DataFrame, k: int, *, least: float =
     c = corpus.join(F.broadcast(cells), "cell").select("cell", every("blocks").alias("block"), part("id", "chunks").alias("chunk"), F.lit(1).alias("is_row"), "id", "embedding")
     units = q.union(c).select(F.xxhash64("cell", "block", "chunk").alias("unit"), "is_row", F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     met = units.repartition("unit").sortWithinPartitions("unit", "is_row").mapInArrow(_compared(k, least, digits), "query_id long, id long, similarity double")
+    return _ranked(met, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")  # the plan keeps k rows of a query before they move
-    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 5) -> DataFrame:
     """query_id, id, similarity (cosine, rounded), rank of the k nearest rows of corpus (id, embedding).
 
     Queries (query_id, embedding) are compared with all rows; see ``neighbours`` and the collection's
-    index for searches that leave most of them out.
+    index for searches that leave most of them out. Up to ``BLOCK_QUERIES`` of them are broadcast, and the
+    corpus stays where it is; more meet it in blocks and chunks, with the same result.
     """
-    q = queries.where(usable(F.col("embedding"))).select("query_id", F.lit(0).alias("cell"), "embedding")
-    return cell_search(q, corpus.where(usable(F.col("embedding"))).select("id", F.lit(0).alias("cell"), "embedding"), k, digits=digits)
+    as_double = lambda df: df.where(usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    q, c = as_double(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")), as_double(corpus.select(F.col("id").cast("long").alias("id"), "embedding"))
+    block = q.limit(BLOCK_QUERIES + 1).collect()
+    if len(block) > BLOCK_QUERIES:
+        return cell_search(q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, digits=digits)
+    shared = corpus.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), matrix(pa.array([r.embedding for r in block], pa.list_(pa.float64())))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Best(*shared.value, k, -2.0, digits)
+        for batch in batches:
+            if batch.num_rows and len(own.ids):
+                own.add(batch.column(0).to_numpy(), matrix(batch.column(1)))
+        yield own.found()
+
+    return _ranked(c.mapInArrow(best, "query_id long, id long, similarity double"), k)
 
 
 def _cells_within(pivots: np.ndarray, radius: float, home_only: bool):

@@ -57,8 +57,9 @@ def test_visits_leave_cells_out():
     assert visits.num_rows < 0.5 * len(points) * 20
 
 
-def test_nearest_in_blocks_and_chunks(spark, monkeypatch):
-    monkeypatch.setattr(vector, "BLOCK_QUERIES", 7)
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_in_blocks_and_chunks(spark, monkeypatch, block):
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", block)
     monkeypatch.setattr(vector, "CHUNK_ROWS", 50)
     rows = vectors(260) + ODD
     df = spark.createDataFrame(rows, SCHEMA)
