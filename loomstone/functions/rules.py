@@ -159,3 +159,32 @@ def is_reference_page(content: Column, marks: tuple[str, ...] = JUNK_MARKS, leas
 
 def is_low_value(sentence: Column, patterns: tuple[str, ...] = LOW_VALUE) -> Column:
     return sentence.rlike("(?i)(" + "|".join(patterns) + ")")
+
+
+# What a page's text layer may have, and what begins a table.
+LEAST_CHARS, MOST_LIGATURES, MOST_HYPHENS, SHORT_LINE, MOST_SHORT = 1000, 12, 18, 35, 0.55
+LIGATURES, SOFT_HYPHEN, TABLE_LINE, CONTINUED = ("ﬁ", "ﬂ"), "­", r"(?im)^\s*table\s", "continued"
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
+
+
+def text_quality(c: Column) -> Column:
+    """char_count, line_count (non-blank), ligatures, soft_artifacts, hyphen_ends, short_line_ratio, weird_ratio of a text layer."""
+    text = F.coalesce(c, F.lit(""))
+    lines = F.filter(F.transform(F.split(text, LINE_BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    times = lambda *marks: F.length(text) - F.length(F.translate(text, "".join(marks), ""))
+    short = F.size(F.filter(lines, lambda x: F.length(x) < SHORT_LINE))
+    ligatures, soft = times(*LIGATURES), times(SOFT_HYPHEN)
+    return F.struct(
+        F.length(text).alias("char_count"), F.size(lines).alias("line_count"), ligatures.alias("ligatures"), soft.alias("soft_artifacts"), F.size(F.filter(lines, lambda x: F.endswith(x, F.lit("-")))).alias("hyphen_ends"),
+        F.when(F.size(lines) > 0, short / F.size(lines)).otherwise(1.0).alias("short_line_ratio"), ((ligatures + soft) / F.greatest(F.length(text), F.lit(1))).alias("weird_ratio"),
+    )
+
+
+def is_continued_table(c: Column) -> Column:
+    return F.rlike(c, F.lit(TABLE_LINE)) | F.contains(F.lower(c), F.lit(CONTINUED))
+
+
+def is_usable_text(c: Column, quality: Column) -> Column:
+    """Whether a page's own text layer will do, by its quality and as no table goes on in it."""
+    good = (quality["char_count"] >= LEAST_CHARS) & (quality["ligatures"] <= MOST_LIGATURES) & (quality["hyphen_ends"] <= MOST_HYPHENS) & (quality["short_line_ratio"] <= MOST_SHORT)
+    return F.coalesce(good & ~is_continued_table(c), F.lit(False))

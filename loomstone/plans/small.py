@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import elements as xml
-from ..functions import harmonise, metadata, text
+from ..functions import harmonise, metadata, rules, text
 from ..operators import audit, dedupe
 from ..session import table
 from . import drug_labels, embedding_rows
@@ -222,6 +222,21 @@ def journal_signals(spark, sf_dir):
     return xml.classifier_signals(_articles(spark, sf_dir, JOURNAL, NOTE), "id", methods_chars=20)
 
 
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'x' || chr(10) || '  Table 3 doses' || chr(10) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, 'ma', chr(64257)), 'en', chr(173)) ELSE text END AS text FROM documents),
+l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
+m AS (SELECT *, length(text) AS n, length(text) - length(replace(text, chr(64257), '')) AS ligatures, length(text) - length(replace(text, chr(173), '')) AS soft, len(list_filter(lines, lambda x: ends_with(x, '-'))) AS hyphens, CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: length(x) < 35)) / len(lines) ELSE 1.0 END AS short FROM l)
+SELECT doc_id, CAST(n AS INTEGER) AS char_count, CAST(len(lines) AS INTEGER) AS line_count, CAST(ligatures AS INTEGER) AS ligatures, CAST(soft AS INTEGER) AS soft_artifacts, CAST(hyphens AS INTEGER) AS hyphen_ends, round(short, 6) AS short_line_ratio, round((ligatures + soft) / greatest(n, 1), 6) AS weird_ratio,
+n >= 1000 AND ligatures <= 12 AND hyphens <= 18 AND short <= 0.55 AND NOT contains(lower(text), 'continued') AND NOT regexp_matches(text, '(?im)^\\s*table\\s') AS usable FROM m""")
+def text_layer_gate(spark, sf_dir):
+    """Whether texts would do as a page's text layer; some have ligatures, soft hyphens or a table put in."""
+    docs = table(spark, sf_dir, "documents")
+    marred = F.when(F.col("doc_id") % 2 == 0, F.replace(F.replace("text", F.lit("ma"), F.lit("\ufb01")), F.lit("en"), F.lit("\u00ad"))).otherwise(F.col("text"))
+    made = docs.select("doc_id", F.concat(F.when(F.col("doc_id") % 17 == 0, "x\n  Table 3 doses\n").otherwise(""), marred).alias("text"))
+    q = made.select("doc_id", "text", rules.text_quality(F.col("text")).alias("q")).withColumn("usable", rules.is_usable_text(F.col("text"), F.col("q")))
+    rounded = [F.round(f"q.{n}", 6).alias(n) for n in ("short_line_ratio", "weird_ratio")]
+    return q.select("doc_id", *[f"q.{n}" for n in ("char_count", "line_count", "ligatures", "soft_artifacts", "hyphen_ends")], *rounded, "usable")
+
+
 @query("""SELECT page_id, 'A & <b> ' || page_id || ' end' AS shown, '8' || page_id AS scopus, 'https://x/p?after=' || page_id AS following, 'http://s?cursor=' || page_id || '&query=breast+cancer&count=25' AS link, 'file' || page_id AS dataset FROM pages""")
 def link_and_text_repair(spark, sf_dir):
     k = F.col("page_id").cast("string")

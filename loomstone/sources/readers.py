@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text, xml
+from .tables import write_and_read
 
 FACTOID_DOCUMENT = "metadata struct<source_family:string,document_title:string,document_type:string,document_year:int,file_name:string,DOI:string,PMID:string,PMCID:string,TITLE:string,JOURNAL:string,YEAR:string,source:string,license_label:string,license_info:struct<copyright:string,commercial_use:string,personal_use:string>,source_hierarchy:struct<level:int,label:string>>, factoids array<struct<id:int,index:int,source:string,text:string,factoid_text:string>>"
 #: Keys under which a JSON file holds its list of records.
@@ -17,11 +18,17 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("file_name", F.col("_metadata.file_name"))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str = FACTOID_DOCUMENT) -> DataFrame:
-    """A document per file; files that aren't of the schema are left out."""
+def parted_documents(spark: SparkSession, path: str, schema: str = FACTOID_DOCUMENT) -> tuple[DataFrame, DataFrame]:
+    """A document per file, and the files that aren't of the schema: file_name, value. Files are read once, and written."""
     kind = T._parse_datatype_string(f"{schema}, _bad string")
     read = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(kind).json(path)
-    return _named(read).where("_bad is null").drop("_bad")
+    kept = write_and_read(_named(read), "documents")
+    return kept.where("_bad is null").drop("_bad"), kept.where("_bad is not null").select("file_name", F.col("_bad").alias("value"))
+
+
+def json_documents(spark: SparkSession, path: str, schema: str = FACTOID_DOCUMENT) -> DataFrame:
+    """A document per file; see ``parted_documents`` for the files that aren't of the schema."""
+    return parted_documents(spark, path, schema)[0]
 
 
 def factoids(documents: DataFrame) -> DataFrame:

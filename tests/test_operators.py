@@ -69,6 +69,8 @@ def test_readers_and_sinks(spark, tmp_path):
     (docs / "b.json").write_text("{broken")
     rows = readers.factoids(readers.json_documents(spark, str(docs))).orderBy("pos").collect()
     assert [(r.file_name, r.idx, r.text, r.title, r.year) for r in rows] == [("a.json", 4, "one", "t", 2001), ("a.json", 5, "two", "t", 2001)]
+    good, bad = readers.parted_documents(spark, str(docs))
+    assert good.count() == 1 and [(r.file_name, r.value.strip()) for r in bad.collect()] == [("b.json", "{broken")]
     mixed = tmp_path / "mixed"
     mixed.mkdir()
     for name, body in (("l.json", [{"x": 1}, {"x": 2}]), ("r.json", {"results": [{"x": 3}]}), ("o.json", {"x": 4})):
