@@ -19,7 +19,6 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
     "curated_overview", "ws_normalize", "license_rule_a", "char_chunks", "exact_dedupe_keep_first", "dedupe_report", "cross_source_match", "enrich_keep_last", "match_cascade",
     "composite_lookup", "theta_candidates_top20", "best_of_group", "array_overlap_filter", "keyed_upsert", "running_counters", "global_id", "knn_topk", "html_title_links", "prompt_assembly", "benchmark_overlap", "paragraph_pack", "routing_split", "factoid_counts",
-    "similar_neighbours", "type_candidates", "keyed_changes", "nested_leaves", "good_lines", "literature_rows",
 )
 
 
