@@ -206,6 +206,17 @@ def test_passages_go_and_phrases_stay(spark):
     assert all(got[k].removed_chars == 0 for k in range(0, 12, 2))
 
 
+def test_passages_without_sentences(spark):
+    """Clauses cut what has no sentence end; one word over and over is cut by number, one endless word not at all."""
+    rng = random.Random(5)
+    passage = ", ".join(rand_text(rng, 7) for _ in range(20))
+    texts = [(k, f"{rand_text(rng, 30)}, {passage}, {rand_text(rng, 30)}") for k in range(2)]
+    texts += [(2, "de " * 200), (3, "de " * 140), (4, "x" * 1_000_000), (5, "x" * 999_999), (6, "de " * 20)]
+    got = {r.doc_id: r for r in line_chunks.drop_repeated_chunks(documents(spark, texts)).collect()}
+    assert got[0].removed_chars == 0 and got[1].removed_chars > len(passage) // 2
+    assert [got[k].removed_chars for k in range(2, 7)] == [150 * 3, 100 * 3, 0, 0, 0]
+
+
 @pytest.mark.parametrize("few", [0, 10**9])
 def test_line_chunks_match_sql(spark, monkeypatch, few):
     """On odd texts, by joins and by broadcasts of repeated hashes."""
