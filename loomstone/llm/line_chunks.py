@@ -15,7 +15,8 @@ Chunks are told apart by their bytes: hashes only choose the candidates. Chunks
 stay, as they only part lines. Hashes are counted with partial aggregation; hashes with more than one
 in ``HEAVY`` of all occurrences (so fewer than ``HEAVY`` of them) are broadcast, and the others are
 joined. Whether a chunk is at its first place is asked by place, so no task gathers the places of one
-chunk. Documents move once, to meet the chunks that they lose. All of it is DataFrame operations.
+chunk. Documents move once, into a table bucketed by document, where they meet the chunks that they
+lose without an exchange. All of it is DataFrame operations.
 
 Edge cases: null and empty texts are kept as they are. The order of places is doc_id (null first), the
 text's hash, place in the text; rows that repeat all of it share what happens to them. Texts may hold
@@ -28,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import stash
+from ._shared import let_go, stash
+from .snapshot_diff import _bucketed
 
 LONG_WORDS, LONG_CHARS, CLAUSE_WORDS, HEAVY = 50, 400, 8, 1000
 #: Repeated hashes that are broadcast, at most; more of them are joined.
@@ -36,6 +38,8 @@ BROADCAST_ROWS = 500_000
 #: The first parts units while they are computed and is escaped in texts, with the second.
 MARKS = ("\x01", "\x02")
 LINE_END, PART_END = "(\n|[.!?] |[。！？])", "(\n|[.!?,;:] |[。！？，、；：])"
+#: What PART_END matches, one by one: none lies within another, so replacing each in turn is as good as the pattern.
+PART_ENDS = ("\n", *(f"{c} " for c in ".!?,;:"), *"。！？，、；：")
 _TWO_LINES, _TWO_PARTS = LINE_END + "(?s:.)", PART_END + "(?s:.)"
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Some words and what follows them. It matches at every word's start, so that no place is tried twice.
@@ -68,7 +72,9 @@ def _plain(c: Column | str) -> Column:
 def split_documents(docs: DataFrame) -> DataFrame:
     """doc_id, dk, th, chunks of each row (escaped; joined they are the text)."""
     escaped = F.replace(F.replace("text", F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("dk"), F.xxhash64("text").alias("th"), F.split(F.regexp_replace(escaped, PART_END, "$1\x01"), "\x01").alias("parts"))
+    for end in PART_ENDS:
+        escaped = F.replace(escaped, F.lit(end), F.lit(f"{end}\x01"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("dk"), F.xxhash64("text").alias("th"), F.split(escaped, "\x01").alias("parts"))
     marked = F.array_join(F.zip_with("parts", "low", lambda x, end: F.when(end, F.concat(x, F.lit("\x01"))).otherwise(x)), "")
     rows = _lows(rows, "parts").select("doc_id", "dk", "th", F.split(marked, "\x01").alias("chunks"))
     is_long = lambda c: F.length(c) > LONG_CHARS
@@ -90,7 +96,7 @@ def _repeated(parts: DataFrame, long_words: int) -> DataFrame:
     hashes = stash(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
     if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return each.join(F.broadcast(hashes.select("h")), "h", "left_semi").drop("h")
-    # hashes move with their places alone; then documents, each once, to where their repeated chunks are known
+    # hashes move with their places alone, then to the buckets of their documents
     all_times = hashes.agg(F.sum("times")).first()[0]
     places = each.select("h", "dk", "th", "pos")
     heavy, light = (hashes.where(c).select("h") for c in (F.col("times") * HEAVY > all_times, F.col("times") * HEAVY <= all_times))
@@ -103,13 +109,14 @@ def _repeated(parts: DataFrame, long_words: int) -> DataFrame:
 def repeated_places(parts: DataFrame, *, long_words: int = LONG_WORDS) -> DataFrame:
     """dk, th, pos of every chunk that repeats an earlier one."""
     again = stash(_repeated(parts, long_words), "again")
+    let_go(parts.sparkSession)
     first = again.groupBy("chunk").agg(F.min(F.struct("dk", "th", "pos")).alias("first")).select("first.*")
     return again.select("dk", "th", "pos").join(first, ["dk", "th", "pos"], "left_anti").distinct()
 
 
 def drop_repeated_chunks(docs: DataFrame, **options) -> DataFrame:
     """doc_id, text without repeated chunks, chunks, removed_chunks, removed_chars of each row."""
-    parts = stash(split_documents(docs), "chunks")
+    parts = _bucketed(split_documents(docs), "chunks", "dk", "th")
     gone = repeated_places(parts, **options).groupBy("dk", "th").agg(F.collect_list("pos").alias("gone"))  # of one document
     met = parts.join(gone, ["dk", "th"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
