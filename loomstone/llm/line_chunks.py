@@ -69,8 +69,12 @@ def _plain(c: Column | str) -> Column:
     return F.replace(F.replace(c, F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02"))
 
 
-def split_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, dk, th, chunks of each row (escaped; joined they are the text)."""
+def split_documents(docs: DataFrame, *, long_words: int = LONG_WORDS) -> DataFrame:
+    """doc_id, dk, th, chunks (escaped; joined they are the text), hs of each row.
+
+    hs has the hash of each chunk that may be removed and null for the others, so that later steps
+    read no text for them.
+    """
     escaped = F.replace(F.replace("text", F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))
     for end in PART_ENDS:
         escaped = F.replace(escaped, F.lit(end), F.lit(f"{end}\x01"))
@@ -80,7 +84,8 @@ def split_documents(docs: DataFrame) -> DataFrame:
     is_long = lambda c: F.length(c) > LONG_CHARS
     cut = F.transform("chunks", lambda c: F.when(is_long(c), F.rtrim(F.regexp_replace(c, _WORDS, "$1\x01"), F.lit("\x01"))).otherwise(c))
     cut = F.when(F.exists("chunks", is_long), F.split(F.array_join(cut, "\x01"), "\x01")).otherwise(F.col("chunks"))
-    return rows.select("doc_id", "dk", "th", cut.alias("chunks"))
+    rows = rows.select("doc_id", "dk", "th", cut.alias("chunks"))
+    return rows.select("*", F.transform("chunks", lambda c: F.when(_able(c, long_words), F.xxhash64(c))).alias("hs"))
 
 
 def _able(chunk: Column, long_words: int) -> Column:
@@ -90,25 +95,25 @@ def _able(chunk: Column, long_words: int) -> Column:
     return F.rlike(chunk, F.lit(_WORD)) & (F.rlike(chunk, F.lit(_TWO_LINES)) | enough)
 
 
-def _repeated(parts: DataFrame, long_words: int) -> DataFrame:
+def _repeated(parts: DataFrame) -> DataFrame:
     """dk, th, pos, chunk of the chunks whose hash occurs more than once."""
-    each = parts.select("dk", "th", F.posexplode("chunks").alias("pos", "chunk")).where(_able(F.col("chunk"), long_words)).withColumn("h", F.xxhash64("chunk"))
+    each = parts.select("dk", "th", F.posexplode("hs").alias("pos", "h")).where("h IS NOT NULL")
     hashes = stash(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
     if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return each.join(F.broadcast(hashes.select("h")), "h", "left_semi").drop("h")
+        with_text = parts.select("dk", "th", F.posexplode(F.arrays_zip("hs", "chunks")).alias("pos", "c")).where("c.hs IS NOT NULL")
+        return with_text.select("dk", "th", "pos", F.col("c.hs").alias("h"), F.col("c.chunks").alias("chunk")).join(F.broadcast(hashes.select("h")), "h", "left_semi").drop("h")
     # hashes move with their places alone, then to the buckets of their documents
     all_times = hashes.agg(F.sum("times")).first()[0]
-    places = each.select("h", "dk", "th", "pos")
     heavy, light = (hashes.where(c).select("h") for c in (F.col("times") * HEAVY > all_times, F.col("times") * HEAVY <= all_times))
-    met = places.join(F.broadcast(heavy), "h", "left_semi").unionByName(places.join(F.broadcast(heavy), "h", "left_anti").join(light, "h", "left_semi"))
+    met = each.join(F.broadcast(heavy), "h", "left_semi").unionByName(each.join(F.broadcast(heavy), "h", "left_anti").join(light, "h", "left_semi"))
     wanted = met.groupBy("dk", "th").agg(F.collect_set("pos").alias("ks"))  # of one document
     found = parts.join(wanted, ["dk", "th"]).select("dk", "th", F.explode("ks").alias("pos"), "chunks")
     return found.select("dk", "th", "pos", F.get("chunks", F.col("pos")).alias("chunk"))
 
 
-def repeated_places(parts: DataFrame, *, long_words: int = LONG_WORDS) -> DataFrame:
+def repeated_places(parts: DataFrame) -> DataFrame:
     """dk, th, pos of every chunk that repeats an earlier one."""
-    again = stash(_repeated(parts, long_words), "again")
+    again = stash(_repeated(parts), "again")
     let_go(parts.sparkSession)
     first = again.groupBy("chunk").agg(F.min(F.struct("dk", "th", "pos")).alias("first")).select("first.*")
     return again.select("dk", "th", "pos").join(first, ["dk", "th", "pos"], "left_anti").distinct()
@@ -116,8 +121,8 @@ def repeated_places(parts: DataFrame, *, long_words: int = LONG_WORDS) -> DataFr
 
 def drop_repeated_chunks(docs: DataFrame, **options) -> DataFrame:
     """doc_id, text without repeated chunks, chunks, removed_chunks, removed_chars of each row."""
-    parts = _bucketed(split_documents(docs), "chunks", "dk", "th")
-    gone = repeated_places(parts, **options).groupBy("dk", "th").agg(F.collect_list("pos").alias("gone"))  # of one document
+    parts = _bucketed(split_documents(docs, **options), "chunks", "dk", "th")
+    gone = repeated_places(parts).groupBy("dk", "th").agg(F.collect_list("pos").alias("gone"))  # of one document
     met = parts.join(gone, ["dk", "th"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.array_join("chunks", "")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("chunks", i)), ""))
