@@ -8,60 +8,124 @@ aggregates over these rows. A document that can't be parsed has no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import bucketed
 from .text import truncated
 
 ELEMENT = "at int, parent int, name string, path string, above array<int>, attributes map<string,string>, text string, tight string"
 
 
+@lru_cache(4096)
 def _local(name: str) -> str:
     return name.rsplit("}", 1)[-1].lower()
 
 
-def _walk(root: ElementTree.Element) -> list[dict]:
-    """Elements in document order: number, parent's number, local names from the root on, numbers of those above."""
-    rows: list[dict] = []
-    waiting = [(root, -1, "", [])]
-    while waiting:
-        node, parent, path, above = waiting.pop()
-        if not isinstance(node.tag, str):  # comments and instructions
-            continue
-        at, name = len(rows), _local(node.tag)
-        path = f"{path}/{name}"
-        attributes = [(_local(k), v) for k, v in dict(node.attrib).items()]
-        rows.append({"at": at, "parent": parent, "name": name, "path": path, "above": above, "attributes": list(dict(attributes).items()), "text": " ".join(" ".join(node.itertext()).split()), "tight": " ".join("".join(node.itertext()).split())})
-        waiting += [(child, at, path, [*above, at]) for child in reversed(node)]
-    return rows
+class _Rows:
+    """Columns of elements, filled document by document in document order."""
+
+    def __init__(self) -> None:
+        self.document, self.at, self.parent, self.name, self.path, self.text, self.tight = ([] for _ in range(7))
+        self.above, self.above_ends, self.names, self.values, self.attribute_ends, self.size = [], [0], [], [], [0], 0
+
+    def add(self, document: int, root: ElementTree.Element) -> None:
+        base = len(self.at)
+        pieces, words, begun = [], [], []  # texts, their words, and where each element's begin
+        waiting: list[tuple] = [(root, -1, "", ())]
+        while waiting:
+            node, parent, path, above = waiting.pop()
+            if parent == -2:  # an element ends (path: its number), its tail follows
+                self._texts(base + path, pieces, words, *begun[path])
+            else:
+                if isinstance(node.tag, str):  # no comment or instruction
+                    at, name = len(self.at) - base, _local(node.tag)
+                    path = f"{path}/{name}"
+                    self.document.append(document)
+                    self.at.append(at)
+                    self.parent.append(parent)
+                    self.name.append(name)
+                    self.path.append(path)
+                    self.text.append("")
+                    self.tight.append("")
+                    self.above += above
+                    self.above_ends.append(len(self.above))
+                    if node.attrib:
+                        attributes = {_local(k): v for k, v in node.attrib.items()}
+                        self.names += attributes.keys()
+                        self.values += attributes.values()
+                    self.attribute_ends.append(len(self.names))
+                    begun.append((len(pieces), len(words)))
+                    if node.text:
+                        pieces.append(node.text)
+                        words += node.text.split()
+                    waiting.append((node, -2, at, above))
+                    if len(node):
+                        inside = (*above, at)
+                        waiting += [(child, at, path, inside) for child in reversed(node)]
+                    continue
+            if node.tail and node is not root:
+                pieces.append(node.tail)
+                words += node.tail.split()
+
+    def _texts(self, place: int, pieces: list[str], words: list[str], piece: int, word: int) -> None:
+        text = " ".join(words[word:])
+        self.text[place] = text
+        self.tight[place] = text if len(pieces) - piece < 2 else " ".join("".join(pieces[piece:]).split())
+        self.size += 2 * len(text) + 100
+
+    def batch(self, keys: pa.Array, key: str) -> pa.RecordBatch:
+        ints, strings = (lambda v: pa.array(v, pa.int32())), (lambda v: pa.array(v, pa.string()))
+        above = pa.ListArray.from_arrays(ints(self.above_ends), ints(self.above))
+        attributes = pa.MapArray.from_arrays(ints(self.attribute_ends), strings(self.names), strings(self.values))
+        columns = [keys.take(ints(self.document)), ints(self.at), ints(self.parent), strings(self.name), strings(self.path), above, attributes, strings(self.text), strings(self.tight)]
+        return pa.RecordBatch.from_arrays(columns, [key, "at", "parent", "name", "path", "above", "attributes", "text", "tight"])
+
+
+#: Characters of elements after which a batch of them is given on.
+BATCH_CHARS = 4_000_000
 
 
 def elements(df: DataFrame, key: str, xml: str) -> DataFrame:
     """key and ELEMENT for each element of each document; names are local, in lower case, texts collapsed.
 
-    ``text`` has a blank between the texts of inner elements, ``tight`` has none but theirs.
+    ``text`` has a blank between the texts of inner elements, ``tight`` has none but theirs. Each use of the
+    result parses again; ``parsed`` keeps it.
     """
-    kinds = pa.schema([("at", pa.int32()), ("parent", pa.int32()), ("name", pa.string()), ("path", pa.string()), ("above", pa.list_(pa.int32())), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("tight", pa.string())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = _Rows()
             for k, text in enumerate(batch.column(1).to_pylist()):
                 try:
-                    rows = _walk(ElementTree.fromstring(text)) if text else []
+                    if text:
+                        rows.add(k, ElementTree.fromstring(text))
                 except ElementTree.ParseError:
-                    rows = []
-                if rows:
-                    own = pa.RecordBatch.from_pylist(rows, kinds)
-                    keys = batch.column(0).take(pa.array([k] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([keys, *own.columns], [key, *own.schema.names])
+                    continue
+                if rows.size > BATCH_CHARS:
+                    yield rows.batch(batch.column(0), key)
+                    rows = _Rows()
+            if rows.at:
+                yield rows.batch(batch.column(0), key)
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, xml).mapInArrow(parse, f"{key} {kind}, {ELEMENT}")
 
 
+def parsed(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """The elements as a table bucketed by key, parsed once, however often they are read.
+
+    Documents are dealt out to buckets before they are parsed, so all tasks parse and each writes its own
+    bucket; what groups by key, or joins on it, then moves no rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(elements(df.select(key, xml).repartition(n, key), key, xml), n, key, "at", tag="elements")
+
+
 def in_order(value: Column, at: Column, joint: str) -> Column:
     """The values of a group, in order, as one text."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), value.alias("v")))), lambda x: x["v"]), joint)

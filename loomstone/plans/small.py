@@ -52,7 +52,7 @@ NOTE = """<article article-type="@T"><front><article-title>@N</article-title></f
 def _articles(spark, sf_dir, even: str, odd: str):
     """An article of each part: a template for even sizes, another for odd ones, a broken text for every tenth size."""
     body = F.when(F.col("p_size") % 10 == 9, _filled(BROKEN)).when(F.col("p_size") % 2 == 0, _filled(even)).otherwise(_filled(odd))
-    return xml.elements(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("body")), "id", "body")
+    return xml.parsed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("body")), "id", "body")
 
 
 _EVEN, _ODD = "FROM part WHERE p_size % 2 = 0", "FROM part WHERE p_size % 2 = 1 AND p_size % 10 <> 9"

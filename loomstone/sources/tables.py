@@ -50,6 +50,21 @@ def write_and_read(df: DataFrame, tag: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, key: str, *order: str, tag: str = "table") -> DataFrame:
+    """The rows as a table in n buckets by key, sorted by key and order, read back.
+
+    Rows that lie by key in n partitions already give a file a bucket. The table is kept by its folder in
+    the shared store; the catalog holds its name only while it is opened.
+    """
+    spark = df.sparkSession
+    name = f"loomstone_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}-{tag}"
+    df.write.bucketBy(n, key).sortBy(key, *order).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    made = spark.read.table(name)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    return made
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """Insert or replace by key; of a key's changes the last by order counts. Columns as in target."""
     payload = [c for c in target.columns if c != key]
