@@ -46,10 +46,11 @@ def _stem(name: Column) -> Column:
 
 
 def _items(docs: DataFrame) -> DataFrame:
-    """file_name, pos, m (the document's metadata as a map), meta, item (a factoid as a map), text."""
-    each = docs.select("file_name", F.try_variant_get("doc", "$.metadata", "variant").alias("meta"), F.posexplode(F.try_variant_get("doc", "$.factoids", "array<variant>")).alias("pos", "v"))
-    made = each.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).select("file_name", "pos", "meta", _map(F.col("meta")).alias("m"), _map(F.col("v")).alias("item"))
-    return made.withColumn("text", F.try_element_at("item", F.lit("factoid_text"))).where("text is not null")
+    """file_name, pos, m (the document's metadata as a map), item (a factoid as a map), text."""
+    each = docs.select("file_name", _map(F.try_variant_get("doc", "$.metadata", "variant")).alias("m"), F.posexplode(F.try_variant_get("doc", "$.factoids", "array<variant>")).alias("pos", "v"))
+    text = _said(F.try_variant_get("v", "$.factoid_text", "variant"))
+    told = each.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).where(text.isNotNull())  # before the map is made
+    return told.select("file_name", "pos", "m", _map(F.col("v")).alias("item"), text.alias("text"))
 
 
 def literature_rows(docs: DataFrame, *, family: str = "EPMC") -> DataFrame:
@@ -60,17 +61,16 @@ def literature_rows(docs: DataFrame, *, family: str = "EPMC") -> DataFrame:
     field comes after the others of the same name.
     """
     own = _items(docs).withColumn("name", F.coalesce(*_get("m", "file_name"), F.col("file_name"))).withColumn("fid", F.coalesce(*_get("item", "id"), (F.col("pos") + 1).cast("string")))
-    row_id = F.concat_ws("_", _stem(F.col("name")), "fid")
+    own = own.withColumn("row_id", F.concat_ws("_", _stem(F.col("name")), "fid"))
     read = {
-        "factoid_id": row_id, "source_json": F.col("file_name"), "source_family": F.coalesce(pick(F.col("m"), "source_family"), F.lit(family)), "document_title": pick(F.col("m"), "document_title", "title"), "document_type": pick(F.col("m"), "document_type"),
+        "factoid_id": F.when(~F.map_contains_key("item", F.lit("id")), F.col("row_id")), "source_json": F.col("file_name"), "source_family": F.coalesce(pick(F.col("m"), "source_family"), F.lit(family)), "document_title": pick(F.col("m"), "document_title", "title"), "document_type": pick(F.col("m"), "document_type"),
         "document_year": pick(F.col("m"), "document_year", "year", "publication_year"), "file_name": F.col("name"), "doi": pick(F.col("m"), "doi"), "source_pdf_name": pick(F.col("m"), "source_pdf_name"),
     }
     named = F.map_filter(F.create_map(*[x for k, c in read.items() for x in (F.lit(k), c)]), lambda k, x: x.isNotNull())
     doc = F.transform_keys("m", lambda k, x: F.concat(F.lit("doc_"), k))
     item = F.transform_keys(F.map_filter("item", lambda k, x: k != "factoid_text"), lambda k, x: F.concat(F.lit("factoid_"), k))
-    entries = F.concat(F.map_entries(named), F.map_entries(doc), F.map_entries(item))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))  # as the last of a name counts
-    return own.select(row_id.alias("id"), F.col("text").alias("document"), _joined(*_get("m", *LITERATURE_METADATA), *_get("item", *LITERATURE_ITEM), F.col("text")).alias("embedding_text"), F.map_from_entries(last).alias("metadata"))
+    made = F.map_concat(named, doc, item)  # a factoid's own id apart, their names differ by what they begin with
+    return own.select(F.col("row_id").alias("id"), F.col("text").alias("document"), _joined(*_get("m", *LITERATURE_METADATA), *_get("item", *LITERATURE_ITEM), F.col("text")).alias("embedding_text"), made.alias("metadata"))
 
 
 def guideline_rows(docs: DataFrame) -> DataFrame:

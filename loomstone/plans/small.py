@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import elements as xml
 from ..functions import harmonise, metadata, rules, text
 from ..operators import audit, dedupe
-from ..session import table
+from ..session import spread, table
 from . import drug_labels, embedding_rows
 from .catalogue import query
 
@@ -174,7 +174,7 @@ _DOC = '{"metadata":{"source_family":"@T","TITLE":" Title of @N ","document_year
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("j"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("file_name"), F.parse_json(_filled(_DOC)).alias("doc"))
+    return spread(table(spark, sf_dir, "part")).select(F.concat(F.lit("j"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("file_name"), F.parse_json(_filled(_DOC)).alias("doc"))
 
 
 @query("""WITH f(fid, txt, tail, own) AS (VALUES ('1', 'first @N', ' | S', 1), ('0', 'zero', '', 0), ('3', 'no id', '', 0), ('c', 'last @B', ' | {"a":1,"b":2}', 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC for stable timestamps, adaptive execution for skew and partition counts, last key wins in maps.
 SETTINGS = {
@@ -24,3 +24,8 @@ def session(app: str = "loomstone", master: str | None = None, **more: str) -> S
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to as many tasks as a shuffle has: a small file, which few tasks read, may stand for much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
