@@ -286,7 +286,8 @@ CASE WHEN complete THEN TRUE END AS reviewed, (CASE WHEN complete THEN p_size EL
 def seed_summaries(spark, sf_dir):
     full = F.replace(_filled('{"metadata":{"file_name":"@K.json","application_number":" A@K ","metadata_match_candidates":@S,"reviewed":true},"curated_fields":{"generic_name":["","@N"],"brand_names":["@B","@T"],"drug_class":"@T","warnings":"aaaa   @N bb"}}'), F.lit("@S"), F.col("p_size").cast("string"))
     record = F.when(F.col("p_size") % 2 == 0, full).otherwise('{"metadata":null}')
-    made = table(spark, sf_dir, "part").select(metadata.seed_summary(record, F.col("p_partkey"), 14).alias("s"))
+    records = spread(table(spark, sf_dir, "part").select("p_partkey", record.alias("record")))  # made once, before they are read
+    made = records.select(metadata.seed_summary(F.col("record"), F.col("p_partkey"), 14).alias("s"))
     fields = len(made.schema["s"].dataType.fieldNames())
     shown = ("record_index", "file_name", "generic_name", "brand_name", "brand_names", "drug_class", "application_number", "warnings", "reviewed")
     return made.select(*[f"s.{n}" for n in shown], F.col("s.metadata_match_candidates").alias("candidates"), F.lit(fields).alias("fields"))
