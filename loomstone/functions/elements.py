@@ -116,14 +116,15 @@ def elements(df: DataFrame, key: str, xml: str) -> DataFrame:
     return df.select(key, xml).mapInArrow(parse, f"{key} {kind}, {ELEMENT}")
 
 
-def parsed(df: DataFrame, key: str, xml: str) -> DataFrame:
+def parsed(df: DataFrame, key: str, xml: str | Column) -> DataFrame:
     """The elements as a table bucketed by key, parsed once, however often they are read.
 
-    Documents are dealt out to buckets before they are parsed, so all tasks parse and each writes its own
-    bucket; what groups by key, or joins on it, then moves no rows.
+    Rows are dealt out to buckets before their document (a column, or made of columns) is made and parsed,
+    so all tasks do so and each writes its own bucket; what groups by key, or joins on it, then moves no rows.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bucketed(elements(df.select(key, xml).repartition(n, key), key, xml), n, key, "at", tag="elements")
+    made = df.repartition(n, key).select(key, (F.col(xml) if isinstance(xml, str) else xml).alias("_xml"))
+    return bucketed(elements(made, key, "_xml"), n, key, "at", tag="elements")
 
 
 def in_order(value: Column, at: Column, joint: str) -> Column:
@@ -140,6 +141,57 @@ def first_text(rows: DataFrame, key: str, fields: dict[str, Column]) -> DataFram
     return _some(rows).groupBy(key).agg(*[F.min_by(F.when(fits, F.col("text")), F.when(fits, F.col("at"))).alias(name) for name, fits in fields.items()])
 
 
+def _of_child(fits: Column, value: Column | str) -> Column:
+    """A child's value where its parent's row is made (see ``gathered``)."""
+    return F.when(~F.col("own") & fits, F.col(value) if isinstance(value, str) else value)
+
+
+def _child_text(name: str, fits: Column | None = None) -> Column:
+    """The text of the first child of that name with any text."""
+    fits = (F.col("name") == name) & (F.col("text") != "") & (F.lit(True) if fits is None else fits)
+    return F.min_by(_of_child(fits, "text"), _of_child(fits, "at"))
+
+
+def _child_texts(fits: Column, joint: str, value: Column | str = "text") -> Column:
+    """The values of the children that fit, in order, as one text; null without any."""
+    value = F.col(value) if isinstance(value, str) else value
+    found = F.collect_list(_of_child(fits, F.struct("at", value.alias("v"))))  # one parent's
+    return F.nullif(F.array_join(F.transform(F.array_sort(found), lambda x: x["v"]), joint), F.lit(""))
+
+
+def gathered(rows: DataFrame, key: str, own: Column, fields: dict[str, Column], child: Column, children: dict[str, Column]) -> DataFrame:
+    """key, e: an array of the document's elements in order, with ``fields`` of those that fit ``own`` (null for
+    others) and ``children``, aggregates over the children that fit ``child``, of each parent.
+
+    One read of the elements and two groupings that move no rows of a table bucketed by key; each element
+    counts once for itself and once for its parent, so the work grows with the document, not its square.
+    A document without such elements has its root alone.
+    """
+    at = lambda place, mine: F.struct(F.col(place).alias("node"), F.lit(mine).alias("own"))
+    sides = F.array_compact(F.array(F.when(own | (F.col("at") == 0), at("at", True)), F.when(child, at("parent", False))))
+    split = rows.select("*", F.explode(sides).alias("side")).select("*", "side.*")
+    mine = F.first(F.when(F.col("own"), F.struct(*[c.alias(n) for n, c in fields.items()])), ignorenulls=True)
+    nodes = split.groupBy(key, "node").agg(mine.alias("mine"), *[c.alias(n) for n, c in children.items()])
+    return nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("at"), *[F.col(f"mine.{n}") for n in fields], *children))).alias("e"))  # one document's
+
+
+def _first_of(fits, value: str = "text") -> Column:
+    """A value of the first gathered element that fits."""
+    return F.get(F.filter("e", fits), F.lit(0))[value]
+
+
+def _text_of(name: str, **more: str):
+    """Whether a gathered element has that name, and these fields, and any text."""
+
+    def fits(x: Column) -> Column:
+        out = (x["name"] == name) & (x["text"] != "")
+        for field, value in more.items():
+            out &= x[field] == value
+        return out
+
+    return fits
+
+
 # The fields of a publisher's license, the elements and the attributes that fill them.
 LICENSE_ELEMENTS = {
     "openaccessarticle": "openaccessArticle",
@@ -282,6 +334,53 @@ def full_text(title: Column, journal: Column, doi: Column, abstract: Column, bod
     return F.trim(F.concat_ws("\n\n", top, part("ABSTRACT", abstract, "\n"), part("BODY", body, "\n"), part("TABLES", tables, "\n"), part("PANELS", panels, "\n")))
 
 
+def publisher_full_text(rows: DataFrame, key: str, *, most_rows: int = 250) -> DataFrame:
+    """key, full_text of a publisher's article: what ``article_ids``, ``abstract_text``, ``body_text``, ``table_texts``
+    and ``panel_texts`` give, from one read of the elements."""
+    name, some = F.col("name"), F.col("text") != ""
+    path = lambda pattern: F.rlike("path", F.lit(pattern))
+    at_top = name.isin("simple-para", "para") & some & path(r"/article/head/abstract/(?:simple-para|para)$")
+    in_section = name.isin("simple-para", "para", "section-title") & some & path(r"/article/head/abstract/abstract-sec/(?:simple-para|para|section-title)$")
+    in_body = name.isin("para", "section-title") & some & path(r"/article/body/(?:sections/)?section(?:/section)*/(?:para|section-title)$")
+    core = (name == "description") & some & path(r"^/[^/]+/coredata/description$")
+    marked = rows.select(key, "at", "parent", "name", "above", "text", F.nullif(F.trim(F.try_element_at("attributes", F.lit("doi"))), F.lit("")).alias("doi"), at_top.alias("at_top"), in_section.alias("in_section"), in_body.alias("in_body"), core.alias("core"))
+    is_title = name == "section-title"
+    wanted = name.isin("doi", "title", "article-title", "table", "row", "textbox", "para") | F.col("doi").isNotNull() | F.col("at_top") | F.col("core")
+    fields = {n: F.col(n) for n in ("name", "text", "doi", "core")} | {
+        "above": F.when(name.isin("row", "para"), F.col("above")),
+        "top": F.when(F.col("at_top"), F.col("text")),
+        "para": F.when(F.col("in_body") & ~is_title, F.col("text")),
+    }
+    children = {n: _child_text(n) for n in ("label", "caption", "legend")} | {
+        "notes": _child_texts((name == "table-footnote") & some, "\n"),
+        "line": _child_texts(name == "entry", " | ", F.when(some, F.col("text")).otherwise(" ")),
+        "full": F.max(_of_child(name == "entry", some)),
+        "block_title": _child_text("section-title", F.col("in_section")),
+        "block": _child_texts(F.col("in_section") & ~is_title, "\n"),
+        "title": _child_text("section-title", F.col("in_body")),
+    }
+    e = gathered(marked, key, wanted, fields, name.isin("label", "caption", "legend", "table-footnote", "entry", "section-title") | F.col("in_section"), children)
+    pick = lambda fits, made: F.transform(F.filter("e", fits), made)
+    by_place = lambda made: F.array_join(F.filter(F.transform("e", made), lambda x: x.isNotNull()), "\n\n")
+    lines = pick(lambda x: (x["name"] == "row") & x["full"], lambda x: F.struct(x["above"].alias("above"), x["line"].alias("text")))
+    paras = pick(_text_of("para"), lambda x: F.struct(x["above"].alias("above"), x["text"].alias("text")))
+    parts = e.select(
+        key, F.coalesce(_first_of(_text_of("doi")), _first_of(lambda x: x["doi"].isNotNull(), "doi"), F.lit("")).alias("doi"),
+        F.coalesce(_first_of(lambda x: x["name"].isin("title", "article-title") & (x["text"] != "")), F.lit("")).alias("title"),
+        F.coalesce(F.nullif(by_place(lambda x: F.coalesce(F.nullif(F.concat_ws("\n", x["block_title"], x["block"]), F.lit("")), x["top"])), F.lit("")), _first_of(lambda x: x["core"])).alias("abstract"),
+        by_place(lambda x: F.coalesce(x["title"], x["para"])).alias("body"), lines.alias("lines"), paras.alias("paras"),
+        F.filter("e", lambda x: x["name"] == "table").alias("tables"), F.filter("e", lambda x: x["name"] == "textbox").alias("panels"),
+    )
+    inside = lambda of, x: F.transform(F.filter(of, lambda y: F.array_contains(y["above"], x["at"])), lambda y: y["text"])
+    head = lambda x: F.nullif(F.concat_ws(": ", x["label"], x["caption"]), F.lit(""))
+    grids = parts.withColumn("tables", F.transform("tables", lambda t: F.struct(t.alias("t"), F.slice(inside("lines", t), 1, most_rows).alias("rows"))))
+    grid = lambda rows: F.when(F.size(rows) > 0, F.concat(F.array_join(rows, "\n"), F.when(F.size(rows) >= most_rows, "\n[table truncated]").otherwise("")))
+    table = lambda x: F.concat_ws("\n\n", head(x["t"]), grid(x["rows"]), F.concat(F.lit("Legend: "), x["t"]["legend"]), F.concat(F.lit("Footnotes:\n"), x["t"]["notes"]))
+    panel = lambda x: F.concat_ws("\n\n", head(x), F.nullif(F.array_join(inside("paras", x), "\n"), F.lit("")))
+    listed = lambda of, made: F.array_join(F.filter(F.transform(of, made), lambda x: x != ""), "\n\n")
+    return grids.select(key, full_text(F.col("title"), F.lit(None).cast("string"), F.col("doi"), F.col("abstract"), F.col("body"), listed("tables", table), listed("panels", panel)).alias("full_text"))
+
+
 #: Parts of an article's body that don't count as its text.
 NO_TEXT = ("fig", "table-wrap", "ref-list", "alternatives", "supplementary-material")
 
@@ -346,35 +445,36 @@ CORE_FIELDS = {
 TREE_FIELDS = {"scopus_id": "scopus-id", "pubmed_id": "pubmed-id"}
 
 
-def _core(name: str) -> Column:
-    return F.rlike("path", F.lit(f"/coredata/{name}$"))
-
-
-def _head(name: str) -> Column:
-    return F.rlike("path", F.lit(f"/article/head/{name}$"))
-
-
 def article_year(c: Column) -> Column:
     """The first word of four digits that is a year of the last century or this one."""
     return F.regexp_extract(c, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
 
 
-def article_authors(rows: DataFrame, key: str) -> DataFrame:
-    """key, authors: the creators of the core data, else given and surname of the head's author group, in order."""
-    own = _some(rows.where(_core("creator"))).select(key, F.lit(0).alias("way"), "at", F.col("text").alias("name"))
-    part = lambda name: _first_child(rows, key, name, name.replace("-", "_"))
-    people = rows.where(F.rlike("path", F.lit("/article/head/author-group/author$"))).select(key, F.col("at").alias("parent"))
-    named = people.join(part("given-name"), [key, "parent"], "left").join(part("surname"), [key, "parent"], "left").select(key, F.lit(1).alias("way"), F.col("parent").alias("at"), F.concat_ws(" ", "given_name", "surname").alias("name")).where("name <> ''")
-    listed = own.union(named).groupBy(key, "way").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))  # one article's
-    return listed.groupBy(key).agg(F.min_by("names", "way").alias("authors"))
+def _place() -> Column:
+    """Where an element lies in a publisher's article: in its core data, in the head; or an author of the head."""
+    of = lambda under: F.endswith("path", F.concat(F.lit(under), "name"))
+    author = (F.col("name") == "author") & F.endswith("path", F.lit("/article/head/author-group/author"))
+    return F.when(author, "author").when(of("/coredata/"), "core").when(of("/article/head/"), "head")
 
 
 def publisher_metadata(rows: DataFrame, key: str, file_name: Column) -> DataFrame:
-    """key and the 27 fields of a publisher's article; what it doesn't say is null, and its title then is the file's stem."""
-    fields = {to: _core(name) for to, name in CORE_FIELDS.items()} | {to: F.col("name") == name for to, name in TREE_FIELDS.items()}
-    fields |= {"_t0": _core("title"), "_t1": _head("title"), "_i0": _core("issueidentifier"), "_i1": _core("number"), "_start": F.col("name") == "cover-date-start"}
-    fields |= {"_d0": F.col("name") == "document-type", "_d1": _core("aggregationtype"), "_s0": F.col("name") == "document-subtype", "_s1": _core("pubtype")}
-    met = rows.select(key).distinct().join(first_text(rows, key, fields), key, "left").join(article_authors(rows, key), key, "left")
+    """key and the 27 fields of a publisher's article; what it doesn't say is null, and its title then is the file's stem.
+
+    Authors are the creators of the core data, else given and surname of the head's author group, in order.
+    """
+    name = F.col("name")
+    core = lambda n: _first_of(_text_of(n, place="core"))
+    any_of = lambda n: _first_of(_text_of(n))
+    fields = {to: core(n) for to, n in CORE_FIELDS.items()} | {to: any_of(n) for to, n in TREE_FIELDS.items()}
+    fields |= {"_t0": core("title"), "_t1": _first_of(_text_of("title", place="head")), "_i0": core("issueidentifier"), "_i1": core("number"), "_start": any_of("cover-date-start")}
+    fields |= {"_d0": any_of("document-type"), "_d1": core("aggregationtype"), "_s0": any_of("document-subtype"), "_s1": core("pubtype")}
+    creators = F.transform(F.filter("e", _text_of("creator", place="core")), lambda x: x["text"])
+    people = F.filter(F.transform(F.filter("e", lambda x: x["place"] == "author"), lambda x: F.concat_ws(" ", x["given_name"], x["surname"])), lambda n: n != "")
+    fields |= {"authors": F.when(F.size(creators) > 0, creators).otherwise(people)}
+    marked = rows.select(key, "at", "parent", "name", "text", _place().alias("place"))
+    loose = name.isin(*TREE_FIELDS.values(), "cover-date-start", "document-type", "document-subtype")
+    e = gathered(marked, key, F.coalesce(F.col("place").isin("core", "author"), F.lit(False)) | loose | (name == "title"), {n: F.col(n) for n in ("name", "text", "place")}, name.isin("given-name", "surname"), {"given_name": _child_text("given-name"), "surname": _child_text("surname")})
+    met = e.select(key, *[c.alias(n) for n, c in fields.items()])
     stem = F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", "")
     made = {
         "source_family": F.lit("Elsevier"), "source_format": F.lit("XML"), "file_name": file_name, "document_title": F.coalesce("_t0", "_t1", stem), "document_type": F.coalesce("_d0", "_d1", F.lit("article")), "document_subtype": F.coalesce("_s0", "_s1"),
@@ -385,16 +485,23 @@ def publisher_metadata(rows: DataFrame, key: str, file_name: Column) -> DataFram
 
 def publisher_signals(rows: DataFrame, key: str, *, abstract_chars: int = 4000, methods_chars: int = 1500) -> DataFrame:
     """key, title, journal, article_type, document_subtype, abstract, methods of a publisher's article."""
-    fields = {"_t0": _core("title"), "_t1": _head("title"), "journal": _core("publicationname"), "_k0": _core("pubtype"), "_k1": _core("aggregationtype"), "_k2": F.col("name") == "document-type", "_s": F.col("name") == "document-subtype", "_core": _core("description")}
-    blocks = rows.where(_head("abstract")).select(key, F.col("at").alias("block"))
-    inside = _some(rows.where(F.col("name").isin("section-title", "simple-para", "para"))).select(key, "at", "text", F.explode("above").alias("block")).join(blocks, [key, "block"])
-    heads = inside.groupBy(key, "block").agg(in_order(F.col("text"), F.col("at"), " ").alias("text")).groupBy(key).agg(in_order(F.col("text"), F.col("block"), " | ").alias("_head"))
-    titles = _first_child(rows, key, "section-title", "head").withColumnRenamed("parent", "at")
-    told = F.contains(F.lower("head"), F.lit("method")) | F.contains(F.lower("head"), F.lit("material"))
-    methods = rows.where(F.rlike("path", F.lit(r"/article/body/(?:.*/)?section$"))).join(titles, [key, "at"]).where(told).groupBy(key).agg(F.min_by("text", "at").alias("methods"))
-    met = rows.select(key).distinct()
-    for part in (first_text(rows, key, fields), heads, methods):
-        met = met.join(part, key, "left")
+    name = F.col("name")
+    core = lambda n: _first_of(_text_of(n, place="core"))
+    section = (name == "section") & F.rlike("path", F.lit(r"/article/body/(?:.*/)?section$"))
+    parts = ("section-title", "simple-para", "para")
+    marked = rows.select(key, "at", "parent", "name", "text", "above", _place().alias("place"), section.alias("section"))
+    wanted = F.coalesce(F.col("place") == "core", F.lit(False)) | F.col("section") | name.isin("title", "abstract", "document-type", "document-subtype", *parts)
+    fields = {n: F.col(n) for n in ("name", "text", "place", "section")} | {"above": F.when(name.isin(*parts), F.col("above"))}
+    e = gathered(marked, key, wanted, fields, name == "section-title", {"heading": F.lower(_child_text("section-title"))})
+    blocks = F.transform(F.filter("e", lambda x: (x["name"] == "abstract") & (x["place"] == "head")), lambda x: x["at"])
+    inside = F.filter("e", lambda x: x["name"].isin(*parts) & (x["text"] != ""))
+    told = lambda x: x["section"] & (F.contains(x["heading"], F.lit("method")) | F.contains(x["heading"], F.lit("material")))
+    met = e.select(
+        key, *[core(n).alias(to) for to, n in {"_t0": "title", "journal": "publicationname", "_k0": "pubtype", "_k1": "aggregationtype", "_core": "description"}.items()], _first_of(_text_of("title", place="head")).alias("_t1"),
+        _first_of(_text_of("document-type")).alias("_k2"), _first_of(_text_of("document-subtype")).alias("_s"), _first_of(told).alias("methods"), blocks.alias("blocks"), inside.alias("inside"),
+    )
+    own = F.transform("blocks", lambda b: F.array_join(F.transform(F.filter("inside", lambda x: F.array_contains(x["above"], b)), lambda x: x["text"]), " "))
+    met = met.withColumn("_head", F.nullif(F.array_join(F.filter(own, lambda x: x != ""), " | "), F.lit("")))
     text = lambda *c: F.coalesce(*c, F.lit(""))
     abstract = F.concat_ws(" | ", "_core", "_head")
     return met.select(

@@ -52,7 +52,7 @@ NOTE = """<article article-type="@T"><front><article-title>@N</article-title></f
 def _articles(spark, sf_dir, even: str, odd: str):
     """An article of each part: a template for even sizes, another for odd ones, a broken text for every tenth size."""
     body = F.when(F.col("p_size") % 10 == 9, _filled(BROKEN)).when(F.col("p_size") % 2 == 0, _filled(even)).otherwise(_filled(odd))
-    return xml.parsed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("body")), "id", "body")
+    return xml.parsed(table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey")), "id", body)
 
 
 _EVEN, _ODD = "FROM part WHERE p_size % 2 = 0", "FROM part WHERE p_size % 2 = 1 AND p_size % 10 <> 9"
@@ -109,11 +109,7 @@ Box: Key @T
 
 Boxed.""") + f""" AS full_text {_EVEN} UNION ALL SELECT p_partkey, 'Title: ' || chr(10) || 'DOI: 10.2/' || p_partkey {_ODD}""")
 def publisher_full_text(spark, sf_dir):
-    rows = _articles(spark, sf_dir, PUBLISHED, BARE)
-    joined = lambda own, at: own.groupBy("id").agg(xml.in_order(F.col("text"), F.col(at), "\n\n").alias(f"{at}s"))
-    met = xml.article_ids(rows, "id").join(xml.abstract_text(rows, "id"), "id", "left").join(xml.body_text(rows, "id"), "id", "left")
-    met = met.join(joined(xml.table_texts(rows, "id"), "table"), "id", "left").join(joined(xml.panel_texts(rows, "id"), "panel"), "id", "left")
-    return met.select("id", xml.full_text(F.col("title"), F.lit(None).cast("string"), F.col("doi"), F.col("abstract"), F.col("body"), F.col("tables"), F.col("panels")).alias("full_text"))
+    return xml.publisher_full_text(_articles(spark, sf_dir, PUBLISHED, BARE), "id")
 
 
 @query(f"SELECT p_partkey AS id, 'P ' || p_name || ' p ' || upper(p_name) || chr(10) || chr(10) || 'P ' || p_name AS text {_ODD}")
