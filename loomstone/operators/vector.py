@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import write_and_read
 
-#: Queries of a block and corpus rows of a chunk, on average.
-BLOCK_QUERIES, CHUNK_ROWS = 4096, 65_536
+#: Queries that are broadcast at most, how many times as many a block of a cell has, and corpus rows of a chunk, on average.
+BLOCK_QUERIES, BLOCK_TIMES, CHUNK_ROWS = 4096, 4, 65_536
+#: Similarities, and rows with their vectors, that a task holds at a time.
+HELD_NUMBERS, HELD_ROWS = 1 << 20, 1 << 14
 #: Pivots of an exact search above a threshold, at most, and rows that share one.
 MOST_PIVOTS, PIVOT_ROWS = 256, 2048
+#: The share of all cells from which on an exact search does without them.
+MOST_VISITS = 0.5
 #: Room for rounding when the triangle inequality leaves a cell out.
 ROUNDING = 1e-6
 
@@ -67,7 +71,7 @@ class _Best:
         self.keys = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
 
     def add(self, keys: np.ndarray, units: np.ndarray) -> None:
-        step = max(1, (1 << 22) // max(1, len(keys)))
+        step = max(1, HELD_NUMBERS // max(1, len(keys)))
         for lo in range(0, len(self.ids), step):
             near = np.round(self.units[lo : lo + step] @ units.T, self.digits)
             kth = np.partition(near, -self.k, axis=1)[:, -self.k] if len(keys) > self.k else np.full(len(near), -np.inf)
@@ -108,8 +112,10 @@ def _compared(k: int, least: float, digits: int):
                 if not rows[lo]:
                     ids.append(keys[lo:hi])
                     units.append(own)
-                elif ids:
-                    best = best or _Best(np.concatenate(ids), np.concatenate(units), k, least, digits)
+                elif ids or best is not None:
+                    if best is None:
+                        best = _Best(np.concatenate(ids), np.concatenate(units), k, least, digits)
+                        ids, units = [], []
                     best.add(keys[lo:hi], own)
         if best is not None:
             yield best.found()
@@ -117,6 +123,11 @@ def _compared(k: int, least: float, digits: int):
     return work
 
 
+def _numbers(df: DataFrame) -> str:
+    """The type that a table's vectors are moved in: floats stay floats (they are compared as doubles), all else is double."""
+    return "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def cell_search(queries: DataFrame, corpus: DataFrame, k: int, *, least: float = -2.0, digits: int = 5) -> DataFrame:
     """query_id, id, similarity (cosine, rounded), rank: the k nearest rows in the cells of each query.
 
@@ -124,12 +135,14 @@ def cell_search(queries: DataFrame, corpus: DataFrame, k: int, *, least: float =
     row in one cell. Rows under ``least`` aren't neighbours. Equal similarities go by id.
     """
     sized = lambda df, n, most: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(n))
-    cells = write_and_read(sized(queries, "blocks", BLOCK_QUERIES).join(sized(corpus, "chunks", CHUNK_ROWS), "cell"), "cells")  # a row for each cell
+    cells = write_and_read(sized(queries, "blocks", BLOCK_QUERIES * BLOCK_TIMES).join(sized(corpus, "chunks", CHUNK_ROWS), "cell"), "cells")  # a row for each cell
     part = lambda c, n: F.pmod(F.xxhash64(c, F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = queries.join(F.broadcast(cells), "cell").select("cell", part("query_id", "blocks").alias("block"), every("chunks").alias("chunk"), F.lit(0).alias("is_row"), F.col("query_id").alias("id"), "embedding")
     c = corpus.join(F.broadcast(cells), "cell").select("cell", every("blocks").alias("block"), part("id", "chunks").alias("chunk"), F.lit(1).alias("is_row"), "id", "embedding")
-    units = q.union(c).select(F.xxhash64("cell", "block", "chunk").alias("unit"), "is_row", F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if {_numbers(queries), _numbers(corpus)} == {"array<float>"} else "array<double>"
+    shown = lambda df: df.select(F.xxhash64("cell", "block", "chunk").alias("unit"), "is_row", F.col("id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("embedding"))
+    units = shown(q).union(shown(c))
     met = units.repartition("unit").sortWithinPartitions("unit", "is_row").mapInArrow(_compared(k, least, digits), "query_id long, id long, similarity double")
     return _ranked(met, k)
 
@@ -146,8 +159,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 5) -
     index for searches that leave most of them out. Up to ``BLOCK_QUERIES`` of them are broadcast, and the
     corpus stays where it is; more meet it in blocks and chunks, with the same result.
     """
-    as_double = lambda df: df.where(usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    q, c = as_double(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")), as_double(corpus.select(F.col("id").cast("long").alias("id"), "embedding"))
+    as_numbers = lambda df: df.where(usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast(_numbers(df)))
+    q, c = as_numbers(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")), as_numbers(corpus.select(F.col("id").cast("long").alias("id"), "embedding"))
     block = q.limit(BLOCK_QUERIES + 1).collect()
     if len(block) > BLOCK_QUERIES:
         return cell_search(q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, digits=digits)
@@ -172,9 +185,8 @@ def _cells_within(pivots: np.ndarray, radius: float, home_only: bool):
     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, HELD_ROWS // (1 if home_only else len(pivots)))  # a row may visit every cell, with its vector
+        for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
             squares = 2 - 2 * matrix(batch.column(1)) @ pivots.T
             home = squares.argmin(axis=1)
             if home_only:
@@ -188,6 +200,17 @@ def _cells_within(pivots: np.ndarray, radius: float, home_only: bool):
     return work
 
 
+def _visits(pivots: np.ndarray, radius: float):
+    """For rows (embedding): how many cells they visit in all."""
+    within = _cells_within(pivots, radius, False)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int64)), b.column(0)], ["id", "embedding"]) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in within(named))], pa.int64())], ["visits"])
+
+    return work
+
+
 def neighbours(rows: DataFrame, k: int, least: float, *, digits: int = 5, pivots: int | None = None) -> DataFrame:
     """query_id, id, similarity, rank: the k nearest of rows (id, embedding) to each of them, itself
     included, that reach the similarity ``least``; exact.
@@ -196,9 +219,11 @@ def neighbours(rows: DataFrame, k: int, least: float, *, digits: int = 5, pivots
     nearest. Each class goes home to the nearest of some pivots, and visits the cells that the triangle
     inequality doesn't rule out for ``least``; where vectors lie all about as far from one another (many
     dimensions, a low threshold), that is every cell, and the search compares all classes. Pivots are drawn by
-    hash, at most ``MOST_PIVOTS``, one for ``PIVOT_ROWS`` classes.
+    hash, at most ``MOST_PIVOTS``, one for ``PIVOT_ROWS`` classes. Visits are counted before any row moves: where
+    they are most of all, cells save little and would move each row to each of them, so all classes share one.
     """
-    rows = rows.where(usable(F.col("embedding"))).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = _numbers(rows)
+    rows = rows.where(usable(F.col("embedding"))).select("id", F.col("embedding").cast(kind).alias("embedding"))
     keyed = write_and_read(rows.select("id", "embedding", F.xxhash64("embedding").alias("h")), "keyed")
     nth = F.row_number().over(Window.partitionBy("h", "embedding").orderBy("id"))
     firsts = keyed.withColumn("nth", nth).where(F.col("nth") <= k)
@@ -207,8 +232,11 @@ def neighbours(rows: DataFrame, k: int, least: float, *, digits: int = 5, pivots
     drawn = classes.select("embedding").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(wanted).collect()  # pivots alone
     at = matrix(pa.array([r.embedding for r in drawn], pa.list_(pa.float64()))) if drawn else np.zeros((1, 1))
     radius = float(np.sqrt(max(0.0, 2 - 2 * (least - 0.5 * 10.0**-digits))))
-    schema = "id long, cell int, embedding array<double>"
+    schema = f"id long, cell int, embedding {kind}"
     vectors = classes.select("id", "embedding")
+    if len(at) > 1:
+        met = vectors.select("embedding").mapInArrow(_visits(at, radius), "visits long").agg(F.sum("visits")).first()[0] or 0
+        at = at[:1] if met > MOST_VISITS * classes.count() * len(at) else at
     visits = vectors.mapInArrow(_cells_within(at, radius, False), schema).withColumnRenamed("id", "query_id")
     near = cell_search(visits, vectors.mapInArrow(_cells_within(at, radius, True), schema), k, least=least, digits=digits)
     found = near.join(classes.select("id", "ids"), "id").select("query_id", F.explode("ids").alias("id"), "similarity")

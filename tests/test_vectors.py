@@ -126,3 +126,18 @@ def test_collection_of_nothing(spark, tmp_path):
     q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
     assert empty.search(q.limit(0), 3).count() == 0
     assert empty.upsert(spark.createDataFrame([(3, None)], SCHEMA)) == 1 and empty.rows().count() == 1
+
+
+def test_a_search_that_rules_out_nothing_moves_no_row_to_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 40)).astype(np.float32))] + [(500, [0.0] * 40)]
+    seen, searched = [], vector.cell_search
+
+    def counted(queries, corpus, *a, **k):
+        seen.append((queries.count(), queries.schema["embedding"].dataType.simpleString()))
+        return searched(queries, corpus, *a, **k)
+
+    monkeypatch.setattr(vector, "cell_search", counted)
+    got = plain(vector.neighbours(spark.createDataFrame(rows, "id long, embedding array<float>"), 4, 0.3, pivots=30))
+    assert got == brute(rows, rows, 4, 0.3)
+    assert seen == [(401, "array<float>")]
