@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.vector import cell_search, matrix, nearest, usable
+from ..operators.vector import HELD_NUMBERS, cell_search, matrix, nearest, usable
 from . import versions
 from .tables import write_and_read
 
@@ -38,9 +38,10 @@ def _nearest_lists(centres: np.ndarray, probes: int, name: str):
     """For rows (id, embedding): the ``probes`` lists nearest to each, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = matrix(batch.column(1)) @ centres.T if batch.num_rows else np.zeros((0, len(centres)))
-            order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        step = max(1, HELD_NUMBERS // 8 // len(centres))  # similarities and their order, and a row for each list of a search
+        for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
+            near = matrix(batch.column(1)) @ centres.T
+            order = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
             row = np.repeat(np.arange(batch.num_rows), order.shape[1])
             place = np.tile(np.arange(order.shape[1]), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(order.ravel().astype(np.int32)), pa.array(place.astype(np.int32))], [name, "list", "place"])

@@ -141,3 +141,20 @@ def test_a_search_that_rules_out_nothing_moves_no_row_to_every_cell(spark, monke
     got = plain(vector.neighbours(spark.createDataFrame(rows, "id long, embedding array<float>"), 4, 0.3, pivots=30))
     assert got == brute(rows, rows, 4, 0.3)
     assert seen == [(401, "array<float>")]
+
+
+def test_no_task_holds_a_batch_for_all_cells_or_lists():
+    from loomstone.sources.collection import _nearest_lists
+
+    rng = np.random.default_rng(4)
+    points = rng.standard_normal((5000, 16))
+    batch = vector.pa.RecordBatch.from_arrays([vector.pa.array(range(5000)), vector.pa.array(points.tolist(), vector.pa.list_(vector.pa.float64()))], ["id", "embedding"])
+    near = vector.matrix(batch.column(1))
+    visits = list(vector._cells_within(near[:256], 1.9, False)([batch]))
+    assert sum(b.num_rows for b in visits) == 5000 * 256 and max(b.num_rows for b in visits) <= vector.HELD_ROWS
+    assert next(vector._visits(near[:256], 1.9)([batch.select(["embedding"])])).column(0).to_pylist() == [5000 * 256]
+    for probes in (1, 200):
+        lists = list(_nearest_lists(near[:256], probes, "id")([batch]))
+        assert max(b.num_rows for b in lists) <= vector.HELD_NUMBERS // 8
+        want = np.argsort(-(near @ near[:256].T), axis=1, kind="stable")[:, :probes]
+        assert np.concatenate([b.column(1).to_numpy() for b in lists]).tolist() == want.ravel().tolist()
