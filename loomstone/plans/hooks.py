@@ -8,6 +8,7 @@ from collections.abc import Awaitable, Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,26 +58,45 @@ def apply(df: DataFrame, text: str, hook: Callable[[list[str]], list], name: str
 
 #: Errors that another try may not meet.
 PASSING = (ConnectionError, TimeoutError, asyncio.TimeoutError)
+#: Bytes of prompts that a task holds, with their answers, at a time.
+ASKED_BYTES = 4 << 20
 ASKED = "prompt string, answer string, error string, tries int, retryable boolean"
 
 
 async def _answers(prompts: list[str], call: Callable[[str], Awaitable[str]], at_once: int, tries: int, seconds: float, pause: float) -> list[tuple]:
-    """(answer, error, tries, retryable) of each prompt; so many are under way at once."""
-    gate = asyncio.Semaphore(at_once)
+    """(answer, error, tries, retryable) of each prompt; so many are under way at once, and no more are begun."""
+    out: list = [None] * len(prompts)
+    waiting = iter(enumerate(prompts))
 
     async def one(prompt: str) -> tuple:
-        async with gate:
-            for k in range(1, tries + 1):
-                try:
-                    return await asyncio.wait_for(call(prompt), seconds), None, k, None
-                except Exception as e:  # noqa: BLE001 whatever a call raises is its row's error
-                    passing = isinstance(e, PASSING)
-                    if not passing or k == tries:
-                        return None, f"{type(e).__name__}: {e}", k, passing
-                await asyncio.sleep(pause * 2 ** (k - 1))
+        for k in range(1, tries + 1):
+            try:
+                return await asyncio.wait_for(call(prompt), seconds), None, k, None
+            except Exception as e:  # noqa: BLE001 whatever a call raises is its row's error
+                passing = isinstance(e, PASSING)
+                if not passing or k == tries:
+                    return None, f"{type(e).__name__}: {e}", k, passing
+            await asyncio.sleep(pause * 2 ** (k - 1))
         raise AssertionError
 
-    return await asyncio.gather(*[one(p) for p in prompts])
+    async def some() -> None:
+        for place, prompt in waiting:
+            out[place] = await one(prompt)
+
+    await asyncio.gather(*[some() for _ in range(min(at_once, len(prompts)))])
+    return out
+
+
+def _within(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Array]:
+    """The texts of batches' first column in runs of at most so many bytes (or one text)."""
+    for batch in batches:
+        texts = batch.column(0)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield texts.slice(lo, hi - lo)
+            lo = hi
 
 
 def ask(df: DataFrame, prompt: str, call: Callable[[str], Awaitable[str]], *, at_once: int = 16, tries: int = 4, seconds: float = 120.0, pause: float = 1.0, memo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +112,8 @@ def ask(df: DataFrame, prompt: str, call: Callable[[str], Awaitable[str]], *, at
         new = new.join(memo.select("prompt"), "prompt", "left_anti")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prompts = batch.column(0).to_pylist()
+        for texts in _within(batches, ASKED_BYTES):
+            prompts = texts.to_pylist()
             rows = asyncio.run(_answers(prompts, call, at_once, tries, seconds, pause))
             cells = [pa.array(prompts, pa.string()), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.bool_()))]]
             yield pa.RecordBatch.from_arrays(cells, ["prompt", "answer", "error", "tries", "retryable"])

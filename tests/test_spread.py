@@ -1,5 +1,6 @@
 """Heavy work for each row of a small file is dealt out before it is done."""
 
+import asyncio
 import json
 import os
 
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.plans import catalogue, embedding_rows, ingest, small
+from loomstone.plans import catalogue, embedding_rows, hooks, ingest, small
 from loomstone.sources import paged
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +52,21 @@ def test_a_page_of_events_reads_no_more_than_it_needs(tmp_path, monkeypatch):
         lo = answer["next"]
     assert got == ids
     assert sum(t.num_rows for t in read) < 3 * len(ids)
+
+
+def test_prompts_are_asked_in_bounded_runs(monkeypatch):
+    texts = ["x" * n for n in (3, 0, 50, 4, 4, 4)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["prompt"])
+    runs = [r.to_pylist() for r in hooks._within([batch.slice(0, 6)], 8)]
+    assert [x for r in runs for x in r] == texts[:6] and [len(r) for r in runs] == [2, 1, 2, 1]
+    begun, most = [], []
+
+    async def call(prompt):
+        begun.append(len(asyncio.all_tasks()))
+        await asyncio.sleep(0)
+        most.append(len(asyncio.all_tasks()))
+        return prompt
+
+    rows = asyncio.run(hooks._answers([str(i) for i in range(300)], call, 5, 1, 9.0, 0.0))
+    assert [r[0] for r in rows] == [str(i) for i in range(300)]
+    assert max(begun + most) <= 11  # 5 under way, each perhaps with its call as a task, and the run itself
