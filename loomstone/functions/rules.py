@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import boolish, contains_any, squeeze
@@ -111,24 +111,30 @@ def with_version(family: Column, version: Column) -> Column:
 
 def license_family(text: Column) -> Column:
     """Family with version; CREATIVE_COMMONS_UNCLEAR or '' without a family."""
-    t = F.lower(text)
-    unclear = F.when(contains_any(t, ("creativecommons.org/licenses/", "creative commons")), F.lit("CREATIVE_COMMONS_UNCLEAR")).otherwise(F.lit(""))
-    family = first_match(t, FAMILY_TEXTS, F.lit(None).cast("string"))
+    return _family_label(F.lower(text), first_match(F.lower(text), FAMILY_TEXTS, F.lit(None).cast("string")))
+
+
+def _family_label(text: Column, family: Column) -> Column:
+    """The same, of a text in lower case and the family that it names, if any."""
+    unclear = F.when(contains_any(text, ("creativecommons.org/licenses/", "creative commons")), F.lit("CREATIVE_COMMONS_UNCLEAR")).otherwise(F.lit(""))
     return F.when(family.isNull(), unclear).otherwise(with_version(family, license_version(text)))
 
 
-def publisher_license(raw: Column, user_texts: Column, self_archiving: Column, open_access: Column, open_archive: Column) -> Column:
-    """Label of a publisher's record: raw text and arrays of its fields' values.
+def publisher_labels(records: DataFrame, raw: str, user_texts: str, self_archiving: str, open_access: str, open_archive: str) -> DataFrame:
+    """The records with ``label``, that of a publisher's record: columns of raw text and of arrays of its fields' values.
 
     The current open-access license goes before any other text, which counts for open articles alone;
-    self-archiving terms come after the open-access flag.
+    self-archiving terms come after the open-access flag. Texts, versions and families are made one after
+    the other, each once; as one expression every rule would make its text again.
     """
-    text = F.lower(F.coalesce(raw, F.lit("")))
-    own, broad, kept = (license_family(squeeze(c)) for c in (F.array_join(user_texts, " "), F.coalesce(raw, F.lit("")), F.array_join(self_archiving, " ")))
-    is_open, archive = boolish(open_access), boolish(open_archive)
+    from_texts = {"own": F.array_join(user_texts, " "), "broad": F.col(raw), "kept": F.array_join(self_archiving, " ")}
+    out = records.withColumns({"_text": F.lower(F.coalesce(F.col(raw), F.lit("")))} | {f"_{n}": F.lower(squeeze(F.coalesce(c, F.lit("")))) for n, c in from_texts.items()})
+    out = out.withColumns({f"_{n}_family": first_match(F.col(f"_{n}"), FAMILY_TEXTS, F.lit(None).cast("string")) for n in from_texts} | {"_open": boolish(F.col(open_access)), "_archive": boolish(F.col(open_archive))})
+    out = out.withColumns({f"_{n}": _family_label(F.col(f"_{n}"), F.col(f"_{n}_family")) for n in from_texts})
+    text, own, broad, kept, is_open, archive = (F.col(f"_{n}") for n in ("text", "own", "broad", "kept", "open", "archive"))
     proprietary = contains_any(text, ("elsevier.com/open-access/userlicense", "elsevier user license", "userlicense/1.0"))
     closed = contains_any(text, ("all rights reserved", "all rights are reserved", "text and data mining", "ai training")) | (is_open == "false") | (archive == "false")
-    return (
+    label = (
         F.when(own != "", own)
         .when((broad != "") & (is_open == "true"), broad)
         .when(proprietary & ((is_open == "true") | F.contains(text, F.lit("open access"))), F.lit("ELSEVIER_USER_LICENSE"))
@@ -138,6 +144,7 @@ def publisher_license(raw: Column, user_texts: Column, self_archiving: Column, o
         .when((archive == "true") | F.contains(text, F.lit("open access")), F.lit("OPEN_ACCESS_LICENSE_UNSURE"))
         .otherwise(F.lit("NO_OPEN_ACCESS"))
     )
+    return out.select(*records.columns, label.alias("label"))
 
 
 def refined_license(label: Column, rule: Column, family: Column, text: Column) -> Column:

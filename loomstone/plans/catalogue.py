@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import audit, dedupe, match, patterns, sequence, vector
-from ..session import table
+from ..session import spread, table
 from .expected import LICENSE_SQL as _LICENSE_SQL
 from .expected import VERSION_SQL as _VERSION_SQL
 
@@ -105,7 +105,9 @@ def license_rule_b(spark, sf_dir):
     chosen = lambda make: F.coalesce(*[F.when(kind == r[0] - 1, make(r)) for r in _RECORDS])
     raw = chosen(lambda r: F.concat(F.lit(r[1]), F.lit(" "), "p_name"))
     fields = [chosen(lambda r, k=k: listed(r[k])) for k in (2, 3, 4, 5)]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), rules.publisher_license(raw, *fields).alias("label"))
+    names = ("user_texts", "self_archiving", "open_access", "open_archive")
+    records = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).select(F.col("p_partkey").alias("id"), raw.alias("raw"), *[f.alias(n) for f, n in zip(fields, names, strict=True)])
+    return rules.publisher_labels(records, "raw", *names).select("id", "label")
 
 
 @query("""WITH d(level, label) AS (VALUES (1, 'Guidelines'), (2, 'Regulatory documents'), (3, 'Systematic reviews and meta-analyses'), (4, 'Randomized clinical trials'),

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from loomstone.functions import rules
 from loomstone.plans import catalogue, embedding_rows, hooks, ingest, small
 from loomstone.sources import paged
 
@@ -70,3 +71,12 @@ def test_prompts_are_asked_in_bounded_runs(monkeypatch):
     rows = asyncio.run(hooks._answers([str(i) for i in range(300)], call, 5, 1, 9.0, 0.0))
     assert [r[0] for r in rows] == [str(i) for i in range(300)]
     assert max(begun + most) <= 11  # 5 under way, each perhaps with its call as a task, and the run itself
+
+
+def test_license_of_a_record_makes_its_texts_once(spark):
+    plan = catalogue.license_rule_b(spark, DATA)._jdf.queryExecution().optimizedPlan().toString() if os.path.isdir(DATA) else ""
+    assert plan.count("regexp_replace") <= 3
+    kinds = "raw string, u array<string>, s array<string>, o array<string>, a array<string>"
+    odd = [(r, *map(list, cells)) for _, r, *cells, _ in catalogue._RECORDS] + [(None, None, None, None, None), ("x", [None, " CC  BY 9.9 "], [], ["1"], []), ("Creative  Commons", [], None, ["yes"], []), ("", [], ["creative commons"], [], ["no"])]
+    labels = [r.label for r in rules.publisher_labels(spark.createDataFrame(odd, kinds).coalesce(1), "raw", "u", "s", "o", "a").collect()]
+    assert labels == [r[-1] for r in catalogue._RECORDS] + ["NO_OPEN_ACCESS", "CC_BY_UNSPECIFIED", "CREATIVE_COMMONS_UNCLEAR", "SELF_ARCHIVING_CREATIVE_COMMONS_UNCLEAR"]
