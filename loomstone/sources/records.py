@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -18,6 +19,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.text import slug
 from ..operators.sequence import number_in_group
+from ..session import spread
 from .tables import write_and_read
 
 
@@ -54,6 +56,13 @@ def bad_counts(bad: DataFrame) -> DataFrame:
 
 
 # --- writing
+def _opened(root: str):
+    """A folder's store, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
@@ -65,9 +74,7 @@ class RecordWriter(DataSourceWriter):
         self.root, self.job = root.rstrip("/"), job
 
     def _store(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
+        return _opened(self.root)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         store, root = self._store()
@@ -123,19 +130,65 @@ def write_records(df: DataFrame, path: str, name: Column, content: Column, *, or
     return named.select(F.col("order").alias(order), F.col("name").alias("file_name"))
 
 
+#: Bytes of files that a task gives on at a time.
+BATCH_BYTES = 4 << 20
+
+
+def _names(root: str):
+    """For folders under root (folder): folder, name of each file that isn't empty."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = _opened(root)
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            names = [i.base_name for i in store.get_file_info(fs.FileSelector(f"{base}/{folder}")) if i.type == fs.FileType.File and i.size]
+            yield pa.RecordBatch.from_arrays([pa.array([folder] * len(names), pa.string()), pa.array(names, pa.string())], ["folder", "name"])
+
+    return work
+
+
+def _contents(root: str):
+    """For files (folder, name): file_name, content."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _opened(root)
+        batch = lambda held: pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary())], ["file_name", "content"])
+        held, size = [], 0
+        for folder, name in ((f, n) for b in batches for f, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            with store.open_input_stream(f"{base}/{folder}/{name}") as source:
+                held.append((name, source.read()))
+            size += len(held[-1][1])
+            if size > BATCH_BYTES:
+                yield batch(held)
+                held, size = [], 0
+        yield batch(held)
+
+    return work
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, content of the files that were written; those of jobs under way and empty files aren't seen."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{path.rstrip('/')}/job-*")
-    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "content")
+    """file_name, content of the files that were written; those of jobs under way and empty files aren't seen.
+
+    The driver lists the jobs' folders alone; tasks list the files in them, and read them dealt out anew.
+    """
+    from pyarrow import fs
+
+    root = path.rstrip("/")
+    store, base = _opened(root)
+    folders = sorted((i.base_name,) for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == fs.FileType.Directory and i.base_name.startswith("job-"))
+    listed = spark.createDataFrame(folders, "folder string").repartition(max(1, len(folders))).mapInArrow(_names(root), "folder string, name string")
+    return spread(listed).mapInArrow(_contents(root), "file_name string, content binary")
 
 
-def copy_matching(spark: SparkSession, path: str, to: str, match: Callable[[Column], Column]) -> DataFrame:
+def copy_matching(spark: SparkSession, files: str | DataFrame, to: str, match: Callable[[Column], Column]) -> DataFrame:
     """Copy the files whose text fits a condition, unchanged and under their names; file_name of each.
 
-    ``path`` is a folder or pattern of files with names of their own.
+    ``files`` is a folder or pattern of files with names of their own, or rows as ``read_records`` gives them.
     """
-    found = spark.read.format("binaryFile").load(path).where(match(F.col("content").cast("string")))
-    named = write_and_read(found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content"), "matching")
+    if isinstance(files, str):
+        files = spark.read.format("binaryFile").load(files).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "content")
+    named = write_and_read(files.where(match(F.col("content").cast("string"))).select(F.col("file_name").alias("name"), "content"), "matching")
     spark.dataSource.register(RecordFiles)
     named.write.format("loomstone_record_files").mode("append").option("path", to).save()
     return named.select(F.col("name").alias("file_name"))

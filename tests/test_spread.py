@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import rules
 from loomstone.plans import catalogue, embedding_rows, hooks, ingest, small
-from loomstone.sources import paged
+from loomstone.sources import paged, records
 
 DATA = "/root/testdata/sf0.001"
 
@@ -80,3 +80,16 @@ def test_license_of_a_record_makes_its_texts_once(spark):
     odd = [(r, *map(list, cells)) for _, r, *cells, _ in catalogue._RECORDS] + [(None, None, None, None, None), ("x", [None, " CC  BY 9.9 "], [], ["1"], []), ("Creative  Commons", [], None, ["yes"], []), ("", [], ["creative commons"], [], ["no"])]
     labels = [r.label for r in rules.publisher_labels(spark.createDataFrame(odd, kinds).coalesce(1), "raw", "u", "s", "o", "a").collect()]
     assert labels == [r[-1] for r in catalogue._RECORDS] + ["NO_OPEN_ACCESS", "CC_BY_UNSPECIFIED", "CREATIVE_COMMONS_UNCLEAR", "SELF_ARCHIVING_CREATIVE_COMMONS_UNCLEAR"]
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    for folder, name, text in (("job-a", "x.txt", "one, two"), ("job-a", "empty.txt", ""), ("job-b", "y.txt", "three"), ("_job-c", "z.txt", "under way"), ("other", "w.txt", "no")):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / folder / name).write_text(text)
+    found = records.read_records(spark, f"file:{tmp_path}/in")
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()  # Spark would list every file in the driver
+    assert {(r.file_name, bytes(r.content)) for r in found.collect()} == {("x.txt", b"one, two"), ("y.txt", b"three")}
+    assert [r.file_name for r in records.copy_matching(spark, found, str(tmp_path / "out"), lambda t: F.contains(t, F.lit(","))).collect()] == ["x.txt"]
+    assert [r.file_name for r in records.copy_matching(spark, f"{tmp_path}/in/job-*", str(tmp_path / "out2"), lambda t: F.contains(t, F.lit("thr"))).collect()] == ["y.txt"]
+    assert [bytes(r.content) for r in records.read_records(spark, str(tmp_path / "out")).collect()] == [b"one, two"]
+    assert records.read_records(spark, str(tmp_path / "none")).count() == 0
