@@ -34,10 +34,11 @@ def global_id(df: DataFrame, order: list[str], name: str = "global_id") -> DataF
     return parts.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))
 
 
-def number_in_group(df: DataFrame, group: str | list[str], order: str | list[str], name: str) -> DataFrame:
+def number_in_group(df: DataFrame, group: str | list[str], order: str | list[str], name: str, *, few: int = 0) -> DataFrame:
     """0..n-1 in each group, in order, however large it is: a group spreads over range partitions.
 
-    Nulls form a group of their own. Ties in the order are numbered in any order. All columns stay.
+    Nulls form a group of their own. Ties in the order are numbered in any order. All columns stay. With ``few``
+    runs at most (a group in a partition is one), the runs go to the rows, which don't move again.
     """
     group, order = ([x] if isinstance(x, str) else list(x) for x in (group, order))
     parts = _ranged(df, group + order)
@@ -45,6 +46,8 @@ def number_in_group(df: DataFrame, group: str | list[str], order: str | list[str
     earlier = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")  # a row for each partition that a group meets
     named = {g: f"_group{k}" for k, g in enumerate(group)}
     bases = runs.select(F.col("_part").alias("_p"), (earlier - F.col("_first")).alias("_base"), *[F.col(g).alias(n) for g, n in named.items()])
+    if few and bases.limit(few + 1).count() <= few:
+        bases = F.broadcast(bases)
     same = F.col("_part") == F.col("_p")
     for g, n in named.items():
         same &= F.col(g).eqNullSafe(F.col(n))

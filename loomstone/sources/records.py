@@ -115,34 +115,35 @@ class RecordFiles(DataSource):
         return RecordWriter(self.options["path"], f"job-{uuid.uuid4().hex}")
 
 
-def write_records(df: DataFrame, path: str, name: Column, content: Column, *, order: str, ending: str = "") -> DataFrame:
-    """Write a file for each row; the rows' names and files: ``order`` and file_name.
+def write_records(df: DataFrame, path: str, name: Column, content: Column, *, order: str | list[str], ending: str = "") -> DataFrame:
+    """Write a file for each row; the rows' names and files: ``order``, nth (among rows of the same slug, from 0), file_name.
 
     Names are slugs. Names that come again get __1, __2 … in ``order``, so no file is written twice; rows
     without a content get no file. Files lie in a folder for each task under ``path``, all or none of a job's.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(order).alias("order"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("unnamed")).alias("slug"), content.cast("binary").alias("content")).where("content is not null")
-    numbered = number_in_group(rows, "slug", "order", "nth")
-    named = write_and_read(numbered.select("order", F.concat("slug", F.when(F.col("nth") > 0, F.concat(F.lit("__"), F.col("nth").cast("string"))).otherwise(""), F.lit(ending)).alias("name"), "content"), "named")
+    order = [order] if isinstance(order, str) else list(order)
+    rows = df.select(F.struct(*order).alias("order"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("unnamed")).alias("slug"), content.cast("binary").alias("content")).where("content is not null")
+    numbered = number_in_group(rows, "slug", "order", "nth", few=10_000)
+    named = numbered.select("order", "nth", F.concat("slug", F.when(F.col("nth") > 0, F.concat(F.lit("__"), F.col("nth").cast("string"))).otherwise(""), F.lit(ending)).alias("name"), "content")  # of rows that are written: the same however often it is made
     spark.dataSource.register(RecordFiles)
     named.select("name", "content").write.format("loomstone_record_files").mode("append").option("path", path).save()
-    return named.select(F.col("order").alias(order), F.col("name").alias("file_name"))
+    return named.select("order.*", "nth", F.col("name").alias("file_name"))
 
 
 #: Bytes of files that a task gives on at a time.
 BATCH_BYTES = 4 << 20
 
 
-def _names(root: str):
-    """For folders under root (folder): folder, name of each file that isn't empty."""
+def _names(root: str, empty: bool):
+    """For folders under root (folder): folder, name of each file; of empty ones if they are asked for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = _opened(root)
         for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
-            names = [i.base_name for i in store.get_file_info(fs.FileSelector(f"{base}/{folder}")) if i.type == fs.FileType.File and i.size]
+            names = [i.base_name for i in store.get_file_info(fs.FileSelector(f"{base}/{folder}")) if i.type == fs.FileType.File and (i.size or empty)]
             yield pa.RecordBatch.from_arrays([pa.array([folder] * len(names), pa.string()), pa.array(names, pa.string())], ["folder", "name"])
 
     return work
@@ -167,8 +168,8 @@ def _contents(root: str):
     return work
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, content of the files that were written; those of jobs under way and empty files aren't seen.
+def read_records(spark: SparkSession, path: str, *, empty: bool = False) -> DataFrame:
+    """file_name, content of the files that were written; those of jobs under way aren't seen, empty ones if asked for.
 
     The driver lists the jobs' folders alone; tasks list the files in them, and read them dealt out anew.
     """
@@ -177,7 +178,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     root = path.rstrip("/")
     store, base = _opened(root)
     folders = sorted((i.base_name,) for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == fs.FileType.Directory and i.base_name.startswith("job-"))
-    listed = spark.createDataFrame(folders, "folder string").repartition(max(1, len(folders))).mapInArrow(_names(root), "folder string, name string")
+    listed = spark.createDataFrame(folders, "folder string").repartition(max(1, len(folders))).mapInArrow(_names(root, empty), "folder string, name string")
     return spread(listed).mapInArrow(_contents(root), "file_name string, content binary")
 
 

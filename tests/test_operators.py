@@ -166,6 +166,13 @@ def test_numbers_of_nulls_ties_and_nothing(spark):
     assert sequence.number_in_group(rows.limit(0), "g", "id", "nth").count() == sequence.global_id(rows.limit(0), ["g"]).count() == 0
 
 
+def test_numbers_are_the_same_where_few_runs_go_to_the_rows(spark):
+    rows = spark.range(0, 3000, 1, 3).select("id", F.when(F.col("id") % 7 > 0, (F.col("id") % 4).cast("string")).alias("g"))
+    want = sorted((r.id, r.nth) for r in sequence.number_in_group(rows, "g", "id", "nth").collect())
+    for few in (1, 1000):  # more runs than that, and fewer
+        assert sorted((r.id, r.nth) for r in sequence.number_in_group(rows, "g", "id", "nth", few=few).collect()) == want
+
+
 def test_patterns_in_blocks(spark, monkeypatch):
     from loomstone.operators import patterns
 

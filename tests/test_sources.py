@@ -214,6 +214,22 @@ def test_files_of_records_are_all_there_or_none(spark, tmp_path):
     assert all(p.name.startswith(("job-", "_job-")) for p in path.iterdir())  # what late attempts leave, readers don't see
 
 
+def test_files_of_odd_documents_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from loomstone.plans import everything
+
+    sources = ["src1", "Src 1", "SRC-1!", "src 1", None, "", "!?", "unnamed", "null", "\u0130x", "\u212a7", "long" * 90, "long" * 91]
+    texts = ["", "one", None, "two", "\u00e9, \U0001d7d8"]
+    rows = [(None if k % 31 == 30 else k, texts[(k * 7 + k // 13) % 5], sources[k % 13]) for k in range(260)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.execute(everything.SQL["record_files"]).fetchall()
+    got = [(r.file_name, r.bytes, r.digest) for r in everything.QUERIES["record_files"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 208 and any(n is None for n, _, _ in got) and any(b == 0 for _, b, _ in got)
+
+
 def test_asking_once_a_few_at_a_time(spark, tmp_path):
     from loomstone.plans import hooks
 
