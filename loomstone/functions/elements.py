@@ -286,16 +286,14 @@ def abstract_text(rows: DataFrame, key: str) -> DataFrame:
     return made.join(core, key, "full_outer").select(key, F.coalesce("made", "core").alias("abstract")).where("abstract is not null")
 
 
-def table_texts(rows: DataFrame, key: str, *, most_rows: int = 250) -> DataFrame:
-    """key, table (its place), text: label and caption, rows of cells, legend, footnotes."""
+def table_texts(rows: DataFrame, key: str) -> DataFrame:
+    """key, table (its place), text: label and caption, all rows of cells, legend, footnotes."""
     tables = rows.where("name = 'table'").select(key, F.col("at").alias("table"))
     child = lambda name, to: _first_child(rows, key, name, to).withColumnRenamed("parent", "table")
     cells = rows.where("name = 'entry'").select(key, F.col("parent").alias("row"), "at", F.when(F.col("text") == "", " ").otherwise(F.col("text")).alias("cell"), (F.col("text") != "").alias("full"))
     lines = cells.groupBy(key, "row").agg(in_order(F.col("cell"), F.col("at"), " | ").alias("line"), F.max("full").alias("full")).where("full")
     of_table = rows.where("name = 'row'").select(key, F.col("at").alias("row"), F.explode("above").alias("table")).join(tables, [key, "table"]).join(lines, [key, "row"])
-    of_table = of_table.withColumn("nth", F.row_number().over(Window.partitionBy(key, "table").orderBy("row"))).where(F.col("nth") <= most_rows)
-    grid = of_table.groupBy(key, "table").agg(in_order(F.col("line"), F.col("row"), "\n").alias("grid"), F.max("nth").alias("lines"))
-    grid = grid.withColumn("grid", F.when(F.col("lines") >= most_rows, F.concat("grid", F.lit("\n[table truncated]"))).otherwise(F.col("grid")))
+    grid = of_table.groupBy(key, "table").agg(in_order(F.col("line"), F.col("row"), "\n").alias("grid"))
     notes = _some(rows.where("name = 'table-footnote'")).groupBy(key, F.col("parent").alias("table")).agg(in_order(F.col("text"), F.col("at"), "\n").alias("notes"))
     met = tables
     for part in (child("label", "label"), child("caption", "caption"), child("legend", "legend"), grid, notes):
@@ -334,7 +332,7 @@ def full_text(title: Column, journal: Column, doi: Column, abstract: Column, bod
     return F.trim(F.concat_ws("\n\n", top, part("ABSTRACT", abstract, "\n"), part("BODY", body, "\n"), part("TABLES", tables, "\n"), part("PANELS", panels, "\n")))
 
 
-def publisher_full_text(rows: DataFrame, key: str, *, most_rows: int = 250) -> DataFrame:
+def publisher_full_text(rows: DataFrame, key: str) -> DataFrame:
     """key, full_text of a publisher's article: what ``article_ids``, ``abstract_text``, ``body_text``, ``table_texts``
     and ``panel_texts`` give, from one read of the elements."""
     name, some = F.col("name"), F.col("text") != ""
@@ -373,12 +371,11 @@ def publisher_full_text(rows: DataFrame, key: str, *, most_rows: int = 250) -> D
     )
     inside = lambda of, x: F.transform(F.filter(of, lambda y: F.array_contains(y["above"], x["at"])), lambda y: y["text"])
     head = lambda x: F.nullif(F.concat_ws(": ", x["label"], x["caption"]), F.lit(""))
-    grids = parts.withColumn("tables", F.transform("tables", lambda t: F.struct(t.alias("t"), F.slice(inside("lines", t), 1, most_rows).alias("rows"))))
-    grid = lambda rows: F.when(F.size(rows) > 0, F.concat(F.array_join(rows, "\n"), F.when(F.size(rows) >= most_rows, "\n[table truncated]").otherwise("")))
-    table = lambda x: F.concat_ws("\n\n", head(x["t"]), grid(x["rows"]), F.concat(F.lit("Legend: "), x["t"]["legend"]), F.concat(F.lit("Footnotes:\n"), x["t"]["notes"]))
+    joined = lambda *some: F.array_join(F.filter(F.array(*some), lambda x: x != ""), "\n\n")
+    table = lambda x: joined(head(x), F.array_join(inside("lines", x), "\n"), F.concat(F.lit("Legend: "), x["legend"]), F.concat(F.lit("Footnotes:\n"), x["notes"]))
     panel = lambda x: F.concat_ws("\n\n", head(x), F.nullif(F.array_join(inside("paras", x), "\n"), F.lit("")))
     listed = lambda of, made: F.array_join(F.filter(F.transform(of, made), lambda x: x != ""), "\n\n")
-    return grids.select(key, full_text(F.col("title"), F.lit(None).cast("string"), F.col("doi"), F.col("abstract"), F.col("body"), listed("tables", table), listed("panels", panel)).alias("full_text"))
+    return parts.select(key, full_text(F.col("title"), F.lit(None).cast("string"), F.col("doi"), F.col("abstract"), F.col("body"), listed("tables", table), listed("panels", panel)).alias("full_text"))
 
 
 #: Parts of an article's body that don't count as its text.

@@ -69,6 +69,15 @@ def test_full_text_of_one_pass_is_that_of_its_parts(spark):
     assert all(sum(head in t for t in got.values()) > 20 for head in ("ABSTRACT", "BODY", "TABLES", "PANELS"))
 
 
+def test_full_text_has_all_rows_of_its_tables(spark):
+    sizes = {1: 249, 2: 250, 3: 251, 4: 1200}
+    table = lambda n: "<table><label>T</label>" + "".join(f"<row><entry>{i}</entry><entry/></row>" for i in range(n)) + "<legend>end</legend></table>"
+    rows = xml.parsed(spark.createDataFrame([(k, f"<r><article>{table(n)}{table(2)}</article></r>") for k, n in sizes.items()], "id long, body string"), "id", "body")
+    text = lambda n: "\n\n".join(["T", "\n".join(f"{i} |  " for i in range(n)), "Legend: end"])
+    assert {r.id: r.full_text for r in xml.publisher_full_text(rows, "id").collect()} == {k: f"Title: \n\nTABLES\n{text(n)}\n\n{text(2)}" for k, n in sizes.items()}
+    assert {(r.id, r.text) for r in xml.table_texts(rows, "id").collect()} == {(k, text(m)) for k, n in sizes.items() for m in (n, 2)}
+
+
 def test_metadata_and_signals_of_odd_articles(spark):
     docs = [
         (1, "<r><author-group><author><surname>no</surname></author></author-group><article><head><author-group><author><surname>S</surname><given-name/><given-name>G</given-name><given-name>H</given-name></author><author/><author><x><surname>deep</surname></x></author></author-group><title/><title>T</title></head></article></r>"),
